@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, langid, packing, pii, secrets, tokencount
+from tidelog.llm import decontam, langid, minhash, packing, pii, secrets, tokencount
 from tidelog.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_decontamination": op6_decontamination,
         "op8_pii": op8_pii,
+        "op9_minhash": op9_minhash,
         "op10_secrets": op10_secrets,
     }
 
