@@ -66,19 +66,6 @@ BASE = 0x9E3779B97F4A7C15 | 1
 UNBASE = inverse(BASE)
 
 
-def prefix_hash(x: np.ndarray) -> np.ndarray:
-    """h[i]: sum of x[j] * BASE**j over j < i; see window_hash."""
-    out = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x * powers(BASE, len(x)), out=out[1:])
-    return out
-
-
-def window_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of x[start:end] from prefix_hash(x), equal wherever the contents are equal."""
-    unpower = powers(UNBASE, len(h))
-    return mix((h[end] - h[start]) * unpower[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
     """For each window of w values, the place of its leftmost minimum, from running minima of blocks of w."""
     n = len(x) - w + 1

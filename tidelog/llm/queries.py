@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, langid, minhash, packing, pii, secrets, tokencount
+from tidelog.llm import decontam, langid, minhash, packing, pii, rlz, secrets, tokencount
 from tidelog.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "spans")
 
 
+def op7_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.drop_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("found")
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op5_packing": op5_packing,
         "op6_decontamination": op6_decontamination,
+        "op7_rlz": op7_rlz,
         "op8_pii": op8_pii,
         "op9_minhash": op9_minhash,
         "op10_secrets": op10_secrets,
