@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, langid, minhash, packing, pii, rlz, secrets, tokencount
+from tidelog.llm import decontam, langid, minhash, packing, pii, rlz, secrets, suffixes, tokencount
 from tidelog.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.drop_repeated_bytes(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep_ids=False)
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op3_token_counts": op3_token_counts,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_packing": op5_packing,
         "op6_decontamination": op6_decontamination,
         "op7_rlz": op7_rlz,
