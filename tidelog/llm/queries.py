@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, langid, minhash, packing, pii, rlz, secrets, suffixes, tokencount
+from tidelog.llm import ann, decontam, langid, minhash, packing, pii, rlz, secrets, suffixes, tokencount
 from tidelog.llm.common import table
 
 
@@ -21,6 +21,10 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def op1_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
     return langid.identify(docs, docs.where(~F.col("held_out")), keep=["doc_id", "held_out"])
@@ -61,6 +65,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_multiprobe": op1_multiprobe,
         "op2_language_id": op2_language_id,
         "op3_token_counts": op3_token_counts,
         "op4_suffix_dedup": op4_suffix_dedup,

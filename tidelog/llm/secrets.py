@@ -174,6 +174,25 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     return found.withColumn("redacted", F.col("redacted").cast("string"))
 
 
+def with_redacted_texts(docs: DataFrame) -> DataFrame:
+    """The rows of docs with every span of scan_secrets in text replaced by [SECRET]; n_chars, if there, follows."""
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            columns = dict(zip(names, batch.columns, strict=True))
+            texts = columns["text"].cast(pa.binary()).to_pylist()
+            changed = {k: redact(x, spans) for k, x in enumerate(texts) if x and (spans := [y for z in all_spans(x) for y in z])}
+            if changed:
+                columns["text"] = pa.array([changed.get(k, x) for k, x in enumerate(texts)], pa.binary()).cast(pa.string()).cast(columns["text"].type)
+                if "n_chars" in columns:
+                    sizes = columns["n_chars"].to_pylist()
+                    columns["n_chars"] = pa.array([len(changed[k].decode("utf-8", "replace")) if k in changed else x for k, x in enumerate(sizes)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return docs.mapInArrow(rewrite, docs.schema)
+
+
 def redact(text: bytes, spans: list[tuple[int, int, str]], mark: bytes = b"[SECRET]") -> bytes:
     out, at = [], 0
     for a, b in merged(spans):
