@@ -24,5 +24,5 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-for _name in ("scalars", "temporal"):
+for _name in ("scalars", "temporal", "joins", "aggregates"):
     importlib.import_module(f"tidelog.plans.{_name}")

@@ -137,7 +137,8 @@ def cyclic_time(spark, sf):
 
 
 def _hav(r: float, a: str, b: str, c: str, d: str) -> str:
-    return f"2 * {r} * asin(least(1.0, sqrt(sin(radians({c} - {a}) / 2)**2 + cos(radians({a})) * cos(radians({c})) * sin(radians({d} - {b}) / 2)**2)))"
+    root = f"sqrt(sin(radians({c} - {a}) / 2)**2 + cos(radians({a})) * cos(radians({c})) * sin(radians({d} - {b}) / 2)**2)"
+    return f"2 * {r} * asin(CASE WHEN {root} > 1 THEN 1.0 ELSE {root} END)"
 
 
 def _bearing(a: str, b: str, c: str, d: str) -> str:
