@@ -17,8 +17,13 @@ POSITIONS_SQL = """pos AS (SELECT event_id AS id, user_id AS owner, ts AS record
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(table(spark, sf_dir, "events"))
+
+
+def placed(events: DataFrame) -> DataFrame:
+    """Rows of the event log, batch or stream, as observations."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("owner"),
         F.col("ts").alias("recorded_at"),
