@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,58 +16,74 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import as_bytes, column
 
 #: Words whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+#: Stems that are encoded as one string.
+JOINED = 100
+
+
+#: ASCII punctuation that follows a Latin letter and ends a word; the apostrophe, which may begin an ending, and the
+#: less-than sign, which may begin a special token, aren't in it.
+MARKS = r"[!-&(-/:;=-@\[-^`{-~]"
+MARKED = re.compile(rf"{MARKS}(?<=[a-z\u00df-\u00f6\u00f8-\u024f]{MARKS}){MARKS}*(?=[ \n]|\Z)")
+#: Letters for which lower case isn't the same everywhere, and more; such texts stay as they are.
+EXOTIC = re.compile("[\u0250-\U0010ffff]")
+
+
+def simpler(text: str) -> str:
+    """A text of the same ids that has fewer distinct words: in lower case, as the tokenizer makes it, and with
+    punctuation after words apart from them, as the tokenizer cuts it."""
+    if "<|" in text or not text.isascii() and EXOTIC.search(text):
+        return text
+    return MARKED.sub(r" \g<0>", text.lower())
 
 
 class WordEncoder:
     """Ids of whole texts by way of their distinct space-separated words.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are its words' ids in order.
-    Only the space and the line feed divide words here; all else is left to the tokenizer.
+    The vocabulary drops white space and never merges across it, so a text's ids are its words' ids in order. Only the
+    space and the line feed divide words here; all else is left to the tokenizer. A word of Latin letters is one
+    pre-token; many such are encoded as one string, in which a token that ends a word ends a pre-token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
         self.tokenizer = Tokenizer.from_file(path)
-        self.place: dict[str, int] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        self.place.clear()
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.counts = np.zeros(1 << 14, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            got = [x.ids for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))
-            k = len(self.place)
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while k + len(part) > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.starts[k : k + len(part)] = self.used + np.cumsum(n) - n
-            self.counts[k : k + len(part)] = n
-            self.used += len(flat)
-            self.place.update(zip(part, range(k, k + len(part)), strict=True))
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        if len(self.place) > REMEMBERED:
-            self.reset()
-        if new := set(words).difference(self.place):
-            self.learn(list(new))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        n = self.counts[at]
-        first = np.cumsum(n) - n
-        return self.ids[np.repeat(self.starts[at] - first, n) + np.arange(int(n.sum()))]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        known = self.known
+        plain = [x for x in words if x.isalpha() and x.islower() and not EXOTIC.search(x)] if self.ends.any() else []
+        got = self.tokenizer.encode_batch_fast([" ".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)], add_special_tokens=False)
+        flat = np.concatenate([np.array(x.ids, "<u4") for x in got]) if got else np.zeros(0, "<u4")
+        stops = (4 * np.flatnonzero(self.ends[flat]) + 4).tolist()
+        if len(stops) != len(plain):
+            raise ValueError("the vocabulary doesn't keep words of letters whole")
+        raw = flat.tobytes()
+        known.update(zip(plain, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+        other = list(words.difference(plain))
+        for word, x in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[word] = np.array(x.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian. Texts come in small groups, so that new words are encoded together."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        words = [simpler(x).replace("\n", " ").split(" ") for x in texts]
+        if new := {x for y in words for x in y if x not in known}:
+            self.learn(new)
+        return [b"".join(map(known.__getitem__, x)) for x in words]
+
+
+@cache
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for each Python worker, whatever the number of its tasks."""
+    return WordEncoder(path)
 
 
 def binary_pieces(n: int, largest: int) -> list[tuple[int, int]]:
@@ -80,6 +98,11 @@ def binary_pieces(n: int, largest: int) -> list[tuple[int, int]]:
     return out
 
 
+def encoded(encoder: WordEncoder, docs: list, texts: list[bytes | None], group: int = 64) -> Iterator[tuple[int | None, bytes]]:
+    for k in range(0, len(docs), group):
+        yield from zip(docs[k : k + group], encoder.encode([(x or b"").decode("utf-8", "replace") for x in texts[k : k + group]]), strict=True)
+
+
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, largest: int = 4096, keep_ids: bool = True) -> DataFrame:
     """Cut each document's ids (and end_id) into pieces of a power-of-two length; equal lengths form a bucket.
 
@@ -95,17 +118,17 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, largest: int = 4096,
         raise ValueError("largest must be a power of two")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder, end = encoder_of(vocabulary), np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
-                ids = np.append(encoder.encode((text or b"").decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4")
-                raw = memoryview(ids.tobytes())
-                for start, n in binary_pieces(len(ids), largest):
+            for doc, found in encoded(encoder, column(batch, "doc_id"), column(batch, "text")):
+                raw = found + end
+                total = len(raw) // 4
+                for start, n in binary_pieces(total, largest):
                     piece = raw[4 * start : 4 * (start + n)]
-                    rows.append((doc, start, n, n.bit_length() - 1, ids[start : start + n] if keep_ids else None, zlib.crc32(piece), len(ids)))
-                size += len(ids)
+                    rows.append((doc, start, n, n.bit_length() - 1, piece if keep_ids else None, zlib.crc32(piece), total))
+                size += total
                 if size > 1_000_000:
                     yield table_of(rows)
                     rows, size = [], 0
@@ -117,7 +140,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, largest: int = 4096,
         arrays = [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(bucket, pa.int32())]
         names = ["doc_id", "start", "length", "bucket"]
         if keep_ids:
-            arrays.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+            arrays.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
             names.append("ids")
         return pa.RecordBatch.from_arrays([*arrays, pa.array(crc, pa.int64()), pa.array(total, pa.int64())], names=[*names, "ids_crc32", "doc_tokens"])
 
