@@ -12,13 +12,13 @@ from pyspark.sql import types as T
 from tidelog.functions.numeric import number
 
 #: The raw observation log.
-POSITIONS = T.StructType.fromDDL(
+POSITIONS = (
     "id bigint, owner bigint, name string, category string, nav_status int, nav_status_str string, sog double, cog double, heading double, "
     "lat double, lon double, destination string, draught double, manoeuvre_str string, recorded_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz"
 )
 
 
-def read(spark: SparkSession, path: str | list[str], kind: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str], kind: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
     """One scan over any number of files. Pickles are refused: they run code."""
     if kind not in ("parquet", "csv", "json", "orc"):
         raise ValueError(f"can't read {kind}")
