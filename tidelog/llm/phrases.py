@@ -220,7 +220,7 @@ def window_rows(docs: DataFrame, places: DataFrame, sequence: Callable[[], Calla
             yield rows_of(out)
 
     joined = docs.join(per_document(places, "places"), "d")
-    return joined.select("d", "tag", "text", "places").mapInArrow(cut, PHRASES)
+    return joined.select("d", "tag", "doc_id", "text", "places").mapInArrow(cut, PHRASES)
 
 
 def windows_at(at: np.ndarray, tag: int) -> np.ndarray:
@@ -242,7 +242,7 @@ def covered(at: list | None, tag: int, n: int, width: int) -> np.ndarray:
 
 
 def dealt(docs: DataFrame) -> DataFrame:
-    """Keyed documents dealt by d: joins by d share this one exchange."""
+    """Keyed documents dealt by d: joins by d share this one exchange, if they read the same columns of it."""
     return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "d")
 
 

@@ -66,4 +66,4 @@ def drop_repeats(docs: DataFrame, width: int = 13, gram: int = 5, keep_text: boo
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary, factors array<struct<start: long, end: long>>" * keep_text
-    return own.join(factors, "d", "left").select("doc_id", "tag", "text", "places").mapInArrow(remove, schema)
+    return own.join(factors, "d", "left").select("d", "tag", "doc_id", "text", "places").mapInArrow(remove, schema)

@@ -218,7 +218,7 @@ def suffix_runs(own: DataFrame, places: DataFrame, width: int, gram: int, parts:
         return pa.RecordBatch.from_arrays([pa.array(list(by_part), pa.int64()), pa.array(runs, pa.binary())], names=["part", "run"])
 
     lists = places.groupBy("d").agg(F.collect_list(F.struct("at", "kind")).alias("x")).select("d", F.col("x.at").alias("places"), F.col("x.kind").alias("kinds"))
-    return own.join(lists, "d").select("d", "tag", "text", "places", "kinds").mapInArrow(cut, "part long, run binary")
+    return own.join(lists, "d").select("d", "tag", "doc_id", "text", "places", "kinds").mapInArrow(cut, "part long, run binary")
 
 
 def anchor_of(part: bytes, width: int, gram: int) -> tuple[int, int]:
@@ -309,4 +309,4 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 400, gram: int = 64, keep_
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(left, pa.binary())] * keep_text, names=names + ["kept"] * keep_text)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return own.join(per_document(marks, "places"), "d", "left").select("doc_id", "tag", "text", "places").mapInArrow(remove, schema)
+    return own.join(per_document(marks, "places"), "d", "left").select("d", "tag", "doc_id", "text", "places").mapInArrow(remove, schema)
