@@ -74,12 +74,31 @@ def blended(rows: DataFrame, experts: list[str], weights: dict[int, np.ndarray],
     return rows.withColumn("blend", expr)
 
 
+def kth_smallest(df: DataFrame, by: list[str], value: str, places: Column, cells: int = 4096) -> DataFrame:
+    """(by, n, place, value): order statistics of each group, at an array of places (from 1) given in terms of n.
+
+    A histogram between the group's extremes tells which cell holds a place; only that cell's rows are then sorted. So no
+    task sorts a whole group, however few the groups are.
+    """
+    x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    x = x if by else x.withColumn("_g", F.lit(0))
+    g = by or ["_g"]
+    ends = x.groupBy(*g).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("n")).withColumn("place", F.explode(places))
+    cell = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * cells), F.lit(cells - 1))).otherwise(0)
+    celled = x.join(F.broadcast(ends.select(*g, "_low", "_high").distinct()), g).withColumn("_c", cell)
+    counts = celled.groupBy(*g, "_c").agg(F.count("*").alias("_m"))
+    counts = counts.withColumn("_upto", F.sum("_m").over(Window.partitionBy(*g).orderBy("_c")))
+    holds = ends.join(counts, g).where((F.col("_upto") >= F.col("place")) & (F.col("_upto") - F.col("_m") < F.col("place")))
+    wanted = holds.select(*g, "n", "place", "_c", (F.col("place") - F.col("_upto") + F.col("_m")).alias("_k"))
+    rows = celled.select(*g, "_v", "_c").join(F.broadcast(wanted.select(*g, "_c").distinct()), [*g, "_c"])
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_c").orderBy("_v")))
+    return ranked.join(F.broadcast(wanted), [*g, "_c"]).where("_r = _k").select(*by, "n", "place", F.col("_v").alias(value))
+
+
 def conformal(rows: DataFrame, score: str, by: list[str], coverage: float) -> DataFrame:
     """(by, n, width): the k-th smallest score, k = ceil((n + 1) * coverage) within 1..n."""
-    w = Window.partitionBy(*by)
-    x = rows.where(F.col(score).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(score)), "n": F.count("*").over(w)})
     k = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil((F.col("n") + 1) * coverage)))
-    return x.where(F.col("_r") == k).select(*by, "n", F.col(score).alias("width"))
+    return kth_smallest(rows, by, score, F.array(k.cast("bigint"))).select(*by, "n", F.col(score).alias("width"))
 
 
 def intervals(rows: DataFrame, prediction: str, risk: str, score: str, fold: str, cfg: IntervalConfig = IntervalConfig()) -> DataFrame:
@@ -104,15 +123,16 @@ def terciles(rows: DataFrame, risk: str, fold: str, cfg: IntervalConfig = Interv
 def risk_coverage(rows: DataFrame, risk: str, error: str, coverages: list[float], key: str) -> DataFrame:
     """(coverage, retained, threshold, mae) at the risk quantile `higher` for each target coverage.
 
-    Quantiles come from one aggregation of the risk column; then each coverage is a conditional aggregate of one pass.
+    The thresholds are order statistics; then all coverages are conditional aggregates of one pass.
     """
-    n = rows.where(F.col(risk).isNotNull()).groupBy(F.col(risk).alias("_v")).agg(F.count("*").alias("_n"), F.sum(F.abs(error)).alias("_e"))
-    upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = n.withColumns({"_upto": F.sum("_n").over(upto), "_err": F.sum("_e").over(upto), "_all": F.sum("_n").over(Window.partitionBy())})
-    cs = x.select("*", F.explode(F.array(*map(F.lit, coverages))).alias("coverage"))
-    place = F.ceil(F.col("coverage") * (F.col("_all") - 1)) + 1
-    hit = cs.where(F.col("_upto") >= place).groupBy("coverage").agg(F.min(F.struct("_v", "_upto", "_err")).alias("m"))
-    return hit.select("coverage", F.col("m._upto").alias("retained"), F.col("m._v").alias("threshold"), (F.col("m._err") / F.col("m._upto")).alias("mae"))
+    places = F.array(*((F.ceil(F.lit(c) * (F.col("n") - 1)) + 1).cast("bigint") for c in coverages))
+    edges = kth_smallest(rows, [], risk, places)
+    n = F.col("n")
+    row = edges.agg(*(F.max(F.when(F.col("place") == (F.ceil(F.lit(c) * (n - 1)) + 1).cast("bigint"), F.col(risk))).alias(f"_t{i}") for i, c in enumerate(coverages)))
+    x = rows.select(F.col(risk).alias("_r"), F.abs(error).alias("_e")).crossJoin(F.broadcast(row))
+    inside = [F.col("_r") <= F.col(f"_t{i}") for i in range(len(coverages))]
+    found = x.agg(*(F.struct(F.lit(c).alias("coverage"), F.count_if(t).alias("retained"), F.max(f"_t{i}").alias("threshold"), F.avg(F.when(t, F.col("_e"))).alias("mae")).alias(f"_{i}") for i, (c, t) in enumerate(zip(coverages, inside, strict=True))))
+    return found.select(F.inline(F.array(*(f"_{i}" for i in range(len(coverages))))))
 
 
 def stressed(error: Column, edges: Column) -> dict[str, Column]:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,3 +22,17 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     """A session with SETTINGS; on a cluster the master and the resources come from the submit command."""
     builder = SparkSession.builder.appName("tidelog").config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, unless they find it where they start: in the working folder or on PYTHONPATH."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(root) in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) or getattr(context, "_tidelog_shipped", False):
+        return
+    at = Path(tempfile.mkdtemp(prefix="tidelog-")) / "tidelog.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in [*(root / "tidelog").rglob("*.py"), *root.glob("corpus_pipeline.py")]:
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(at))
+    context._tidelog_shipped = True
