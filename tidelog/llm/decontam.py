@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, checkpointed, column
+from tidelog.llm.common import as_bytes, checkpointed, column, small
 
 #: Word bytes stay (A-Z lower-cased), all others become spaces.
 TABLE = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
@@ -106,7 +106,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_b
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, width))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 hits, items = [], []
                 for text, old_hit, old_items in zip(column(batch, "text"), column(batch, "hit"), column(batch, "items"), strict=True):
                     hit, now = shared.value.scan(words_of(text))
@@ -150,7 +150,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, width))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array([1 not in shared.value.scan(words_of(x))[0] for x in texts], pa.bool_()))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import as_bytes, column
+from tidelog.llm.common import as_bytes, column, small
 
 UNKNOWN = "und"
 #: Characters are read in stretches of so many, so that memory doesn't follow a text's length.
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, n_train: int = 1200, n_landmarks: int = 128, ridge: flo
     share = F.element_at(F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1 << 30, -(-(each << 30) // counts[lang]))))), F.col("lang"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for draw, lang, text in zip(column(batch, "draw"), column(batch, "lang"), column(batch, "text"), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([draw], pa.int64()), pa.array([lang], pa.string()), pa.array([grams(text.decode("utf-8", "replace")).tobytes()], pa.binary())], names=["draw", "lang", "grams"])
 
@@ -141,13 +141,15 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, n
     """
     model = fit(train, n_train, n_landmarks, ridge)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [x for x in keep or docs.columns if x not in ("lang_pred", "score")]
 
     def predict(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         if model.langs and not hasattr(model, "tables"):
             model.prepare()
-        for batch in texts:
-            whole = column(batch, "text")
+        for batch in small(texts):
+            row = batch.column(0)
+            whole = (row.field(names.index("text")).cast(pa.binary()) if "text" in names else batch.column(1)).to_pylist()
             preds, scores = [UNKNOWN] * len(whole), np.zeros(len(whole))
             for at in range(0, len(whole), BATCH) if model.langs else ():
                 part = [(x or b"").decode("utf-8", "replace") for x in whole[at : at + BATCH]]
@@ -158,9 +160,8 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, n
                 best = values.argmax(axis=1)
                 for k, b, value in zip(some, best, values.max(axis=1), strict=True):
                     preds[at + k], scores[at + k] = model.langs[b], min(1.0, max(0.0, (float(value) + 1) / 2))
-            yield pa.RecordBatch.from_arrays([*(x for x, name in zip(batch.columns, batch.schema.names, strict=True) if name != "text"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*(x for x in batch.schema.names if x != "text"), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["_row", "lang_pred", "score"])
 
-    names = [x for x in keep or docs.columns if x not in ("lang_pred", "score")]
-    carried = docs.select(F.struct(*(F.col(f"`{x}`") for x in names)).alias("_row"), as_bytes().alias("text"))
+    carried = docs.select(F.struct(*(F.col(f"`{x}`") for x in names)).alias("_row"), *([] if "text" in names else [as_bytes().alias("text")]))
     types = T.StructType([carried.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return carried.mapInArrow(predict, types).select("_row.*", "lang_pred", "score")

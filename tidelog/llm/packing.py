@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, column
+from tidelog.llm.common import as_bytes, column, small
 
 #: Words whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 #: Stems that are encoded as one string.
 JOINED = 100
 
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, largest: int = 4096,
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_of(vocabulary), np.uint32(end_id).astype("<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             rows: list[tuple] = []
             size = 0
             for doc, found in encoded(encoder, column(batch, "doc_id"), column(batch, "text")):

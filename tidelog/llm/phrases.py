@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import BASE, UNBASE, as_bytes, column, mix, numbers, sliding_argmin
+from tidelog.llm.common import BASE, UNBASE, as_bytes, column, mix, numbers, sliding_argmin, small
 
 #: Windows of a sequence that are hashed at a time.
 STRETCH = 1 << 18
@@ -93,7 +93,7 @@ def phrase_rows(docs: DataFrame, sequence: Callable[[], Callable[[bytes], np.nda
         numbered = sequence()
         out: list[tuple[np.ndarray, ...]] = []
         size = 0
-        for batch in batches:
+        for batch in small(batches):
             for text, doc, tag in zip(column(batch, "text"), numbers(batch, "d"), numbers(batch, "tag"), strict=True):
                 if not text or len(text) < width:
                     continue

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidelog.llm.common import column, numbers
+from tidelog.llm.common import column, numbers, small
 from tidelog.llm.minhash import WordHashes
 from tidelog.llm.phrases import OPEN, WHOLE, covered, dealt, keyed, kind_is, per_document, phrase_rows, resolved, window_rows
 
@@ -43,7 +43,7 @@ def drop_repeats(docs: DataFrame, width: int = 13, gram: int = 5, keep_text: boo
     factors = per_document(parsed.where(kind_is(WHOLE)).select("d", "at").unionAll(found), "places")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sizes, removed, digests, left, spans = [], [], [], [], []
             for text, doc, tag, at in zip(column(batch, "text"), column(batch, "doc_id"), numbers(batch, "tag"), column(batch, "places"), strict=True):
                 words = (text or b"").split()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, column
+from tidelog.llm.common import as_bytes, column, small
 
 # The patterns of the contract, over bytes; their order is the order of kinds.
 KINDS = ("assign", "access", "hex")
@@ -153,7 +153,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             counts: dict[str, list[int]] = {kind: [] for kind in KINDS}
             digests, lists, texts = [], [], []
             for text in column(batch, "text"):
@@ -178,7 +178,7 @@ def with_redacted_texts(docs: DataFrame) -> DataFrame:
     """The rows of docs with every span of scan_secrets in text replaced by [SECRET]; n_chars, if there, follows."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             names = batch.schema.names
             columns = dict(zip(names, batch.columns, strict=True))
             texts = columns["text"].cast(pa.binary()).to_pylist()

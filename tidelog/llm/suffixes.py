@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import checkpointed, column, numbers
+from tidelog.llm.common import checkpointed, column, numbers, small
 from tidelog.llm.phrases import (
     COUNT_BITS,
     OPEN,
@@ -190,7 +190,7 @@ def suffix_runs(own: DataFrame, places: DataFrame, width: int, gram: int, parts:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suffixes: list[Suffix] = []
         size = 0
-        for batch in batches:
+        for batch in small(batches):
             for text, doc, tag, at, kinds in zip(column(batch, "text"), numbers(batch, "d"), numbers(batch, "tag"), column(batch, "places"), column(batch, "kinds"), strict=True):
                 chosen = {}
                 for place, kind in zip(at, kinds, strict=True):
@@ -291,7 +291,7 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 400, gram: int = 64, keep_
         marks = marks.unionAll(resolved(windows, earlier_only=False).where(kind_is(WHOLE)).select("d", "at"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sizes, removed, spans, digests, left = [], [], [], [], []
             for text, tag, at in zip(column(batch, "text"), numbers(batch, "tag"), column(batch, "places"), strict=True):
                 text = text or b""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, column
+from tidelog.llm.common import as_bytes, column, small
 
 #: Trie nodes and distinct pre-tokens that a worker keeps; then it starts afresh.
 NODES, REMEMBERED = 500_000, 500_000
@@ -125,7 +125,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = trie_of(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             n_words, n_tokens = [], []
             for text in column(batch, "text"):
                 words = (text or b"").split()
