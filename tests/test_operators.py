@@ -181,3 +181,47 @@ def test_first_accepted_and_spread(spark):
     x = spark.createDataFrame([(f"{i:02d}", i % 3 == 0) for i in range(12)], "h string, ok boolean")
     kept, why = aggregates.first_accepted(x, "h", F.col("ok"), F.lit("no"), 3)
     assert [r.h for r in kept.orderBy("h").collect()] == ["00", "03", "06"] and why.first().n == 4
+
+
+def test_bundle_and_geometries(spark, tmp_path):
+    from pyspark.ml import Pipeline
+
+    from tidelog.sources import bundle
+
+    (tmp_path / "g.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"name":"gate"},"geometry":{"type":"LineString","coordinates":[[15.0,37.0],[15.1,37.2]]}},{"type":"Feature","properties":{"name":"basin"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}}]}')
+    got = {r.name: [(c.lon, c.lat) for c in r.corners] for r in bundle.geometries(spark, str(tmp_path / "g.geojson")).collect()}
+    assert got["gate"] == [(15.0, 37.0), (15.1, 37.2)] and len(got["basin"]) == 4
+    (tmp_path / "m.json").write_text('{"A": 1.5, "B": 2}')
+    assert {r.key: r.value for r in bundle.medians(spark, str(tmp_path / "m.json")).collect()} == {"A": 1.5, "B": 2.0}
+    rows = spark.createDataFrame([(float(i), float(2 * i)) for i in range(10)], "x double, y double")
+    fitted = Pipeline(stages=[*evaluation.preprocessing(["x"], []), evaluation.models("y")["ridge"]]).fit(rows)
+    bundle.save(str(tmp_path / "b"), {"rows": rows}, {"ridge": fitted}, {"alpha": 1})
+    t, m, c = bundle.load(spark, str(tmp_path / "b"))
+    assert t["rows"].count() == 10 and c == {"alpha": 1} and m["ridge"].transform(rows).count() == 10
+    stress = {r.masked: r.mae for r in evaluation.masking_stress(rows, fitted, {"x": 4.5}, "y").collect()}
+    assert stress["x"] > 1
+
+
+def test_kth_smallest(spark):
+    r = random.Random(4)
+    rows = [(g, r.choice([0.0, 1.0, r.random() * 100])) for g in (1, 2) for _ in range(200)] + [(3, 5.0), (4, None)]
+    got = evaluation.kth_smallest(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", F.array(F.lit(1).cast("bigint"), F.ceil(F.col("n") * 0.7).cast("bigint"), F.col("n")), cells=8).collect()
+    for x in got:
+        values = sorted(v for g, v in rows if g == x.g and v is not None)
+        assert x.v == values[x.place - 1] and x.n == len(values)
+    assert len({(x.g, x.place) for x in got}) == 7
+
+
+def test_streaming_equals_batch(spark, tmp_path):
+    from tidelog.streaming import states as streaming
+
+    r = random.Random(6)
+    rows = [(60 * i + r.randrange(30), r.choice([0.1, 2.0, 9.0, None]), 10.0, 0, 37 + r.random() / 100, 15 + r.random() / 100) for i in range(30)]
+    log = track(spark, rows)
+    for k, part in enumerate((log.where("id < 11"), log.where("id between 11 and 20"), log.where("id > 20"))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+    paths = str(tmp_path / "p*")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(paths).withColumnRenamed("sog_raw", "sog")
+    got = {x.id: (x.motion_state, x.stopped_s) for x in streaming.run_once(streaming.motion(stream)).collect()}
+    want = {x.id: (x.motion_state, x.stopped_s) for x in states.states(log).collect()}
+    assert got == want
