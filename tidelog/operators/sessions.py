@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,19 +115,22 @@ def transitions(df: DataFrame, cell_deg: float, max_gap_min: float, step_nm: tup
 
 
 def smoothed(df: DataFrame, value: str, alpha: float, reset_hours: float) -> DataFrame:
-    """Causal exponential smoothing that starts anew after a gap: adds `smooth`.
+    """owner, id, recorded_at, value and `smooth`: causal exponential smoothing that starts anew after a gap.
 
-    f = alpha * x + (1 - alpha) * f_before has a closed form inside an island without gaps: a weighted sum of its rows
-    up to the present one. The island's rows are folded in order by a higher-order function, in the JVM; an owner's rows
-    between two gaps are held together.
+    f = alpha * x + (1 - alpha) * f_before is sequential by nature: an owner's rows arrive in order and pass through as a
+    stream of Arrow batches, with one number carried from batch to batch.
     """
     w = by_owner()
     gap = times.hours_between(F.lag("recorded_at").over(w), F.col("recorded_at"))
-    x = df.withColumn("_new", F.when(gap <= reset_hours, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w))
-    rows = x.groupBy("owner", "_island").agg(F.array_sort(F.collect_list(F.struct("recorded_at", "id", F.col(value).alias("v")))).alias("rows"))
-    step = lambda acc, r: F.struct(
-        F.when(F.size(acc["out"]) == 0, r["v"]).otherwise(alpha * r["v"] + (1 - alpha) * acc["f"]).alias("f"),
-        F.concat(acc["out"], F.array(F.struct(r["recorded_at"].alias("recorded_at"), r["id"].alias("id"), r["v"].alias(value), F.when(F.size(acc["out"]) == 0, r["v"]).otherwise(alpha * r["v"] + (1 - alpha) * acc["f"]).alias("smooth")))).alias("out"),
-    )
-    start = F.struct(F.lit(0.0).alias("f"), F.array().cast(f"array<struct<recorded_at: timestamp_ntz, id: bigint, {value}: double, smooth: double>>").alias("out"))
-    return rows.select("owner", F.inline(F.aggregate("rows", start, step, lambda acc: acc["out"])))
+    rows = df.select("owner", "id", "recorded_at", F.col(value).cast("double").alias(value)).withColumn("_new", ~F.coalesce(gap <= reset_hours, F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0.0
+        for batch in batches:
+            out = []
+            for x, new in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                last = x if new or last is None else last if x is None else alpha * x + (1 - alpha) * last
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.float64())], names=["owner", "id", "recorded_at", value, "smooth"])
+
+    return rows.mapInArrow(run, f"owner bigint, id bigint, recorded_at timestamp_ntz, {value} double, smooth double")

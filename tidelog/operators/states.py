@@ -45,7 +45,8 @@ def states(df: DataFrame, cfg: StateConfig = StateConfig()) -> DataFrame:
     x = x.withColumns(
         {
             "dt_s": times.seconds_between(lag("recorded_at"), F.col("recorded_at")),
-            "step_m": geo.haversine(lag("lat_clean"), lag("lon_clean"), F.col("lat_clean"), F.col("lon_clean"), EARTH_M),
+            "prev_lat": lag("lat_clean"),
+            "prev_lon": lag("lon_clean"),
             "prev_sog": lag("sog_clean"),
             "cog_delta": geo.turn(F.col("cog_clean"), lag("cog_clean")),
             "is_first": F.row_number().over(by) == 1,
@@ -53,6 +54,7 @@ def states(df: DataFrame, cfg: StateConfig = StateConfig()) -> DataFrame:
         }
     )
     dt = F.col("dt_s")
+    x = x.withColumn("step_m", geo.haversine(F.col("prev_lat"), F.col("prev_lon"), F.col("lat_clean"), F.col("lon_clean"), EARTH_M)).drop("prev_lat", "prev_lon")
     x = x.withColumns({"implied_kn": F.when(dt > 0, F.col("step_m") / dt * KNOTS), "sog_delta": F.abs(F.col("sog_clean") - F.col("prev_sog")), "changed": F.col("is_first") | ~F.col("same_state")})
     x = x.withColumn("state_age_s", F.greatest(F.lit(0.0), times.seconds_between(F.last(F.when(F.col("changed"), F.col("recorded_at")), True).over(upto), F.col("recorded_at"))))
     sog, implied = F.col("sog_clean"), F.col("implied_kn")

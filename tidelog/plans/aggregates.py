@@ -153,10 +153,10 @@ def set_operations(spark, sf):
     return n(e.where("event_type = 'view'").select("user_id").intersect(c), "both").unionAll(n(e.select("user_id").distinct().join(c, F.col("user_id") == F.col("c_custkey"), "left_anti"), "left")).unionAll(n(nodes, "union"))
 
 
-@query("SELECT name, kind, n FROM (SELECT s_name AS name, 'supplier' AS kind, s_nationkey::BIGINT AS n FROM supplier UNION ALL BY NAME SELECT c_name AS name, 'customer' AS kind FROM customer WHERE c_custkey < 50)")
+@query("SELECT name, kind, n FROM (SELECT s_name AS name, 'supplier' AS kind, s_nationkey::BIGINT AS n FROM supplier UNION ALL BY NAME SELECT c_name AS name, 'customer' AS kind FROM customer)")
 def union_by_name(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.lit("supplier").alias("kind"), F.col("s_nationkey").cast("bigint").alias("n"))
-    return s.unionByName(table(spark, sf, "customer").where("c_custkey < 50").select(F.col("c_name").alias("name"), F.lit("customer").alias("kind")), allowMissingColumns=True)
+    return s.unionByName(table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.lit("customer").alias("kind")), allowMissingColumns=True)
 
 
 @query("""WITH e AS (SELECT list_distinct(quantile_cont(c_acctbal, [0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS edges FROM customer) SELECT bin, count(*) AS n, min(c_acctbal) AS low, max(c_acctbal) AS high FROM

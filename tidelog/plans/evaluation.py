@@ -117,14 +117,14 @@ def bootstrap_ci(spark, sf):
 @query()
 def tabular_oof(spark, sf):
     x = decisions(spark, sf).select("key", "fold", "price", "balance", "pred_a", "status", "ship_type", "target_h")
-    return evaluation.out_of_fold(x, evaluation.models("target_h")["ridge"], ["price", "balance", "pred_a"], ["status", "ship_type"], "fold", [0, 1]).select("key", F.round("prediction", 3).alias("prediction"))
+    return evaluation.out_of_fold(x, evaluation.models("target_h")["ridge"], ["price", "balance", "pred_a"], ["status", "ship_type"], "fold", [0, 1, 2, 3, 4]).select("key", F.round("prediction", 3).alias("prediction"))
 
 
 @query()
 def risk_model(spark, sf):
     x = scored(spark, sf).select("key", "fold", "price", "balance", "risk", "status", F.log1p("error").alias("log_error"))
     model = evaluation.models("log_error")["boosted"]
-    return evaluation.out_of_fold(x, model, ["price", "balance", "risk"], ["status"], "fold", [0]).select("key", F.round(F.greatest(F.lit(0.0), F.expm1("prediction")), 3).alias("risk_h"))
+    return evaluation.out_of_fold(x, model, ["price", "balance", "risk"], ["status"], "fold", [0, 1, 2, 3, 4]).select("key", F.round(F.greatest(F.lit(0.0), F.expm1("prediction")), 3).alias("risk_h"))
 
 
 @query()

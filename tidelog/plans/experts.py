@@ -90,11 +90,11 @@ def residual_correction(spark, sf):
 
 @query()
 def route_analogue(spark, sf):
-    """Owners' resampled tracks; the last purchase value stands for the target."""
+    """Resampled tracks of owners whose id is divisible by 100, against those of all; the last value stands for the target."""
     p = positions(spark, sf)
     target = p.groupBy("owner").agg(F.max_by("sog_raw", F.struct("recorded_at", "id")).alias("target"), (F.max("owner") % 6).alias("gate"))
     x = experts.trajectories(p, "owner", "recorded_at", ["lon", "lat"], 12).join(target, "owner")
-    q = x.where("owner % 10 = 0").select(*(F.col(a).alias(b) for a, b in (("owner", "q_id"), ("owner", "q_owner"), ("gate", "q_gate"), ("points", "q_points"))))
+    q = x.where("owner % 100 = 0").select(*(F.col(a).alias(b) for a, b in (("owner", "q_id"), ("owner", "q_owner"), ("gate", "q_gate"), ("points", "q_points"))))
     m = x.select(*(F.col(a).alias(f"m_{a}") for a in ("owner", "gate", "points", "target")))
     return experts.analogues(q, m, "gate", 5)
 
@@ -105,22 +105,22 @@ _ROUTE_SQL = "routes(route, seq, lat, lon) AS (VALUES " + ", ".join(f"({a}::BIGI
 
 @query(f"""WITH {POSITIONS_SQL}, {_ROUTE_SQL}, r1 AS (SELECT *, (lon - 0.0) * 111.32 * cos(radians(37.0)) AS ax, (lat - 37.0) * 111.32 AS ay FROM routes), r2 AS (SELECT *, lead(ax) OVER w AS bx, lead(ay) OVER w AS by_ FROM r1 WINDOW w AS (PARTITION BY route ORDER BY seq)),
  r3 AS (SELECT *, sqrt((bx - ax)**2 + (by_ - ay)**2) AS len FROM r2 WHERE bx IS NOT NULL), r4 AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY route ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, max_by(bx, seq) OVER (PARTITION BY route) AS zx, max_by(by_, seq) OVER (PARTITION BY route) AS zy FROM r3),
- p AS (SELECT id, (lon - 0.0) * 111.32 * cos(radians(37.0)) AS x, (lat - 37.0) * 111.32 AS y FROM pos WHERE id % 5 = 0), j AS (SELECT *, least(1, greatest(0, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / len**2)) AS t FROM p, r4),
+ p AS (SELECT id, (lon - 0.0) * 111.32 * cos(radians(37.0)) AS x, (lat - 37.0) * 111.32 AS y FROM pos), j AS (SELECT *, least(1, greatest(0, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / len**2)) AS t FROM p, r4),
  k AS (SELECT *, sqrt((x - ax - t * (bx - ax))**2 + (y - ay - t * (by_ - ay))**2) AS c FROM j) SELECT id, route, round(c, 5) AS cross_km, round(greatest(sqrt((x - zx)**2 + (y - zy)**2), c + (1 - t) * len + rest), 5) AS remaining_km
  FROM (SELECT *, row_number() OVER (PARTITION BY id, route ORDER BY c, seq) AS n FROM k) WHERE n = 1""")
 def polyline_projection(spark, sf):
     routes = spark.createDataFrame(_ROUTES, "route bigint, seq int, lat double, lon double")
-    x = experts.along_route(positions(spark, sf).where("id % 5 = 0").select("id", "lat", "lon"), routes, "id", 37.0)
+    x = experts.along_route(positions(spark, sf).select("id", "lat", "lon"), routes, "id", 37.0)
     return x.withColumns({"cross_km": F.round("cross_km", 5), "remaining_km": F.round("remaining_km", 5)})
 
 
 @query()
 def corridor_paths(spark, sf):
-    """Least-time paths between the first and last cell of some owners over the transitions seen before their last one."""
+    """Least-time paths between the first and last cell of owners whose id is divisible by 100 over the transitions seen before their last one."""
     t = transition_rows(spark, sf)
     ends = t.groupBy("owner").agg(F.min_by("from_cell", F.struct("recorded_at", "id")).alias("source"), F.max_by("to_cell", F.struct("recorded_at", "id")).alias("target"), F.max("recorded_at").alias("asked_at"))
     edges = t.select("from_cell", "to_cell", F.col("recorded_at").alias("seen_at"), F.col("step_nm").alias("nm"), F.col("speed").alias("kn"))
-    return experts.shortest_paths(ends.where("owner % 10 = 0").withColumnRenamed("owner", "q_id"), edges)
+    return experts.shortest_paths(ends.where("owner % 100 = 0").withColumnRenamed("owner", "q_id"), edges)
 
 
 @query()

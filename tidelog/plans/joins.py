@@ -78,12 +78,12 @@ def semi_and_anti(spark, sf):
     return calm.join(with_f, "c_custkey", "left").select("c_custkey", F.coalesce("_f", F.lit(False)).alias("has_f"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right only' ELSE 'left only' END AS found_in FROM (SELECT DISTINCT user_id AS k FROM events) a FULL JOIN (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right only' ELSE 'left only' END AS found_in FROM (SELECT DISTINCT user_id AS k FROM events) a FULL JOIN (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def coverage_full_outer(spark, sf):
-    return contracts.coverage(table(spark, sf, "events").select(F.col("user_id").alias("k")), table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k")), "k")
+    return contracts.coverage(table(spark, sf, "events").select(F.col("user_id").alias("k")), table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k")), "k")
 
 
-_KNN = """WITH m AS (SELECT vec_id, vec_id % 50 AS owner, label AS gate, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM m WHERE vec_id < 25),
+_KNN = """WITH m AS (SELECT vec_id, vec_id % 50 AS owner, label AS gate, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM m WHERE vec_id % 100 = 0),
  g AS (SELECT gate, count(DISTINCT owner) >= 4 AS gated FROM m GROUP BY 1), p AS (SELECT q.vec_id AS q_id, gated, m.owner AS m_owner, m.vec_id AS m_id,
   greatest(0.0, least(2.0, 1 - list_dot_product(q.e, m.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(m.e, m.e))))) AS d FROM q JOIN g USING (gate) JOIN m ON m.owner <> q.owner AND (NOT gated OR m.gate = q.gate)),
  b AS (SELECT q_id, gated, m_owner, d, m_id, row_number() OVER (PARTITION BY q_id, m_owner ORDER BY d, m_id) AS r FROM p),
@@ -92,7 +92,7 @@ _KNN = """WITH m AS (SELECT vec_id, vec_id % 50 AS owner, label AS gate, embeddi
 
 def knn_rows(spark, sf):
     x = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("owner"), F.col("label").alias("gate"), "embedding")
-    q = x.where("vec_id < 25").select(*(F.col(a).alias(b) for a, b in (("vec_id", "q_id"), ("owner", "q_owner"), ("gate", "q_gate"), ("embedding", "q_e"))))
+    q = x.where("vec_id % 100 = 0").select(*(F.col(a).alias(b) for a, b in (("vec_id", "q_id"), ("owner", "q_owner"), ("gate", "q_gate"), ("embedding", "q_e"))))
     m = x.select(*(F.col(a).alias(f"m_{b}") for a, b in (("vec_id", "id"), ("owner", "owner"), ("gate", "gate"), ("embedding", "e"))))
     return joins.gated_knn(q, m, "gate", "owner", arrays.cosine_distance(F.col("q_e"), F.col("m_e")), 5)
 
@@ -124,14 +124,14 @@ def fallback_edges(spark, sf):
     return x.select("from_cell", "to_cell", "bin", "kind", level.otherwise("none").alias("level"), F.round(F.least(F.lit(30.0), F.greatest(F.lit(1.0), speed.otherwise(F.col("m_base")))), 6).alias("speed"))
 
 
-@query(f"""WITH {POSITIONS_SQL}, n AS (SELECT DISTINCT CAST(floor(lat / 0.2) AS BIGINT) AS i, CAST(floor(lon / 0.2) AS BIGINT) AS j FROM pos WHERE id % 3 = 0),
- m AS (SELECT i || ':' || j AS node, (i + 0.5) * 2e-1 AS nlat, (j + 0.5) * 2e-1 AS nlon FROM n), p AS (SELECT id, lat, lon FROM pos WHERE id % 10 = 1),
+@query(f"""WITH {POSITIONS_SQL}, n AS (SELECT CAST(floor(lat / 0.2) AS BIGINT) AS i, CAST(floor(lon / 0.2) AS BIGINT) AS j FROM pos GROUP BY 1, 2 HAVING median(sog_raw) > 35),
+ m AS (SELECT i || ':' || j AS node, (i + 0.5) * 2e-1 AS nlat, (j + 0.5) * 2e-1 AS nlon FROM n), p AS (SELECT id, lat, lon FROM pos),
  d AS (SELECT id, node, {_hav(EARTH_NM, "lat", "lon", "nlat", "nlon")} AS d FROM p, m) SELECT id, node, round(d, 5) AS snap_nm FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, node) AS r FROM d WHERE d <= 40) WHERE r = 1""")
 def snap_to_cells(spark, sf):
     p = positions(spark, sf)
-    nodes = p.where("id % 3 = 0").select(geo.cell(F.col("lat"), 0.2).alias("node_i"), geo.cell(F.col("lon"), 0.2).alias("node_j")).distinct()
-    nodes = nodes.select("*", F.concat_ws(":", "node_i", "node_j").alias("node"), geo.centre(F.col("node_i"), 0.2).alias("node_lat"), geo.centre(F.col("node_j"), 0.2).alias("node_lon"))
-    return joins.snap(p.where("id % 10 = 1").select("id", "lat", "lon"), nodes, 0.2, 40.0, EARTH_NM, "id").withColumn("snap_nm", F.round("snap_nm", 5))
+    nodes = p.groupBy(geo.cell(F.col("lat"), 0.2).alias("node_i"), geo.cell(F.col("lon"), 0.2).alias("node_j")).agg(F.median("sog_raw").alias("m")).where("m > 35")
+    nodes = nodes.select("node_i", "node_j", F.concat_ws(":", "node_i", "node_j").alias("node"), geo.centre(F.col("node_i"), 0.2).alias("node_lat"), geo.centre(F.col("node_j"), 0.2).alias("node_lon"))
+    return joins.snap(p.select("id", "lat", "lon"), nodes, 0.2, 40.0, EARTH_NM, "id").withColumn("snap_nm", F.round("snap_nm", 5))
 
 
 @query(f"""WITH {POSITIONS_SQL}, {_PAIRS}, t AS (SELECT owner, session, inbound_at, unnest(generate_series(time_bucket(INTERVAL 6 HOUR, inbound_at + INTERVAL 21599999999 MICROSECOND), outbound_at - INTERVAL 1 MICROSECOND, INTERVAL 6 HOUR)) AS tick FROM pairs WHERE outbound_at IS NOT NULL),

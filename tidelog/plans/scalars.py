@@ -89,9 +89,9 @@ def text_normalise(spark, sf):
     return x.select("p_partkey", light.alias("light"), text.key(F.col("s")).alias("key"), compact.alias("compact"), text.terminal(light).alias("terminal"), text.is_route(light).alias("route"), text.code_like(compact).alias("code"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(translate(upper(replace(substr(text, 1, 60), 'ß', 'ss')), 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'AAAAAACEEEEIIIINOOOOOUUUUY'), '[,_;|]+', ' ', 'g'), '\\s+', ' ', 'g') AS head FROM documents""".replace("\\\\", "\\"))
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(translate(upper(replace(text, 'ß', 'ss')), 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'AAAAAACEEEEIIIINOOOOOUUUUY'), '\s*(?:→|=+>|-+>|>)\s*', '>', 'g'), '[,_;|]+', ' ', 'g'), '\s+', ' ', 'g'))) AS folded FROM documents""")
 def text_fold(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace(text.folded_ascii(F.concat(F.lit("<"), F.substring("text", 1, 60), F.lit("<"))), "<", "").alias("head"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.folded_ascii(F.col("text"))).alias("folded"))
 
 
 @query("SELECT concat_ws(chr(31), c_mktsegment, coalesce(n_name, 'UNKNOWN')) AS composite, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3 GROUP BY 1")
