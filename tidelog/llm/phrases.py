@@ -22,7 +22,8 @@ STRETCH = 1 << 18
 COUNT_BITS, TAG_BITS = 10, 22
 WHOLE, OPEN, PARTNER = 0, 1, 2
 PHRASES = "a long, r long, d long, at long"
-ROWS_AT_ONCE = 200_000
+#: Rows that a map task combines before it sends them.
+ROWS_AT_ONCE = 400_000
 
 
 class Powers:
@@ -86,8 +87,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(doc, own).alias("d"), F.pmod(own, F.lit(1 << TAG_BITS)).alias("tag"), doc.alias("doc_id"), as_bytes().alias("text"))
 
 
-def phrase_rows(docs: DataFrame, sequence: Callable[[], Callable[[bytes], np.ndarray]], width: int, gram: int) -> DataFrame:
-    """(a, r, d, at): a row for each phrase of keyed docs. sequence() makes what turns a text into numbers, one per place."""
+def phrase_rows(docs: DataFrame, sequence: Callable[[], Callable[[bytes], np.ndarray]], width: int, gram: int, earlier_only: bool) -> DataFrame:
+    """(a, r, d, at): a row for each phrase of keyed docs, combined (see there). sequence() makes what turns a text into
+    numbers, one per place."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = sequence()
@@ -101,10 +103,10 @@ def phrase_rows(docs: DataFrame, sequence: Callable[[], Callable[[bytes], np.nda
                     out.append((a, r, np.full(len(a), doc), pack_at(first, count, int(tag))))
                     size += len(a)
                 if size > ROWS_AT_ONCE:
-                    yield rows_of(out)
+                    yield combined(out, earlier_only)
                     out, size = [], 0
         if out:
-            yield rows_of(out)
+            yield combined(out, earlier_only)
 
     return docs.select("d", "tag", "text").mapInArrow(cut, PHRASES)
 
@@ -113,6 +115,22 @@ def rows_of(parts: list[tuple[np.ndarray, ...]], names: tuple[str, ...] = ("a",
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=list(names))
 
 
+def combined(parts: list[tuple[np.ndarray, ...]], earlier_only: bool) -> pa.RecordBatch:
+    """Rows with those settled that need no others: of a phrase's rows here, the ones beyond the smallest d (or beyond two)
+    are repeats whatever comes. They carry ~at for at, and for a hash of their own for a, which spreads them over all
+    tasks; so a passage that very many documents share comes to its anchor's task as a row or two from each map task."""
+    a, r, d, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((d, a.view(np.uint64) ^ mix(r.view(np.uint64))))
+    a, r, d, at = (x[order] for x in (a, r, d, at))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
+    starts = np.flatnonzero(new)
+    which = np.cumsum(new) - 1
+    settled = d > d[starts][which] if earlier_only else np.arange(len(a)) - starts[which] >= 2
+    a = np.where(settled, mix((d ^ at).view(np.uint64)).view(np.int64), a)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, r, d, np.where(settled, ~at, at))], names=["a", "r", "d", "at"])
+
+
 def resolved(rows: DataFrame, earlier_only: bool) -> DataFrame:
     """(a, d, at, kind) of phrase rows that matter; kind is WHOLE, OPEN or PARTNER.
 
@@ -130,7 +148,13 @@ def resolved(rows: DataFrame, earlier_only: bool) -> DataFrame:
         classes = 0
         held: list[list[np.ndarray]] = []
         for batch in chain(batches, [None]):
-            rows = tail if batch is None else [np.concatenate([t, numbers(batch, name)]) for t, name in zip(tail, ("a", "r", "d", "at"), strict=True)]
+            rows = tail
+            if batch is not None:
+                rows = [numbers(batch, name) for name in ("a", "r", "d", "at")]
+                if (settled := rows[3] < 0).any():
+                    yield rows_of([(rows[0][settled], rows[2][settled], ~rows[3][settled], np.full(settled.sum(), WHOLE))], ("a", "d", "at", "kind"))
+                    rows = [x[~settled] for x in rows]
+                rows = [np.concatenate([t, x]) for t, x in zip(tail, rows, strict=True)]
             n = len(rows[0]) - (batch is not None)
             if n < 1:
                 tail = rows
@@ -192,8 +216,8 @@ def per_document(marks: DataFrame, name: str) -> DataFrame:
     return marks.groupBy("d").agg(F.collect_list("at").alias(name))
 
 
-def window_rows(docs: DataFrame, places: DataFrame, sequence: Callable[[], Callable[[bytes], np.ndarray]], width: int, gram: int) -> DataFrame:
-    """(a, r, d, at): a row for each single window of the phrases at places (d, at); r is the window's hash."""
+def window_rows(docs: DataFrame, places: DataFrame, sequence: Callable[[], Callable[[bytes], np.ndarray]], width: int, earlier_only: bool) -> DataFrame:
+    """(a, r, d, at): a row for each single window of the phrases at places (d, at), combined; r is the window's hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = sequence()
@@ -214,10 +238,10 @@ def window_rows(docs: DataFrame, places: DataFrame, sequence: Callable[[], Calla
                         out.append((hash_of(h, here + 1, here + width).view(np.int64), both, np.full(len(here), doc), pack_at(base + here, np.ones(len(here), np.int64), int(tag))))
                         size += len(here)
                 if size > ROWS_AT_ONCE:
-                    yield rows_of(out)
+                    yield combined(out, earlier_only)
                     out, size = [], 0
         if out:
-            yield rows_of(out)
+            yield combined(out, earlier_only)
 
     joined = docs.join(per_document(places, "places"), "d")
     return joined.select("d", "tag", "doc_id", "text", "places").mapInArrow(cut, PHRASES)

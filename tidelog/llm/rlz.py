@@ -36,9 +36,9 @@ def drop_repeats(docs: DataFrame, width: int = 13, gram: int = 5, keep_text: boo
     rows; other columns are ignored.
     """
     own = dealt(keyed(docs))
-    rows = phrase_rows(keyed(docs.where("doc_id is not null")), word_numbers, width, gram)
+    rows = phrase_rows(keyed(docs.where("doc_id is not null")), word_numbers, width, gram, earlier_only=True)
     parsed = resolved(rows, earlier_only=True)
-    ends = window_rows(own, parsed.where(kind_is(OPEN)).select("d", "at"), word_numbers, width, gram)
+    ends = window_rows(own, parsed.where(kind_is(OPEN)).select("d", "at"), word_numbers, width, earlier_only=True)
     found = resolved(ends, earlier_only=True).where(kind_is(WHOLE)).select("d", "at")
     factors = per_document(parsed.where(kind_is(WHOLE)).select("d", "at").unionAll(found), "places")
 

@@ -32,7 +32,7 @@ from tidelog.llm.phrases import (
 )
 
 #: Suffixes in one merge, about, and in one run of a map task (a run's bytes are bounded as well).
-MERGED, RUN_BYTES = 20_000, 8 << 20
+MERGED, RUN_BYTES = 5_000, 8 << 20
 #: Anchors that open phrases share more often than this are settled window by window instead.
 WIDE = 20_000
 #: Groups up to this size compare pairs by their common prefixes; larger ones compare hashes of windows.
@@ -280,14 +280,14 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 400, gram: int = 64, keep_
     the long strings of identical rows go from each. An empty table gives no rows; other columns are ignored.
     """
     own = dealt(keyed(docs))
-    known = checkpointed(resolved(phrase_rows(keyed(docs), byte_numbers, width, gram), earlier_only=False))
+    known = checkpointed(resolved(phrase_rows(keyed(docs), byte_numbers, width, gram, earlier_only=False), earlier_only=False))
     loose = known.where(kind_is(OPEN, PARTNER))
     wide = loose.groupBy("a").count().where(F.col("count") > WIDE).select("a")
     parts = max(1, loose.count() // MERGED)
     marks = known.where(kind_is(WHOLE)).select("d", "at")
     marks = marks.unionAll(merged_marks(suffix_runs(own, loose.join(wide, "a", "left_anti"), width, gram, parts), width, gram))
     if wide.limit(1).count():
-        windows = window_rows(own, loose.join(wide, "a", "left_semi").select("d", "at"), byte_numbers, width, gram)
+        windows = window_rows(own, loose.join(wide, "a", "left_semi").select("d", "at"), byte_numbers, width, earlier_only=False)
         marks = marks.unionAll(resolved(windows, earlier_only=False).where(kind_is(WHOLE)).select("d", "at"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
