@@ -117,12 +117,12 @@ def test_priors_ignore_their_own_targets(spark):
 
 
 def test_resolver_fuzzy(spark):
-    catalog = spark.createDataFrame([("ITCTA", "CATANIA", "CATANIA SICILY"), ("ITAUG", "AUGUSTA", "")], "code string, name string, aliases string")
-    raw = spark.createDataFrame([("catania",), ("x > itcta",), ("CATANIA SICILLY",), (None,), ("ZZ999",), ("nowhere at all",)], "text string")
+    catalog = spark.createDataFrame([("ITGOA", "GENOVA", "GENOVA LIGURIA"), ("ITSPE", "SPEZIA", "")], "code string, name string, aliases string")
+    raw = spark.createDataFrame([("genova",), ("x > itgoa",), ("GENOVA LIGURRIA",), (None,), ("ZZ999",), ("nowhere at all",)], "text string")
     got = {r.text: (r.code, r.method) for r in experts.resolve(raw, catalog).collect()}
-    assert got["catania"] == ("ITCTA", "alias")
-    assert got["x > itcta"] == ("ITCTA", "route_exact_code")
-    assert got["CATANIA SICILLY"] == ("ITCTA", "fuzzy")
+    assert got["genova"] == ("ITGOA", "alias")
+    assert got["x > itgoa"] == ("ITGOA", "route_exact_code")
+    assert got["GENOVA LIGURRIA"] == ("ITGOA", "fuzzy")
     assert got[None][1] == "unknown"
     assert got["ZZ999"] == ("ZZ999", "code_like_unverified")
     assert got["nowhere at all"] == (None, "unresolved_text")
