@@ -24,5 +24,5 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-for _name in ("scalars", "temporal", "joins", "aggregates", "experts", "evaluation", "streams", "dossier"):
+for _name in ("scalars", "temporal", "joins", "aggregates", "experts", "evaluation", "streams", "dossier", "retrieval"):
     importlib.import_module(f"tidelog.plans.{_name}")
