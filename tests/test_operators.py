@@ -101,6 +101,28 @@ def test_dtw():
     assert arrays.dtw(a, b) == pytest.approx((1 + 2**0.5 + 1) / 5)
 
 
+def test_dtw_in_batches(spark):
+    r = np.random.default_rng(2)
+    rows = [(k, r.normal(size=(r.integers(0, 5), 2)).tolist(), r.normal(size=(r.integers(1, 5), 2)).tolist()) for k in range(40)]
+    as_points = lambda v: [{"x": a, "y": b} for a, b in v]
+    df = spark.createDataFrame([(k, as_points(a), as_points(b)) for k, a, b in rows], "k int, a array<struct<x: double, y: double>>, b array<struct<x: double, y: double>>")
+    got = {x.k: x.d for x in df.select("k", arrays.dtw_distance(F.col("a"), F.col("b")).alias("d")).collect()}
+    for k, a, b in rows:
+        assert got[k] is None if not a else got[k] == pytest.approx(arrays.dtw(np.array(a), np.array(b)))
+
+
+def test_trajectories(spark):
+    r = random.Random(8)
+    rows = [(o, T0 + dt.timedelta(seconds=r.randrange(500)), r.random(), r.random()) for o in range(5) for _ in range(o * 3 + 1)]
+    got = {x.owner: x.points for x in experts.trajectories(spark.createDataFrame(rows, "owner bigint, at timestamp_ntz, lon double, lat double"), "owner", "at", ["lon", "lat"], 7).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for o, pts in got.items():
+        mine = sorted((a, x, y) for k, a, x, y in rows if k == o)
+        seconds = np.array([(a - T0).total_seconds() for a, _, _ in mine])
+        assert [p.x for p in pts] == pytest.approx(arrays.resampled(seconds, np.array([x for _, x, _ in mine]), 7).tolist())
+        assert [p.y for p in pts] == pytest.approx(arrays.resampled(seconds, np.array([y for _, _, y in mine]), 7).tolist())
+
+
 def test_nnls_and_conformal(spark):
     g = np.array([[2.0, 0.0], [0.0, 2.0]])
     assert evaluation.nnls(g, np.array([1.0, -1.0])).tolist() == [1.0, 0.0]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,11 +46,36 @@ def dtw(x: np.ndarray, y: np.ndarray, band: int = 2) -> float:
     return float(last[m]) / (n + m)
 
 
-@F.pandas_udf(T.DoubleType())
-def dtw_distance(x: pd.Series, y: pd.Series) -> pd.Series:
-    """DTW of arrays of points, an Arrow batch of pairs at a time."""
-    points = lambda v: np.array([[p["x"], p["y"]] for p in v], float).reshape(-1, 2)
-    return pd.Series([dtw(points(a), points(b)) for a, b in zip(x, y, strict=True)])
+def dtw_many(x: np.ndarray, y: np.ndarray, band: int = 2) -> np.ndarray:
+    """The same for many pairs of sequences of one length each: x is (pairs, n, 2), y (pairs, m, 2)."""
+    pairs, n, m = len(x), x.shape[1], y.shape[1]
+    reach = max(band, abs(n - m))
+    cost = np.sqrt(((x[:, :, None, :] - y[:, None, :, :]) ** 2).sum(axis=3))
+    last = np.full((m + 1, pairs), np.inf)
+    last[0] = 0.0
+    for i in range(1, n + 1):
+        row = np.full((m + 1, pairs), np.inf)
+        for j in range(max(1, i - reach), min(m, i + reach) + 1):
+            row[j] = cost[:, i - 1, j - 1] + np.minimum(np.minimum(last[j], row[j - 1]), last[j - 1])
+        last = row
+    return last[m] / (n + m)
+
+
+@F.arrow_udf(T.DoubleType())
+def dtw_distance(x: pa.Array, y: pa.Array) -> pa.Array:
+    """DTW of arrays of points struct<x, y>, all pairs of a batch that have the same lengths at once; NULL for an empty one."""
+    out = np.full(len(x), np.nan)
+    a, b = np.asarray(x.value_lengths().fill_null(0)), np.asarray(y.value_lengths().fill_null(0))
+    for n, m in {*zip(a.tolist(), b.tolist(), strict=True)}:
+        if n and m:
+            rows = np.flatnonzero((a == n) & (b == m))
+            out[rows] = dtw_many(points(x.take(pa.array(rows)), n), points(y.take(pa.array(rows)), m))
+    return pa.array(out, mask=np.isnan(out))
+
+
+def points(x: pa.Array, n: int) -> np.ndarray:
+    flat = x.flatten()
+    return np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], axis=1).reshape(-1, n, 2)
 
 
 def resampled(seconds: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:

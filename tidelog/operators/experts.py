@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,18 +127,25 @@ def residual_corrected(rows: DataFrame, base: str, target: str, eligible: str, k
 def trajectories(points: DataFrame, owner: str, at: str, xs: list[str], n: int) -> DataFrame:
     """(owner, points): n points evenly spaced in time over each owner's observed span, by linear interpolation.
 
-    Owners with fewer than two distinct times are left out. An owner's points are held together in one task.
+    Of equal times the least point counts; owners with fewer than two distinct times are left out. An owner's points are
+    one array, so its window of history must be bounded; a step looks for the neighbours in it on either side.
     """
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([at, *xs])
-        seconds = group[at].astype("int64").to_numpy() / 1e9
-        if len(np.unique(seconds)) < 2:
-            return pd.DataFrame({owner: [], "points": []})
-        x, y = (arrays.resampled(seconds, group[c].to_numpy(float), n) for c in xs)
-        return pd.DataFrame({owner: [group[owner].iloc[0]], "points": [[{"x": a, "y": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)]]})
-
-    return points.select(owner, at, *xs).dropna().groupBy(owner).applyInPandas(one, f"{owner} bigint, points array<struct<x: double, y: double>>")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    t = (F.timestamp_diff("MICROSECOND", epoch, F.col(at)) / F.lit(1e6)).alias("t")
+    x = points.select(owner, t, *(F.col(c).cast("double").alias(name) for c, name in zip(xs, ("x", "y"), strict=True))).dropna()
+    x = x.groupBy(owner, "t").agg(F.min(F.struct("x", "y")).alias("p")).select(owner, F.struct("t", F.col("p.x").alias("x"), F.col("p.y").alias("y")).alias("r"))
+    x = x.groupBy(owner).agg(F.array_sort(F.collect_list("r")).alias("rows")).where(F.size("rows") > 1)
+    rows, first, last = F.col("rows"), F.col("rows")[0]["t"], F.element_at("rows", -1)["t"]
+
+    def between(a: Column, b: Column, t: Column) -> Column:
+        part = F.when(b["t"] > a["t"], (t - a["t"]) / (b["t"] - a["t"])).otherwise(0.0)
+        return F.struct((a["x"] + part * (b["x"] - a["x"])).alias("x"), (a["y"] + part * (b["y"] - a["y"])).alias("y"))
+
+    def step(i: Column) -> Column:
+        t = F.when(i == n - 1, last).otherwise(first + (last - first) * i / (n - 1))
+        return between(F.element_at(F.filter(rows, lambda r: r["t"] <= t), -1), F.filter(rows, lambda r: r["t"] >= t)[0], t)
+
+    return x.select(owner, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), step).alias("points"))
 
 
 def analogues(queries: DataFrame, memory: DataFrame, gate: str, k: int, min_gate: int = 3) -> DataFrame:
