@@ -201,8 +201,7 @@ def resolved(rows: DataFrame, earlier_only: bool) -> DataFrame:
                 wait = rep & (group == group[-1])
                 if wait.any():
                     held.append([a[wait], d[wait], at[wait], kind[wait]])
-            if size := sum(len(x[0]) for x in out):
-                del size
+            if any(len(x[0]) for x in out):
                 yield rows_of(out, ("a", "d", "at", "kind"))
             last_a, last_r, first_d, classes = a[-1], r[-1], own_first[-1], int(nth[-1])
             tail = following
