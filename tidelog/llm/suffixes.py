@@ -282,11 +282,13 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 400, gram: int = 64, keep_
     own = dealt(keyed(docs))
     known = checkpointed(resolved(phrase_rows(keyed(docs), byte_numbers, width, gram, earlier_only=False), earlier_only=False))
     loose = known.where(kind_is(OPEN, PARTNER))
-    wide = loose.groupBy("a").count().where(F.col("count") > WIDE).select("a")
+    wide = checkpointed(loose.groupBy("a").count().where(F.col("count") > WIDE).select("a"))
+    some_wide = bool(wide.limit(1).count())
     parts = max(1, loose.count() // MERGED)
     marks = known.where(kind_is(WHOLE)).select("d", "at")
-    marks = marks.unionAll(merged_marks(suffix_runs(own, loose.join(wide, "a", "left_anti"), width, gram, parts), width, gram))
-    if wide.limit(1).count():
+    narrow = loose.join(wide, "a", "left_anti") if some_wide else loose
+    marks = marks.unionAll(merged_marks(suffix_runs(own, narrow, width, gram, parts), width, gram))
+    if some_wide:
         windows = window_rows(own, loose.join(wide, "a", "left_semi").select("d", "at"), byte_numbers, width, earlier_only=False)
         marks = marks.unionAll(resolved(windows, earlier_only=False).where(kind_is(WHOLE)).select("d", "at"))
 
