@@ -65,7 +65,8 @@ KINDS = (
     Kind("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", lambda x: mod97(F.regexp_replace(x, " ", "")), r"iban|account|bank", 0.6, False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda x: F.lit(True), r"\bssn\b|social security", 0.2, False),
 )
-#: What a context word adds to a score, the characters before a span that are searched, and the score of a span that counts.
+#: What a context word adds to a score, the characters before a span (back to the one before it) that are searched, and
+#: the score of a span that counts.
 CONTEXT_GAIN, CONTEXT_CHARS, LEAST_SCORE = 0.4, 48, 0.5
 #: Ends of matches are summed in blocks of so many, so that a text with very many matches doesn't cost their square.
 BLOCK = 512
@@ -90,23 +91,22 @@ def spans_of(text: Column, rank: int, kind: Kind) -> Column:
 
     def placed(x: Column) -> Column:
         steps = F.transform(x["hits"], lambda hit, i: (F.length(hit) + F.length(F.get(x["between"], i))).cast("long"))
-        return let(F.struct(x["hits"].alias("hits"), steps.alias("steps")), in_blocks)
+        return let(F.struct(x["hits"].alias("hits"), x["between"].alias("between"), steps.alias("steps")), in_blocks)
 
     def in_blocks(x: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x["hits"]) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(x["steps"], b * BLOCK + 1, F.lit(BLOCK))))
-        return let(F.struct(x["hits"].alias("hits"), x["steps"].alias("steps"), blocks.alias("blocks")), ends)
+        return let(F.struct(x["hits"].alias("hits"), x["between"].alias("between"), x["steps"].alias("steps"), blocks.alias("blocks")), ends)
 
     def ends(x: Column) -> Column:
         def end(i: Column) -> Column:
             b = F.floor(i / BLOCK).cast("int")
             return total(F.slice(x["blocks"], F.lit(1), b)) + total(F.slice(x["steps"], b * BLOCK + 1, i % BLOCK + 1))
 
-        return F.transform(x["hits"], lambda hit, i: F.struct(hit.alias("hit"), end(i).alias("end")))
+        return F.transform(x["hits"], lambda hit, i: F.struct(hit.alias("hit"), end(i).alias("end"), F.right(F.get(x["between"], i), F.lit(CONTEXT_CHARS)).alias("before")))
 
     def scored(x: Column) -> Column:
         start = x["end"] - F.length(x["hit"])
-        before = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)).cast("int"), F.least(start, F.lit(CONTEXT_CHARS)).cast("int")))
-        score = F.least(F.lit(kind.prior) + F.when(before.rlike(kind.context), CONTEXT_GAIN).otherwise(0.0), F.lit(1.0))
+        score = F.least(F.lit(kind.prior) + F.when(F.lower(x["before"]).rlike(kind.context), CONTEXT_GAIN).otherwise(0.0), F.lit(1.0))
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
 
     every = let(found, lambda x: F.when(F.size(x["hits"]) > 0, placed(x)))
