@@ -371,6 +371,15 @@ def test_secrets(spark):
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_in_short_base64(spark):
+    short = [b64encode(x).decode() for x in (b"token=abcdef", b"password=hunter2")]
+    assert [len(x) for x in short] == [16, 24]
+    texts = [*short, short[1].rstrip("="), "Verantwortlichkeit", b64encode(b"token=abcde").decode()]
+    got = {x.doc_id: x for x in secrets.scan_secrets(frame(spark, [(k, f"x {t} y") for k, t in enumerate(texts)])).collect()}
+    assert [got[k].spans for k in range(5)] == ["assign:2:18", "assign:2:26", "assign:2:24", "", ""]
+    assert got[0].redacted == got[1].redacted == "x [SECRET] y"
+
+
 def near_brute(texts):
     sets = []
     for d, t in texts:

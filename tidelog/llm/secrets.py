@@ -27,7 +27,8 @@ ASSIGN_MARKS = (b"passw", b"secret", b"token", b"api")
 
 # Encoded stretches that may hold another layer.
 UNICODE = re.compile(rb"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[\x21-\x5B\x5D-\x7E])++")
-BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{24,}+={0,2}")
+#: The shortest base secret, an assignment of 12 bytes, takes 16 characters of base64 without any padding.
+BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}+={0,2}")
 ESCAPE = re.compile(rb"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 PERCENT_RUN = re.compile(rb"[A-Za-z0-9_.~+/=:&?%-]++")
 #: An unwrapped layer has at most this many bytes, so that a small text can't unpack to an endless one.
