@@ -380,6 +380,17 @@ def test_secrets_in_short_base64(spark):
     assert got[0].redacted == got[1].redacted == "x [SECRET] y"
 
 
+def test_secrets_encoded_in_part(spark):
+    noise = " ".join(hashlib.sha256(b"%d" % k).hexdigest()[:20] for k in range(30))
+    wrap = lambda x, end="\n": end.join(re.findall(".{1,76}", b64encode(x).decode()))
+    zipped, prose = wrap(gzip.compress(f"{noise} password=hunter2hunter2".encode())), wrap(b"y" * 50 + b" password=hunter2hunter2 tail")
+    assert zipped.count("\n") > 2 and prose.count("\n") == 1
+    texts = ['é {"password": "\\u0068unter22"} tail', 'a token%20%3D%20"abcdef99" tail', f"see:\n{zipped}\n\nend of it", f"é: {zipped}".replace("\n", "\r\n  "), f"{prose}\nword", "k " + b64encode(b"note password: ").decode() + ' "hunter2x" z', "u=" + urllib.parse.quote(b64encode(b"note token=abcdef").decode(), safe="") + " z", "one%20two \\u0041 " + b64encode(b"nothing to hide here").decode()]
+    got = {x.doc_id: x for x in secrets.scan_secrets(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[k].redacted for k in range(8)] == ['é {"[SECRET]"} tail', 'a [SECRET]" tail', "see:\n[SECRET]\n\nend of it", "é: [SECRET]", "[SECRET]\nword", 'k [SECRET]" z', "[SECRET] z", texts[7]]
+    assert [got[k].spans for k in (0, 1, 6, 7)] == ["assign:4:29", "assign:2:25", f"assign:0:{len(texts[6]) - 2},assign:2:25", ""]
+
+
 def near_brute(texts):
     sets = []
     for d, t in texts:

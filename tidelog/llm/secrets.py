@@ -9,6 +9,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
@@ -29,8 +30,14 @@ ASSIGN_MARKS = (b"passw", b"secret", b"token", b"api")
 UNICODE = re.compile(rb"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[\x21-\x5B\x5D-\x7E])++")
 #: The shortest base secret, an assignment of 12 bytes, takes 16 characters of base64 without any padding.
 BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: The same wrapped: lines of nothing else follow, of which the last may be the first word of a line.
+WRAPPED = re.compile(rb"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(rb"[A-Za-z0-9+/_-]++")
 ESCAPE = re.compile(rb"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+ESCAPES = re.compile(rb"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})++")
 PERCENT_RUN = re.compile(rb"[A-Za-z0-9_.~+/=:&?%-]++")
+PERCENTS = re.compile(rb"(?:%[0-9A-Fa-f]{2})++")
+URL_SAFE = bytes.maketrans(b"-_", b"+/")
 #: An unwrapped layer has at most this many bytes, so that a small text can't unpack to an endless one.
 LARGEST_LAYER = 64 << 20
 
@@ -81,17 +88,64 @@ def unwrapped(layer: bytes) -> Iterator[tuple[int, int, bytes]]:
         for m in UNICODE.finditer(layer):
             if b"\\" in m[0]:
                 yield *m.span(), unescape(m[0])
-    for m in BASE64.finditer(layer):
-        data = m[0].rstrip(b"=").translate(bytes.maketrans(b"-_", b"+/"))
-        if HEX.fullmatch(data):
-            continue
-        try:
-            plain = base64.b64decode(data + b"=" * (-len(data) % 4))
-        except (binascii.Error, ValueError):
+    yield from unwrapped_base64(layer)
+
+
+def unwrapped_base64(layer: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content) of base64 stretches that hold text: single lines, and lines joined."""
+    spans = [m.span() for m in BASE64.finditer(layer)]
+    if b"\n" in layer:
+        for m in WRAPPED.finditer(layer):
+            spans += joined_lines([x.span() for x in LINE.finditer(layer, *m.span())], m.end())
+    # The longest stretch of a content counts: a compressed stream without its check sum already gives the same.
+    last: tuple[int, bytes] | None = None
+    for start, end in sorted(set(spans), key=lambda x: (x[0], -x[1])):
+        if (plain := decoded(layer[start:end])) is not None and (start, plain) != last:
+            last = start, plain
+            yield start, end, plain
+
+
+def joined_lines(lines: list[tuple[int, int]], end: int) -> list[tuple[int, int]]:
+    """Stretches of several lines that may be one payload: all lines, and those of one width with a shorter last one.
+
+    The line before them may end in the payload's first, shorter part, and the last one may be a word that follows it.
+    """
+    out = {(lines[0][0], end), (lines[0][0], lines[-2][1])}
+    first = 0
+    for k in range(1, len(lines) + 1):
+        width, this = lines[first][1] - lines[first][0], lines[k][1] - lines[k][0] if k < len(lines) else -1
+        if this == width:
             continue
-        plain = inflate(plain) or plain
-        if is_text(plain):
-            yield *m.span(), plain
+        # Lines first..k-1 have one width; a shorter one may close them, a shorter one may come before them.
+        for a in {first, max(first - 1, 0)}:
+            for z in (k, k + 1) if 0 <= this < width else (k,):
+                if z - a > 1:
+                    out.add((lines[a][0], end if z == len(lines) else lines[z - 1][1]))
+        first = k
+    return sorted(x for x in out if x[1] > lines[0][1])
+
+
+def decoded(stretch: bytes) -> bytes | None:
+    """The text in a stretch of base64, whose lines may be wrapped; None if it holds none."""
+    data = b"".join(stretch.split()).rstrip(b"=").translate(URL_SAFE)
+    if HEX.fullmatch(data):
+        return None
+    try:
+        plain = base64.b64decode(data + b"=" * (-len(data) % 4))
+    except (binascii.Error, ValueError):
+        return None
+    plain = inflate(plain) or plain
+    return plain if is_text(plain) else None
+
+
+def escapes(layer: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content) of the escapes alone, without the characters around them."""
+    if b"%" in layer:
+        for m in PERCENTS.finditer(layer):
+            yield *m.span(), unquote_to_bytes(m[0])
+    if b"\\u" in layer or b"\\x" in layer:
+        for m in ESCAPES.finditer(layer):
+            yield *m.span(), unescape(m[0])
 
 
 def unescape(data: bytes) -> bytes:
@@ -100,26 +154,95 @@ def unescape(data: bytes) -> bytes:
     return text.decode("utf-8", "surrogatepass").encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode("utf-8")
 
 
+class Layer:
+    """Bytes of a layer and where each part of them stands in the text.
+
+    Part k begins at starts[k] of the layer and comes from places[k], (start, end, whether it was decoded), of the text.
+    """
+
+    def __init__(self, data: bytes, starts: list[int], places: list[tuple[int, int, bool]]):
+        self.data, self.starts, self.places = data, starts, places
+
+    def place(self, start: int, end: int) -> tuple[int, int]:
+        """The stretch of the text that holds a stretch of the layer; a decoded part counts whole."""
+        a, z = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
+        low, high = self.places[a], self.places[z]
+        return low[0] if low[2] else low[0] + start - self.starts[a], high[1] if high[2] else high[0] + end - self.starts[z]
+
+    def replaced(self, stretches: Iterator[tuple[int, int, bytes]]) -> Layer | None:
+        """The layer with its stretches decoded in place, of those that overlap the first and longest; None if it has none."""
+        out, starts, places, at, size = [], [], [], 0, 0
+        for start, end, plain in [*sorted(stretches, key=lambda x: (x[0], -x[1])), (len(self.data), len(self.data) + 1, b"")]:
+            if start < at:
+                continue
+            k = bisect_right(self.starts, at) - 1
+            while at < start:
+                stop = min(start, self.starts[k + 1] if k + 1 < len(self.starts) else start)
+                low, high, whole = self.places[k]
+                starts.append(size)
+                places.append((low, high, True) if whole else (low + at - self.starts[k], low + stop - self.starts[k], False))
+                out.append(self.data[at:stop])
+                size, at, k = size + stop - at, stop, k + 1
+            if plain:
+                starts.append(size)
+                places.append((*self.place(start, end), True))
+                out.append(plain)
+                size += len(plain)
+            at = end
+        return Layer(b"".join(out), starts, places) if any(x[2] for x in places) else None
+
+
 def all_spans(text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans of a text, and those of layers inside it, mapped to the stretch of the text that holds them.
 
+    Each decoded stretch is a layer, placed where its outermost stretch stands. So is a whole layer with all its escapes,
+    or all its base64, decoded in place: that finds secrets of which only parts are encoded. Their spans reach from the
+    first to the last encoded or plain part, and count unless spans of the kind cover them already.
+
     The worklist ends as each content is unwrapped once (a set of digests finds cycles) and layers shrink or are new.
     """
     base = base_spans(text)
     deep: set[tuple[int, int, str]] = set()
-    work = [(text, None)]
+    across: set[tuple[int, int, str]] = set()
+    root = Layer(text, [0], [(0, len(text), False)])
+    work = [(root, deep)]
     seen = {hashlib.blake2b(text, digest_size=16).digest()}
-    while work:
-        layer, place = work.pop()
-        for start, end, plain in unwrapped(layer):
-            where = place or (start, end)
-            key = hashlib.blake2b(plain + b"@%d:%d" % where, digest_size=16).digest()
-            if key in seen:
-                continue
+
+    def add(layer: Layer, place: bytes, found: set[tuple[int, int, str]]) -> None:
+        key = hashlib.blake2b(layer.data + place, digest_size=16).digest()
+        if key not in seen:
             seen.add(key)
-            deep.update((*where, kind) for _, _, kind in base_spans(plain))
-            work.append((plain, where))
-    return base, sorted(deep.difference(base), key=order)
+            found.update((*layer.place(a, b), kind) for a, b, kind in base_spans(layer.data))
+            work.append((layer, found))
+
+    while work:
+        layer, found = work.pop()
+        stretches = list(unwrapped(layer.data))
+        for start, end, plain in stretches:
+            if plain:
+                where = layer.place(start, end)
+                add(Layer(plain, [0], [(*where, True)]), b"@%d:%d" % where, found)
+        if stretches:
+            lone = len(layer.places) == 1 and layer.places[0][2]
+            for parts in (escapes, unwrapped_base64):
+                if (whole := layer.replaced(parts(layer.data))) is not None:
+                    add(whole, b"@%d:%d" % layer.places[0][:2] if lone else b"", across if layer is root else found)
+    return base, sorted((deep | uncovered(across, [*base, *deep])).difference(base), key=order)
+
+
+def uncovered(spans: set[tuple[int, int, str]], others: list[tuple[int, int, str]]) -> set[tuple[int, int, str]]:
+    """The longest of spans that no others of their kind cover."""
+    out = set()
+    for kind in KINDS:
+        known = merged([x for x in others if x[2] == kind])
+        low = [x[0] for x in known]
+        reach = -1
+        for a, b, _ in sorted((x for x in spans if x[2] == kind), key=lambda x: (x[0], -x[1])):
+            k = bisect_right(low, a) - 1
+            if b > reach and (k < 0 or known[k][1] < b):
+                out.add((a, b, kind))
+                reach = b
+    return out
 
 
 def order(span: tuple[int, int, str]) -> tuple[int, int, int]:
@@ -146,8 +269,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """Secrets of each whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans, redacted.
 
     The counts and the digest are of the base spans; spans also has those found in decoded layers (percent escapes, \\u
-    and \\x escapes, base64, and gzip, zlib, bzip2 or xz inside it), placed at the outermost encoded stretch. redacted is
-    the text with every span replaced by [SECRET].
+    and \\x escapes, base64, which may be wrapped in lines, and gzip, zlib, bzip2 or xz inside it), placed at the outermost
+    encoded stretch; of a secret that is encoded in part, the span covers its plain parts too. Base64 counts from 16
+    characters in a line. redacted is the text with every span replaced by [SECRET].
 
     A null text counts as empty (redacted stays null); a null doc_id stays null; repeated rows are scanned each for
     itself; other columns are ignored. Nothing is shuffled; a layer is read up to 64 MiB.
