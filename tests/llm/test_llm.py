@@ -1,8 +1,10 @@
 """Corpus operators against brute force, with nulls, repeats, empty tables, long texts and clashing columns."""
 
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -391,6 +393,20 @@ def test_secrets_encoded_in_part(spark):
     assert [got[k].spans for k in (0, 1, 6, 7)] == ["assign:4:29", "assign:2:25", f"assign:0:{len(texts[6]) - 2},assign:2:25", ""]
 
 
+def test_secrets_in_long_and_nested_streams(monkeypatch):
+    pack = lambda x: b64encode(x).strip()
+    inner, plain = b"note password=hunter2hunter2", " ".join(f"é{k}" for k in range(2000)).encode()
+    texts = [pack(gzip.compress(gzip.compress(inner))), pack(lzma.compress(bz2.compress(zlib.compress(inner))))]
+    texts += [pack(f(plain) + f(inner)) for f in (gzip.compress, bz2.compress, lzma.compress)]
+    texts += [pack(f(plain + inner + plain)) for f in (gzip.compress, zlib.compress, bz2.compress, lzma.compress)]
+    texts += [pack(gzip.compress(plain + b" " + pack(gzip.compress(inner)) + b" " + plain))]
+    for sizes in ((1 << 20, 64 << 20, 1 << 20), *((64, size, 200) for size in (999, 1000, 1013, 1500))):
+        for name, size in zip(("PIECE", "LAYER", "OVERLAP"), sizes, strict=True):
+            monkeypatch.setattr(secrets, name, size)
+        assert [secrets.all_spans(b"x " + t + b" y")[1] for t in texts] == [[(2, 2 + len(t), "assign")] for t in texts]
+        assert secrets.all_spans(pack(gzip.compress(plain + b" token=abcdef " + plain + b"\xff"))) == ([], [])
+
+
 def near_brute(texts):
     sets = []
     for d, t in texts:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -38,8 +40,10 @@ ESCAPES = re.compile(rb"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})++")
 PERCENT_RUN = re.compile(rb"[A-Za-z0-9_.~+/=:&?%-]++")
 PERCENTS = re.compile(rb"(?:%[0-9A-Fa-f]{2})++")
 URL_SAFE = bytes.maketrans(b"-_", b"+/")
-#: An unwrapped layer has at most this many bytes, so that a small text can't unpack to an endless one.
-LARGEST_LAYER = 64 << 20
+#: A compressed layer is unpacked in pieces of so many bytes, and one of more than LAYER bytes is scanned in parts that
+#: share OVERLAP bytes with the next, so that a small text that unpacks to a very large one doesn't fill the memory.
+PIECE, LAYER, OVERLAP = 1 << 20, 64 << 20, 1 << 20
+CONTROLS = bytes(x for x in range(32) if x not in (9, 10, 13))
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, str]]:
@@ -53,29 +57,93 @@ def base_spans(text: bytes) -> list[tuple[int, int, str]]:
     return out + [(*m.span(), "hex") for m in HEX.finditer(text)]
 
 
-def inflate(data: bytes) -> bytes | None:
-    """The content of a gzip, zlib, bzip2 or xz stream; None for anything else."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, LARGEST_LAYER) or None
-        if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, LARGEST_LAYER) or None
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, LARGEST_LAYER) or None
-        if data[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor().decompress(data, LARGEST_LAYER) or None
-    except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
-        pass
-    return None
-
-
-def is_text(data: bytes) -> bool:
+def opener(head: bytes):
+    """A new decompressor for a gzip, zlib, bzip2 or xz stream that begins so; None for anything else."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head[:6] == b"\xfd7zXZ\0" else None
+
+
+def inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of all streams that stand one after another, in pieces; it ends where they break off."""
+    left, pieces = b"", (x[at : at + PIECE] for x in pieces for at in range(0, len(x), PIECE))
+    while True:
+        # Zero bytes may pad the end of a stream.
+        while len(left := left.lstrip(b"\0")) < 6 and (more := next(pieces, None)) is not None:
+            left += more
+        if not left or (stream := opener(left)) is None:
+            return
+        try:
+            while not stream.eof:
+                out = stream.decompress(left, PIECE)
+                if out:
+                    yield out
+                if stream.eof:
+                    break
+                left = getattr(stream, "unconsumed_tail", b"")
+                if not left and not out and (left := next(pieces, b"")) == b"":
+                    return
+        except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
+            return
+        left = stream.unused_data
+
+
+def inflate(data: bytes) -> Iterator[bytes] | None:
+    """The innermost content of nested gzip, zlib, bzip2 and xz streams in pieces of LAYER bytes; None if data is none."""
+    content, heads = iter([data]), set()
+    head, content = taken(content, LAYER)
+    while opener(head) is not None:
+        key = hashlib.blake2b(head, digest_size=16).digest()
+        # A stream that holds itself has no innermost content.
+        if key in heads:
+            return None
+        heads.add(key)
+        head, content = taken(inflated(chain([head], content) if len(head) >= LAYER else iter([head])), LAYER)
+    return chain([head], content) if heads and head else None
+
+
+def taken(pieces: Iterator[bytes], size: int) -> tuple[bytes, Iterator[bytes]]:
+    """The first pieces up to about size bytes, and the rest."""
+    out, n = [], 0
+    for piece in pieces:
+        out.append(piece)
+        n += len(piece)
+        if n >= size:
+            break
+    return b"".join(out), pieces
+
+
+def parts(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Content in parts of about LAYER bytes, each with the end of the one before it."""
+    end, pieces = b"", iter(pieces)
+    while True:
+        part, pieces = taken(pieces, LAYER)
+        if not part:
+            return
+        part = end + part
+        yield part
+        end = part[-OVERLAP:]
+        # The next part begins after a line or word, where there is one, so that it doesn't begin inside an encoded stretch.
+        if m := re.search(rb"\s", end):
+            end = end[m.end() :]
+
+
+def is_text(pieces: Iterator[bytes]) -> bool:
     """UTF-8 of which few characters are control characters."""
+    decoder, size, controls = codecs.getincrementaldecoder("utf-8")(), 0, 0
     try:
-        data.decode("utf-8")
+        for piece in pieces:
+            decoder.decode(piece)
+            size += len(piece)
+            controls += len(piece) - len(piece.translate(None, CONTROLS))
+        decoder.decode(b"", True)
     except UnicodeDecodeError:
         return False
-    return sum(x < 32 and x not in (9, 10, 13) for x in data) * 20 <= len(data)
+    return controls * 20 <= size
 
 
 def unwrapped(layer: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -88,11 +156,14 @@ def unwrapped(layer: bytes) -> Iterator[tuple[int, int, bytes]]:
         for m in UNICODE.finditer(layer):
             if b"\\" in m[0]:
                 yield *m.span(), unescape(m[0])
-    yield from unwrapped_base64(layer)
+    yield from unwrapped_base64(layer, large=True)
+
 
+def unwrapped_base64(layer: bytes, large: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content) of base64 stretches that hold text: single lines, and lines joined.
 
-def unwrapped_base64(layer: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, content) of base64 stretches that hold text: single lines, and lines joined."""
+    Content of more than LAYER bytes comes in parts if large, else not at all.
+    """
     spans = [m.span() for m in BASE64.finditer(layer)]
     if b"\n" in layer:
         for m in WRAPPED.finditer(layer):
@@ -100,9 +171,10 @@ def unwrapped_base64(layer: bytes) -> Iterator[tuple[int, int, bytes]]:
     # The longest stretch of a content counts: a compressed stream without its check sum already gives the same.
     last: tuple[int, bytes] | None = None
     for start, end in sorted(set(spans), key=lambda x: (x[0], -x[1])):
-        if (plain := decoded(layer[start:end])) is not None and (start, plain) != last:
-            last = start, plain
-            yield start, end, plain
+        for plain in decoded(layer[start:end], large):
+            if (start, plain) != last:
+                last = start, plain
+                yield start, end, plain
 
 
 def joined_lines(lines: list[tuple[int, int]], end: int) -> list[tuple[int, int]]:
@@ -125,17 +197,26 @@ def joined_lines(lines: list[tuple[int, int]], end: int) -> list[tuple[int, int]
     return sorted(x for x in out if x[1] > lines[0][1])
 
 
-def decoded(stretch: bytes) -> bytes | None:
-    """The text in a stretch of base64, whose lines may be wrapped; None if it holds none."""
+def decoded(stretch: bytes, large: bool) -> Iterator[bytes]:
+    """The text in a stretch of base64, whose lines may be wrapped: whole, or in parts if it unpacks to LAYER bytes or more."""
     data = b"".join(stretch.split()).rstrip(b"=").translate(URL_SAFE)
     if HEX.fullmatch(data):
-        return None
+        return
     try:
         plain = base64.b64decode(data + b"=" * (-len(data) % 4))
     except (binascii.Error, ValueError):
-        return None
-    plain = inflate(plain) or plain
-    return plain if is_text(plain) else None
+        return
+    if opener(plain) is None:
+        if is_text([plain]):
+            yield plain
+        return
+    head, rest = taken(inflate(plain) or iter([plain]), LAYER)
+    if len(head) < LAYER:
+        if is_text([head]):
+            yield head
+    elif large and is_text(chain([head], rest)):
+        # What was read to its end is unpacked again, to be scanned in parts.
+        yield from parts(inflate(plain))
 
 
 def escapes(layer: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -205,28 +286,32 @@ def all_spans(text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     deep: set[tuple[int, int, str]] = set()
     across: set[tuple[int, int, str]] = set()
     root = Layer(text, [0], [(0, len(text), False)])
-    work = [(root, deep)]
     seen = {hashlib.blake2b(text, digest_size=16).digest()}
 
-    def add(layer: Layer, place: bytes, found: set[tuple[int, int, str]]) -> None:
+    def inner(layer: Layer, found: set[tuple[int, int, str]]) -> Iterator[tuple[Layer, bytes, set[tuple[int, int, str]]]]:
+        """New layers of a layer, what tells equal ones of other places apart, and where their spans go."""
+        some = False
+        for start, end, plain in unwrapped(layer.data):
+            some = True
+            where = layer.place(start, end)
+            if plain:
+                yield Layer(plain, [0], [(*where, True)]), b"@%d:%d" % where, found
+        lone = len(layer.places) == 1 and layer.places[0][2]
+        for decode in (escapes, unwrapped_base64) if some else ():
+            if (whole := layer.replaced(decode(layer.data))) is not None:
+                yield whole, b"@%d:%d" % layer.places[0][:2] if lone else b"", across if layer is root else found
+
+    work = [inner(root, deep)]
+    while work:
+        if (new := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, place, found = new
         key = hashlib.blake2b(layer.data + place, digest_size=16).digest()
         if key not in seen:
             seen.add(key)
             found.update((*layer.place(a, b), kind) for a, b, kind in base_spans(layer.data))
-            work.append((layer, found))
-
-    while work:
-        layer, found = work.pop()
-        stretches = list(unwrapped(layer.data))
-        for start, end, plain in stretches:
-            if plain:
-                where = layer.place(start, end)
-                add(Layer(plain, [0], [(*where, True)]), b"@%d:%d" % where, found)
-        if stretches:
-            lone = len(layer.places) == 1 and layer.places[0][2]
-            for parts in (escapes, unwrapped_base64):
-                if (whole := layer.replaced(parts(layer.data))) is not None:
-                    add(whole, b"@%d:%d" % layer.places[0][:2] if lone else b"", across if layer is root else found)
+            work.append(inner(layer, found))
     return base, sorted((deep | uncovered(across, [*base, *deep])).difference(base), key=order)
 
 
@@ -274,7 +359,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     characters in a line. redacted is the text with every span replaced by [SECRET].
 
     A null text counts as empty (redacted stays null); a null doc_id stays null; repeated rows are scanned each for
-    itself; other columns are ignored. Nothing is shuffled; a layer is read up to 64 MiB.
+    itself; other columns are ignored. Nothing is shuffled. Compressed layers are read to their end, through all members and
+    nested streams; one of more than 64 MiB in parts that overlap by 1 MiB at most.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
