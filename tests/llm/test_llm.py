@@ -121,6 +121,38 @@ def test_language(spark):
     assert langid.identify(df.limit(0), df).count() == 0
 
 
+def test_documents_unlike_all_languages_go(spark, sf):
+    import corpus_pipeline
+
+    r = random.Random(16)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    unlike = ["Съешь ещё этих мягких французских булок да выпей же чаю", "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί", "今天天气很好我们一起去公园散步吧然后去吃饭看电影"]
+    unlike += ["".join(r.choice(letters + " " * spaces) for _ in range(n)) for n in (100, 400, 3000) for spaces in (0, 4)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(corpus_pipeline.COLUMNS)
+    odd = spark.createDataFrame([(10**9 + k, t, None, "s", len(t)) for k, t in enumerate(unlike)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    both = docs.unionByName(odd).repartition(3)
+    lettered = {x.doc_id for x in docs.collect() if any(map(str.isalpha, x.text or ""))}
+    assert {x.doc_id for x in corpus_pipeline.language(spark, both, sf).collect()} == lettered
+    clash = langid.identify(both.withColumn("like", F.lit("x")), docs.where("doc_id % 2 = 0"), keep=["doc_id", "like"], like=True)
+    assert clash.columns == ["doc_id", "lang_pred", "score", "like"]
+    held = {x.doc_id: x for x in clash.collect()}
+    assert not any(held[10**9 + k].like for k in range(len(unlike))) and held[10**9 + 2].score == 0.5
+    assert all(held[d].like for d in lettered)
+
+
+def test_known_share_in_stretches(monkeypatch):
+    text = "the cat sat on the mat, ÄÖ and 1234 " * 3
+    codes, counts = langid.counted(text)
+    brute = collections.Counter(text.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(text) + 1 - n) if text[i : i + n].isalpha())
+    assert sorted(counts) == sorted(brute.values())
+    model = langid.Model(["en"], codes[counts > 3], np.zeros((0, 0)), np.zeros((0, 0)))
+    model.prepare()
+    share = counts[counts > 3].sum() / counts.sum()
+    for size in (langid.STRETCH, 7, 50):
+        monkeypatch.setattr(langid, "STRETCH", size)
+        assert [x.tolist() for x in langid.counted(text)] == [codes.tolist(), counts.tolist()] and model.known(text) == pytest.approx(share)
+
+
 def test_grams_in_stretches(monkeypatch):
     text = "the quick brown fox jumps over the lazy dog ñandú"
     whole = langid.grams(text)

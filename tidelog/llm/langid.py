@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,9 @@ UNKNOWN = "und"
 STRETCH = 1 << 20
 #: Texts whose kernel rows are computed in one matrix product.
 BATCH = 64
+#: A text is like those learned if the share of its letters' n-grams that the model knows is at least LIKE times that which
+#: all but LEAST_LIKE of held-out labelled rows reach.
+LIKE, LEAST_LIKE = 0.8, 0.01
 #: Characters that a model tells apart; rarer ones count as one.
 ALPHABET = 200
 
@@ -35,14 +39,44 @@ def grams(text: str) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+@functools.cache
+def letter_table() -> np.ndarray:
+    """Whether a character, as its code point and one, is a letter."""
+    return np.array([False, *(chr(x).isalpha() for x in range(0x110000))])
+
+
+def lettered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where 1, 2 and 3 letters follow one another, of the STRETCH places that a stretch counts."""
+    one = letter_table()[x]
+    two = one[:-1] & one[1:]
+    return one[:STRETCH], two[:STRETCH], two[:-1] & one[2:]
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of letters alone in a text and how often each occurs."""
+    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, max(len(text), 1), STRETCH):
+        x = characters(text[at : at + STRETCH + 2]) + 1
+        parts = x[:STRETCH], (x[:-1] << 21 | x[1:])[:STRETCH], x[:-2] << 42 | x[1:-1] << 21 | x[2:]
+        found, n = np.unique(np.concatenate([part[where] for part, where in zip(parts, lettered(x), strict=True)]), return_counts=True)
+        codes.append(found)
+        counts.append(n)
+    found, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+
 @dataclass
 class Model:
-    """Landmarks' n-grams, the presence of each in each landmark over the root of the landmark's size, and dual weights."""
+    """Landmarks' n-grams, the presence of each in each landmark over the root of the landmark's size, and dual weights.
+
+    A text of whose n-grams a smaller share than least is known is unlike all that was learned.
+    """
 
     langs: list[str]
     vocabulary: np.ndarray
     landmarks: np.ndarray
     weights: np.ndarray
+    least: float = 0.0
 
     def prepare(self) -> None:
         singles = self.vocabulary[self.vocabulary < 1 << 21]
@@ -73,6 +107,18 @@ class Model:
                 row[self.tables[2][two[:-1] * k + x[2:]]] = 1
         return out[:, :-1]
 
+    def known(self, text: str) -> float:
+        """The share of the n-grams of letters alone in a text, each as often as it occurs, that the vocabulary has."""
+        k, some, total = self.size, 0, 0
+        for at in range(0, max(len(text), 1), STRETCH):
+            points = characters(text[at : at + STRETCH + 2]) + 1
+            x = self.lookup[points].astype(np.int64)
+            two = x[:-1] * k + x[1:]
+            for table, codes, where in zip(self.tables, (x[:STRETCH], two[:STRETCH], two[:-1] * k + x[2:]), lettered(points), strict=True):
+                some += int((table[codes[where]] < len(self.vocabulary)).sum())
+                total += int(where.sum())
+        return some / max(total, 1)
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """Kernel rows against all landmarks, then the classes' scores, as two matrix products."""
         x = self.presence(texts)
@@ -97,9 +143,11 @@ def fit(docs: DataFrame, n_train: int = 1200, n_landmarks: int = 128, ridge: flo
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             for draw, lang, text in zip(column(batch, "draw"), column(batch, "lang"), column(batch, "text"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([draw], pa.int64()), pa.array([lang], pa.string()), pa.array([grams(text.decode("utf-8", "replace")).tobytes()], pa.binary())], names=["draw", "lang", "grams"])
+                whole = text.decode("utf-8", "replace")
+                found = (pa.array([x.tobytes()], pa.binary()) for x in (grams(whole), *counted(whole)))
+                yield pa.RecordBatch.from_arrays([pa.array([draw], pa.int64()), pa.array([lang], pa.string()), *found], names=["draw", "lang", "grams", "words", "counts"])
 
-    rows = labelled.where(draw < share).select(draw.alias("draw"), "lang", as_bytes().alias("text")).mapInArrow(reduce, "draw long, lang string, grams binary").collect()
+    rows = labelled.where(draw < share).select(draw.alias("draw"), "lang", as_bytes().alias("text")).mapInArrow(reduce, "draw long, lang string, grams binary, words binary, counts binary").collect()
     rows.sort(key=lambda x: (x["draw"], x["lang"]))
     order: dict[str, int] = {}
     place = []
@@ -112,11 +160,20 @@ def fit(docs: DataFrame, n_train: int = 1200, n_landmarks: int = 128, ridge: flo
     single = vocabulary < 1 << 21
     letters = vocabulary[single][np.argsort(-found[single], kind="stable")][:ALPHABET]
     lone = np.isin(vocabulary & 0x1FFFFF, letters) & (single | np.isin(vocabulary >> 21 & 0x1FFFFF, letters)) & ((vocabulary < 1 << 42) | np.isin(vocabulary >> 42, letters))
-    vocabulary = vocabulary[lone]
+    vocabulary, found = vocabulary[lone], found[lone]
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for row, code in zip(x, codes, strict=True):
-        at = np.minimum(np.searchsorted(vocabulary, code), len(vocabulary) - 1)
+    shares = np.zeros(len(rows))
+    held = np.isin(np.arange(len(rows)), chosen, invert=True)
+    place_of = lambda code: np.minimum(np.searchsorted(vocabulary, code), len(vocabulary) - 1)
+    for k, (row, code) in enumerate(zip(x, codes, strict=True)):
+        at = place_of(code)
         row[at[vocabulary[at] == code]] = 1
+        # What a landmark alone brought into the vocabulary doesn't count for it: it is held out from the others.
+        code, n = np.frombuffer(rows[k]["words"], np.int64), np.frombuffer(rows[k]["counts"], np.int64)
+        at = place_of(code)
+        shares[k] = n[(vocabulary[at] == code) & (held[k] | (found[at] > 1))].sum() / max(n.sum(), 1)
+    some = np.array([len(x["counts"]) > 0 for x in rows])
+    least = LIKE * float(np.quantile(shares[some], LEAST_LIKE, method="lower")) if some.any() else 0.0
     x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
     landmarks = np.ascontiguousarray(x[chosen].T)
     kernel = (x @ landmarks).astype(np.float64)
@@ -128,20 +185,25 @@ def fit(docs: DataFrame, n_train: int = 1200, n_landmarks: int = 128, ridge: flo
     # Each language weighs the same, however many rows it has.
     weight = np.array([1 / order[x["lang"]] for x in rows])[:, None]
     solved = np.linalg.solve(features.T @ (weight * features) + ridge * np.eye(features.shape[1]), features.T @ (weight * targets))
-    return Model(langs, vocabulary, landmarks, (root @ solved).astype(np.float32))
+    return Model(langs, vocabulary, landmarks, (root @ solved).astype(np.float32), least)
 
 
-def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, n_train: int = 1200, n_landmarks: int = 128, ridge: float = 1e-3) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, n_train: int = 1200, n_landmarks: int = 128, ridge: float = 1e-3, like: bool = False) -> DataFrame:
     """The columns of docs (those in keep, if given) with lang_pred and score (0 to 1), predicted from the whole text alone.
 
     The class with the largest regression value wins, the first by name on ties; the score carries that value from
     -1..1 to 0..1. A text that is null or has no letter gets `und` and 0, as all do if no labelled row could be learned
     from. Rows without a label, text or id aren't learned from. Repeated rows are predicted each for itself; other
     columns pass through, but for those named lang_pred or score, which are replaced. Nothing of docs is shuffled.
+
+    The score tells languages apart, not texts from what is none: one without any known n-gram has 0.5. If like, a column
+    of that name (replaced, too) says whether enough of the n-grams of its letters are known: a share of at least LIKE times
+    that which all but LEAST_LIKE of the labelled rows reach when held out. A few words can reach it by chance.
     """
     model = fit(train, n_train, n_landmarks, ridge)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [x for x in keep or docs.columns if x not in ("lang_pred", "score")]
+    added = ["lang_pred", "score", *(["like"] if like else [])]
+    names = [x for x in keep or docs.columns if x not in added]
 
     def predict(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -150,7 +212,7 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, n
         for batch in small(texts):
             row = batch.column(0)
             whole = (row.field(names.index("text")).cast(pa.binary()) if "text" in names else batch.column(1)).to_pylist()
-            preds, scores = [UNKNOWN] * len(whole), np.zeros(len(whole))
+            preds, scores, alike = [UNKNOWN] * len(whole), np.zeros(len(whole)), [False] * len(whole)
             for at in range(0, len(whole), BATCH) if model.langs else ():
                 part = [(x or b"").decode("utf-8", "replace") for x in whole[at : at + BATCH]]
                 some = [k for k, x in enumerate(part) if any(map(str.isalpha, x))]
@@ -160,8 +222,9 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, n
                 best = values.argmax(axis=1)
                 for k, b, value in zip(some, best, values.max(axis=1), strict=True):
                     preds[at + k], scores[at + k] = model.langs[b], min(1.0, max(0.0, (float(value) + 1) / 2))
-            yield pa.RecordBatch.from_arrays([row, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["_row", "lang_pred", "score"])
+                    alike[at + k] = like and model.known(part[k]) >= model.least
+            yield pa.RecordBatch.from_arrays([row, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(alike, pa.bool_())][: 1 + len(added)], names=["_row", *added])
 
     carried = docs.select(F.struct(*(F.col(f"`{x}`") for x in names)).alias("_row"), *([] if "text" in names else [as_bytes().alias("text")]))
-    types = T.StructType([carried.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return carried.mapInArrow(predict, types).select("_row.*", "lang_pred", "score")
+    types = T.StructType([carried.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("like", T.BooleanType())] if like else [])])
+    return carried.mapInArrow(predict, types).select("_row.*", *added)
