@@ -159,6 +159,28 @@ def test_shortest_path_is_causal(spark):
     assert got[3][1] == "NO_PATH" and got[4][1] == "NO_EDGES"
 
 
+def test_snapped_paths(spark):
+    hours = lambda n: T0 + dt.timedelta(hours=n)
+    edges = spark.createDataFrame([("0:0", "0:1", hours(1), 10.0, 10.0), ("0:1", "0:2", hours(2), 10.0, 5.0), ("0:2", "0:3", hours(2), 10.0, 1.0), ("0:0", "0:3", hours(30), 10.0, 20.0)], "from_cell string, to_cell string, seen_at timestamp_ntz, nm double, kn double")
+    at = lambda cell, north=0.0: (0.1 + north / 60, 0.2 * cell + 0.1)
+    asked = [(1, hours(5), *at(0, 3), *at(3, 12), 6.0), (2, hours(5), *at(0), *at(3), None), (3, hours(40), *at(0), *at(3), None), (4, hours(1), *at(0), *at(1), None), (5, hours(2), *at(0), *at(1), None), (6, hours(5), *at(0, 60), *at(1), None), (7, hours(5), *at(0), *at(1, 60), None), (8, hours(5), *at(3), *at(0), None), (9, hours(5), *at(0, 3), *at(0, 3), 99.0)]
+    q = spark.createDataFrame(asked, "q_id bigint, asked_at timestamp_ntz, lat double, lon double, to_lat double, to_lon double, recent_kn double")
+    got = {r.q_id: r for r in experts.shortest_paths(q, edges).collect()}
+    assert [got[k].reason for k in range(1, 10)] == ["", "", "", "NO_EDGES", "FEW_EDGES", "SOURCE_OUTSIDE", "TARGET_OUTSIDE", "NO_PATH", ""]
+    # Speeds below 2 knots count as 2; the median speed of the edges 10, 5 and 1 is 5.
+    assert got[1].path_hours == got[2].hours == pytest.approx(1 + 2 + 5) and got[1].path == ["0:0", "0:1", "0:2", "0:3"]
+    assert (got[1].source_nm, got[1].target_nm) == (pytest.approx(3), pytest.approx(12)) and got[1].hours == pytest.approx(8 + 3 / 6 + 12 / 5)
+    assert got[3].hours == pytest.approx(0.5) and got[9].hours == pytest.approx(3 / 25 + 3 / 5) and got[9].n_edges == 0
+    assert got[6].hours is None and got[6].path == []
+
+
+def test_every_owner_has_a_path(spark, sf):
+    from tidelog.plans import registry, temporal
+
+    owners = {r.owner for r in temporal.transition_rows(spark, sf).select("owner").distinct().collect()}
+    assert len(owners) > 1 and {r.q_id for r in registry.QUERIES["corridor_paths"](spark, sf).collect()} == owners
+
+
 def test_contracts(spark):
     with pytest.raises(contracts.ContractError):
         contracts.forbid_leakage(["speed", "target_tte_h"])

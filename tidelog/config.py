@@ -71,6 +71,7 @@ class CorridorConfig:
     speed_kn: tuple[float, float] = (1.0, 30.0)
     min_support: int = 2
     min_path_kn: float = 2.0
+    max_recent_kn: float = 25.0
     snap_nm: float = 40.0
 
 

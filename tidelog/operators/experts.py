@@ -199,42 +199,93 @@ def along_route(points: DataFrame, routes: DataFrame, key: str, lat0: float) ->
 
 
 def shortest_paths(queries: DataFrame, edges: DataFrame, cfg: CorridorConfig = CorridorConfig()) -> DataFrame:
-    """Least hours from source to target cell over the edges known at each query's time: q_id, hours, n_edges, path, reason.
+    """Least hours from source to target over the edges known at each query's time.
 
-    queries: q_id, source, target, asked_at; edges: from_cell, to_cell, seen_at, nm, kn. Each query sees only edges seen
-    before it, so each is a graph of its own; a query and the edges of its bounded corridor meet in one group.
+    queries: q_id, asked_at and either cells, source and target, or places, lat, lon, to_lat, to_lon and recent_kn; edges:
+    from_cell, to_cell ("i:j", where there are places), seen_at, nm, kn. Out: q_id, hours, path_hours, source_nm,
+    target_nm, n_edges, path, reason. Places are snapped to the nearest centre of a cell known at the time, within
+    snap_nm; hours are path_hours and what the snaps take, the source's at recent_kn (the median if unknown, within
+    min_path_kn and max_recent_kn) and the target's at the median speed of the known edges.
+
+    Each query sees only edges seen before it. Queries of one day meet the edges once, in one group, and add them to one
+    graph in the order of time.
     """
     import heapq
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        source, target = group["source"].iloc[0], group["target"].iloc[0]
-        known = group.dropna(subset=["from_cell"])
-        graph: dict[str, list[tuple[float, str]]] = {}
-        for a, b, nm, kn in known[["from_cell", "to_cell", "nm", "kn"]].itertuples(index=False):
-            graph.setdefault(a, []).append((nm / max(kn, cfg.min_path_kn), b))
-        cells = set(known["from_cell"]) | set(known["to_cell"])
-        best, before, heap = {source: 0.0}, {}, [(0.0, source)]
-        while heap:
-            cost, here = heapq.heappop(heap)
-            if here == target:
-                break
-            if cost > best[here]:
-                continue
-            for step, there in graph.get(here, ()):
-                if cost + step < best.get(there, float("inf")):
-                    best[there], before[there] = cost + step, here
-                    heapq.heappush(heap, (cost + step, there))
-        path = [target]
-        while path[-1] != source and path[-1] in before:
-            path.append(before[path[-1]])
-        found = path[-1] == source
-        reason = "" if found else "NO_EDGES" if known.empty else "SOURCE_UNKNOWN" if source not in cells else "TARGET_UNKNOWN" if target not in cells else "NO_PATH"
-        return pd.DataFrame({"q_id": [group["q_id"].iloc[0]], "hours": [best.get(target) if found else None], "n_edges": [len(path) - 1 if found else 0], "path": [path[::-1] if found else []], "reason": [reason]})
-
-    first = edges.groupBy("from_cell", "to_cell", F.to_date("seen_at").alias("_day")).agg(F.min("seen_at").alias("seen_at"), F.avg("nm").alias("nm"), F.avg("kn").alias("kn"))
-    j = queries.join(first, F.col("seen_at") < F.col("asked_at"), "left")
-    merged = j.groupBy("q_id", "source", "target", "from_cell", "to_cell").agg(F.avg("nm").alias("nm"), F.median("kn").alias("kn"))
-    return merged.groupBy("q_id").applyInPandas(solve, "q_id bigint, hours double, n_edges int, path array<string>, reason string")
+    import math
+    from bisect import insort
+
+    import numpy as np
+
+    places = "lat" in queries.columns
+
+    def solve(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("seen_at", kind="stable")
+        rows = list(zip(known["seen_at"], known["from_cell"], known["to_cell"], known["nm"], known["kn"], strict=True))
+        seen: dict[tuple[str, str], tuple[list[float], list[float]]] = {}
+        graph: dict[str, dict[str, float]] = {}
+        speeds: dict[tuple[str, str], float] = {}
+        centres: dict[str, tuple[float, float]] = {}
+        at, out = 0, []
+
+        def add(a: str, b: str, nm: float, kn: float) -> None:
+            nms, kns = seen.setdefault((a, b), ([], []))
+            nms.append(nm)
+            insort(kns, kn)
+            half = len(kns) // 2
+            speeds[a, b] = kns[half] if len(kns) % 2 else (kns[half - 1] + kns[half]) / 2
+            graph.setdefault(a, {})[b] = sum(nms) / len(nms) / max(speeds[a, b], cfg.min_path_kn)
+            for cell in (a, b):
+                if cell not in centres:
+                    centres[cell] = tuple((int(x) + 0.5) * cfg.cell_deg for x in cell.split(":")) if places else (0.0, 0.0)
+
+        def snapped(lat: float, lon: float, stretch: float) -> tuple[float, str]:
+            return min((60 * math.hypot(lat - y, (lon - x) * stretch), cell) for cell, (y, x) in centres.items())
+
+        def path(source: str, target: str) -> tuple[float, list[str]] | None:
+            best, before, heap = {source: 0.0}, {}, [(0.0, source)]
+            while heap:
+                cost, here = heapq.heappop(heap)
+                if here == target:
+                    cells = [target]
+                    while cells[-1] != source:
+                        cells.append(before[cells[-1]])
+                    return cost, cells[::-1]
+                if cost > best[here]:
+                    continue
+                for there, step in graph.get(here, {}).items():
+                    if cost + step < best.get(there, float("inf")):
+                        best[there], before[there] = cost + step, here
+                        heapq.heappush(heap, (cost + step, there))
+            return None
+
+        for q in asked.sort_values("asked_at", kind="stable").itertuples(index=False):
+            while at < len(rows) and rows[at][0] < q.asked_at:
+                add(*rows[at][1:])
+                at += 1
+            source_nm = target_nm = None
+            reason, found, snaps = "", None, 0.0
+            if not places:
+                source, target = q.source, q.target
+                reason = "" if source == target else "NO_EDGES" if not at else "SOURCE_UNKNOWN" if source not in centres else "TARGET_UNKNOWN" if target not in centres else ""
+            elif not at:
+                reason = "NO_EDGES"
+            else:
+                stretch = math.cos(math.radians(q.lat))
+                (source_nm, source), (target_nm, target) = snapped(q.lat, q.lon, stretch), snapped(q.to_lat, q.to_lon, stretch)
+                middle = max(float(np.median(list(speeds.values()))), cfg.min_path_kn)
+                recent = min(max(middle if pd.isna(q.recent_kn) else q.recent_kn, cfg.min_path_kn), cfg.max_recent_kn)
+                snaps = source_nm / recent + target_nm / middle
+                reason = "FEW_EDGES" if at < 2 else "SOURCE_OUTSIDE" if source_nm > cfg.snap_nm else "TARGET_OUTSIDE" if target_nm > cfg.snap_nm else ""
+            if not reason and (found := path(source, target)) is None:
+                reason = "NO_PATH"
+            hours, cells = found or (None, [])
+            out.append((q.q_id, None if found is None else hours + snaps, hours, source_nm, target_nm, max(len(cells) - 1, 0), cells, reason))
+        return pd.DataFrame(out, columns=["q_id", "hours", "path_hours", "source_nm", "target_nm", "n_edges", "path", "reason"])
+
+    first = edges.groupBy("from_cell", "to_cell", F.to_date("seen_at").alias("_day")).agg(F.min("seen_at").alias("seen_at"), F.avg("nm").alias("nm"), F.avg("kn").alias("kn")).drop("_day").dropna()
+    asked = queries.withColumn("_day", F.to_date("asked_at"))
+    shared = first.join(F.broadcast(asked.select(F.col("_day").alias("_for")).distinct()), F.to_date("seen_at") <= F.col("_for"))
+    return asked.groupBy("_day").cogroup(shared.groupBy("_for")).applyInPandas(solve, "q_id bigint, hours double, path_hours double, source_nm double, target_nm double, n_edges int, path array<string>, reason string")
 
 
 def stop_clusters(points: DataFrame, key: str, eps_m: float, min_points: int, radius: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.config import EARTH_M, EARTH_NM, PriorConfig
 from tidelog.functions import geo, numeric
-from tidelog.operators import experts, joins, sessions
+from tidelog.operators import experts, joins, sessions, states
 from tidelog.plans.registry import query
 from tidelog.plans.scalars import _hav
 from tidelog.plans.temporal import transition_rows
@@ -116,11 +116,15 @@ def polyline_projection(spark, sf):
 
 @query()
 def corridor_paths(spark, sf):
-    """Least-time paths between the first and last cell of owners whose id is divisible by 100 over the transitions seen before their last one."""
-    t = transition_rows(spark, sf)
-    ends = t.groupBy("owner").agg(F.min_by("from_cell", F.struct("recorded_at", "id")).alias("source"), F.max_by("to_cell", F.struct("recorded_at", "id")).alias("target"), F.max("recorded_at").alias("asked_at"))
+    """Least-time paths from where each owner's first transition began to where its last one ended, over the transitions seen before the last one."""
+    p, t = states.clean(positions(spark, sf)), transition_rows(spark, sf)
+    w = Window.partitionBy("owner").orderBy("recorded_at", "id")
+    places = p.select("id", F.lag("lat").over(w).alias("lat"), F.lag("lon").over(w).alias("lon"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
+    x, at = t.join(places, "id"), F.struct("recorded_at", "id")
+    first, last = (lambda c: F.min_by(c, at).alias(c)), (lambda c: F.max_by(c, at).alias(c))
+    ends = x.groupBy(F.col("owner").alias("q_id")).agg(first("lat"), first("lon"), last("to_lat"), last("to_lon"), F.max_by("speed", at).alias("recent_kn"), F.max("recorded_at").alias("asked_at"))
     edges = t.select("from_cell", "to_cell", F.col("recorded_at").alias("seen_at"), F.col("step_nm").alias("nm"), F.col("speed").alias("kn"))
-    return experts.shortest_paths(ends.where("owner % 100 = 0").withColumnRenamed("owner", "q_id"), edges)
+    return experts.shortest_paths(ends, edges)
 
 
 @query()
