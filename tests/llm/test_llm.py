@@ -140,12 +140,26 @@ def test_documents_unlike_all_languages_go(spark, sf):
     assert all(held[d].like for d in lettered)
 
 
+def test_language_in_large_alphabets(spark):
+    r = random.Random(17)
+    # 220 characters that all languages use, and 40 rarer ones of each.
+    common, own = [chr(0x4E00 + x) for x in range(220)], {f"k{k}": [chr(0x6000 + 40 * k + x) for x in range(40)] for k in range(3)}
+    langs = {d: f"k{d % 3}" for d in range(400)}
+    texts = [(d, "".join(r.sample([r.choice(common) for _ in range(400)] + [r.choice(own[lang]) for _ in range(20)], 420))) for d, lang in langs.items()]
+    df = frame(spark, texts, langs)
+    got = {x.doc_id: x for x in langid.identify(df, df.where("doc_id < 300"), keep=["doc_id"], like=True).collect()}
+    assert [d for d, lang in langs.items() if got[d].lang_pred != lang] == []
+    lookup = langid.classes(np.arange(1000, 2000))
+    assert sorted(set(lookup[1000:2000])) == list(range(1, langid.ALPHABET + 1)) and not lookup[2000:].any()
+    assert langid.classed(np.array([1000, 5, 1000 << 21 | 1001, 5 << 42 | 1000 << 21 | 1000]), lookup).tolist() == [1, -1, 1 << 21 | 2, -1]
+
+
 def test_known_share_in_stretches(monkeypatch):
     text = "the cat sat on the mat, ÄÖ and 1234 " * 3
     codes, counts = langid.counted(text)
     brute = collections.Counter(text.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(text) + 1 - n) if text[i : i + n].isalpha())
     assert sorted(counts) == sorted(brute.values())
-    model = langid.Model(["en"], codes[counts > 3], np.zeros((0, 0)), np.zeros((0, 0)))
+    model = langid.Model(["en"], langid.classed(codes[counts > 3], langid.classes(codes[codes < 1 << 21])), np.zeros((0, 0)), np.zeros((0, 0)), codes[codes < 1 << 21])
     model.prepare()
     share = counts[counts > 3].sum() / counts.sum()
     for size in (langid.STRETCH, 7, 50):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import as_bytes, column, small
+from tidelog.llm.common import as_bytes, column, mix, small
 
 UNKNOWN = "und"
 #: Characters are read in stretches of so many, so that memory doesn't follow a text's length.
@@ -22,8 +22,9 @@ BATCH = 64
 #: A text is like those learned if the share of its letters' n-grams that the model knows is at least LIKE times that which
 #: all but LEAST_LIKE of held-out labelled rows reach.
 LIKE, LEAST_LIKE = 0.8, 0.01
-#: Characters that a model tells apart; rarer ones count as one.
-ALPHABET = 200
+#: Classes of characters that a model tells apart, so that its tables have ALPHABET**3 places at most. If the landmarks
+#: have more characters, those that tell languages apart have a class each; the others share the last SHARED by a hash.
+ALPHABET, SHARED = 200, 80
 
 
 def characters(text: str) -> np.ndarray:
@@ -65,24 +66,44 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
 
 
+def classes(letters: np.ndarray) -> np.ndarray:
+    """The class of each character, as its code point and one, of those given, the most telling first; 0 for all others."""
+    out = np.zeros(0x110001, np.int32)
+    alone = letters if len(letters) <= ALPHABET else letters[: ALPHABET - SHARED]
+    out[alone] = np.arange(1, len(alone) + 1)
+    other = letters[len(alone) :]
+    out[other] = ALPHABET - SHARED + 1 + (mix(other.astype(np.uint64)) % np.uint64(SHARED)).astype(np.int32)
+    return out
+
+
+def classed(codes: np.ndarray, lookup: np.ndarray) -> np.ndarray:
+    """n-grams of characters as n-grams of their classes; -1 where a character has none."""
+    out, sound = np.zeros(len(codes), np.int64), np.ones(len(codes), bool)
+    for k in range(3):
+        x = codes >> (21 * k) & 0x1FFFFF
+        out |= lookup[x].astype(np.int64) << (21 * k)
+        sound &= (x == 0) | (lookup[x] > 0)
+    return np.where(sound, out, -1)
+
+
 @dataclass
 class Model:
     """Landmarks' n-grams, the presence of each in each landmark over the root of the landmark's size, and dual weights.
 
-    A text of whose n-grams a smaller share than least is known is unlike all that was learned.
+    letters are the landmarks' characters, the most telling first; n-grams are those of their classes. A text of whose
+    n-grams a smaller share than least is known is unlike all that was learned.
     """
 
     langs: list[str]
     vocabulary: np.ndarray
     landmarks: np.ndarray
     weights: np.ndarray
+    letters: np.ndarray
     least: float = 0.0
 
     def prepare(self) -> None:
-        singles = self.vocabulary[self.vocabulary < 1 << 21]
-        self.lookup = np.zeros(0x110001, np.int32)
-        self.lookup[singles] = np.arange(1, len(singles) + 1)
-        self.size = len(singles) + 1
+        self.lookup = classes(self.letters)
+        self.size = min(len(self.letters), ALPHABET) + 1
         n = np.arange(len(self.vocabulary), dtype=np.int32)
         self.tables = []
         for order, (low, high) in enumerate(((0, 1 << 21), (1 << 21, 1 << 42), (1 << 42, 1 << 63)), 1):
@@ -90,7 +111,7 @@ class Model:
             here = (self.vocabulary >= low) & (self.vocabulary < high)
             code = np.zeros(here.sum(), np.int64)
             for k in reversed(range(order)):
-                code = code * self.size + self.lookup[self.vocabulary[here] >> (21 * k) & 0x1FFFFF]
+                code = code * self.size + (self.vocabulary[here] >> (21 * k) & 0x1FFFFF)
             t[code] = n[here]
             self.tables.append(t)
 
@@ -134,7 +155,7 @@ def fit(docs: DataFrame, n_train: int = 1200, n_landmarks: int = 128, ridge: flo
     labelled = docs.where("doc_id is not null and lang is not null and text is not null")
     counts = {x["lang"]: x["n"] for x in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.int64))
     langs = sorted(counts)
     each = max(1, n_train // len(langs))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
@@ -156,11 +177,16 @@ def fit(docs: DataFrame, n_train: int = 1200, n_landmarks: int = 128, ridge: flo
         order[x["lang"]] += 1
     chosen = sorted(range(len(rows)), key=lambda k: (place[k], rows[k]["lang"], k))[:n_landmarks]
     codes = [np.frombuffer(x["grams"], np.int64) for x in rows]
+    single, n = np.unique(np.concatenate([codes[k][codes[k] < 1 << 21] for k in chosen]), return_counts=True)
+    # First those that tell a language from the others, in turn for each language.
+    share = np.zeros((len(langs), len(single)))
+    for code, row in zip(codes, rows, strict=True):
+        share[langs.index(row["lang"])] += np.isin(single, code) / order[row["lang"]]
+    ranks = np.argsort(np.argsort(share.mean(axis=0) - share, axis=1, kind="stable"), axis=1, kind="stable")
+    letters = single[np.lexsort((-n, ranks.min(axis=0)))]
+    lookup = classes(letters)
+    codes = [np.unique(x[x >= 0]) for x in (classed(code, lookup) for code in codes)]
     vocabulary, found = np.unique(np.concatenate([codes[k] for k in chosen]), return_counts=True)
-    single = vocabulary < 1 << 21
-    letters = vocabulary[single][np.argsort(-found[single], kind="stable")][:ALPHABET]
-    lone = np.isin(vocabulary & 0x1FFFFF, letters) & (single | np.isin(vocabulary >> 21 & 0x1FFFFF, letters)) & ((vocabulary < 1 << 42) | np.isin(vocabulary >> 42, letters))
-    vocabulary, found = vocabulary[lone], found[lone]
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     shares = np.zeros(len(rows))
     held = np.isin(np.arange(len(rows)), chosen, invert=True)
@@ -169,7 +195,7 @@ def fit(docs: DataFrame, n_train: int = 1200, n_landmarks: int = 128, ridge: flo
         at = place_of(code)
         row[at[vocabulary[at] == code]] = 1
         # What a landmark alone brought into the vocabulary doesn't count for it: it is held out from the others.
-        code, n = np.frombuffer(rows[k]["words"], np.int64), np.frombuffer(rows[k]["counts"], np.int64)
+        code, n = classed(np.frombuffer(rows[k]["words"], np.int64), lookup), np.frombuffer(rows[k]["counts"], np.int64)
         at = place_of(code)
         shares[k] = n[(vocabulary[at] == code) & (held[k] | (found[at] > 1))].sum() / max(n.sum(), 1)
     some = np.array([len(x["counts"]) > 0 for x in rows])
@@ -185,7 +211,7 @@ def fit(docs: DataFrame, n_train: int = 1200, n_landmarks: int = 128, ridge: flo
     # Each language weighs the same, however many rows it has.
     weight = np.array([1 / order[x["lang"]] for x in rows])[:, None]
     solved = np.linalg.solve(features.T @ (weight * features) + ridge * np.eye(features.shape[1]), features.T @ (weight * targets))
-    return Model(langs, vocabulary, landmarks, (root @ solved).astype(np.float32), least)
+    return Model(langs, vocabulary, landmarks, (root @ solved).astype(np.float32), letters, least)
 
 
 def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, n_train: int = 1200, n_landmarks: int = 128, ridge: float = 1e-3, like: bool = False) -> DataFrame:
