@@ -7,11 +7,14 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 from base64 import b64encode
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,7 +82,7 @@ def test_nearest(spark):
     rows = [(i, v[i].tolist(), 0, 1, 2, 0.5) for i in range(400)]
     rows += [(None, v[0].tolist(), 0, 1, 2, 0.5), (900, None, 0, 1, 2, 0.5), (1000, [0.0] * 8, 0, 1, 2, 0.5), (1100, [float("nan")] + [1.0] * 7, 0, 1, 2, 0.5), (1200, [None] + [1.0] * 7, 0, 1, 2, 0.5), (1300, [1.0], 0, 1, 2, 0.5), rows[20]]
     got = collections.defaultdict(list)
-    for x in ann.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, dims=8, probes=400).orderBy("query_id", "rank").collect():
+    for x in ann.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[x.query_id].append((x.vec_id, x.score))
     assert set(got) == set(range(0, 400, 20))
     hits = 0
@@ -90,18 +93,67 @@ def test_nearest(spark):
         assert all(s == pytest.approx(d[i]) for i, s in found) and found == sorted(found, key=lambda x: (x[1], x[0])) and len({i for i, _ in found}) == 10
     assert hits >= 0.9 * 10 * len(got)
     assert [i for i, _ in got[20]] == [i for i in range(10, 21) if i != 20]
-    assert ann.nearest(vectors(spark, rows).limit(0), F.lit(True), dims=8).count() == 0
-    few = ann.nearest(vectors(spark, rows[:3]), F.col("vec_id") == 0, dims=8)
+    assert ann.nearest(vectors(spark, rows).limit(0), F.lit(True)).count() == 0
+    few = ann.nearest(vectors(spark, rows[:3]), F.col("vec_id") == 0)
     assert few.count() == 2
 
 
 def test_split_cells(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL_ROWS", 16)
     rows = [(i, [1.0, 2.0], 0, 1, 2, 0.5) for i in range(200)]
-    got = ann.nearest(vectors(spark, rows), F.col("vec_id") == 100, k=5, dims=2).orderBy("rank").collect()
+    got = ann.nearest(vectors(spark, rows), F.col("vec_id") == 100, k=5).orderBy("rank").collect()
     assert [(x.vec_id, x.score) for x in got] == [(i, 0.0) for i in range(5)]
 
 
+def measured(spark, tmp_path, v, queries=40):
+    """Recall against brute force, and the result, with the parameters of the query."""
+    n, dims = v.shape
+    arrays = [pa.array(np.arange(n)), pa.FixedSizeListArray.from_arrays(pa.array(v.astype(np.float32).ravel()), dims).cast(pa.list_(pa.float32()))]
+    pq.write_table(pa.table(arrays, names=["vec_id", "embedding"]), tmp_path / "embeddings.parquet")
+    chosen = np.arange(0, n, 100)[:queries]
+    got = collections.defaultdict(set)
+    for x in ann.nearest(spark.read.parquet(str(tmp_path / "embeddings.parquet")), F.col("vec_id").isin(chosen.tolist())).collect():
+        got[x.query_id].add(x.vec_id)
+    w = v.astype(np.float32).astype(np.float64)
+    want = {q: {int(i) for i in np.argsort(((w - w[q]) ** 2).sum(axis=1), kind="stable")[:11] if i != q} for q in chosen.tolist()}
+    return sum(len(got[q] & set(list(want[q])[:10])) for q in want) / sum(min(10, len(x)) for x in want.values())
+
+
+@pytest.mark.parametrize("rows, dims, norm, clusters", [(10_000, 64, 1.0, 0), (50_000, 64, 1.0, 0), (10_000, 64, 0.05, 0), (10_000, 64, 10.0, 0), (10_000, 32, 1.0, 0), (10_000, 64, 10.0, 200), (50_000, 32, 1.0, 200)])
+def test_nearest_recall(spark, tmp_path, monkeypatch, rows, dims, norm, clusters):
+    r = np.random.default_rng(rows + dims)
+    v = r.normal(size=(rows, dims))
+    if clusters:
+        v = r.normal(size=(clusters, dims))[r.integers(0, clusters, rows)] + 0.05 * v
+    v *= norm / np.linalg.norm(v, axis=1, keepdims=True)
+    made = []
+    plain = ann.Hashes.choose
+    monkeypatch.setattr(ann.Hashes, "choose", lambda self, *a: (plain(self, *a), made.append(self))[0])
+    assert measured(spark, tmp_path, v) >= 0.9
+    if clusters:
+        tables = made[0][dims]
+        met = np.zeros((20, rows), bool)
+        for t in range(4):
+            keys = tables.keys(t, tables.slots(t, v))
+            for k, visited in enumerate(tables.probes(t, tables.slots(t, v[:20]))):
+                met[k] |= np.isin(keys, visited)
+        assert met.mean() < 0.1
+
+
+def test_nearest_of_lengths_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_ROWS", 8)
+    r = np.random.default_rng(3)
+    v = {i: r.normal(size=3 if i % 3 else 5) for i in range(120)}
+    for i in range(40, 100):
+        v[i] = v[40 if i % 3 else 42]
+    got = collections.defaultdict(list)
+    for x in ann.nearest(vectors(spark, [(i, x.tolist(), 0, 1, 2, 0.5) for i, x in v.items()]), F.col("vec_id") % 2 == 0, k=4).orderBy("query_id", "rank").collect():
+        got[x.query_id].append(x.vec_id)
+    v = {i: x.astype(np.float32).astype(np.float64) for i, x in v.items()}
+    want = {q: sorted((i for i in v if i != q and len(v[i]) == len(v[q])), key=lambda i: (float(np.sqrt(((v[i] - v[q]) ** 2).sum())), i))[:4] for q in range(0, 120, 2)}
+    assert all(got[q] == want[q] for q in range(40, 100, 2)) and sum(got[q] == x for q, x in want.items()) >= 0.9 * len(want)
+
+
 def test_language(spark):
     r = random.Random(2)
     alphabets = {"xx": "abcdef", "yy": "uvwxyz", "zz": "äöüßmn"}
@@ -222,9 +274,10 @@ def suffix_brute(texts):
     return sorted(out)
 
 
-@pytest.mark.parametrize("pairs", [0, 12])
-def test_suffix_dedup(spark, monkeypatch, pairs):
-    monkeypatch.setattr(suffixes, "PAIRS", pairs)
+@pytest.mark.parametrize("part, settled, hot", [(8000, 4096, 2000), (4, 2, 2)])
+def test_suffix_dedup(spark, monkeypatch, part, settled, hot):
+    for module, name, value in ((suffixes, "PART", part), (suffixes, "SETTLED", settled), (phrases, "HOT", hot), (phrases, "SENT_PLACES", 100 * hot)):
+        monkeypatch.setattr(module, name, value)
     texts = corpus(5) + [(800 + k, "y" * k + "z" * 430 + "w" * k) for k in range(3)]
     got = suffixes.drop_repeated_bytes(frame(spark, texts), keep_text=True).collect()
     assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == suffix_brute(texts)
@@ -232,14 +285,53 @@ def test_suffix_dedup(spark, monkeypatch, pairs):
     assert suffixes.drop_repeated_bytes(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_suffix_dedup_wide_anchors(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "WIDE", 3)
-    monkeypatch.setattr(suffixes, "MERGED", 4)
-    texts = corpus(6)
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_suffix_dedup_of_passages_in_many_surroundings(spark, monkeypatch, hot):
+    monkeypatch.setattr(phrases, "HOT", hot)
+    r = random.Random(21)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, shorter = text(700), text(390)
+    texts = [(k, text(r.randint(0, 300)) + passage[r.randint(0, 60) : 700 - r.randint(0, 60)] + text(r.randint(0, 300))) for k in range(40)]
+    texts += [(100 + k, text(250) + shorter + text(250)) for k in range(40)]
+    texts += [(200 + k, texts[k][1]) for k in range(3)]
     got = suffixes.drop_repeated_bytes(frame(spark, texts), keep_text=False).collect()
     assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == suffix_brute(texts)
 
 
+def colliding_texts():
+    """Two texts of 400 bytes whose strings differ but have equal polynomial hashes modulo 2**64, whatever the odd base:
+    the difference is a multiple of the product of x**e - 1 for powers of two e."""
+    p = np.ones(1, np.int64)
+    for e in (1, 2, 4, 8, 16, 32, 64, 2, 4, 8, 16, 32, 128):
+        p = np.concatenate([np.zeros(e, np.int64), p]) - np.concatenate([p, np.zeros(e, np.int64)])
+    one, two = (bytes((65 + np.maximum(s * p, 0)).tolist()) for s in (1, -1))
+    return one, two
+
+
+def test_suffix_dedup_compares_bytes(spark):
+    one, two = colliding_texts()
+    assert len(one) == 318 and one != two and max(one) < 128
+    h = [phrases.prefix(suffixes.byte_numbers()(x))[-1] for x in (one, two)]
+    assert h[0] == h[1]
+    r = random.Random(4)
+    for _ in range(12):
+        tail = bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(82))
+        texts = [(k, (x + tail).decode()) for k, x in enumerate((one, two))]
+        found = [phrases.anchors_of(phrases.prefix(suffixes.byte_numbers()(t.encode())), 400, 64)[2].tolist() for _, t in texts]
+        if found[0] == found[1] and found[0][0] >= 318:
+            break
+    got = suffixes.drop_repeated_bytes(frame(spark, texts)).collect()
+    assert {len(t) for _, t in texts} == {400} and [x.n_removed for x in got] == [0, 0]
+
+
+def test_repeated_ids_cost_no_lists_of_all_copies(spark):
+    texts = [(None, "q" * 3 + "many words in one text that repeats itself in all rows " * 12)] * 400
+    own = phrases.dealt(phrases.keyed(frame(spark, texts)))
+    rows, _ = phrases.all_candidates(phrases.keyed(frame(spark, texts)), suffixes.byte_numbers, 400, 64, (169, 13, 1), False)
+    most = phrases.with_places(own, rows).select(F.max(F.size("places"))).first()[0]
+    assert 0 < most <= len(texts[0][1])
+
+
 def test_loser_tree():
     r = random.Random(3)
     for n in (1, 2, 3, 7):
@@ -248,10 +340,20 @@ def test_loser_tree():
         for _ in range(n):
             run = sorted(("".join(r.choice("ab") for _ in range(r.randint(0, 12))).encode() for _ in range(r.randint(0, 15))))
             every += run
-            runs.append(suffixes.front_coded([(1, x, b"l", 2, 3, False) for x in run]))
+            runs.append(suffixes.front_coded([(x, x[::-1], 2, 3, 0) for x in run]))
         got = list(suffixes.merge(runs))
-        assert [x[1] for _, x in got] == sorted(every)
-        assert [same for same, _ in got[1:]] == [suffixes.common_prefix(a[1], b[1]) for (_, a), (_, b) in zip(got, got[1:], strict=False)]
+        assert [x[0] for _, x in got] == sorted(every) and all(x[1] == x[0][::-1] for _, x in got)
+        assert [same for same, _ in got[1:]] == [suffixes.common_prefix(a[0], b[0]) for (_, a), (_, b) in zip(got, got[1:], strict=False)]
+
+
+def test_repeated_windows():
+    r = random.Random(6)
+    for _ in range(60):
+        rows = sorted(("".join(r.choice("ab") for _ in range(r.randint(3, 9))).encode(), "".join(r.choice("ab") for _ in range(r.randint(0, 4))).encode(), 0, 0, 0) for _ in range(r.randint(2, 12)))
+        shared = [0] + [suffixes.common_prefix(x[0], y[0]) for x, y in zip(rows, rows[1:], strict=False)]
+        got = suffixes.repeated_windows(rows, shared, 7, 5)
+        strings = [[(left[:k][::-1] + right[: 7 - k]) if len(left) >= k and len(right) >= 7 - k else None for k in range(5)] for right, left, *_ in rows]
+        assert got.tolist() == [[x is not None and any(y[k] == x for j, y in enumerate(strings) if j != i) for k, x in enumerate(row)] for i, row in enumerate(strings)]
 
 
 def rlz_brute(texts):
@@ -272,21 +374,59 @@ def rlz_brute(texts):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [7, 8])
-def test_rlz(spark, seed):
+@pytest.mark.parametrize("seed, block, hot, places", [(7, 8000, 2000, 100_000), (8, 4, 2, 5)])
+def test_rlz(spark, monkeypatch, seed, block, hot, places):
+    for module, name, value in ((rlz, "BLOCK", block), (phrases, "HOT", hot), (rlz, "RUN_PLACES", places)):
+        monkeypatch.setattr(module, name, value)
     texts = corpus(seed)
     got = rlz.drop_repeats(frame(spark, texts)).collect()
     assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.kept_sha256) for x in got) == rlz_brute(texts)
-    assert all(sum(f.end - f.start for f in x.factors) == x.n_removed for x in got)
+    split = collections.defaultdict(list)
+    for d, t in texts:
+        split[d].append((t or "").encode().split())
+    n = 0
+    for x in got:
+        own = next(w for w in split[x.doc_id] if len(w) == x.n_words)
+        gone = np.zeros(len(own), bool)
+        for f in x.factors:
+            gone[f.start : f.end] = True
+            assert f.ref_doc < x.doc_id and f.end - f.start >= 13
+            assert any(w[f.ref_start : f.ref_start + f.end - f.start] == own[f.start : f.end] for w in split[f.ref_doc])
+            n += f.end - f.start > 40
+        assert gone.sum() == x.n_removed
+    assert n > 10
     assert rlz.drop_repeats(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_phrases_in_stretches(monkeypatch):
+def test_rlz_block():
+    block = rlz.Block(3)
+    block.add(b"a b c d e f".split(), 1, 10)
+    block.add(b"x b c d g a b c".split(), 2, 20)
+    words = b"b c d g a b c d e y x b c".split()
+    assert list(block.factors(words)) == [(0, 7, 2, 21), (5, 9, 1, 11), (10, 13, 2, 20)]
+
+
+def test_word_windows_in_many_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "HOT", 3)
+    r = random.Random(22)
+    prose = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    passage, shorter = prose(20), prose(9)
+    texts = [(k, f"{prose(r.randint(0, 20))} {passage} {prose(9)} {shorter} {prose(r.randint(0, 20))}") for k in range(60)]
+    got = rlz.drop_repeats(frame(spark, texts), keep_text=False).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.kept_sha256) for x in got) == rlz_brute(texts)
+
+
+def test_cells_hold_every_window_once(monkeypatch):
     x = np.random.default_rng(1).integers(0, 3, 300).astype(np.uint64)
-    whole = sum(int(c.sum()) for _, c, *_ in phrases.phrases_of(x, 13, 5))
-    monkeypatch.setattr(phrases, "STRETCH", 50)
-    starts = [s for f, c, *_ in phrases.phrases_of(x, 13, 5) for a, n in zip(f, c, strict=True) for s in range(a, a + n)]
-    assert starts == list(range(whole))
+    h = phrases.prefix(x)
+    first, count, anchor = phrases.anchors_of(h, 13, 5)
+    for cell in (9, 4, 1):
+        found = []
+        for _, _, begin, n, geo in phrases.cells(h, anchor, anchor - first - count + 1, anchor - first, 9, cell, 13):
+            off, width = phrases.unpack_geo(geo.astype(np.int64))
+            assert (width == cell).all() and (off < cell).all() and (off >= n - 1).all()
+            found += [s for a, k in zip(begin, n, strict=True) for s in range(a, a + k)]
+        assert sorted(found) == list(range(288))
 
 
 def test_packing(spark):
@@ -450,7 +590,29 @@ def test_secrets_in_long_and_nested_streams(monkeypatch):
         for name, size in zip(("PIECE", "LAYER", "OVERLAP"), sizes, strict=True):
             monkeypatch.setattr(secrets, name, size)
         assert [secrets.all_spans(b"x " + t + b" y")[1] for t in texts] == [[(2, 2 + len(t), "assign")] for t in texts]
-        assert secrets.all_spans(pack(gzip.compress(plain + b" token=abcdef " + plain + b"\xff"))) == ([], [])
+        binary = pack(gzip.compress(plain + b"\xff token=abcdef " + plain + b"\xff"))
+        assert secrets.all_spans(b"x " + binary) == ([], [(2, 2 + len(binary), "assign")])
+
+
+def decoded_to_the_end(text):
+    while (plain := urllib.parse.unquote_to_bytes(text)) != text:
+        text = plain
+    return text
+
+
+def test_deeply_nested_escapes_take_time_in_proportion():
+    r = random.Random(23)
+    for _ in range(300):
+        text = "".join(r.choice(["%", "25", "41", "%3", "4", "x", "%25"]) for _ in range(r.randint(1, 14))).encode()
+        assert secrets.unescaped(text) == decoded_to_the_end(text)
+    assert secrets.unescaped(rb"\u005cu00e9 \x5cx41 %5cx2541") == "é A A".encode()
+    for inner in (b"%" + b"25" * 500_000 + b"74oken=abcdef", b"\\u005c" + b"u005c" * 200_000 + b"u0074oken=abcdef"):
+        at = time.perf_counter()
+        assert (2, 2 + len(inner), "assign") in secrets.all_spans(b"x " + inner + b" y")[1]
+        assert time.perf_counter() - at < 60
+    for depth in (1, 5, 31, 32, 33, 40):
+        inner = b"%" + b"25" * depth + b"74oken=abcdef"
+        assert secrets.all_spans(b"x " + inner) == ([(3, 3 + 2 * depth + 2, "hex")] if depth > 10 else [], sorted({(2, 2 + len(inner), "assign"), *([(2, 2 + len(inner), "hex")] if depth > 11 else [])}, key=secrets.order))
 
 
 def near_brute(texts):

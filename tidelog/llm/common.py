@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +38,57 @@ def as_bytes(name: str = "text") -> Column:
     return F.col(name).cast("binary")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder in spark.checkpoint.dir; a local one only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where none is set, a session inside one
+    process makes its own; on a cluster there is an error, as a local folder there would be lost to the other machines."""
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tidelog-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-"))
+        sc.setCheckpointDir(found)
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet in the shared folder, and read from there: smaller than a checkpoint. Deleted when the
+    driver ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/tidelog-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of checkpointed tables that nothing reads any more."""
+    for df in tables:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            deleted(df.sparkSession, file.get())
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: its cleaner waits for the driver's garbage collection, which
+    a driver that does little may not come to for hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of few, so that neither a worker nor the JVM holds many results at once."""
     for batch in batches:
@@ -54,11 +100,26 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
+    """Where each row's list begins in the values of all lists (one place more than rows), and the values."""
+    x = batch.column(batch.schema.get_field_index(name))
+    sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]), x.flatten()
+
+
 def numbers(batch: pa.RecordBatch, name: str, kind=np.int64) -> np.ndarray:
     """A column without nulls as an array."""
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(kind, copy=False)
 
 
+def heads(rows: list[tuple[int, ...]], kind: np.dtype) -> bytes:
+    """Rows of numbers as bytes of a structured type."""
+    out = np.zeros(len(rows), kind)
+    for name, values in zip(kind.names, zip(*rows, strict=True), strict=False):
+        out[name] = values
+    return out.tobytes()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: a bijection of 64-bit numbers."""
     x = x.astype(np.uint64, copy=True)

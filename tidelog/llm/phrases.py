@@ -1,29 +1,37 @@
-"""Repeated windows of a sequence, by phrases that content alone delimits.
+"""Places of a text where a window may repeat, by phrases and cells that content alone delimits.
 
-A window's anchor is its gram with the least hash. Neighbouring windows with one anchor form a phrase; equal windows lie
-at the same place around equal anchors, wherever they are. So rows of (anchor, phrase) tell which windows may repeat: a
-phrase that occurs again repeats as a whole, and only phrases that share no more than an anchor need a closer look.
+A window's anchor is its gram with the least hash. Neighbouring windows with one anchor form a phrase, and those of a
+phrase that begin between i and i + 1 cells ahead of the anchor form an element. Equal windows lie at the same place around
+equal anchors, so they belong to elements of equal cells, and all windows of a cell have a string in common: from the
+cell's point, i cells ahead of the anchor, on. The hash of that string is the element's key. Elements with equal keys are
+candidates, no more; who compares them has to read their words or bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import BASE, UNBASE, as_bytes, column, mix, numbers, sliding_argmin, small
+from tidelog.llm.common import BASE, UNBASE, as_bytes, checkpointed, column, lists, mix, numbers, released, sliding_argmin, small, stored
 
 #: Windows of a sequence that are hashed at a time.
 STRETCH = 1 << 18
-COUNT_BITS, TAG_BITS = 10, 22
-WHOLE, OPEN, PARTNER = 0, 1, 2
-PHRASES = "a long, r long, d long, at long"
+COUNT_BITS, TAG_BITS, DIGEST_BITS = 10, 22, 11
+#: a: key; d, at: the element's document and place; geo: offset of its cell's point from its beginning, the cell's width,
+#: and a digest of the element's whole string.
+ELEMENTS = "a long, d long, at long, geo int"
 #: Rows that a map task combines before it sends them.
-ROWS_AT_ONCE = 400_000
+ROWS_AT_ONCE = 250_000
+#: Different digests in a key beyond which its cell is divided: 1,200 of 2,048 are about 1,800 different elements.
+HOT = 1_200
+#: Places are sent to every executor only up to this many; beyond it documents are dealt to them.
+SENT_PLACES = 200_000
+
+Sequence = Callable[[], Callable[[bytes], np.ndarray]]
 
 
 class Powers:
@@ -63,21 +71,30 @@ def unpack_at(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> (COUNT_BITS + TAG_BITS), at >> TAG_BITS & (1 << COUNT_BITS) - 1, at & (1 << TAG_BITS) - 1
 
 
-def phrases_of(x: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first window, number of windows, anchor's place, anchor's hash, phrase's hash) of a sequence, in stretches.
+def unpack_geo(geo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offset of the cell's point, width of the cell."""
+    return geo & (1 << COUNT_BITS) - 1, geo >> COUNT_BITS & (1 << COUNT_BITS) - 1
+
+
+def anchors_of(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor's place) of the phrases of a sequence, given h = prefix(x)."""
+    places = np.arange(len(h) - gram)
+    anchor = sliding_argmin(hash_of(h, places, places + gram), width - gram + 1)
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    return first, np.diff(np.concatenate([first, [len(anchor)]])), anchor[first]
 
-    A phrase cut by the end of a stretch has another hash, but its windows have the same anchor still.
-    """
-    for base in range(0, max(0, len(x) - width + 1), STRETCH):
-        part = x[base : base + STRETCH + width - 1]
-        h = prefix(part)
-        places = np.arange(len(part) - gram + 1)
-        grams = hash_of(h, places, places + gram)
-        anchor = sliding_argmin(grams, width - gram + 1)
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        count = np.diff(np.concatenate([first, [len(anchor)]]))
-        at = anchor[first]
-        yield base + first, count, base + at, grams[at].view(np.int64), hash_of(h, first, first + count - 1 + width).view(np.int64)
+
+def cells(h: np.ndarray, point: np.ndarray, low: np.ndarray, high: np.ndarray, span: int, cell: int, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, whole hash, first window, number of windows, geo, which point) of elements: the windows that begin low to high
+    places ahead of a point, where that is less than span, by cells."""
+    for k in range(0, span, cell):
+        near, far = np.maximum(low, k), np.minimum(high, k + cell - 1)
+        some = np.flatnonzero(near <= far)
+        at, near, far = point[some], near[some], far[some]
+        first, count = at - far, far - near + 1
+        keys, whole = hash_of(h, at - k, at - k + width - cell + 1), hash_of(h, first, first + count - 1 + width)
+        digest = (whole >> np.uint64(64 - DIGEST_BITS)).astype(np.int64)
+        yield keys.view(np.int64), whole.view(np.int64), first, count, (far - k | cell << COUNT_BITS | digest << 2 * COUNT_BITS).astype(np.int32), some
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -87,187 +104,203 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(doc, own).alias("d"), F.pmod(own, F.lit(1 << TAG_BITS)).alias("tag"), doc.alias("doc_id"), as_bytes().alias("text"))
 
 
-def phrase_rows(docs: DataFrame, sequence: Callable[[], Callable[[bytes], np.ndarray]], width: int, gram: int, earlier_only: bool) -> DataFrame:
-    """(a, r, d, at): a row for each phrase of keyed docs, combined (see there). sequence() makes what turns a text into
-    numbers, one per place."""
+def element_rows(docs: DataFrame, sequence: Sequence, width: int, gram: int, cell: int, earlier_only: bool) -> DataFrame:
+    """The elements of keyed docs, combined (see there). sequence() makes what turns a text into numbers, one per place."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered = sequence()
-        out: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        numbered, rows = sequence(), Combiner(earlier_only)
         for batch in small(batches):
             for text, doc, tag in zip(column(batch, "text"), numbers(batch, "d"), numbers(batch, "tag"), strict=True):
                 if not text or len(text) < width:
                     continue
-                for first, count, _, a, r in phrases_of(numbered(text), width, gram):
-                    out.append((a, r, np.full(len(a), doc), pack_at(first, count, int(tag))))
-                    size += len(a)
-                if size > ROWS_AT_ONCE:
-                    yield combined(out, earlier_only)
-                    out, size = [], 0
-        if out:
-            yield combined(out, earlier_only)
-
-    return docs.select("d", "tag", "text").mapInArrow(cut, PHRASES)
-
-
-def rows_of(parts: list[tuple[np.ndarray, ...]], names: tuple[str, ...] = ("a", "r", "d", "at")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=list(names))
-
-
-def combined(parts: list[tuple[np.ndarray, ...]], earlier_only: bool) -> pa.RecordBatch:
-    """Rows with those settled that need no others: of a phrase's rows here, the ones beyond the smallest d (or beyond two)
-    are repeats whatever comes. They carry ~at for at, and for a hash of their own for a, which spreads them over all
-    tasks; so a passage that very many documents share comes to its anchor's task as a row or two from each map task."""
-    a, r, d, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((d, a.view(np.uint64) ^ mix(r.view(np.uint64))))
-    a, r, d, at = (x[order] for x in (a, r, d, at))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
-    starts = np.flatnonzero(new)
-    which = np.cumsum(new) - 1
-    settled = d > d[starts][which] if earlier_only else np.arange(len(a)) - starts[which] >= 2
-    a = np.where(settled, mix((d ^ at).view(np.uint64)).view(np.int64), a)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, r, d, np.where(settled, ~at, at))], names=["a", "r", "d", "at"])
-
-
-def resolved(rows: DataFrame, earlier_only: bool) -> DataFrame:
-    """(a, d, at, kind) of phrase rows that matter; kind is WHOLE, OPEN or PARTNER.
-
-    WHOLE: the same phrase occurs elsewhere; with earlier_only, in a smaller d. OPEN: the others whose anchor also stands
-    in a different phrase. PARTNER (without earlier_only): one occurrence of each repeated phrase with such an anchor,
-    against which OPEN ones are to be compared.
-
-    The rows of an anchor arrive sorted and are read as a stream, so no anchor's rows need to fit in memory.
-    """
+                x = numbered(text)
+                for base in range(0, max(0, len(x) - width + 1), STRETCH):
+                    h = prefix(x[base : base + STRETCH + width - 1])
+                    first, count, anchor = anchors_of(h, width, gram)
+                    for a, r, begin, n, geo, _ in cells(h, anchor, anchor - first - count + 1, anchor - first, width - gram + 1, cell, width):
+                        yield from rows.add(a, r, np.full(len(a), doc), pack_at(base + begin, n, tag), geo)
+        yield from rows.rest()
+
+    return docs.select("d", "tag", "text").mapInArrow(cut, ELEMENTS)
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.zeros(0, np.int64)
-        tail = [empty] * 4
-        last_a = last_r = first_d = None
-        classes = 0
-        held: list[list[np.ndarray]] = []
-        for batch in chain(batches, [None]):
-            rows = tail
-            if batch is not None:
-                rows = [numbers(batch, name) for name in ("a", "r", "d", "at")]
-                if (settled := rows[3] < 0).any():
-                    yield rows_of([(rows[0][settled], rows[2][settled], ~rows[3][settled], np.full(settled.sum(), WHOLE))], ("a", "d", "at", "kind"))
-                    rows = [x[~settled] for x in rows]
-                rows = [np.concatenate([t, x]) for t, x in zip(tail, rows, strict=True)]
-            n = len(rows[0]) - (batch is not None)
-            if n < 1:
-                tail = rows
-                continue
-            following = [x[n:] for x in rows]
-            a, r, d, at = (x[:n] for x in rows)
-            new_a, new_r = np.ones(n, bool), np.ones(n, bool)
-            new_a[1:] = a[1:] != a[:-1]
-            new_r[1:] = r[1:] != r[:-1]
-            if last_a is not None:
-                new_a[0], new_r[0] = a[0] != last_a, r[0] != last_r
-            new_c = new_a | new_r
-            # Place in the list of anchors (0: the one that goes on from the batch before) and of phrases.
-            group, cls = np.cumsum(new_a), np.cumsum(new_c)
-            starts = np.flatnonzero(new_c)
-            own_first = np.concatenate([[0 if first_d is None else first_d], d[starts]])[cls]
-            before = np.concatenate([[-classes], cls[new_a] - 1])
-            nth = cls - before[group]
-            ends = np.flatnonzero(np.concatenate([new_a[1:], [True]]))
-            n_classes = np.zeros(group[-1] + 1, np.int64)
-            n_classes[group[ends]] = nth[ends]
-            goes_on = bool(len(following[0])) and following[0][0] == a[-1]
-            same_next = goes_on and following[1][0] == r[-1]
-            if goes_on and not same_next:
-                n_classes[-1] += 1
-            several = n_classes[group] > 1
-            if earlier_only:
-                whole, rep = d > own_first, d == own_first
-                partner = np.zeros(n, bool)
-            else:
-                lone = new_c & np.concatenate([new_c[1:], [not same_next]])
-                whole, rep = ~lone, new_c
-                partner = rep & whole
-            kind = np.where(partner, PARTNER, OPEN)
-            open_rows = rep & several
-            out = [(a[whole], d[whole], at[whole], np.full(whole.sum(), WHOLE)), (a[open_rows], d[open_rows], at[open_rows], kind[open_rows])]
-            # An anchor with one phrase so far, which goes on, is undecided.
-            if held and group[0] == 0 and n_classes[0] > 1:
-                out += [tuple(x) for x in held]
-                held = []
-            if held and (group[-1] > 0 or not goes_on):
-                held = []
-            if goes_on and n_classes[-1] == 1:
-                wait = rep & (group == group[-1])
-                if wait.any():
-                    held.append([a[wait], d[wait], at[wait], kind[wait]])
-            if any(len(x[0]) for x in out):
-                yield rows_of(out, ("a", "d", "at", "kind"))
-            last_a, last_r, first_d, classes = a[-1], r[-1], own_first[-1], int(nth[-1])
-            tail = following
-
-    spread = rows.repartition("a").sortWithinPartitions("a", "r", "d", "at")
-    return spread.mapInArrow(stream, "a long, d long, at long, kind long")
-
-
-def per_document(marks: DataFrame, name: str) -> DataFrame:
-    """All places of a document in one row; they are no more than its windows."""
-    return marks.groupBy("d").agg(F.collect_list("at").alias(name))
-
-
-def window_rows(docs: DataFrame, places: DataFrame, sequence: Callable[[], Callable[[bytes], np.ndarray]], width: int, earlier_only: bool) -> DataFrame:
-    """(a, r, d, at): a row for each single window of the phrases at places (d, at), combined; r is the window's hash."""
+
+def finer_rows(docs: DataFrame, wide: DataFrame, sequence: Sequence, width: int, cell: int, earlier_only: bool) -> DataFrame:
+    """The elements of wide (d, at, geo), each divided into cells of a smaller width."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered = sequence()
-        out: list[tuple[np.ndarray, ...]] = []
-        size = 0
-        for batch in batches:
-            for text, doc, tag, at in zip(column(batch, "text"), numbers(batch, "d"), numbers(batch, "tag"), column(batch, "places"), strict=True):
-                starts = windows_at(np.array(at, np.int64), int(tag))
-                if not len(starts) or not text or len(text) < width:
-                    continue
+        numbered, rows = sequence(), Combiner(earlier_only)
+        for batch in small(batches, 64):
+            parts, owners = [], []
+            for text, doc, tag, places in zip(column(batch, "text"), numbers(batch, "d"), numbers(batch, "tag"), places_of(batch), strict=True):
                 x = numbered(text)
-                for base in range(0, len(x), STRETCH):
-                    here = starts[(starts >= base) & (starts < base + STRETCH)] - base
-                    if len(here):
-                        h = prefix(x[base : base + STRETCH + width - 1])
-                        both = hash_of(h, here, here + width).view(np.int64)
-                        # A second hash, over all but the first place, makes a collision of both unlikely at any size.
-                        out.append((hash_of(h, here + 1, here + width).view(np.int64), both, np.full(len(here), doc), pack_at(base + here, np.ones(len(here), np.int64), int(tag))))
-                        size += len(here)
-                if size > ROWS_AT_ONCE:
-                    yield combined(out, earlier_only)
-                    out, size = [], 0
-        if out:
-            yield combined(out, earlier_only)
-
-    joined = docs.join(per_document(places, "places"), "d")
-    return joined.select("d", "tag", "doc_id", "text", "places").mapInArrow(cut, PHRASES)
-
-
-def windows_at(at: np.ndarray, tag: int) -> np.ndarray:
-    """The distinct windows of places that carry the tag, sorted."""
-    first, count, tags = unpack_at(at)
-    first, count = first[tags == tag], count[tags == tag]
-    begin = np.cumsum(count) - count
-    return np.unique(np.repeat(first - begin, count) + np.arange(int(count.sum())))
-
+                for first, count, off, span in zip(*(y.tolist() for y in places), strict=True):
+                    parts.append(x[first : first + count - 1 + width])
+                    owners.append((doc, tag, first, count, off, span))
+            if not owners:
+                continue
+            # All elements stand one after another; each has as many places as its windows need.
+            doc, tag, first, count, off, span = np.array(owners, np.int64).T
+            size = np.array([len(x) for x in parts])
+            begin = np.cumsum(size) - size
+            sound = np.flatnonzero(size == count + width - 1)
+            point = (begin + off)[sound]
+            for a, r, at, n, geo, which in cells(prefix(np.concatenate(parts)), point, (off - count + 1)[sound], off[sound], int(span.max()), cell, width):
+                which = sound[which]
+                yield from rows.add(a, r, doc[which], pack_at(at - begin[which] + first[which], n, tag[which]), geo)
+        yield from rows.rest()
+
+    return with_places(docs, wide, wide.count() <= SENT_PLACES).mapInArrow(cut, ELEMENTS)
+
+
+class Combiner:
+    """Gathers elements and gives them out combined."""
+
+    def __init__(self, earlier_only: bool) -> None:
+        self.earlier_only = earlier_only
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, *rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of key, hash of the whole, document, place and geo."""
+        self.parts.append(rows)
+        self.size += len(rows[0])
+        if self.size > ROWS_AT_ONCE:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """Rows, of which those that have copies here on both sides of them in order carry ~at for at: they are candidates
+        whatever comes, and are dealt out evenly. So a passage that very many documents share comes to its key's task as
+        two rows from each map task. With earlier_only, rows of one document alone don't make each other candidates."""
+        if not self.parts:
+            return
+        a, r, d, at, geo = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order = np.lexsort((d, a.view(np.uint64) ^ mix(r.view(np.uint64))))
+        a, r, d, at, geo = (x[order] for x in (a, r, d, at, geo))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
+        last = np.concatenate([new[1:], [True]])
+        settled = ~new & ~last
+        if self.earlier_only:
+            settled &= (d[new] < d[last])[np.cumsum(new) - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, d, np.where(settled, ~at, at), geo)], names=["a", "d", "at", "geo"])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows sorted by the first column, in pieces that hold all rows of their values there."""
+    held: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        rows = {name: numbers(batch, name) for name in names}
+        key = rows[names[0]]
+        if not len(key):
+            continue
+        changes = np.flatnonzero(key[1:] != key[:-1])
+        goes_on = bool(held) and held[-1][names[0]][-1] == key[0]
+        at = int(changes[-1]) + 1 if len(changes) else 0
+        if at or not goes_on:
+            if held or at:
+                head = held + [{name: x[:at] for name, x in rows.items()}]
+                yield {name: np.concatenate([x[name] for x in head]) for name in names}
+            held = []
+        held.append({name: x[at:] for name, x in rows.items()})
+    if held:
+        yield {name: np.concatenate([x[name] for x in held]) for name in names}
+
+
+def candidates(rows: DataFrame, earlier_only: bool) -> DataFrame:
+    """(a, d, at, geo, hot): the elements whose key another has; with earlier_only, another document's. a is now a part of
+    the key, which serves to find those of hot keys, that have more than HOT different digests.
+
+    Rows arrive sorted and are read as a stream. Of one key there are as many as it has different elements, and two of
+    each from a map task; those that are candidates already go through as they come.
+    """
 
-def covered(at: list | None, tag: int, n: int, width: int) -> np.ndarray:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in whole_groups(batches, ("a", "d", "at", "geo")):
+            a, d, at = x["a"], x["d"], x["at"]
+            change = np.concatenate([[True], a[1:] != a[:-1]])
+            group, starts = np.cumsum(change) - 1, np.flatnonzero(change)
+            size = np.diff(np.concatenate([starts, [len(a)]]))
+            hot = np.zeros(len(size), bool)
+            for k in np.flatnonzero(size > HOT).tolist():
+                hot[k] = len(np.unique(x["geo"][starts[k] : starts[k] + size[k]] >> 2 * COUNT_BITS)) > HOT
+            several = np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts) if earlier_only else size > 1
+            keep = several[group] | (at < 0)
+            if keep.any():
+                out = ((a[keep] >> 32).astype(np.int32), d[keep], np.where(at < 0, ~at, at)[keep], x["geo"][keep].astype(np.int32), hot[group][keep])
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in out], names=["a", "d", "at", "geo", "hot"])
+
+    settled = F.col("at") < 0
+    spread = rows.repartition(F.when(settled, F.xxhash64("d", "at")).otherwise(F.col("a")))
+    return spread.sortWithinPartitions("a").mapInArrow(stream, "a int, d long, at long, geo int, hot boolean")
+
+
+def all_candidates(docs: DataFrame, sequence: Sequence, width: int, gram: int, widths: tuple[int, ...], earlier_only: bool) -> tuple[DataFrame, int]:
+    """(d, at, geo) of the candidates of keyed docs, from tables written out, and how many they are.
+
+    Elements of a hot key are divided into the next narrower cells and chosen again; those of the last width, 1, are single
+    windows, of which a key has as many different ones as its hash has collisions.
+    """
+    rows = element_rows(docs, sequence, width, gram, widths[0], earlier_only)
+    chosen, size = None, 0
+    for finer in (*widths[1:], None):
+        known = stored(candidates(rows, earlier_only))
+        released(docs.sparkSession)
+        found = known
+        hot = checkpointed(known.where("hot").select("a").distinct()) if finer else None
+        wide = None
+        if hot is not None and not hot.isEmpty():
+            wide = known.join(hot, "a", "left_semi")
+            found = known.join(hot, "a", "left_anti")
+        found = found.select("d", "at", "geo")
+        size += found.count()
+        chosen = found if chosen is None else chosen.unionAll(found)
+        if wide is None:
+            break
+        rows = finer_rows(docs, wide, sequence, width, finer, earlier_only)
+    return chosen, size
+
+
+def with_places(docs: DataFrame, places: DataFrame, sent: bool = False) -> DataFrame:
+    """d, tag, doc_id, text, places: the distinct (at, geo) of the document's elements."""
+    lists = places.groupBy("d").agg(F.collect_set(F.struct("at", "geo")).alias("x")).select("d", F.col("x").alias("places"))
+    return docs.join(F.broadcast(lists) if sent else lists, "d").select("d", "tag", "doc_id", "text", "places")
+
+
+def places_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each row: (first window, number of windows, offset of the cell's point, width of the cell) of its places that
+    carry its tag."""
+    ends, places = lists(batch, "places")
+    first, count, tags = unpack_at(places.field(0).to_numpy(zero_copy_only=False))
+    off, cell = unpack_geo(places.field(1).to_numpy(zero_copy_only=False).astype(np.int64))
+    own = np.repeat(numbers(batch, "tag"), np.diff(ends))
+    for a, z in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+        mine = tags[a:z] == own[a:z]
+        yield first[a:z][mine], count[a:z][mine], off[a:z][mine], cell[a:z][mine]
+
+
+def marks_by_document(marks: DataFrame) -> DataFrame:
+    """d, marks: the distinct places of a document in one row; they are no more than its windows."""
+    return marks.groupBy("d").agg(F.collect_set("at").alias("marks"))
+
+
+def covered(at: np.ndarray, tag: int, n: int, width: int) -> np.ndarray:
     """Which of n places lie in a window at places of that tag."""
-    if not at:
-        return np.zeros(n, bool)
-    first, count, tags = unpack_at(np.array(at, np.int64))
+    first, count, tags = unpack_at(at)
     first, count = first[tags == tag], count[tags == tag]
+    if not len(first):
+        return np.zeros(n, bool)
     edge = np.bincount(first, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(first + count - 1 + width, n), minlength=n + 1)[: n + 1]
     return np.cumsum(edge[:-1]) > 0
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """Keyed documents dealt by d: joins by d share this one exchange, if they read the same columns of it."""
-    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "d")
+def marked(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+    """The list of numbers of each row; a null one is empty."""
+    ends, values = lists(batch, name)
+    values = values.to_numpy(zero_copy_only=False)
+    return (values[a:z] for a, z in zip(ends.tolist(), ends[1:].tolist(), strict=False))
 
 
-def kind_is(*kinds: int) -> Column:
-    return F.col("kind").isin(*kinds)
+def dealt(docs: DataFrame) -> DataFrame:
+    """Keyed documents dealt by d: joins by d share this one exchange, if they read the same columns of it."""
+    return docs.repartition("d")

@@ -35,6 +35,7 @@ BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}+={0,2}")
 #: The same wrapped: lines of nothing else follow, of which the last may be the first word of a line.
 WRAPPED = re.compile(rb"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(rb"[A-Za-z0-9+/_-]++")
+HEX_DIGITS = frozenset(b"0123456789abcdefABCDEF")
 ESCAPE = re.compile(rb"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 ESCAPES = re.compile(rb"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})++")
 PERCENT_RUN = re.compile(rb"[A-Za-z0-9_.~+/=:&?%-]++")
@@ -44,6 +45,8 @@ URL_SAFE = bytes.maketrans(b"-_", b"+/")
 #: share OVERLAP bytes with the next, so that a small text that unpacks to a very large one doesn't fill the memory.
 PIECE, LAYER, OVERLAP = 1 << 20, 64 << 20, 1 << 20
 CONTROLS = bytes(x for x in range(32) if x not in (9, 10, 13))
+#: Escapes inside escapes are unwrapped layer by layer so many times, and what is nested deeper at once.
+STEPS = 32
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, str]]:
@@ -146,23 +149,46 @@ def is_text(pieces: Iterator[bytes]) -> bool:
     return controls * 20 <= size
 
 
-def unwrapped(layer: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, content) of stretches of a layer that unwrap to something else."""
+def unwrapped(layer: bytes, deep: bool = False) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(start, end, content, whether it was escaped) of stretches of a layer that unwrap to something else; escapes down
+    to the last one inside them if deep."""
     if b"%" in layer:
         for m in PERCENT_RUN.finditer(layer):
-            if b"%" in m[0] and (plain := unquote_to_bytes(m[0])) != m[0]:
-                yield *m.span(), plain
+            if b"%" in m[0] and (plain := unescaped(m[0]) if deep else unquote_to_bytes(m[0])) != m[0]:
+                yield *m.span(), plain, True
     if b"\\u" in layer or b"\\x" in layer:
         for m in UNICODE.finditer(layer):
-            if b"\\" in m[0]:
-                yield *m.span(), unescape(m[0])
-    yield from unwrapped_base64(layer, large=True)
+            if b"\\" in m[0] and (plain := unescaped(m[0]) if deep else unescape(m[0])) != m[0]:
+                yield *m.span(), plain, True
+    for start, end, plain in unwrapped_base64(layer, alone=True):
+        yield start, end, plain, False
 
 
-def unwrapped_base64(layer: bytes, large: bool = False) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, content) of base64 stretches that hold text: single lines, and lines joined.
+def unescaped(data: bytes) -> bytes:
+    """Data whose percent, \\u and \\x escapes are decoded until none is left, also those that decoding makes.
 
-    Content of more than LAYER bytes comes in parts if large, else not at all.
+    Escapes never overlap, so their order doesn't matter: bytes go on a stack, and an escape is decoded as soon as its last
+    byte is there.
+    """
+    out = bytearray()
+    pending = list(reversed(data))
+    while pending:
+        out.append(pending.pop())
+        if out[-1] not in HEX_DIGITS:
+            continue
+        for size, mark in ((3, b"%"), (4, b"\\x"), (6, b"\\u")):
+            if out[-size : -size + len(mark)] == mark and len(out) >= size and all(x in HEX_DIGITS for x in out[len(mark) - size :]):
+                code = int(out[len(mark) - size :], 16)
+                del out[-size:]
+                pending += reversed(bytes([code]) if size == 3 else chr(code).encode("utf-8", "replace"))
+                break
+    return bytes(out)
+
+
+def unwrapped_base64(layer: bytes, alone: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content) of base64 stretches: single lines, and lines joined.
+
+    If alone, content is any bytes, and comes in parts if it is more than LAYER bytes; else it is text up to that size.
     """
     spans = [m.span() for m in BASE64.finditer(layer)]
     if b"\n" in layer:
@@ -171,7 +197,7 @@ def unwrapped_base64(layer: bytes, large: bool = False) -> Iterator[tuple[int, i
     # The longest stretch of a content counts: a compressed stream without its check sum already gives the same.
     last: tuple[int, bytes] | None = None
     for start, end in sorted(set(spans), key=lambda x: (x[0], -x[1])):
-        for plain in decoded(layer[start:end], large):
+        for plain in decoded(layer[start:end], alone):
             if (start, plain) != last:
                 last = start, plain
                 yield start, end, plain
@@ -197,8 +223,9 @@ def joined_lines(lines: list[tuple[int, int]], end: int) -> list[tuple[int, int]
     return sorted(x for x in out if x[1] > lines[0][1])
 
 
-def decoded(stretch: bytes, large: bool) -> Iterator[bytes]:
-    """The text in a stretch of base64, whose lines may be wrapped: whole, or in parts if it unpacks to LAYER bytes or more."""
+def decoded(stretch: bytes, alone: bool) -> Iterator[bytes]:
+    """What a stretch of base64 holds, whose lines may be wrapped: whole, or in parts if it unpacks to LAYER bytes or more.
+    If not alone, only text, and only whole."""
     data = b"".join(stretch.split()).rstrip(b"=").translate(URL_SAFE)
     if HEX.fullmatch(data):
         return
@@ -206,21 +233,22 @@ def decoded(stretch: bytes, large: bool) -> Iterator[bytes]:
         plain = base64.b64decode(data + b"=" * (-len(data) % 4))
     except (binascii.Error, ValueError):
         return
-    if opener(plain) is None:
-        if is_text([plain]):
-            yield plain
-        return
-    head, rest = taken(inflate(plain) or iter([plain]), LAYER)
+    head, rest = taken(iter([plain]) if opener(plain) is None else inflate(plain) or iter([plain]), LAYER)
     if len(head) < LAYER:
-        if is_text([head]):
+        if alone or is_text([head]):
             yield head
-    elif large and is_text(chain([head], rest)):
-        # What was read to its end is unpacked again, to be scanned in parts.
-        yield from parts(inflate(plain))
+    elif alone:
+        yield from parts(chain([head], rest))
 
 
-def escapes(layer: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, content) of the escapes alone, without the characters around them."""
+def escapes(layer: bytes, deep: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content) of the escapes alone, without the characters around them; with those that their last bytes
+    make if deep."""
+    if deep:
+        for start, end, plain, escaped in unwrapped(layer, deep):
+            if escaped:
+                yield start, end, plain
+        return
     if b"%" in layer:
         for m in PERCENTS.finditer(layer):
             yield *m.span(), unquote_to_bytes(m[0])
@@ -280,7 +308,9 @@ def all_spans(text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     or all its base64, decoded in place: that finds secrets of which only parts are encoded. Their spans reach from the
     first to the last encoded or plain part, and count unless spans of the kind cover them already.
 
-    The worklist ends as each content is unwrapped once (a set of digests finds cycles) and layers shrink or are new.
+    The worklist ends as each content is unwrapped once (a set of digests finds cycles) and layers shrink or are new. After
+    STEPS layers of escapes in each other those that are left are decoded at once, in time that grows with the text; only
+    the layers between are not rescanned then.
     """
     base = base_spans(text)
     deep: set[tuple[int, int, str]] = set()
@@ -288,30 +318,31 @@ def all_spans(text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     root = Layer(text, [0], [(0, len(text), False)])
     seen = {hashlib.blake2b(text, digest_size=16).digest()}
 
-    def inner(layer: Layer, found: set[tuple[int, int, str]]) -> Iterator[tuple[Layer, bytes, set[tuple[int, int, str]]]]:
-        """New layers of a layer, what tells equal ones of other places apart, and where their spans go."""
+    def inner(layer: Layer, found: set[tuple[int, int, str]], steps: int) -> Iterator[tuple[Layer, bytes, set[tuple[int, int, str]], int]]:
+        """New layers of a layer, what tells equal ones of other places apart, where their spans go, and after how many
+        layers of escapes they come."""
         some = False
-        for start, end, plain in unwrapped(layer.data):
+        for start, end, plain, escaped in unwrapped(layer.data, steps >= STEPS):
             some = True
             where = layer.place(start, end)
             if plain:
-                yield Layer(plain, [0], [(*where, True)]), b"@%d:%d" % where, found
+                yield Layer(plain, [0], [(*where, True)]), b"@%d:%d" % where, found, steps + escaped
         lone = len(layer.places) == 1 and layer.places[0][2]
-        for decode in (escapes, unwrapped_base64) if some else ():
-            if (whole := layer.replaced(decode(layer.data))) is not None:
-                yield whole, b"@%d:%d" % layer.places[0][:2] if lone else b"", across if layer is root else found
+        for stretches, step in ((escapes(layer.data, steps >= STEPS), 1), (unwrapped_base64(layer.data), 0)) if some else ():
+            if (whole := layer.replaced(stretches)) is not None:
+                yield whole, b"@%d:%d" % layer.places[0][:2] if lone else b"", across if layer is root else found, steps + step
 
-    work = [inner(root, deep)]
+    work = [inner(root, deep, 0)]
     while work:
         if (new := next(work[-1], None)) is None:
             work.pop()
             continue
-        layer, place, found = new
+        layer, place, found, steps = new
         key = hashlib.blake2b(layer.data + place, digest_size=16).digest()
         if key not in seen:
             seen.add(key)
             found.update((*layer.place(a, b), kind) for a, b, kind in base_spans(layer.data))
-            work.append(inner(layer, found))
+            work.append(inner(layer, found, steps))
     return base, sorted((deep | uncovered(across, [*base, *deep])).difference(base), key=order)
 
 
@@ -356,7 +387,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     The counts and the digest are of the base spans; spans also has those found in decoded layers (percent escapes, \\u
     and \\x escapes, base64, which may be wrapped in lines, and gzip, zlib, bzip2 or xz inside it), placed at the outermost
     encoded stretch; of a secret that is encoded in part, the span covers its plain parts too. Base64 counts from 16
-    characters in a line. redacted is the text with every span replaced by [SECRET].
+    characters in a line; what it holds is scanned as bytes, text or not. redacted is the text with every span replaced by [SECRET].
 
     A null text counts as empty (redacted stays null); a null doc_id stays null; repeated rows are scanned each for
     itself; other columns are ignored. Nothing is shuffled. Compressed layers are read to their end, through all members and

@@ -4,42 +4,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tidelog.llm.common import checkpointed, column, numbers, small
-from tidelog.llm.phrases import (
-    COUNT_BITS,
-    OPEN,
-    PARTNER,
-    TAG_BITS,
-    WHOLE,
-    covered,
-    dealt,
-    hash_of,
-    keyed,
-    kind_is,
-    pack_at,
-    per_document,
-    phrase_rows,
-    prefix,
-    resolved,
-    unpack_at,
-    window_rows,
-)
-
-#: Suffixes in one merge, about, and in one run of a map task (a run's bytes are bounded as well).
-MERGED, RUN_BYTES = 5_000, 8 << 20
-#: Anchors that open phrases share more often than this are settled window by window instead.
-WIDE = 20_000
-#: Groups up to this size compare pairs by their common prefixes; larger ones compare hashes of windows.
-PAIRS = 12
-
-#: A suffix: anchor's hash, bytes from the anchor on, bytes before it, doc, place, whether it only serves as a partner.
-Suffix = tuple[int, bytes, bytes, int, int, bool]
+
+from tidelog.llm.common import column, heads, numbers, small
+from tidelog.llm.phrases import COUNT_BITS, TAG_BITS, all_candidates, covered, dealt, keyed, marked, marks_by_document, pack_at, places_of, unpack_at, with_places
+
+#: Suffixes in one part, about; bytes of different suffixes that a map task gathers; suffixes that are settled at a time.
+PART, RUN_BYTES, SETTLED = 8_000, 24 << 20, 4_096
+#: What a run has of each suffix besides its bytes.
+HEAD = np.dtype([("d", "<i8"), ("at", "<i8"), ("right", "<u4"), ("more_right", "<u4"), ("left", "<u4"), ("more_left", "<u4"), ("repeats", "<u4")])
+
+#: A suffix: bytes from its point on, bytes before it backwards, document, first window and tag, whether it repeats in its
+#: run (a settled one that stands for its copies).
+Suffix = tuple[bytes, bytes, int, int, int]
 
 
 def byte_numbers() -> Callable[[bytes], np.ndarray]:
@@ -47,45 +29,34 @@ def byte_numbers() -> Callable[[bytes], np.ndarray]:
 
 
 def common_prefix(x: bytes, y: bytes, known: int = 0) -> int:
-    """Length of the common prefix, of which `known` bytes are known; by doubling and halving."""
-    n, step = min(len(x), len(y)), 16
-    at = known
-    while at < n:
-        end = min(n, at + step)
-        if x[at:end] == y[at:end]:
-            at, step = end, step * 2
-            continue
-        while end - at > 1:
-            middle = (at + end) // 2
-            if x[at:middle] == y[at:middle]:
-                at = middle
-            else:
-                end = middle
-        return at
-    return n
+    """Length of the common prefix, of which `known` bytes are known: the first bit set in the exclusive or tells."""
+    n = min(len(x), len(y))
+    p, q = x[known:n], y[known:n]
+    return n if p == q else n - ((int.from_bytes(p) ^ int.from_bytes(q)).bit_length() + 7) // 8
 
 
 def front_coded(run: list[Suffix]) -> bytes:
-    """A sorted run: of each suffix the length it shares with the one before, and the rest."""
-    head = np.zeros((len(run), 7), np.int64)
-    body = []
-    last = b""
-    for row, (a, right, left, d, at, partner) in zip(head, run, strict=True):
-        same = common_prefix(last, right)
-        row[:] = a, same, len(right) - same, len(left), d, at, partner
-        body += [right[same:], left]
-        last = right
-    return len(run).to_bytes(8, "little") + head.tobytes() + b"".join(body)
+    """A sorted run: of each suffix the lengths that it shares with the one before, on both sides, and the rest."""
+    rows, body = [], []
+    last, last_left = b"", b""
+    for right, left, d, at, repeats in run:
+        same, same_left = common_prefix(last, right), common_prefix(last_left, left)
+        rows.append((d, at, same, len(right) - same, same_left, len(left) - same_left, repeats))
+        body += [right[same:], left[same_left:]]
+        last, last_left = right, left
+    return len(run).to_bytes(8, "little") + heads(rows, HEAD) + b"".join(body)
 
 
 def decoded(run: bytes) -> Iterator[tuple[int, Suffix]]:
     """(shared length with the one before, suffix) of a front-coded run."""
     n = int.from_bytes(run[:8], "little")
-    at, last = 8 + 56 * n, b""
-    for a, same, rest, before, d, place, partner in np.frombuffer(run, np.int64, 7 * n, 8).reshape(n, 7).tolist():
-        last = last[:same] + run[at : at + rest]
-        at += rest + before
-        yield same, (a, last, run[at - before : at], d, place, bool(partner))
+    at, last, last_left = 8 + HEAD.itemsize * n, b"", b""
+    for d, place, same, more, same_left, more_left, repeats in np.frombuffer(run, HEAD, n, 8).tolist():
+        last = last[:same] + run[at : at + more]
+        at += more
+        last_left = last_left[:same_left] + run[at : at + more_left]
+        at += more_left
+        yield same, (last, last_left, d, place, repeats)
 
 
 def merge(runs: list[bytes]) -> Iterator[tuple[int, Suffix]]:
@@ -110,7 +81,7 @@ def merge(runs: list[bytes]) -> Iterator[tuple[int, Suffix]]:
             return (y, x) if one is None else (x, y)
         if shared[x] != shared[y]:
             return (x, y) if shared[x] > shared[y] else (y, x)
-        p, q = one[1], two[1]
+        p, q = one[0], two[0]
         n = common_prefix(p, q, shared[x])
         if n == len(p) or n < len(q) and p[n] < q[n]:
             shared[y] = n
@@ -137,129 +108,129 @@ def merge(runs: list[bytes]) -> Iterator[tuple[int, Suffix]]:
         before = shared[winner]
 
 
-def shared_windows(group: list[Suffix], shared: list[int], width: int) -> Iterator[tuple[int, int]]:
-    """(d, place) of the windows, among those of suffixes with one anchor, that two of them have.
+def repeated_windows(merged: list[Suffix], shared: list[int], width: int, most: int) -> np.ndarray:
+    """[i, k]: whether the window that begins k bytes ahead of the point of suffix i is also that of another suffix, given
+    the sorted suffixes and the length that each shares with the one before; k is below `most` for all windows.
 
-    A window that starts `before` bytes ahead of the anchor is common to two suffixes if they agree on `before` bytes to
-    the left and on the other bytes to the right.
+    Such a window is common to suffixes that share width - k bytes from the point on and k bytes ahead of it. For each k,
+    the suffixes in order fall into classes that share so much, and in the order of the bytes ahead, likewise. Two in the
+    same class both ways have the window in common.
+    """
+    n = len(merged)
+    right = np.array(shared, np.int64)
+    right[0] = 0
+    lefts = [x[1] for x in merged]
+    order = sorted(range(n), key=lefts.__getitem__)
+    left = np.array([0] + [common_prefix(lefts[i], lefts[j]) for i, j in zip(order, order[1:], strict=False)], np.int64)
+    near_right = np.maximum(right, np.append(right[1:], 0))
+    near_left = np.zeros(n, np.int64)
+    near_left[order] = np.maximum(left, np.append(left[1:], 0))
+    length = np.array([len(x) for x in lefts])
+    class_left = np.zeros(n, np.int64)
+    out = np.zeros((n, most), bool)
+    for k in range(most):
+        some = np.flatnonzero((near_right >= width - k) & (near_left >= k) & (length >= k))
+        if len(some) > 1:
+            class_left[order] = np.cumsum(left < k)
+            both = np.cumsum(right < width - k)[some] * n + class_left[some]
+            _, which, count = np.unique(both, return_inverse=True, return_counts=True)
+            out[some[count[which] > 1], k] = True
+    return out
+
+
+def marks_of(merged: list[Suffix], shared: list[int], width: int, most: int) -> pa.RecordBatch:
+    """(d, at) of the repeated windows of suffixes that aren't settled yet."""
+    windows = repeated_windows(merged, shared, width, most)
+    windows[[x[4] > 0 for x in merged]] = False
+    edge = np.diff(np.pad(windows, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, near = np.nonzero(edge == 1)
+    far = np.nonzero(edge == -1)[1] - 1
+    d, at, off = (np.array(x, np.int64)[row] for x in ([x[2] for x in merged], [x[3] for x in merged], [len(x[1]) for x in merged]))
+    first, _, tag = unpack_at(at)
+    return marks(d, pack_at(first + off - far, far - near + 1, tag))
+
+
+def marks(d: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(at, pa.int64())], names=["d", "at"])
+
+
+def suffix_runs(own: DataFrame, places: DataFrame, width: int, parts: int) -> DataFrame:
+    """(part, run): front-coded sorted runs of the suffixes that begin at the points of the elements at places, dealt by
+    the bytes that every window of an element has from its point on.
+
+    Of equal suffixes, with equal bytes ahead, a map task sends one, as they are repeats of each other: their places come
+    out as a run of marks, of no part (below 0). The one that is sent stands for the others' copies elsewhere.
     """
-    if len(group) > PAIRS:
-        yield from hashed_windows(group, width)
-        return
-    found: list[list[tuple[int, int]]] = [[] for _ in group]
-    for i, (_, _, left, *_) in enumerate(group):
-        right = width
-        for j in range(i + 1, len(group)):
-            right = min(right, shared[j])
-            if right + len(left) < width:
-                break
-            back = common_prefix(left[::-1], group[j][2][::-1])
-            if back + right >= width:
-                found[i].append((width - right, back))
-                found[j].append((width - right, back))
-    for (_, _, left, d, at, partner), ranges in zip(group, found, strict=True):
-        if partner:
-            continue
-        first, count, tag = (int(x) for x in unpack_at(np.int64(at)))
-        for low, high in ranges:
-            begin, end = max(0, len(left) - high), min(count - 1, len(left) - low)
-            if begin <= end:
-                yield d, (first + begin) << (COUNT_BITS + TAG_BITS) | (end - begin + 1) << TAG_BITS | tag
-
-
-def hashed_windows(group: list[Suffix], width: int) -> Iterator[tuple[int, int]]:
-    hashes, owners, starts = [], [], []
-    for k, (_, right, left, _, at, _) in enumerate(group):
-        count = int(unpack_at(np.int64(at))[1])
-        here = np.arange(count)
-        hashes.append(hash_of(prefix(np.frombuffer(left + right, np.uint8).astype(np.uint64) + np.uint64(1)), here, here + width))
-        owners.append(np.full(count, k))
-        starts.append(here)
-    values, owner, start = (np.concatenate(x) for x in (hashes, owners, starts))
-    _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
-    for k, begin in zip(owner[count[inverse] > 1].tolist(), start[count[inverse] > 1].tolist(), strict=True):
-        _, _, _, d, at, partner = group[k]
-        if not partner:
-            first, _, tag = (int(x) for x in unpack_at(np.int64(at)))
-            yield d, int(pack_at(first + begin, 1, tag))
-
-
-def suffix_runs(own: DataFrame, places: DataFrame, width: int, gram: int, parts: int) -> DataFrame:
-    """(part, run): front-coded sorted runs of the suffixes that start at the anchors of the phrases at places."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffixes: list[Suffix] = []
+        found: dict[tuple[bytes, bytes, int], list[int]] = {}
+        settled: list[tuple[int, int]] = []
         size = 0
         for batch in small(batches):
-            for text, doc, tag, at, kinds in zip(column(batch, "text"), numbers(batch, "d"), numbers(batch, "tag"), column(batch, "places"), column(batch, "kinds"), strict=True):
-                chosen = {}
-                for place, kind in zip(at, kinds, strict=True):
-                    if place & (1 << TAG_BITS) - 1 == tag:
-                        chosen[place] = min(kind, chosen.get(place, PARTNER))
-                for place, kind in chosen.items():
-                    first, count, _ = (int(x) for x in unpack_at(np.int64(place)))
-                    part = text[first : first + count - 1 + width]
-                    if len(part) < count - 1 + width:
+            for text, doc, tag, places in zip(column(batch, "text"), numbers(batch, "d").tolist(), numbers(batch, "tag").tolist(), places_of(batch), strict=True):
+                for first, count, off, cell in np.stack(places, axis=1).tolist():
+                    part, place = text[first : first + count - 1 + width], first << COUNT_BITS + TAG_BITS | count << TAG_BITS | tag
+                    element = (part[off:], part[:off][::-1], cell)
+                    known = found.setdefault(element, [doc, place, -1])
+                    if known[2] < 0:
+                        known[2] = 0
+                        size += len(part) + 300
                         continue
-                    anchor, a = anchor_of(part, width, gram)
-                    suffixes.append((a, part[anchor:], part[:anchor], int(doc), place, kind == PARTNER))
-                    size += len(part) + 200
-                if size > RUN_BYTES:
-                    yield runs_of(suffixes)
-                    suffixes, size = [], 0
-        if suffixes:
-            yield runs_of(suffixes)
-
-    def runs_of(suffixes: list[Suffix]) -> pa.RecordBatch:
-        by_part: dict[int, list[Suffix]] = {}
-        for x in suffixes:
-            by_part.setdefault(x[0] % parts, []).append(x)
-        runs = [front_coded(sorted(x, key=lambda y: y[1])) for x in by_part.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(by_part), pa.int64()), pa.array(runs, pa.binary())], names=["part", "run"])
-
-    lists = places.groupBy("d").agg(F.collect_list(F.struct("at", "kind")).alias("x")).select("d", F.col("x.at").alias("places"), F.col("x.kind").alias("kinds"))
-    return own.join(lists, "d").select("d", "tag", "doc_id", "text", "places", "kinds").mapInArrow(cut, "part long, run binary")
-
-
-def anchor_of(part: bytes, width: int, gram: int) -> tuple[int, int]:
-    """The anchor that all windows of a phrase share, and its hash."""
-    h = prefix(np.frombuffer(part, np.uint8).astype(np.uint64) + np.uint64(1))
-    places = np.arange(len(part) - width, width - gram + 1)
-    grams = hash_of(h, places, places + gram)
-    k = int(np.argmin(grams))
-    return int(places[k]), int(grams[k].view(np.int64))
-
-
-def merged_marks(runs: DataFrame, width: int, gram: int) -> DataFrame:
+                    if not known[2]:
+                        known[2] = 1
+                        settled.append((known[0], known[1]))
+                    settled.append((doc, place))
+                if size > RUN_BYTES or len(settled) > 50_000:
+                    yield coded(found, settled)
+                    found, settled, size = {}, [], 0
+        if found:
+            yield coded(found, settled)
+
+    def coded(found: dict[tuple[bytes, bytes, int], list[int]], settled: list[tuple[int, int]]) -> pa.RecordBatch:
+        common = lambda right, cell: xxhash.xxh3_64_intdigest(right[: width - cell + 1]) % parts
+        suffixes = sorted((common(right, cell), right, left, d, at, repeats) for (right, left, cell), (d, at, repeats) in found.items())
+        by = [(part, front_coded([x[1:] for x in run])) for part, run in groupby(suffixes, lambda x: x[0])]
+        if settled:
+            by.append((-1 - settled[0][0] % parts, np.array(settled, np.int64).tobytes()))
+        part, run = zip(*by, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(run, pa.binary())], names=["part", "run"])
+
+    return with_places(own, places).mapInArrow(cut, "part long, run binary")
+
+
+def merged_marks(runs: DataFrame, width: int, widest: int) -> DataFrame:
     """(d, at) of repeated windows, from merging the runs of each part."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks = None, []
-        for batch in batches:
+        for batch in small(batches, 64):
             for here, run in zip(column(batch, "part"), column(batch, "run"), strict=True):
+                if here < 0:
+                    yield marks(*np.frombuffer(run, np.int64).reshape(-1, 2).T)
+                    continue
                 if here != part and blocks:
-                    yield from marks(blocks)
+                    yield from of_part(blocks)
                     blocks = []
                 part = here
                 blocks.append(run)
         if blocks:
-            yield from marks(blocks)
+            yield from of_part(blocks)
 
-    def marks(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        group: list[Suffix] = []
+    def of_part(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        merged: list[Suffix] = []
         shared: list[int] = []
         for same, suffix in merge(blocks):
-            # Anchors are equal if their grams are, which stand at the front of the suffixes.
-            if group and same < gram:
-                out += shared_windows(group, shared, width) if len(group) > 1 else ()
-                group, shared = [], []
-            group.append(suffix)
+            # Windows in common need as many common bytes from their point on.
+            if same < width - widest + 1:
+                if len(merged) == 1:
+                    merged, shared = [], []
+                elif len(merged) >= SETTLED:
+                    yield marks_of(merged, shared, width, widest)
+                    merged, shared = [], []
+            merged.append(suffix)
             shared.append(same)
-        out += shared_windows(group, shared, width) if len(group) > 1 else ()
-        if out:
-            d, at = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(at, pa.int64())], names=["d", "at"])
+        if len(merged) > 1:
+            yield marks_of(merged, shared, width, widest)
 
     return runs.repartition("part").sortWithinPartitions("part").mapInArrow(settle, "d long, at long")
 
@@ -269,35 +240,27 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 400, gram: int = 64, keep_
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left, if keep_text).
 
-    Suffixes are taken at anchors that content alone decides, about one in `width` / 2 bytes: equal strings have equal
-    anchors at equal places, so no repeated string escapes. A phrase around an anchor that occurs twice is repeated as a
-    whole. The suffixes of the other phrases that share an anchor are sorted: map tasks send front-coded sorted runs, and
-    a loser tree merges them by the prefixes they are known to share. Neighbours' common prefixes, with the bytes left of
-    the anchor, then tell which strings repeat. An anchor that more than WIDE open phrases share is settled by counting
-    the hashes of its windows in a shuffle instead, so that no task has to hold its group.
+    Hashes only choose: elements of at most `width` - `gram` + 1 neighbouring windows that may have a window in common with
+    others (see phrases). Each becomes a suffix, from its point on, and the bytes ahead of it. Map tasks send front-coded
+    sorted runs of them; a loser tree merges those by the prefixes they are known to share, and what neighbours in that
+    order, and in the order of the bytes ahead, have in common decides which windows repeat. An element whose key very
+    many different ones have is divided into narrower ones before, down to single windows, whose key only equal strings
+    (and collisions) have; so no task has to hold a passage's many surroundings.
 
     A null text counts as empty; a null doc_id stays null; rows that repeat a doc_id are documents of their own, so that
     the long strings of identical rows go from each. An empty table gives no rows; other columns are ignored.
     """
     own = dealt(keyed(docs))
-    known = checkpointed(resolved(phrase_rows(keyed(docs), byte_numbers, width, gram, earlier_only=False), earlier_only=False))
-    loose = known.where(kind_is(OPEN, PARTNER))
-    wide = checkpointed(loose.groupBy("a").count().where(F.col("count") > WIDE).select("a"))
-    some_wide = bool(wide.limit(1).count())
-    parts = max(1, loose.count() // MERGED)
-    marks = known.where(kind_is(WHOLE)).select("d", "at")
-    narrow = loose.join(wide, "a", "left_anti") if some_wide else loose
-    marks = marks.unionAll(merged_marks(suffix_runs(own, narrow, width, gram, parts), width, gram))
-    if some_wide:
-        windows = window_rows(own, loose.join(wide, "a", "left_semi").select("d", "at"), byte_numbers, width, earlier_only=False)
-        marks = marks.unionAll(resolved(windows, earlier_only=False).where(kind_is(WHOLE)).select("d", "at"))
+    widest = -(-(width - gram + 1) // 2)
+    places, size = all_candidates(keyed(docs), byte_numbers, width, gram, (widest, max(1, round(widest**0.5)), 1), earlier_only=False)
+    found = merged_marks(suffix_runs(own, places, width, max(1, size // PART)), width, widest)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             sizes, removed, spans, digests, left = [], [], [], [], []
-            for text, tag, at in zip(column(batch, "text"), numbers(batch, "tag"), column(batch, "places"), strict=True):
+            for text, tag, at in zip(column(batch, "text"), numbers(batch, "tag").tolist(), marked(batch, "marks"), strict=True):
                 text = text or b""
-                gone = covered(at, int(tag), len(text), width)
+                gone = covered(at, tag, len(text), width)
                 kept = text
                 if gone.any():
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -311,4 +274,4 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 400, gram: int = 64, keep_
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(left, pa.binary())] * keep_text, names=names + ["kept"] * keep_text)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return own.join(per_document(marks, "places"), "d", "left").select("d", "tag", "doc_id", "text", "places").mapInArrow(remove, schema)
+    return own.join(marks_by_document(found), "d", "left").select("d", "tag", "doc_id", "text", "marks").mapInArrow(remove, schema)
