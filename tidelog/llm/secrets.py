@@ -417,7 +417,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def with_redacted_texts(docs: DataFrame) -> DataFrame:
-    """The rows of docs with every span of scan_secrets in text replaced by [SECRET]; n_chars, if there, follows."""
+    """The rows of docs with every span of scan_secrets in text replaced by [SECRET]; n_chars, if there, follows.
+
+    Null and empty texts, and rows without secrets, stay as they are, whatever their id and other columns; repeated rows
+    change alike; an empty table gives no rows.
+    """
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
