@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, checkpointed, column, small
+from tidelog.llm.common import as_bytes, column, small, stored
+from tidelog.llm.minhash import WordHashes
+from tidelog.llm.phrases import hash_of, prefix
 
 #: Word bytes stay (A-Z lower-cased), all others become spaces.
 TABLE = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
@@ -21,59 +23,96 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """Multi-pattern search over sequences of words, patterns of one length; a block is the last two words (one, for patterns of one word)."""
-
-    def __init__(self, patterns: list[tuple[bytes, ...]]):
-        self.m = len(patterns[0])
-        self.block = min(2, self.m)
-        self.jump = self.m - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
-        self.patterns = patterns
-        for k, words in enumerate(patterns):
-            for end in range(self.block, self.m + 1):
-                key = words[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.jump), self.m - end)
-            self.bucket[words[-self.block :]].append(k)
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(start, pattern) of all occurrences."""
-        m, block, jump, shift, bucket, patterns = self.m, self.block, self.jump, self.shift, self.bucket, self.patterns
-        end, n = m, len(words)
-        while end <= n:
-            key = (words[end - 2], words[end - 1]) if block == 2 else (words[end - 1],)
-            step = shift.get(key, jump)
-            if step:
+    """Multi-pattern search over sequences of words, patterns of one length; a block is the last two words (one, for
+    patterns of one word).
+
+    Tables are arrays: SHIFT by bits of a block's hash, where blocks of the same bits share the smaller shift; patterns in
+    the order of their last block's hash, and in a bucket of equal ones by the hash of the whole, so that a bucket is
+    searched and not walked. What it selects is compared as bytes.
+    """
+
+    def __init__(self, m: int, words: list[np.ndarray], texts: list[bytes], items: list[int | None]):
+        """words has the words' hashes of each text, texts their bytes, joined by spaces."""
+        self.m, self.block = m, min(2, m)
+        self.jump = m - self.block + 1
+        places = sum(len(x) for x in words)
+        self.bits = max(10, (8 * places).bit_length())
+        self.shift = np.full(1 << self.bits, min(self.jump, 255), np.uint8)
+        suffix, whole, begins, ends = [], [], [], []
+        size = 0
+        for x, text in zip(words, texts, strict=True):
+            h = prefix(x)
+            last = np.arange(self.block, len(x) + 1)
+            hashes = hash_of(h, last - self.block, last)
+            np.minimum.at(self.shift, self.slot(hashes), np.minimum(np.maximum(m - last, 0), 255).astype(np.uint8))
+            first = np.arange(len(x) - m + 1)
+            suffix.append(hashes[first + m - self.block])
+            whole.append(hash_of(h, first, first + m))
+            gaps = np.flatnonzero(np.frombuffer(text + b" ", np.uint8) == 32)
+            begins.append(size + np.concatenate([[0], gaps[:-1] + 1])[first])
+            ends.append(size + gaps[first + m - 1])
+            size += len(text)
+        self.text = b"".join(texts)
+        owner = np.repeat(np.arange(len(words)), [len(x) for x in whole])
+        suffix, whole, begins, ends = (np.concatenate(x) for x in (suffix, whole, begins, ends))
+        order = np.lexsort((owner, whole, suffix))
+        self.suffix, self.whole, self.begins, self.ends = suffix[order], whole[order], begins[order].astype(np.uint32), ends[order].astype(np.uint32)
+        self.owner = owner[order].astype(np.uint32)
+        self.items = items
+
+    def slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, words: list[bytes], h: np.ndarray) -> Iterator[tuple[int, set]]:
+        """(start, items) of all occurrences in words, given the prefix hashes of their hashes."""
+        m, block, n = self.m, self.block, len(words)
+        if n < m:
+            return
+        last = np.arange(m, n + 1)
+        hashes = hash_of(h, last - block, last)
+        steps = self.shift[self.slot(hashes)].tolist()
+        found, end = [], 0
+        while end < len(steps):
+            if step := steps[end]:
                 end += step
-                continue
-            start = end - m
-            window = tuple(words[start:end])
-            for k in bucket[key]:
-                if patterns[k] == window:
-                    yield start, k
-            end += 1
+            else:
+                found.append(end)
+                end += 1
+        if not found:
+            return
+        found = np.array(found)
+        low, high = (np.searchsorted(self.suffix, hashes[found], side) for side in ("left", "right"))
+        some = low < high
+        whole = hash_of(h, found[some], found[some] + m)
+        for start, a, z, key in zip(found[some].tolist(), low[some].tolist(), high[some].tolist(), whole, strict=True):
+            i, j = (a + int(np.searchsorted(self.whole[a:z], key, side)) for side in ("left", "right"))
+            if i < j:
+                window = b" ".join(words[start : start + m])
+                same = [k for k in range(i, j) if self.text[self.begins[k] : self.ends[k]] == window]
+                if same:
+                    yield start, {self.items[self.owner[k]] for k in same}
 
 
 class Benchmark:
-    """Windows of items, and a searcher for each window length."""
+    """A searcher for each length of windows, and the words whose hashes a worker remembers."""
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], width: int):
-        owners: dict[tuple[bytes, ...], set] = defaultdict(set)
+        hashes = WordHashes()
+        by: dict[int, tuple[list, list, list]] = {}
         for item, text in items:
-            words = words_of(text)
-            for at in range(max(1, len(words) - width + 1) if words else 0):
-                owners[tuple(words[at : at + width])].add(item)
-        lengths: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
-        for window in sorted(owners):
-            lengths[len(window)].append(window)
-        self.searchers = [(WuManber(x), [owners[window] for window in x]) for _, x in sorted(lengths.items())]
-
-    def scan(self, words: list[bytes]) -> tuple[bytearray, set]:
+            if words := words_of(text):
+                here = by.setdefault(min(len(words), width), ([], [], []))
+                for x, value in zip(here, (hashes.of(words), b" ".join(words), item), strict=True):
+                    x.append(value)
+        self.searchers = [WuManber(m, *x) for m, x in sorted(by.items())]
+
+    def scan(self, words: list[bytes], hashes: WordHashes) -> tuple[bytearray, set]:
         hit, items = bytearray(len(words)), set()
-        for searcher, owners in self.searchers:
-            for start, k in searcher.find(words):
+        h = prefix(hashes.of(words))
+        for searcher in self.searchers:
+            for start, owners in searcher.find(words, h):
                 hit[start : start + searcher.m] = b"\1" * searcher.m
-                items |= owners[k]
+                items |= owners
         return hit, items
 
 
@@ -94,8 +133,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_b
     Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (array of ids) and spans (array of
     start, end in words). An item with fewer words than a window is one window; one without words is none.
 
-    A benchmark of over most_bytes is searched in blocks, one pass each, with what was found carried along in a
-    checkpointed table. A null text has no words; a null item_id hits words but isn't listed or counted; repeated items
+    A benchmark of over most_bytes is searched in blocks, one pass each, with what was found carried along in a table
+    written out; a block's tables take about eight times its bytes, and no more than one is alive at a time. A null text has no words; a null item_id hits words but isn't listed or counted; repeated items
     count once, repeated documents each for itself; empty tables give no rows or no hits; other columns are ignored.
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<long>").alias("items"))
@@ -106,10 +145,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_b
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, width))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
             for batch in small(batches):
                 hits, items = [], []
                 for text, old_hit, old_items in zip(column(batch, "text"), column(batch, "hit"), column(batch, "items"), strict=True):
-                    hit, now = shared.value.scan(words_of(text))
+                    hit, now = shared.value.scan(words_of(text), hashes)
                     if old_hit:
                         hit = bytearray(x | y for x, y in zip(hit, old_hit, strict=True))
                     hits.append(bytes(hit))
@@ -118,7 +158,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_b
 
         found = found.mapInArrow(search, schema)
         if many:
-            found = checkpointed(found)
+            found = stored(found)
+            shared.destroy()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,17 +185,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_b
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs, all columns unchanged, whose text has no occurrence of a window of a benchmark item.
 
-    Blocks of a large benchmark filter one after the other; nothing is shuffled. A null text has no occurrence.
+    A benchmark of over most_bytes is searched in blocks, one pass each, over what is left in a table written out; nothing
+    is shuffled. A null text has no occurrence; a null item_id counts as any other; repeated rows and items, and columns of
+    any name, make no difference; an empty table gives no rows, an empty benchmark all.
     """
-    for block in blocks_of(docs.sparkSession, benchmark, most_bytes):
+    blocks = blocks_of(docs.sparkSession, benchmark, most_bytes)
+    many = not isinstance(blocks, list)
+    for block in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, width))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
             for batch in small(batches):
                 texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-                yield batch.filter(pa.array([1 not in shared.value.scan(words_of(x))[0] for x in texts], pa.bool_()))
+                yield batch.filter(pa.array([1 not in shared.value.scan(words_of(x), hashes)[0] for x in texts], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if many:
+            docs = stored(docs)
+            shared.destroy()
     return docs
 
 

@@ -103,6 +103,7 @@ class Model:
 
     def prepare(self) -> None:
         self.lookup = classes(self.letters)
+        self.alphabet = {x for x in (chr(code - 1) for code in self.letters.tolist()) if x.isalpha()}
         self.size = min(len(self.letters), ALPHABET) + 1
         n = np.arange(len(self.vocabulary), dtype=np.int32)
         self.tables = []
@@ -141,7 +142,9 @@ class Model:
         return some / max(total, 1)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Kernel rows against all landmarks, then the classes' scores, as two matrix products."""
+        """The classes' scores, as two matrix products by way of kernel rows against all landmarks. The kernel is that of the
+        n-grams in the vocabulary, those of the landmarks: the inner product of two texts' presence of them, over the roots
+        of how many each has."""
         x = self.presence(texts)
         size = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
         return (x @ self.landmarks / size) @ self.weights
@@ -222,7 +225,8 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, n
     from. Rows without a label, text or id aren't learned from. Repeated rows are predicted each for itself; other
     columns pass through, but for those named lang_pred or score, which are replaced. Nothing of docs is shuffled.
 
-    The score tells languages apart, not texts from what is none: one without any known n-gram has 0.5. If like, a column
+    The score tells languages apart, not texts from what is none; but one of whose letters the model knows none has 0 (and
+    the class that wins by its other n-grams, or by name). If like, a column
     of that name (replaced, too) says whether enough of the n-grams of its letters are known: a share of at least LIKE times
     that which all but LEAST_LIKE of the labelled rows reach when held out. A few words can reach it by chance.
     """
@@ -247,8 +251,10 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, n
                 values = model.scores([part[k] for k in some])
                 best = values.argmax(axis=1)
                 for k, b, value in zip(some, best, values.max(axis=1), strict=True):
-                    preds[at + k], scores[at + k] = model.langs[b], min(1.0, max(0.0, (float(value) + 1) / 2))
-                    alike[at + k] = like and model.known(part[k]) >= model.least
+                    preds[at + k] = model.langs[b]
+                    if not model.alphabet.isdisjoint(part[k].lower()):
+                        scores[at + k] = min(1.0, max(0.0, (float(value) + 1) / 2))
+                        alike[at + k] = like and model.known(part[k]) >= model.least
             yield pa.RecordBatch.from_arrays([row, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(alike, pa.bool_())][: 1 + len(added)], names=["_row", *added])
 
     carried = docs.select(F.struct(*(F.col(f"`{x}`") for x in names)).alias("_row"), *([] if "text" in names else [as_bytes().alias("text")]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -29,6 +30,19 @@ MARKED = re.compile(rf"{MARKS}(?<=[a-z\u00df-\u00f6\u00f8-\u024f]{MARKS}){MARKS}
 EXOTIC = re.compile("[\u0250-\U0010ffff]")
 
 
+# What a vocabulary's file must say for texts to be encoded word by word, and its words of letters together.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def simpler(text: str) -> str:
     """A text of the same ids that has fewer distinct words: in lower case, as the tokenizer makes it, and with
     punctuation after words apart from them, as the tokenizer cuts it."""
@@ -38,9 +52,10 @@ def simpler(text: str) -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts by way of their distinct space-separated words.
+    """Ids of whole texts by way of their distinct space-separated words, if the vocabulary's file is as BY_WORDS says;
+    texts go to the tokenizer whole if not.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are its words' ids in order. Only the
+    Such a vocabulary drops white space and never merges across it, so a text's ids are its words' ids in order. Only the
     space and the line feed divide words here; all else is left to the tokenizer. A word of Latin letters is one
     pre-token; many such are encoded as one string, in which a token that ends a word ends a pre-token.
     """
@@ -50,6 +65,8 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.by_words = all(told[name] == x for name, x in BY_WORDS.items()) and told["model"]["end_of_word_suffix"] == "</w>"
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -71,6 +88,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian. Texts come in small groups, so that new words are encoded together."""
+        if not self.by_words:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
@@ -112,7 +131,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, largest: int = 4096,
 
     A null text counts as empty and gives the single piece [end_id]; a null doc_id stays null; repeated rows are packed
     each for itself; an empty table gives no rows; other columns are ignored. The longest text must fit in a worker.
-    Nothing is shuffled: sequence_id is unique and depends only on the place of a row in its partition.
+    Nothing is shuffled: sequence_id is unique and depends only on the place of a row in its partition, so pack a table
+    that is read from files, not the result of a shuffle, whose order may change when a partition is computed again.
     """
     if largest & (largest - 1) or largest < 1:
         raise ValueError("largest must be a power of two")

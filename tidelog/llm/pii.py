@@ -56,13 +56,23 @@ def parts_at_most_255(x: Column) -> Column:
     return F.forall(F.split(x, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.right(p, F.lit(9)).try_cast("int"), F.lit(0)) <= 255))
 
 
+# Characters of an account number by country, from the public registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+#: The length follows from the country, so that what stands after a number isn't taken for a part of it.
+IBAN = "|".join(rf"(?:{x.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, x in IBAN_LENGTHS.items())
+
+
 # The kinds of the contract, in its order, then those that the method adds.
 KINDS = (
     Kind("email", "@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda x: F.lit(True), r"mail|contact|write to", 0.9, True),
     Kind("ip", r"[0-9]\.[0-9]", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+", parts_at_most_255, r"\bip\b|address|host|server", 0.7, True),
     Kind("card", r"[0-9](?:[ -]?[0-9]){13}", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])", lambda x: luhn(digits(x)), r"card|visa|credit|pay", 0.8, True),
     Kind("phone", r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", lambda x: F.length(digits(x)).between(10, 15), r"tel|phone|call|mobile|fax", 0.6, True),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", lambda x: mod97(F.regexp_replace(x, " ", "")), r"iban|account|bank", 0.6, False),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}", rf"(?<![A-Za-z0-9])(?:{IBAN})(?![A-Za-z0-9])", lambda x: mod97(F.regexp_replace(x, " ", "")), r"iban|account|bank", 0.6, False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda x: F.lit(True), r"\bssn\b|social security", 0.2, False),
 )
 #: What a context word adds to a score, the characters before a span (back to the one before it) that are searched, and
