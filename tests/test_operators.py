@@ -194,7 +194,7 @@ def test_modes_quantiles_concentration(spark):
     x = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None)], "g int, v string")
     assert [tuple(r) for r in aggregates.mode_smallest(x, ["g"], "v").collect()] == [(1, "a", 1)]
     w = spark.createDataFrame([(0, 1.0, 1.0), (0, 2.0, 1.0), (0, 9.0, 0.0), (0, 3.0, 2.0)], "g int, v double, w double").withColumn("t", F.col("v"))
-    assert aggregates.weighted_quantiles(w, ["g"], "v", "w", {"q50": 0.5}, "t").first().q50 == 2.0
+    assert aggregates.weighted_quantiles(w, ["g"], "v", "w", {"q50": 0.5}).first().q50 == 2.0
 
 
 def test_greedy_folds(spark):
@@ -246,14 +246,37 @@ def test_bundle_and_geometries(spark, tmp_path):
     assert stress["x"] > 1
 
 
-def test_kth_smallest(spark):
-    r = random.Random(4)
-    rows = [(g, r.choice([0.0, 1.0, r.random() * 100])) for g in (1, 2) for _ in range(200)] + [(3, 5.0), (4, None)]
-    got = evaluation.kth_smallest(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", F.array(F.lit(1).cast("bigint"), F.ceil(F.col("n") * 0.7).cast("bigint"), F.col("n")), cells=8).collect()
-    for x in got:
-        values = sorted(v for g, v in rows if g == x.g and v is not None)
-        assert x.v == values[x.place - 1] and x.n == len(values)
-    assert len({(x.g, x.place) for x in got}) == 7
+@pytest.mark.parametrize("coarse, small", [(16, 512), (2, 4)])
+def test_quantiles_of_all_folds_but_one(spark, monkeypatch, coarse, small):
+    from tidelog.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "COARSE", coarse)
+    monkeypatch.setattr(quantiles, "SMALL", small)
+    r = np.random.default_rng(5)
+    n = 1500
+    values = np.where(r.random(n) < 0.3, 7.0, np.exp(r.normal(0, 6, n)))
+    rows = pd.DataFrame({"g": [None if x == 3 else int(x) for x in r.choice([0, 0, 0, 1, 2, 3], n)], "fold": r.integers(0, 4, n), "v": values, "w": r.random(n)})
+    rows.loc[::17, "v"] = None
+    df = spark.createDataFrame([(None if pd.isna(a) else int(a), int(b), None if pd.isna(c) else float(c), float(d)) for a, b, c, d in rows.itertuples(index=False)], "g int, fold int, v double, w double").repartition(3)
+    x = rows[rows.v.notna()]
+    key = lambda g: -1 if pd.isna(g) else int(g)
+    got = {(key(t.g), t._f): (t.n, list(t.q)) for t in quantiles.quantiles(df, ["g"], "v", [0.0, 0.35, 0.5, 1.0], "fold").collect()}
+    want = {}
+    for g in (-1, 0, 1, 2):
+        for f in range(4):
+            part = x[(x.g.map(key) == g) & (x.fold != f)].v.to_numpy()
+            want[g, f] = (len(part), np.quantile(part, [0.0, 0.35, 0.5, 1.0]).tolist())
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+    whole = quantiles.statistics(df, [], "v", lambda n: F.array(F.lit(1).cast("bigint"), F.ceil(n * 0.7).cast("bigint"), n)).collect()
+    ordered = np.sort(x.v.to_numpy())
+    assert {t.place: t.v for t in whole} == {k: ordered[k - 1] for k in (1, int(np.ceil(len(x) * 0.7)), len(x))}
+    for t in aggregates.weighted_quantiles(df, ["g"], "v", "w", {"a": 0.2, "b": 0.5}).collect():
+        part = x[x.g.map(key) == key(t.g)].sort_values("v")
+        cdf = part.w.cumsum() / part.w.sum()
+        assert (t.a, t.b) == tuple(part.v[cdf >= q - 1e-12].min() for q in (0.2, 0.5))
+    for t in aggregates.spearman(df, ["g"], "v", "w").collect():
+        part = x[x.g.map(key) == key(t.g)]
+        assert t.n == len(part) and t.rho == pytest.approx(part.v.rank().corr(part.w.rank()))
 
 
 def test_streaming_equals_batch(spark, tmp_path):

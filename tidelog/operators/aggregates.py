@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators import quantiles
+
 
 def metrics(error: Column, digits: int = 6) -> list[Column]:
     """Regression metrics of an error column: n, mae, medae, rmse, p90, p95, within_24, worst."""
@@ -27,13 +29,9 @@ def weighted(error: Column, weight: Column, digits: int = 6) -> list[Column]:
     return [F.round(F.sum(weight * F.abs(error)) / total, digits).alias("w_mae"), F.round(F.sqrt(F.sum(weight * error * error) / total), digits).alias("w_rmse")]
 
 
-def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, qs: dict[str, float], tie: str) -> DataFrame:
+def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, qs: dict[str, float]) -> DataFrame:
     """The first value at which the running weight reaches each share of the whole; rows of no positive weight don't count."""
-    x = df.where((F.col(weight) > 0) & F.col(value).isNotNull())
-    w = Window.partitionBy(*by)
-    run = F.sum(weight).over(w.orderBy(value, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumn("_cdf", run / F.sum(weight).over(w))
-    return x.groupBy(*by).agg(*(F.min(F.when(F.col("_cdf") >= q - 1e-12, F.col(value))).alias(name) for name, q in qs.items()))
+    return quantiles.weighted(df, by, value, weight, qs)
 
 
 def slices(df: DataFrame, families: list[str], aggs: list[Column]) -> DataFrame:
@@ -59,11 +57,11 @@ def concentration(df: DataFrame, error: Column, ks: list[int], tie: str) -> Data
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks; NULL for fewer than 3 rows or a constant side."""
-    w = Window.partitionBy(*by)
-    rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": rank(x), "_y": rank(y)})
-    enough = (F.count("*") >= 3) & (F.countDistinct(x) >= 2) & (F.countDistinct(y) >= 2)
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.when(enough, F.corr("_x", "_y")).alias("rho"))
+    sound = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    r = quantiles.average_ranks(quantiles.average_ranks(sound, by, x, "_x"), by, y, "_y")
+    # Ranks are constant where values are.
+    varied = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
+    return r.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & varied, F.corr("_x", "_y")).alias("rho"))
 
 
 def mode_smallest(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -13,14 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.config import IntervalConfig
+from tidelog.operators import quantiles
 
 
 def median_baselines(rows: DataFrame, target: str, key: str, fold: str = "fold") -> DataFrame:
     """Out-of-fold global and per-key medians with fallback: all folds in one plan."""
-    folds = rows.select(F.col(fold).alias("_f")).distinct()
-    outside = rows.where(F.col(target).isNotNull()).join(F.broadcast(folds), F.col("_f") != F.col(fold))
-    top = outside.groupBy("_f").agg(F.median(target).alias("global_median"))
-    own = outside.groupBy(F.col("_f").alias("_f2"), F.col(key).alias("_k")).agg(F.median(target).alias("_m"))
+    top = quantiles.quantiles(rows, [], target, [0.5], fold).select("_f", F.col("q")[0].alias("global_median"))
+    own = quantiles.quantiles(rows, [key], target, [0.5], fold).select(F.col("_f").alias("_f2"), F.col(key).alias("_k"), F.col("q")[0].alias("_m"))
     x = rows.join(F.broadcast(top), F.col(fold) == F.col("_f"), "left").drop("_f")
     x = x.join(own, (F.col(fold) == F.col("_f2")) & (F.col(key) == F.col("_k")), "left")
     return x.withColumn("key_median", F.coalesce("_m", "global_median")).drop("_f2", "_k", "_m")
@@ -74,38 +73,20 @@ def blended(rows: DataFrame, experts: list[str], weights: dict[int, np.ndarray],
     return rows.withColumn("blend", expr)
 
 
-def kth_smallest(df: DataFrame, by: list[str], value: str, places: Column, cells: int = 4096) -> DataFrame:
-    """(by, n, place, value): order statistics of each group, at an array of places (from 1) given in terms of n.
-
-    A histogram between the group's extremes tells which cell holds a place; only that cell's rows are then sorted. So no
-    task sorts a whole group, however few the groups are.
-    """
-    x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    x = x if by else x.withColumn("_g", F.lit(0))
-    g = by or ["_g"]
-    ends = x.groupBy(*g).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("n")).withColumn("place", F.explode(places))
-    cell = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * cells), F.lit(cells - 1))).otherwise(0)
-    celled = x.join(F.broadcast(ends.select(*g, "_low", "_high").distinct()), g).withColumn("_c", cell)
-    counts = celled.groupBy(*g, "_c").agg(F.count("*").alias("_m"))
-    counts = counts.withColumn("_upto", F.sum("_m").over(Window.partitionBy(*g).orderBy("_c")))
-    holds = ends.join(counts, g).where((F.col("_upto") >= F.col("place")) & (F.col("_upto") - F.col("_m") < F.col("place")))
-    wanted = holds.select(*g, "n", "place", "_c", (F.col("place") - F.col("_upto") + F.col("_m")).alias("_k"))
-    rows = celled.select(*g, "_v", "_c").join(F.broadcast(wanted.select(*g, "_c").distinct()), [*g, "_c"])
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_c").orderBy("_v")))
-    return ranked.join(F.broadcast(wanted), [*g, "_c"]).where("_r = _k").select(*by, "n", "place", F.col("_v").alias(value))
+def conformal_place(n: Column, coverage: float) -> Column:
+    """k = ceil((n + 1) * coverage) within 1..n."""
+    return F.least(n, F.greatest(F.lit(1), F.ceil((n + 1) * coverage))).cast("bigint")
 
 
 def conformal(rows: DataFrame, score: str, by: list[str], coverage: float) -> DataFrame:
-    """(by, n, width): the k-th smallest score, k = ceil((n + 1) * coverage) within 1..n."""
-    k = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil((F.col("n") + 1) * coverage)))
-    return kth_smallest(rows, by, score, F.array(k.cast("bigint"))).select(*by, "n", F.col(score).alias("width"))
+    """(by, n, width): the k-th smallest score of each group."""
+    return quantiles.statistics(rows, by, score, lambda n: F.array(conformal_place(n, coverage))).select(*by, "n", F.col(score).alias("width"))
 
 
 def intervals(rows: DataFrame, prediction: str, risk: str, score: str, fold: str, cfg: IntervalConfig = IntervalConfig()) -> DataFrame:
     """low and high for each row from the scaled scores of the other folds: |error| / risk, times the row's own risk."""
-    folds = rows.select(F.col(fold).alias("_f")).distinct()
-    outside = rows.join(F.broadcast(folds), F.col("_f") != F.col(fold)).withColumn("_s", F.col(score) / F.greatest(F.col(risk), F.lit(1e-6)))
-    width = conformal(outside, "_s", ["_f"], cfg.coverage).drop("n")
+    x = rows.withColumn("_s", F.col(score) / F.greatest(F.col(risk), F.lit(1e-6)))
+    width = quantiles.statistics(x, [], "_s", lambda n: F.array(conformal_place(n, cfg.coverage)), fold).select("_f", F.col("_s").alias("width"))
     x = rows.join(F.broadcast(width), F.col(fold) == F.col("_f")).drop("_f")
     half = F.col("width") * F.greatest(F.col(risk), F.lit(1e-6))
     return x.withColumns({"low": F.greatest(F.lit(0.0), F.col(prediction) - half), "high": F.col(prediction) + half}).drop("width")
@@ -113,22 +94,20 @@ def intervals(rows: DataFrame, prediction: str, risk: str, score: str, fold: str
 
 def terciles(rows: DataFrame, risk: str, fold: str, cfg: IntervalConfig = IntervalConfig()) -> DataFrame:
     """confidence HIGH, MEDIUM or LOW by the tercile edges of the other folds' risks."""
-    folds = rows.select(F.col(fold).alias("_f")).distinct()
-    edges = rows.join(F.broadcast(folds), F.col("_f") != F.col(fold)).groupBy("_f").agg(F.percentile(risk, F.array(*map(F.lit, cfg.terciles))).alias("_q"))
+    edges = quantiles.quantiles(rows, [], risk, list(cfg.terciles), fold).select("_f", F.col("q").alias("_q"))
     x = rows.join(F.broadcast(edges), F.col(fold) == F.col("_f"))
     level = F.when(F.col(risk) <= F.col("_q")[0], "HIGH").when(F.col(risk) <= F.col("_q")[1], "MEDIUM").otherwise("LOW")
     return x.withColumn("confidence", level).drop("_f", "_q")
 
 
-def risk_coverage(rows: DataFrame, risk: str, error: str, coverages: list[float], key: str) -> DataFrame:
+def risk_coverage(rows: DataFrame, risk: str, error: str, coverages: list[float]) -> DataFrame:
     """(coverage, retained, threshold, mae) at the risk quantile `higher` for each target coverage.
 
     The thresholds are order statistics; then all coverages are conditional aggregates of one pass.
     """
-    places = F.array(*((F.ceil(F.lit(c) * (F.col("n") - 1)) + 1).cast("bigint") for c in coverages))
-    edges = kth_smallest(rows, [], risk, places)
-    n = F.col("n")
-    row = edges.agg(*(F.max(F.when(F.col("place") == (F.ceil(F.lit(c) * (n - 1)) + 1).cast("bigint"), F.col(risk))).alias(f"_t{i}") for i, c in enumerate(coverages)))
+    place = lambda n, c: (F.ceil(F.lit(c) * (n - 1)) + 1).cast("bigint")
+    edges = quantiles.statistics(rows, [], risk, lambda n: F.array(*(place(n, c) for c in coverages)))
+    row = edges.agg(*(F.max(F.when(F.col("place") == place(F.col("n"), c), F.col(risk))).alias(f"_t{i}") for i, c in enumerate(coverages)))
     x = rows.select(F.col(risk).alias("_r"), F.abs(error).alias("_e")).crossJoin(F.broadcast(row))
     inside = [F.col("_r") <= F.col(f"_t{i}") for i in range(len(coverages))]
     found = x.agg(*(F.struct(F.lit(c).alias("coverage"), F.count_if(t).alias("retained"), F.max(f"_t{i}").alias("threshold"), F.avg(F.when(t, F.col("_e"))).alias("mae")).alias(f"_{i}") for i, (c, t) in enumerate(zip(coverages, inside, strict=True))))
@@ -216,9 +195,11 @@ def soft_gate(rows: DataFrame, features: list[str], label: str, weight: str) ->
 
 
 def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
-    w = Window.partitionBy(label)
-    classes = rows.select(label).distinct().count()
-    return rows.withColumn("weight", F.count("*").over(Window.partitionBy()) / (classes * F.count("*").over(w)))
+    """weight: rows over classes times the rows of the class, from a table of counts that is joined back."""
+    counts = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    whole = counts.agg(F.sum("_n").alias("_rows"), F.count("*").alias("_classes"))
+    weights = counts.crossJoin(whole).select("_label", (F.col("_rows") / (F.col("_classes") * F.col("_n"))).alias("weight"))
+    return rows.join(weights, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
 
 
 def embedded(rows: DataFrame, array: str, k: int) -> DataFrame:

@@ -8,35 +8,44 @@ from pyspark.sql import functions as F
 
 from tidelog.config import CorridorConfig, PriorConfig
 from tidelog.functions import arrays, geo, numeric, text
+from tidelog.operators import joins, quantiles
 
-#: Words of a destination that name no place.
-UNKNOWN_WORDS = ("", "UNKNOWN", "NONE", "NULL", "N/A", "NA", "NIL", "-")
-ORDER_WORDS = ("FOR ORDER", "FOR ORDERS", "ORDERS")
-VAGUE_WORDS = ("SEA", "AT SEA", "OPEN SEA", "ANCHORAGE", "PORT", "HOME")
+# Words of a destination that name no place, and names that more than one place could be meant by.
+UNKNOWN_WORDS = ("", "UNKNOWN", "N A", "NA", "N/A", "NONE", "NULL", "NOT AVAILABLE")
+ORDER_WORDS = ("FOR ORDER", "FOR ORDERS", "ORDER", "ORDERS", "FO")
+VAGUE_WORDS = ("ATLANTIC OCEAN", "MARE", "WORKSITE", "IN PORT")
+AMBIGUOUS_NAMES = ("MALTA",)
 FUZZY_LEAST, FUZZY_MARGIN, FUZZY_LENGTH = 0.94, 0.04, 5
+#: Columns of a resolution, besides the text.
+RESOLVED = ("normal", "terminal", "is_route", "canonical", "code", "name", "country", "lat", "lon", "method", "confidence", "is_resolved", "is_vague")
 
 
-def resolve(raw: DataFrame, catalog: DataFrame, ambiguous: tuple[str, ...] = (), fuzzy: bool = True) -> DataFrame:
-    """What each distinct text stands for: text, normal, terminal, is_route, code, method, confidence.
+def resolve(raw: DataFrame, catalog: DataFrame, ambiguous: tuple[str, ...] = AMBIGUOUS_NAMES, fuzzy: bool = True) -> DataFrame:
+    """What each distinct text stands for: text, then RESOLVED.
 
-    raw has `text`; catalog has code, name and aliases (joined by semicolons). Every distinct text is resolved once, by
-    equal joins in the order unknown, orders, vague, ambiguous, code, alias; only what is left is compared with the
-    aliases by similarity, among those of about the same length and beginning.
+    raw has `text`; catalog has code, name, aliases (joined by semicolons) and, if known, country, lat and lon. Every
+    distinct text is resolved once, by equal joins in the order unknown, orders, vague, ambiguous, code, alias; only what is
+    left is compared with aliases, those that share a part with it, by similarity. A code that looks like one but isn't in
+    the catalogue names no place for sure. Two rows of one code, or an alias of two codes, are errors in the catalogue.
     """
-    x = raw.select("text").distinct().withColumn("normal", F.coalesce(text.folded_ascii(F.col("text")), F.lit("")))
-    x = x.withColumns({"terminal": F.coalesce(text.terminal(F.col("normal")), F.lit("")), "is_route": text.is_route(F.col("normal"))})
+    catalog = catalog.withColumns({c: F.lit(None).cast(kind) for c, kind in (("country", "string"), ("lat", "double"), ("lon", "double")) if c not in catalog.columns})
+    catalog = catalog.withColumn("code", text.compact(F.col("code")))
+    x = raw.select("text").distinct().withColumn("normal", F.coalesce(text.folded(F.col("text")), F.lit("")))
+    x = x.withColumns({"terminal": F.coalesce(text.terminal(F.col("normal")), F.col("normal")), "is_route": text.is_route(F.col("normal"))})
     x = x.withColumn("_compact", text.compact(F.col("terminal")))
     names = catalog.select(F.col("code").alias("_code"), F.explode(F.concat(F.array("name", "code"), F.split(F.coalesce("aliases", F.lit("")), ";"))).alias("_alias"))
-    names = names.withColumn("_alias", text.folded_ascii(F.col("_alias"))).where("_alias <> ''")
+    names = names.withColumn("_alias", text.folded(F.col("_alias"))).where("_alias <> ''")
     names = names.withColumn("_key", F.when(text.code_like(F.col("_alias")), text.compact(F.col("_alias"))).otherwise(F.col("_alias")))
-    # An alias of two codes names neither.
-    exact = names.groupBy("_key").agg(F.min("_code").alias("_by_alias"), F.countDistinct("_code").alias("_n")).where("_n = 1").drop("_n")
-    codes = catalog.select(F.col("code").alias("_compact"), F.col("code").alias("_by_code"))
+    fail = lambda what, key: F.raise_error(F.concat(F.lit(what), F.col(key))).cast("string")
+    exact = names.groupBy("_key").agg(F.min("_code").alias("_low"), F.max("_code").alias("_high"))
+    exact = exact.select("_key", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(fail("an alias of two codes: ", "_key")).alias("_by_alias"))
+    once = catalog.groupBy("code").agg(F.count("*").alias("_n"), F.first(F.struct("name", "country", "lat", "lon")).alias("_place"))
+    once = once.select(F.when(F.col("_n") == 1, F.col("code")).otherwise(fail("a code of two rows: ", "code")).alias("_by_code"), "_place")
     x = x.withColumn("_key", F.when(text.code_like(F.col("terminal")), F.col("_compact")).otherwise(F.col("terminal")))
-    x = x.join(codes, "_compact", "left").join(exact, "_key", "left")
+    x = x.join(once.select("_by_code"), F.col("_compact") == F.col("_by_code"), "left").join(exact, "_key", "left")
     t = F.col("terminal")
     kind = (
-        F.when(t.isin(*UNKNOWN_WORDS), "unknown")
+        F.when(t.isin(*UNKNOWN_WORDS) | F.col("_compact").isin("", "UNKNOWN", "NA", "NONE", "NULL", "NOTAVAILABLE"), "unknown")
         .when(t.isin(*ORDER_WORDS) | F.col("normal").contains("FOR ORDER"), "for_orders")
         .when(t.isin(*VAGUE_WORDS), "non_specific")
         .when(t.isin(*ambiguous) if ambiguous else F.lit(False), "ambiguous_geography")
@@ -48,24 +57,41 @@ def resolve(raw: DataFrame, catalog: DataFrame, ambiguous: tuple[str, ...] = (),
         x = x.join(closest(x.where("_kind is null"), names), "terminal", "left").withColumn("_kind", F.coalesce("_kind", F.when(F.col("_fuzzy").isNotNull(), "fuzzy")))
     else:
         x = x.withColumns({"_fuzzy": F.lit(None).cast("string"), "_score": F.lit(None).cast("double")})
-    x = x.withColumn("_kind", F.coalesce("_kind", F.when(F.col("_compact").rlike("^[A-Z]{2}[A-Z0-9]{3}$"), "code_like_unverified").otherwise("unresolved_text")))
+    unlisted = F.col("_compact").rlike("^[A-Z]{2}[A-Z0-9]{3}$")
+    x = x.withColumn("_kind", F.coalesce("_kind", F.when(unlisted, "code_like_unverified").otherwise("unresolved_text")))
     k = F.col("_kind")
-    code = F.when(k == "exact_code", F.col("_by_code")).when(k == "alias", F.col("_by_alias")).when(k == "fuzzy", F.col("_fuzzy")).when(k == "code_like_unverified", F.col("_compact"))
+    found = F.when(k == "exact_code", F.col("_by_code")).when(k == "alias", F.col("_by_alias")).when(k == "fuzzy", F.col("_fuzzy"))
+    x = x.withColumn("_found", found).join(once.select(F.col("_by_code").alias("_found"), "_place"), "_found", "left")
+    code = F.coalesce("_found", F.when(k == "code_like_unverified", F.col("_compact")))
+    canonical = (
+        F.when(k == "unknown", "UNKNOWN").when(k == "for_orders", "FOR_ORDERS").when(k == "non_specific", "NON_SPECIFIC")
+        .when(k == "ambiguous_geography", F.concat(F.lit("AMBIGUOUS:"), t)).otherwise(F.coalesce(code, F.concat(F.lit("TEXT:"), t)))
+    )
     confidence = F.when(k == "alias", 0.99).when(k == "fuzzy", F.col("_score")).when(k == "code_like_unverified", 0.7).when(k == "unresolved_text", 0.0).otherwise(1.0)
     method = F.when(F.col("is_route") & k.isin("exact_code", "alias", "fuzzy"), F.concat(F.lit("route_"), k)).otherwise(k)
-    return x.select("text", "normal", "terminal", "is_route", code.alias("code"), method.alias("method"), confidence.alias("confidence"))
+    country = F.coalesce(F.col("_place.country"), F.when(k == "code_like_unverified", F.substring("_compact", 1, 2)))
+    place = {"name": F.col("_place.name"), "country": country, "lat": F.col("_place.lat"), "lon": F.col("_place.lon")}
+    flags = {"is_resolved": F.col("_found").isNotNull(), "is_vague": k.isin("unknown", "for_orders", "non_specific")}
+    new = {"canonical": canonical, "code": code, **place, "method": method, "confidence": confidence, **flags}
+    return x.select("text", "normal", "terminal", "is_route", *(value.alias(name) for name, value in new.items()))
 
 
 def closest(left: DataFrame, names: DataFrame) -> DataFrame:
     """(terminal, _fuzzy, _score) of texts that one code's aliases resemble clearly more than any other's.
 
-    A ratio of 0.94 leaves little room: lengths differ by a sixth at most, so pairs meet on the length in buckets, and
-    distinct texts against a catalogue of bounded size is the whole work.
+    A code counts as another from a ratio of 0.94 - 0.04 on, which leaves a tenth of both lengths unmatched. Of an alias cut
+    into one part more than that, some part stands whole in the text, and it has three letters at least: pairs meet on runs
+    of three letters, not in a product.
     """
-    x = left.select("terminal").distinct().where(F.length("terminal") >= FUZZY_LENGTH)
-    long_names = names.where((F.length("_alias") >= FUZZY_LENGTH) & ~text.code_like(F.col("_alias"))).select("_alias", "_code").distinct()
-    near = F.abs(F.length("terminal") - F.length("_alias")) <= F.ceil(0.13 * F.greatest(F.length("terminal"), F.length("_alias")))
-    scored = x.join(long_names, near & (F.levenshtein("terminal", "_alias") <= F.ceil(0.26 * F.length("_alias")))).withColumn("_s", text.similarity(F.col("terminal"), F.col("_alias")))
+    low = FUZZY_LEAST - FUZZY_MARGIN
+    runs = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3)))))
+    x = left.select("terminal").distinct().where(F.length("terminal") >= FUZZY_LENGTH).withColumn("_run", runs("terminal"))
+    long_names = names.where((F.length("_alias") >= FUZZY_LENGTH) & ~text.code_like(F.col("_alias"))).select("_alias", "_code").distinct().withColumn("_run", runs("_alias"))
+    both = F.length("terminal") + F.length("_alias")
+    # The ratio is at most twice the shorter length over both, and the edit distance at most what is unmatched.
+    near = (2 * F.least(F.length("terminal"), F.length("_alias")) >= low * both - 1e-9) & (F.levenshtein("terminal", "_alias") <= (1 - low) * both + 1e-9)
+    met = x.join(long_names, "_run").where(near).select("terminal", "_alias", "_code").distinct()
+    scored = met.withColumn("_s", text.similarity(F.col("terminal"), F.col("_alias")))
     best = scored.groupBy("terminal", "_code").agg(F.max("_s").alias("_s"))
     w = Window.partitionBy("terminal").orderBy(F.desc("_s"), "_code")
     ranked = best.withColumns({"_r": F.row_number().over(w), "_next": F.lead("_s", 1, 0.0).over(w)})
@@ -79,13 +105,11 @@ def hierarchical_prior(rows: DataFrame, target: str, cfg: PriorConfig = PriorCon
     weight n / (n + alpha); predictions stay within the training quantiles. Folds are a column: the statistics of a fold
     are those of the rows outside it, made for all folds in one plan.
     """
-    folds = rows.select(F.col(fold).alias("_f")).distinct()
-    outside = rows.where(F.col(target).isNotNull()).join(F.broadcast(folds), F.col("_f") != F.col(fold))
-    top = outside.groupBy("_f").agg(F.median(target).alias("_p"), F.percentile(target, F.array(*map(F.lit, cfg.clip))).alias("_q"))
+    top = quantiles.quantiles(rows, [], target, [0.5, *cfg.clip], fold).select("_f", F.col("q")[0].alias("_p"), F.slice("q", 2, 2).alias("_q"))
     x = rows.join(F.broadcast(top), F.col(fold) == F.col("_f")).drop("_f").withColumns({"prediction": F.col("_p"), "level": F.lit(0), "level_name": F.lit("global"), "support": F.lit(0).cast("bigint"), "weight": F.lit(0.0)})
     low, high = F.col("_q")[0], F.col("_q")[1]
     for depth, key in enumerate(cfg.levels, 1):
-        stats = outside.groupBy(F.col("_f"), F.col(key).alias("_k")).agg(F.median(target).alias("_m"), F.count(target).alias("_n"))
+        stats = quantiles.quantiles(rows, [key], target, [0.5], fold).select("_f", F.col(key).alias("_k"), F.col("q")[0].alias("_m"), F.col("n").alias("_n"))
         x = x.join(stats, (F.col(fold) == F.col("_f")) & F.col(key).eqNullSafe(F.col("_k")), "left")
         ok = F.coalesce(F.col("_n") >= cfg.min_support, F.lit(False))
         w = F.col("_n") / (F.col("_n") + cfg.alpha)
@@ -111,12 +135,32 @@ def physics_eligible(resolved: Column, confidence: Column, distance_nm: Column,
     return F.coalesce(resolved & (confidence >= 0.99) & (distance_nm >= 1.0) & (F.greatest(*speeds) >= 2.0), F.lit(False))
 
 
+def sinuosity(travelled_km: Column, net_km: Column, most: float = 2.0) -> Column:
+    """How much longer the way was than the straight line, of a kilometre at least: from 1 to most; 1 if unknown."""
+    ratio = travelled_km / F.greatest(net_km, F.lit(1.0))
+    return numeric.clip(F.coalesce(F.when(~F.isnan(ratio) & (F.abs(ratio) < float("inf")), ratio), F.lit(1.0)), 1.0, most)
+
+
+def physics_features(rows: DataFrame, radius_nm: float) -> DataFrame:
+    """rows with distance_nm, bearing_deg, alignment_deg (between course and bearing), sinuosity_180, sinuosity_360,
+    recent_kn (the larger median speed) and eligible.
+
+    rows: lat, lon, cog, place_lat, place_lon, is_resolved, confidence, and of the last 180 and 360 minutes speed_,
+    travelled_km_ and net_km_. Missing values give null features, and no eligibility.
+    """
+    here, there = (F.col("lat"), F.col("lon")), (F.col("place_lat"), F.col("place_lon"))
+    x = rows.withColumns({"distance_nm": geo.haversine(*here, *there, radius_nm), "bearing_deg": geo.bearing(*here, *there), "recent_kn": F.greatest("speed_180", "speed_360")})
+    x = x.withColumns({f"sinuosity_{w}": sinuosity(F.col(f"travelled_km_{w}"), F.col(f"net_km_{w}")) for w in (180, 360)})
+    x = x.withColumn("alignment_deg", geo.turn(F.col("cog"), F.col("bearing_deg")))
+    return x.withColumn("eligible", physics_eligible(F.col("is_resolved"), F.col("confidence"), F.col("distance_nm"), F.col("recent_kn"), F.lit(0.0)))
+
+
 def residual_corrected(rows: DataFrame, base: str, target: str, eligible: str, key: str, alpha: float = 10.0, min_support: int = 3, fold: str = "fold") -> DataFrame:
     """corrected: base plus the median residual of eligible rows of other folds, the key's shrunk towards the global one."""
-    folds = rows.select(F.col(fold).alias("_f")).distinct()
-    train = rows.where(F.col(eligible) & F.col(target).isNotNull()).withColumn("_r", F.col(target) - F.col(base)).join(F.broadcast(folds), F.col("_f") != F.col(fold))
-    top = train.groupBy("_f").agg(F.median("_r").alias("_g"))
-    own = train.groupBy("_f", F.col(key).alias("_k")).agg(F.median("_r").alias("_m"), F.count("*").alias("_n"))
+    # Residuals that don't count are null; every fold has its row even where it alone holds the eligible ones.
+    train = rows.withColumn("_r", F.when(F.col(eligible), F.col(target) - F.col(base)))
+    top = quantiles.quantiles(train, [], "_r", [0.5], fold).select("_f", F.col("q")[0].alias("_g"))
+    own = quantiles.quantiles(train, [key], "_r", [0.5], fold).select("_f", F.col(key).alias("_k"), F.col("q")[0].alias("_m"), F.col("n").alias("_n"))
     x = rows.join(F.broadcast(top), F.col(fold) == F.col("_f"), "left").drop("_f")
     x = x.join(own, (F.col(fold) == F.col("_f")) & (F.col(key) == F.col("_k")), "left")
     w = F.when(F.col("_n") >= min_support, F.col("_n") / (F.col("_n") + alpha)).otherwise(0.0)
@@ -155,10 +199,7 @@ def analogues(queries: DataFrame, memory: DataFrame, gate: str, k: int, min_gate
     query's gate if there are min_gate others, else all. Weights fall exponentially with the distance over its median;
     the prediction is the weighted median, the gap how much farther the second neighbour is.
     """
-    sizes = memory.groupBy(F.col("m_gate").alias("q_gate")).agg(F.countDistinct("m_owner").alias("_n"))
-    q = queries.join(F.broadcast(sizes), "q_gate", "left")
-    gated = F.coalesce(F.col("_n") >= min_gate + 1, F.lit(False))
-    pairs = memory.join(F.broadcast(q), (F.col("q_owner") != F.col("m_owner")) & (~gated | (F.col("q_gate") == F.col("m_gate"))))
+    pairs = joins.gated_pairs(queries, memory, "m_gate", "m_owner", min_gate)
     scored = pairs.select("q_id", "m_owner", "m_target", arrays.dtw_distance(F.col("q_points"), F.col("m_points")).alias("d"))
     w = Window.partitionBy("q_id").orderBy("d", "m_owner")
     near = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)

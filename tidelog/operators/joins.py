@@ -41,25 +41,59 @@ def in_windows(points: DataFrame, windows: DataFrame, owner: str, at: str, start
 
 
 def nearest_event(decisions: DataFrame, events: DataFrame, owner: str, key: str, at: str, event_at: str) -> DataFrame:
-    """The event of the owner nearest in time to each decision, the earliest on ties, and how many come at or after it."""
-    off = F.abs(F.timestamp_diff("MICROSECOND", F.col(at), F.col(event_at)))
-    x = decisions.join(events, owner)
-    return x.groupBy(owner, key).agg(F.min(F.struct(off.alias("off"), F.col(event_at).alias("t"))).alias("x"), F.count_if(F.col(event_at) >= F.col(at)).alias("n_after")).select(
-        owner, key, F.col("x.t").alias("nearest_at"), (F.col("x.off") / F.lit(3.6e9)).alias("off_h"), "n_after"
-    )
+    """The event of the owner nearest in time to each decision, the earliest on ties, and how many come at or after it.
+
+    Both sides are one union, sorted once by owner and time: the last event at or before a decision and the first one at or
+    after it are carried to it, so nothing grows with the product of an owner's decisions and events. Decisions of owners
+    without events are left out.
+    """
+    rows = decisions.select(owner, F.col(key).alias("_key"), F.col(at).alias("_t"), F.lit(None).cast("timestamp_ntz").alias("_e"))
+    facts = events.select(owner, F.lit(None).cast(decisions.schema[key].dataType).alias("_key"), F.col(event_at).alias("_t"), F.col(event_at).alias("_e"))
+    w = Window.partitionBy(owner).orderBy("_t")
+    # By time alone, rows of one time are peers, and both ranges hold all of them.
+    upto, on = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    x = rows.unionByName(facts).withColumns({"_before": F.max("_e").over(upto), "_after": F.min("_e").over(on), "n_after": F.count("_e").over(on)})
+    off = lambda c: F.abs(F.timestamp_diff("MICROSECOND", F.col(c), F.col("_t")))
+    nearest = F.when(F.col("_after").isNull() | (off("_before") <= off("_after")), F.col("_before")).otherwise(F.col("_after"))
+    x = x.where(F.col("_e").isNull() & F.coalesce("_before", "_after").isNotNull()).withColumn("nearest_at", nearest)
+    return x.select(owner, F.col("_key").alias(key), "nearest_at", (off("nearest_at") / F.lit(3.6e9)).alias("off_h"), "n_after")
+
+
+#: Parts into which a memory is dealt for queries: each of them meets every part, by an equal join.
+PARTS = 64
+
+
+def all_pairs(queries: DataFrame, memory: DataFrame, m_key: str, on: list[tuple[str, str]] = ()) -> DataFrame:
+    """Each query (a stated set) with every row of the memory, or with those of equal columns `on` (query's, memory's).
+
+    The memory is dealt into PARTS by a hash of its key, and a query goes to each part once: an equal join whose tasks hold a
+    share of a gate's rows each, however many they are. Neither side is sent whole to all tasks.
+    """
+    dealt = memory.withColumn("_part", F.pmod(F.xxhash64(m_key), F.lit(PARTS)).cast("int"))
+    asked = queries.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    same = F.col("_part") == F.col("_to")
+    for a, b in on:
+        same = same & (F.col(a) == F.col(b))
+    return dealt.join(asked, same).drop("_part", "_to")
+
+
+def gated_pairs(queries: DataFrame, memory: DataFrame, gate: str, owner: str, least: int) -> DataFrame:
+    """Pairs of queries (with q_owner, q_gate) and memories of other owners: those of the query's gate if it has `least`
+    others, else all; with _gated."""
+    sizes = memory.groupBy(F.col(gate).alias("q_gate")).agg(F.countDistinct(owner).alias("_owners"))
+    q = queries.join(sizes, "q_gate", "left").withColumn("_gated", F.coalesce(F.col("_owners") >= least + 1, F.lit(False))).drop("_owners")
+    inside = all_pairs(q.where("_gated"), memory, owner, [("q_gate", gate)])
+    return inside.unionByName(all_pairs(q.where("not _gated"), memory, owner)).where(F.col("q_owner") != F.col(owner))
 
 
 def gated_knn(queries: DataFrame, memory: DataFrame, gate: str, owner: str, distance: Column, k: int, min_owners: int = 3) -> DataFrame:
     """The k nearest owners of each query: among those of its gate if that has min_owners others, else among all.
 
     queries: q_id, q_owner, q_gate and what distance needs; memory: m_id, m_<owner>, m_<gate> and the same. An owner
-    counts once, by its nearest row; ties go to the smaller id. Queries are a stated set, sent to every part of the
-    memory; each part keeps its k best before anything is shuffled.
+    counts once, by its nearest row; ties go to the smaller id. Each task keeps the best row of an owner before anything
+    else is shuffled.
     """
-    sizes = memory.groupBy(F.col(f"m_{gate}").alias("q_gate")).agg(F.countDistinct(f"m_{owner}").alias("_owners"))
-    q = queries.join(F.broadcast(sizes), "q_gate", "left").withColumn("_gated", F.coalesce(F.col("_owners") >= min_owners + 1, F.lit(False)))
-    cond = (F.col("q_owner") != F.col(f"m_{owner}")) & (~F.col("_gated") | (F.col("q_gate") == F.col(f"m_{gate}")))
-    pairs = memory.join(F.broadcast(q), cond).select("q_id", "_gated", "m_id", F.col(f"m_{owner}").alias("m_owner"), distance.alias("distance"))
+    pairs = gated_pairs(queries, memory, f"m_{gate}", f"m_{owner}", min_owners).select("q_id", "_gated", "m_id", F.col(f"m_{owner}").alias("m_owner"), distance.alias("distance"))
     best = pairs.groupBy("q_id", "_gated", "m_owner").agg(F.min(F.struct("distance", "m_id")).alias("x"))
     w = Window.partitionBy("q_id").orderBy("x.distance", "x.m_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", F.col("_gated").alias("gated"), "rank", "m_owner", F.col("x.m_id").alias("m_id"), F.col("x.distance").alias("distance"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import arrays
+from tidelog.operators import joins
 
 
 def approximate(queries: DataFrame, memory: DataFrame, k: int, reach: float, tables: int = 8, width: float = 2.0, seed: int = 11) -> DataFrame:
@@ -28,7 +29,7 @@ def approximate(queries: DataFrame, memory: DataFrame, k: int, reach: float, tab
 def exact(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
     """The same by comparing a stated query set with all rows."""
     d = F.sqrt(2 * arrays.cosine_distance(F.col("q_v"), F.col("m_v")))
-    pairs = memory.join(F.broadcast(queries), F.col("q_id") != F.col("m_id")).select("q_id", "m_id", d.alias("distance"))
+    pairs = joins.all_pairs(queries, memory, "m_id").where("q_id <> m_id").select("q_id", "m_id", d.alias("distance"))
     w = Window.partitionBy("q_id").orderBy("distance", "m_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

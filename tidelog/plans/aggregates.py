@@ -86,7 +86,7 @@ def weighted_metrics(spark, sf):
   SELECT flag, min(v) FILTER (cdf >= 0.25 - 1e-12) AS q25, min(v) FILTER (cdf >= 0.5 - 1e-12) AS q50, min(v) FILTER (cdf >= 0.9 - 1e-12) AS q90 FROM c GROUP BY 1""")
 def weighted_quantiles(spark, sf):
     x = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("v"), F.col("l_quantity").alias("w"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("t"))
-    return aggregates.weighted_quantiles(x, ["flag"], "v", "w", {"q25": 0.25, "q50": 0.5, "q90": 0.9}, "t")
+    return aggregates.weighted_quantiles(x, ["flag"], "v", "w", {"q25": 0.25, "q50": 0.5, "q90": 0.9})
 
 
 @query(f"WITH {DECISIONS_SQL} SELECT destination, count(*) AS owners, round(avg(m), 6) AS balanced_mae, round(max(m), 6) AS worst FROM (SELECT destination, owner, avg({_ERR}) AS m FROM dec GROUP BY 1, 2) GROUP BY 1")

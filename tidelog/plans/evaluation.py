@@ -67,7 +67,7 @@ def confidence_terciles(spark, sf):
 @query(f"""WITH {DECISIONS_SQL}, s AS (SELECT {_A} AS error, {_RISK} AS risk FROM dec), o AS (SELECT risk, row_number() OVER (ORDER BY risk) AS r, count(*) OVER () AS n FROM s), t AS (SELECT coverage, risk AS threshold FROM o, (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE)) v(coverage) WHERE r = ceil(coverage * (n - 1)) + 1)
  SELECT coverage, threshold, count(*) AS retained, round(avg(error), 5) AS mae FROM t JOIN s ON risk <= threshold GROUP BY 1, 2""")
 def risk_coverage_curve(spark, sf):
-    x = evaluation.risk_coverage(scored(spark, sf), "risk", "error", [0.5, 0.6, 0.7, 0.8, 0.9, 1.0], "key")
+    x = evaluation.risk_coverage(scored(spark, sf), "risk", "error", [0.5, 0.6, 0.7, 0.8, 0.9, 1.0])
     return x.select("coverage", "threshold", "retained", F.round("mae", 5).alias("mae"))
 
 

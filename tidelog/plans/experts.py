@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,41 +12,43 @@ from tidelog.plans.registry import query
 from tidelog.plans.scalars import _hav
 from tidelog.plans.temporal import transition_rows
 from tidelog.sources.domain import DECISIONS_SQL, POSITIONS_SQL, decisions, positions
+from tidelog.session import shared_folder
 from tidelog.sources.tables import table
 
 
-def checkpointing(spark: SparkSession) -> None:
-    """The folder that the cluster names, or one of our own where none is named (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-"))
-
-
 def destination_texts(spark, sf) -> DataFrame:
     """Free-text destinations: names, codes, routes and noise, from the parts and nations."""
     x = table(spark, sf, "part").select("p_partkey", "p_name", F.concat(F.lit("NATION_"), (F.col("p_partkey") % 40).cast("string")).alias("n"))
     k = F.col("p_partkey") % 8
     t = (
         F.when(k == 0, F.col("n")).when(k == 1, F.concat(F.lit("home > "), F.lower("n"))).when(k == 2, F.concat(F.lit("NN"), F.lpad((F.col("p_partkey") % 40).cast("string"), 3, "0")))
-        .when(k == 3, "FOR ORDERS").when(k == 4, "unknown").when(k == 5, F.col("p_name")).when(k == 6, "At Sea").otherwise("AB9Z1")
+        .when(k == 3, "FOR ORDERS").when(k == 4, "not available").when(k == 5, F.col("p_name")).when(k == 6, F.concat(F.lit("Łódź, "), F.col("n"))).otherwise(F.when(F.col("p_partkey") % 3 == 0, "AB9Z1").when(F.col("p_partkey") % 3 == 1, "In Port").otherwise("Mãltâ"))
     )
     return x.select("p_partkey", t.alias("text"))
 
 
 def catalog(spark, sf) -> DataFrame:
     n = F.col("n_nationkey").cast("string")
-    return table(spark, sf, "nation").select(F.concat(F.lit("NN"), F.lpad(n, 3, "0")).alias("code"), F.replace("n_name", F.lit("_"), F.lit(" ")).alias("name"), F.concat(F.lit("LAND "), n, F.lit(";COAST "), n).alias("aliases"))
+    return table(spark, sf, "nation").select(F.concat(F.lit("NN"), F.lpad(n, 3, "0")).alias("code"), F.replace("n_name", F.lit("_"), F.lit(" ")).alias("name"), F.concat(F.lit("LAND "), n, F.lit(";COAST "), n).alias("aliases"), F.col("n_regionkey").cast("string").alias("country"))
 
 
-@query("""WITH r AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'NATION_' || p_partkey % 40 WHEN 1 THEN 'home > nation_' || p_partkey % 40 WHEN 2 THEN 'NN' || lpad((p_partkey % 40)::VARCHAR, 3, '0')
-  WHEN 3 THEN 'FOR ORDERS' WHEN 4 THEN 'unknown' WHEN 5 THEN p_name WHEN 6 THEN 'At Sea' ELSE 'AB9Z1' END AS text FROM part),
- t AS (SELECT DISTINCT text, upper(replace(replace(text, ' > ', '>'), '_', ' ')) AS normal FROM r), u AS (SELECT *, string_split(normal, '>')[-1] AS terminal, contains(normal, '>') AS is_route FROM t)
- SELECT method, is_route, count(*) AS n, count(code) AS coded, round(avg(confidence), 6) AS confidence FROM (SELECT *, CASE WHEN is_route AND k IN ('alias', 'exact_code') THEN 'route_' || k ELSE k END AS method, CASE k WHEN 'alias' THEN 0.99 WHEN 'code_like_unverified' THEN 0.7 WHEN 'unresolved_text' THEN 0 ELSE 1 END AS confidence,
-  CASE WHEN k IN ('alias', 'exact_code', 'code_like_unverified') THEN 1 END AS code FROM (SELECT *, CASE WHEN terminal = 'UNKNOWN' THEN 'unknown' WHEN terminal = 'FOR ORDERS' THEN 'for_orders' WHEN terminal = 'AT SEA' THEN 'non_specific'
+_TEXTS_SQL = """r AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'NATION_' || p_partkey % 40 WHEN 1 THEN 'home > nation_' || p_partkey % 40 WHEN 2 THEN 'NN' || lpad((p_partkey % 40)::VARCHAR, 3, '0') WHEN 3 THEN 'FOR ORDERS'
+  WHEN 4 THEN 'not available' WHEN 5 THEN p_name WHEN 6 THEN 'Łódź, NATION_' || p_partkey % 40 ELSE ['AB9Z1', 'In Port', 'Mãltâ'][p_partkey % 3 + 1] END AS text FROM part),
+ t AS (SELECT DISTINCT text, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(upper(text)), '\\s*>\\s*', '>', 'g'), '[,_;|]+', ' ', 'g'), '\\s+', ' ', 'g')) AS normal FROM r),
+ u AS (SELECT *, string_split(normal, '>')[-1] AS terminal, contains(normal, '>') AS is_route FROM t), k AS (SELECT *, regexp_replace(terminal, '[^A-Z0-9]', '', 'g') AS compact,
+  CASE WHEN terminal = 'NOT AVAILABLE' THEN 'unknown' WHEN terminal = 'FOR ORDERS' THEN 'for_orders' WHEN terminal = 'IN PORT' THEN 'non_specific' WHEN terminal = 'MALTA' THEN 'ambiguous_geography'
   WHEN regexp_full_match(terminal, 'NN0[0-9]{2}') AND right(terminal, 2)::INT < 25 THEN 'exact_code' WHEN regexp_full_match(terminal, 'NATION [0-9]+') AND string_split(terminal, ' ')[2]::INT < 25 THEN 'alias'
-  WHEN regexp_full_match(regexp_replace(terminal, '[^A-Z0-9]', '', 'g'), '[A-Z]{2}[A-Z0-9]{3}') THEN 'code_like_unverified' ELSE 'unresolved_text' END AS k FROM u)) GROUP BY 1, 2""")
+  WHEN regexp_full_match(regexp_replace(terminal, '[^A-Z0-9]', '', 'g'), '[A-Z]{2}[A-Z0-9]{3}') THEN 'code_like_unverified' ELSE 'unresolved_text' END AS kind FROM u),
+ f AS (SELECT *, CASE kind WHEN 'exact_code' THEN terminal WHEN 'alias' THEN 'NN' || lpad(string_split(terminal, ' ')[2], 3, '0') END AS found FROM k),
+ d AS (SELECT text, is_route, CASE kind WHEN 'unknown' THEN 'UNKNOWN' WHEN 'for_orders' THEN 'FOR_ORDERS' WHEN 'non_specific' THEN 'NON_SPECIFIC' WHEN 'ambiguous_geography' THEN 'AMBIGUOUS:MALTA' ELSE coalesce(found, CASE WHEN kind = 'code_like_unverified' THEN compact END, 'TEXT:' || terminal) END AS canonical,
+  CASE WHEN is_route AND kind IN ('alias', 'exact_code') THEN 'route_' || kind ELSE kind END AS method, CASE kind WHEN 'alias' THEN 0.99 WHEN 'code_like_unverified' THEN 0.7 WHEN 'unresolved_text' THEN 0 ELSE 1 END::DOUBLE AS confidence,
+  found IS NOT NULL AS is_resolved, kind IN ('unknown', 'for_orders', 'non_specific') AS is_vague, coalesce(n_regionkey::VARCHAR, CASE WHEN kind = 'code_like_unverified' THEN left(compact, 2) END) AS country FROM f LEFT JOIN nation ON found = 'NN' || lpad(n_nationkey::VARCHAR, 3, '0'))"""
+
+
+@query(f"WITH {_TEXTS_SQL} SELECT * FROM d")
 def destination_resolver(spark, sf):
     x = experts.resolve(destination_texts(spark, sf), catalog(spark, sf), fuzzy=False)
-    return x.groupBy("method", "is_route").agg(F.count("*").alias("n"), F.count("code").alias("coded"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return x.select("text", "is_route", "canonical", "method", "confidence", "is_resolved", "is_vague", "country")
 
 
 @query()
@@ -129,7 +129,7 @@ def corridor_paths(spark, sf):
 
 @query()
 def stop_clusters(spark, sf):
-    checkpointing(spark)
+    shared_folder(spark)
     p = positions(spark, sf).where("sog_raw < 12").groupBy(F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon")).agg(F.min("id").alias("id"))
     return experts.stop_clusters(p, "id", 250.0, 3, EARTH_M)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from tidelog.operators import aggregates, evaluation, experts, retrieval
+from tidelog.operators import aggregates, evaluation, experts, quantiles, retrieval
 from tidelog.plans import experts as routes
 from tidelog.plans.registry import ORACLES, query
 from tidelog.sources.domain import DECISIONS_SQL, decisions, positions
@@ -50,10 +50,8 @@ def horizon_metrics(spark, sf):
 def config_grid(spark, sf):
     """The best of a grid of shrinkages: statistics are made once, configurations are a table."""
     x = decisions(spark, sf)
-    folds = x.select(F.col("fold").alias("_f")).distinct()
-    outside = x.join(F.broadcast(folds), F.col("_f") != F.col("fold"))
-    top = outside.groupBy(F.col("_f").alias("fold")).agg(F.median("target_h").alias("gm"))
-    own = outside.groupBy(F.col("_f").alias("fold"), "destination").agg(F.median("target_h").alias("m"), F.count("*").alias("n"))
+    top = quantiles.quantiles(x, [], "target_h", [0.5], "fold").select(F.col("_f").alias("fold"), F.col("q")[0].alias("gm"))
+    own = quantiles.quantiles(x, ["destination"], "target_h", [0.5], "fold").select(F.col("_f").alias("fold"), "destination", F.col("q")[0].alias("m"), "n")
     grid = spark.createDataFrame([(float(a), n) for a in (0, 10, 50) for n in (1, 100)], "alpha double, least_n int")
     rows = x.join(F.broadcast(top), "fold").join(own, ["fold", "destination"], "left").crossJoin(F.broadcast(grid))
     w = F.col("n") / (F.col("n") + F.col("alpha"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,32 +13,38 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.config import EARTH_M, StateConfig
 from tidelog.operators.states import KNOTS
+from tidelog.session import shared_folder
 
 
 def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
-    """The event log as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*events*.parquet").parquet(sf_dir)
+    """The event log as a stream of files, whether it is one file or a folder of part files."""
+    at = f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(at).schema).option("maxFilesPerTrigger", files_per_batch)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    return reader.parquet(at) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def run_once(df: DataFrame, mode: str = "append") -> DataFrame:
     """All that is there, in micro-batches, to a table in the shared folder; the table is read back."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4()}"
+    at = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4()}"
     query = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{at}/out")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/out")
 
 
-def motion(rows: DataFrame, cfg: StateConfig = StateConfig()) -> DataFrame:
+def motion(rows: DataFrame, cfg: StateConfig = StateConfig(), silence: str = "30 days") -> DataFrame:
     """id, owner, motion_state and stopped_s of a stream of positions (owner, id, recorded_at, lat, lon, sog).
 
     The state of an owner is its last row and the start of its stop. Rows must reach it in time order: those of a
     micro-batch are sorted, and a row older than the last one is late; it is put out as LATE and doesn't change the state.
+    An owner that is silent for as long as `silence`, by the watermark, is forgotten; its next row is a first one again.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         at, lat, lon, stop, seen = state.get if state.exists else (None, None, None, None, False)
         group = pd.concat(list(batches)).sort_values(["recorded_at", "id"], kind="stable")
         out = []
@@ -73,10 +78,12 @@ def motion(rows: DataFrame, cfg: StateConfig = StateConfig()) -> DataFrame:
             out.append((row.id, key[0], name, seconds))
             at, lat, lon, seen = t, row.lat, row.lon, True
         state.update((at, lat, lon, stop, seen))
+        state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["id", "owner", "motion_state", "stopped_s"])
 
-    return rows.groupBy("owner").applyInPandasWithState(
-        step, "id bigint, owner bigint, motion_state string, stopped_s double", "at bigint, lat double, lon double, stop bigint, seen boolean", "append", GroupStateTimeout.NoTimeout
+    timed = rows.withColumn("_at", F.col("recorded_at").cast("timestamp")).withWatermark("_at", silence)
+    return timed.groupBy("owner").applyInPandasWithState(
+        step, "id bigint, owner bigint, motion_state string, stopped_s double", "at bigint, lat double, lon double, stop bigint, seen boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
