@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import as_bytes, column, small, stored
-from tidelog.llm.minhash import WordHashes
-from tidelog.llm.phrases import hash_of, prefix
 
 #: Word bytes stay (A-Z lower-cased), all others become spaces.
 TABLE = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
@@ -31,86 +30,78 @@ class WuManber:
     searched and not walked. What it selects is compared as bytes.
     """
 
-    def __init__(self, m: int, words: list[np.ndarray], texts: list[bytes], items: list[int | None]):
-        """words has the words' hashes of each text, texts their bytes, joined by spaces."""
+    def __init__(self, m: int, texts: list[list[bytes]], items: list[int | None]):
         self.m, self.block = m, min(2, m)
-        self.jump = m - self.block + 1
-        places = sum(len(x) for x in words)
-        self.bits = max(10, (8 * places).bit_length())
-        self.shift = np.full(1 << self.bits, min(self.jump, 255), np.uint8)
+        jump = min(m - self.block + 1, 255)
+        self.right = 64 - max(10, (8 * sum(map(len, texts))).bit_length())
+        shift = np.full(1 << 64 - self.right, jump, np.uint8)
         suffix, whole, begins, ends = [], [], [], []
         size = 0
-        for x, text in zip(words, texts, strict=True):
-            h = prefix(x)
-            last = np.arange(self.block, len(x) + 1)
-            hashes = hash_of(h, last - self.block, last)
-            np.minimum.at(self.shift, self.slot(hashes), np.minimum(np.maximum(m - last, 0), 255).astype(np.uint8))
-            first = np.arange(len(x) - m + 1)
-            suffix.append(hashes[first + m - self.block])
-            whole.append(hash_of(h, first, first + m))
-            gaps = np.flatnonzero(np.frombuffer(text + b" ", np.uint8) == 32)
-            begins.append(size + np.concatenate([[0], gaps[:-1] + 1])[first])
-            ends.append(size + gaps[first + m - 1])
-            size += len(text)
-        self.text = b"".join(texts)
-        owner = np.repeat(np.arange(len(words)), [len(x) for x in whole])
+        for words in texts:
+            n = len(words)
+            blocks = np.array([hashed(words, end - self.block, end) for end in range(self.block, n + 1)], np.uint64)
+            last = np.arange(self.block, n + 1)
+            np.minimum.at(shift, (blocks >> np.uint64(self.right)).astype(np.int64), np.minimum(np.maximum(m - last, 0), jump).astype(np.uint8))
+            stops = np.cumsum([len(x) + 1 for x in words]) - 1
+            starts = np.concatenate([[0], stops[:-1] + 1])
+            suffix.append(blocks[m - self.block :])
+            whole.append(np.array([hashed(words, at, at + m) for at in range(n - m + 1)], np.uint64))
+            begins.append(size + starts[: n - m + 1])
+            ends.append(size + stops[m - 1 :])
+            size += int(stops[-1])
+        self.shift = shift.tobytes()
+        self.text = b"".join(b" ".join(x) for x in texts)
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in whole])
         suffix, whole, begins, ends = (np.concatenate(x) for x in (suffix, whole, begins, ends))
         order = np.lexsort((owner, whole, suffix))
         self.suffix, self.whole, self.begins, self.ends = suffix[order], whole[order], begins[order].astype(np.uint32), ends[order].astype(np.uint32)
         self.owner = owner[order].astype(np.uint32)
         self.items = items
 
-    def slot(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, words: list[bytes], h: np.ndarray) -> Iterator[tuple[int, set]]:
-        """(start, items) of all occurrences in words, given the prefix hashes of their hashes."""
-        m, block, n = self.m, self.block, len(words)
-        if n < m:
-            return
-        last = np.arange(m, n + 1)
-        hashes = hash_of(h, last - block, last)
-        steps = self.shift[self.slot(hashes)].tolist()
-        found, end = [], 0
-        while end < len(steps):
-            if step := steps[end]:
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
+        """(start, items) of all occurrences in words."""
+        m, block, right, shift, end, n = self.m, self.block, self.right, self.shift, self.m, len(words)
+        while end <= n:
+            key = hashed(words, end - block, end)
+            if step := shift[key >> right]:
                 end += step
-            else:
-                found.append(end)
-                end += 1
-        if not found:
-            return
-        found = np.array(found)
-        low, high = (np.searchsorted(self.suffix, hashes[found], side) for side in ("left", "right"))
-        some = low < high
-        whole = hash_of(h, found[some], found[some] + m)
-        for start, a, z, key in zip(found[some].tolist(), low[some].tolist(), high[some].tolist(), whole, strict=True):
-            i, j = (a + int(np.searchsorted(self.whole[a:z], key, side)) for side in ("left", "right"))
-            if i < j:
-                window = b" ".join(words[start : start + m])
-                same = [k for k in range(i, j) if self.text[self.begins[k] : self.ends[k]] == window]
-                if same:
+                continue
+            a, z = span(self.suffix, key)
+            if a < z:
+                start = end - m
+                window = b" ".join(words[start:end])
+                i, j = span(self.whole[a:z], hashed(words, start, end))
+                if same := [k for k in range(a + i, a + j) if self.text[self.begins[k] : self.ends[k]] == window]:
                     yield start, {self.items[self.owner[k]] for k in same}
+            end += 1
+
+
+def span(ordered: np.ndarray, value: int) -> tuple[int, int]:
+    """Where equal values stand in an array in order."""
+    x = np.uint64(value)
+    return int(ordered.searchsorted(x)), int(ordered.searchsorted(x, "right"))
+
+
+def hashed(words: list[bytes], start: int, end: int) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words[start:end]))
 
 
 class Benchmark:
-    """A searcher for each length of windows, and the words whose hashes a worker remembers."""
+    """A searcher for each length of windows."""
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], width: int):
-        hashes = WordHashes()
-        by: dict[int, tuple[list, list, list]] = {}
+        by: dict[int, tuple[list, list]] = {}
         for item, text in items:
             if words := words_of(text):
-                here = by.setdefault(min(len(words), width), ([], [], []))
-                for x, value in zip(here, (hashes.of(words), b" ".join(words), item), strict=True):
-                    x.append(value)
+                texts, owners = by.setdefault(min(len(words), width), ([], []))
+                texts.append(words)
+                owners.append(item)
         self.searchers = [WuManber(m, *x) for m, x in sorted(by.items())]
 
-    def scan(self, words: list[bytes], hashes: WordHashes) -> tuple[bytearray, set]:
+    def scan(self, words: list[bytes]) -> tuple[bytearray, set]:
         hit, items = bytearray(len(words)), set()
-        h = prefix(hashes.of(words))
         for searcher in self.searchers:
-            for start, owners in searcher.find(words, h):
+            for start, owners in searcher.find(words):
                 hit[start : start + searcher.m] = b"\1" * searcher.m
                 items |= owners
         return hit, items
@@ -145,11 +136,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_b
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, width))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in small(batches):
                 hits, items = [], []
                 for text, old_hit, old_items in zip(column(batch, "text"), column(batch, "hit"), column(batch, "items"), strict=True):
-                    hit, now = shared.value.scan(words_of(text), hashes)
+                    hit, now = shared.value.scan(words_of(text))
                     if old_hit:
                         hit = bytearray(x | y for x, y in zip(hit, old_hit, strict=True))
                     hits.append(bytes(hit))
@@ -195,10 +185,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, width))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in small(batches):
                 texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-                yield batch.filter(pa.array([1 not in shared.value.scan(words_of(x), hashes)[0] for x in texts], pa.bool_()))
+                yield batch.filter(pa.array([1 not in shared.value.scan(words_of(x))[0] for x in texts], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
         if many:
