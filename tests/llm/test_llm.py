@@ -697,9 +697,10 @@ def near_brute(texts):
     return sorted((str(d), len(x), str(find(d) if d is not None else None), d is None or find(d) == d) for d, x in sets)
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, hot", [(2048, 8192), (5, 8192), (5, 1)])
+def test_near_duplicates(spark, monkeypatch, block, hot):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    monkeypatch.setattr(minhash, "HOT_QUERIES", hot)
     r = random.Random(13)
     words = [f"w{k}" for k in range(300)]
     base = [r.choice(words) for _ in range(90)]
