@@ -1,7 +1,11 @@
 """Nulls, ties, causality and contracts of single operators."""
 
 import datetime as dt
+import difflib
+import functools
+import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -95,10 +99,17 @@ def test_leap_day(spark):
     assert [r.y for r in x] == [dt.datetime(2024, 2, 29, 10), None, dt.datetime(2023, 12, 31, 23)]
 
 
-def test_dtw():
-    a, b = np.array([[0, 0], [1, 0], [2, 0]], float), np.array([[0, 1], [2, 1]], float)
-    assert arrays.dtw(a, a) == 0
-    assert arrays.dtw(a, b) == pytest.approx((1 + 2**0.5 + 1) / 5)
+def warped(a, b, band=2):
+    """The cheapest way through the grid of pairs of points, by recursion over its last step."""
+    reach = max(band, abs(len(a) - len(b)))
+
+    @functools.cache
+    def cheapest(i, j):
+        if i < 0 or j < 0 or abs(i - j) > reach:
+            return 0.0 if i == j == -1 else math.inf
+        return math.dist(a[i], b[j]) + min(cheapest(i - 1, j), cheapest(i, j - 1), cheapest(i - 1, j - 1))
+
+    return cheapest(len(a) - 1, len(b) - 1) / (len(a) + len(b))
 
 
 def test_dtw_in_batches(spark):
@@ -108,7 +119,7 @@ def test_dtw_in_batches(spark):
     df = spark.createDataFrame([(k, as_points(a), as_points(b)) for k, a, b in rows], "k int, a array<struct<x: double, y: double>>, b array<struct<x: double, y: double>>")
     got = {x.k: x.d for x in df.select("k", arrays.dtw_distance(F.col("a"), F.col("b")).alias("d")).collect()}
     for k, a, b in rows:
-        assert got[k] is None if not a else got[k] == pytest.approx(arrays.dtw(np.array(a), np.array(b)))
+        assert got[k] is None if not a else got[k] == pytest.approx(warped(a, b))
 
 
 def test_trajectories(spark):
@@ -118,9 +129,12 @@ def test_trajectories(spark):
     assert set(got) == {1, 2, 3, 4}
     for o, pts in got.items():
         mine = sorted((a, x, y) for k, a, x, y in rows if k == o)
-        seconds = np.array([(a - T0).total_seconds() for a, _, _ in mine])
-        assert [p.x for p in pts] == pytest.approx(arrays.resampled(seconds, np.array([x for _, x, _ in mine]), 7).tolist())
-        assert [p.y for p in pts] == pytest.approx(arrays.resampled(seconds, np.array([y for _, _, y in mine]), 7).tolist())
+        # Of equal times the first in order counts.
+        first = {(a - T0).total_seconds(): (x, y) for a, x, y in reversed(mine)}
+        at = sorted(first)
+        even = [at[0] + (at[-1] - at[0]) * k / 6 for k in range(7)]
+        for axis, name in enumerate("xy"):
+            assert [p[name] for p in pts] == pytest.approx(np.interp(even, at, [first[k][axis] for k in at]).tolist())
 
 
 def test_nnls_and_conformal(spark):
@@ -138,16 +152,72 @@ def test_priors_ignore_their_own_targets(spark):
     assert one.prediction.tolist() == other.prediction.tolist()
 
 
-def test_resolver_fuzzy(spark):
-    catalog = spark.createDataFrame([("ITGOA", "GENOVA", "GENOVA LIGURIA"), ("ITSPE", "SPEZIA", "")], "code string, name string, aliases string")
-    raw = spark.createDataFrame([("genova",), ("x > itgoa",), ("GENOVA LIGURRIA",), (None,), ("ZZ999",), ("nowhere at all",)], "text string")
-    got = {r.text: (r.code, r.method) for r in experts.resolve(raw, catalog).collect()}
-    assert got["genova"] == ("ITGOA", "alias")
-    assert got["x > itgoa"] == ("ITGOA", "route_exact_code")
-    assert got["GENOVA LIGURRIA"] == ("ITGOA", "fuzzy")
-    assert got[None][1] == "unknown"
-    assert got["ZZ999"] == ("ZZ999", "code_like_unverified")
-    assert got["nowhere at all"] == (None, "unresolved_text")
+CATALOG = [
+    ("ITAUG", "Augusta", "Italy", 37.2, 15.2, "AUGUSTA ITALY"),
+    ("ITCTA", "Catania", "Italy", 37.5, 15.1, "CATANIA SICILY;CATANIA ITALY"),
+    ("ITMLZ", "Milazzo", "Italy", 38.2, 15.2, ""),
+    ("GIGIB", "Gibraltar", "Gibraltar", 36.1, -5.4, "GBGIB;GIBRALTAR"),
+    ("PLGDN", "Gdansk", "Poland", 54.4, 18.7, None),
+    ("ITSAL", "Salerno", "Italy", None, None, ""),
+]
+
+
+def resolved(spark, texts, catalog=CATALOG):
+    places = spark.createDataFrame(catalog, "code string, name string, country string, lat double, lon double, aliases string")
+    return {x.text: x for x in experts.resolve(spark.createDataFrame([(t,) for t in texts], "text string"), places).collect()}
+
+
+def test_resolver(spark):
+    texts = ["ITAUG", "IT AUG", "Augusta", "CATANIA SICILY", "ITSAL>ITCTA", "Messina => MILAZZO", "GBGIB", "MALTA", "FOR ORDER", "BALTIC SEA FOR ORDERS", "UNKNOWN", "n/a", None, "", "In Port", "ITMNP", "CATANIA SICIL", "Gdańsk", "GİBRALTAR", "ITSAL", "nowhere at all", "> >"]
+    got = resolved(spark, texts)
+    assert {got[t].canonical for t in ("ITAUG", "IT AUG", "Augusta")} == {"ITAUG"} and all(got[t].is_resolved for t in ("ITAUG", "IT AUG", "Augusta"))
+    assert (got["Augusta"].lat, got["Augusta"].lon, got["Augusta"].country, got["Augusta"].name) == (37.2, 15.2, "Italy", "Augusta")
+    assert got["CATANIA SICILY"].canonical == "ITCTA" and got["CATANIA SICILY"].method == "alias"
+    route = got["ITSAL>ITCTA"]
+    assert (route.canonical, route.method, route.is_route, route.confidence) == ("ITCTA", "route_exact_code", True, 1.0)
+    assert got["Messina => MILAZZO"].canonical == "ITMLZ" and got["Messina => MILAZZO"].is_route
+    assert (got["GBGIB"].canonical, got["GBGIB"].method) == ("GIGIB", "alias")
+    assert (got["MALTA"].canonical, got["MALTA"].code, got["MALTA"].is_resolved, got["MALTA"].method) == ("AMBIGUOUS:MALTA", None, False, "ambiguous_geography")
+    assert {got[t].canonical for t in ("FOR ORDER", "BALTIC SEA FOR ORDERS")} == {"FOR_ORDERS"}
+    assert {got[t].canonical for t in ("UNKNOWN", "n/a", None, "")} == {"UNKNOWN"} and got["In Port"].canonical == "NON_SPECIFIC"
+    unlisted = got["ITMNP"]
+    assert (unlisted.canonical, unlisted.method, unlisted.is_resolved, unlisted.country, unlisted.confidence) == ("ITMNP", "code_like_unverified", False, "IT", 0.7)
+    fuzzy = got["CATANIA SICIL"]
+    assert (fuzzy.canonical, fuzzy.method) == ("ITCTA", "fuzzy") and fuzzy.confidence == pytest.approx(difflib.SequenceMatcher(None, "CATANIA SICIL", "CATANIA SICILY").ratio())
+    assert got["Gdańsk"].canonical == "PLGDN" and got["GİBRALTAR"].canonical == "GIGIB"
+    assert got["ITSAL"].is_resolved and got["ITSAL"].lat is None
+    assert (got["nowhere at all"].canonical, got["nowhere at all"].confidence) == ("TEXT:NOWHERE AT ALL", 0.0)
+
+
+@pytest.mark.parametrize("row, what", [(("ITAUG", "Other", "Italy", 1.0, 1.0, ""), "code of two rows"), (("ITXXX", "Augusta", "Italy", 1.0, 1.0, ""), "alias of two codes")])
+def test_resolver_rejects_bad_catalogues(spark, row, what):
+    with pytest.raises(Exception, match=what):
+        resolved(spark, ["Augusta", "ITAUG"], [*CATALOG, row])
+
+
+def test_similar_names_meet_all_that_a_product_would(spark):
+    r = random.Random(9)
+    names = ["".join(r.choice("ABCDEFGH ") for _ in range(r.randint(5, 24))).strip() for _ in range(60)]
+    # Names in the form of a code don't count.
+    names = sorted({x for n in names if len(x := " ".join(n.split())) >= 5 and not re.fullmatch(r"[A-Z]{2}\s?[A-Z0-9]{3}", x)})
+    texts = []
+    for _ in range(400):
+        t = list(r.choice(names))
+        for _ in range(r.randint(0, 3)):
+            k = r.randrange(len(t))
+            t[k : k + r.randint(0, 1)] = r.choice(["", "X", "A", "QQ"])
+        texts.append("".join(t))
+    aliases = spark.createDataFrame([(n, f"C{k % 40}") for k, n in enumerate(names)], "_alias string, _code string")
+    got = {x.terminal: (x._fuzzy, x._score) for x in experts.closest(spark.createDataFrame([(t,) for t in texts], "terminal string"), aliases).collect()}
+    want = {}
+    for t in set(texts):
+        scores = {}
+        for k, n in enumerate(names):
+            scores[f"C{k % 40}"] = max(scores.get(f"C{k % 40}", 0), difflib.SequenceMatcher(None, t, n).ratio())
+        (code, best), (_, second) = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
+        if len(t) >= 5 and best >= 0.94 and best - second >= 0.04:
+            want[t] = (code, pytest.approx(best))
+    assert got == want and len(want) > 50
 
 
 def test_shortest_path_is_causal(spark):
@@ -188,6 +258,11 @@ def test_contracts(spark):
     a, b = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1, 2), (1, 3)], "k int, v int")
     with pytest.raises(Exception, match="unique"):
         contracts.validated_join(a, b, ["k"]).collect()
+    seen = spark.createDataFrame([(1, T0), (1, T0 + dt.timedelta(hours=2)), (2, T0)], "owner bigint, at timestamp_ntz")
+    cut = lambda hours: spark.createDataFrame([(1, T0 + dt.timedelta(hours=hours))], "owner bigint, cut timestamp_ntz")
+    assert contracts.causal(seen, cut(2), "owner", "at", "cut").where("at is not null").count() == 2
+    with pytest.raises(Exception, match="after the cut-off of 1"):
+        contracts.causal(seen, cut(1), "owner", "at", "cut").collect()
 
 
 def test_modes_quantiles_concentration(spark):
@@ -216,7 +291,12 @@ def test_sources(spark, tmp_path):
 
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("in.csv", "a,b\n1,2\n")
-    assert [r.line for r in tables.zipped_csv(spark, str(tmp_path / "a.zip"), "in.csv").collect()] == ["a,b", "1,2"]
+    assert [r.line for r in tables.zipped_lines(spark, str(tmp_path / "a.zip"), "in.csv").collect()] == ["a,b", "1,2"]
+    assert [tuple(r) for r in tables.zipped_csv(spark, str(tmp_path / "a.zip"), "in.csv", "a int, b double").collect()] == [(1, 2.0)]
+    r = random.Random(3)
+    rows = [(str(r.randrange(8) * 60_000), f"2024-01-01 00:00:{r.randrange(60):02d}", "1.0", str(k)) for k in range(200)]
+    got = tables.standard_positions(spark.createDataFrame(rows, "mmsi string, time string, lat string, lon string")).collect()
+    assert [x.id for x in sorted(got, key=lambda x: (x.owner, x.recorded_at, x.lat, x.lon))] == list(range(1, 201))
     with pytest.raises(ValueError):
         tables.read(spark, "x", "pickle")
 

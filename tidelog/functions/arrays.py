@@ -29,25 +29,9 @@ def cosine_distance(x: Column, y: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1.0 - dot(x, y) / F.when(den > 0, den).otherwise(1.0)))
 
 
-def dtw(x: np.ndarray, y: np.ndarray, band: int = 2) -> float:
-    """Dynamic time warping of two point sequences in a Sakoe-Chiba band, over the sum of their lengths."""
-    n, m = len(x), len(y)
-    if not n or not m:
-        return float("nan")
-    reach = max(band, abs(n - m))
-    cost = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-    last = np.full(m + 1, np.inf)
-    last[0] = 0.0
-    for i in range(1, n + 1):
-        row = np.full(m + 1, np.inf)
-        for j in range(max(1, i - reach), min(m, i + reach) + 1):
-            row[j] = cost[i - 1, j - 1] + min(last[j], row[j - 1], last[j - 1])
-        last = row
-    return float(last[m]) / (n + m)
-
-
 def dtw_many(x: np.ndarray, y: np.ndarray, band: int = 2) -> np.ndarray:
-    """The same for many pairs of sequences of one length each: x is (pairs, n, 2), y (pairs, m, 2)."""
+    """Dynamic time warping in a Sakoe-Chiba band, over the sum of the lengths, of many pairs of sequences of one length each:
+    x is (pairs, n, 2), y (pairs, m, 2)."""
     pairs, n, m = len(x), x.shape[1], y.shape[1]
     reach = max(band, abs(n - m))
     cost = np.sqrt(((x[:, :, None, :] - y[:, None, :, :]) ** 2).sum(axis=3))
@@ -76,9 +60,3 @@ def dtw_distance(x: pa.Array, y: pa.Array) -> pa.Array:
 def points(x: pa.Array, n: int) -> np.ndarray:
     flat = x.flatten()
     return np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], axis=1).reshape(-1, n, 2)
-
-
-def resampled(seconds: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Linear interpolation at n even steps over the observed span; of equal times the first counts."""
-    seconds, first = np.unique(seconds, return_index=True)
-    return np.interp(np.linspace(seconds[0], seconds[-1], n), seconds, values[first])

@@ -50,11 +50,11 @@ def validated_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(checked, on, how)
 
 
-def assert_causal(rows: DataFrame, cutoffs: DataFrame, owner: str, at: str, cutoff: str) -> None:
-    """An error with some of the rows that lie after their owner's cut-off."""
-    late = rows.join(cutoffs, owner).where(F.col(at) > F.col(cutoff)).limit(5).collect()
-    if late:
-        raise ContractError(f"rows after the cut-off: {late}")
+def causal(rows: DataFrame, cutoffs: DataFrame, owner: str, at: str, cutoff: str) -> DataFrame:
+    """The rows of owners with a cut-off; the plan fails, while it runs, at a row that lies after it."""
+    late = F.concat(F.lit("a row after the cut-off of "), F.col(owner).cast("string"))
+    x = rows.join(cutoffs.select(owner, F.col(cutoff).alias("_cut")), owner)
+    return x.withColumn(at, F.when(F.col(at) <= F.col("_cut"), F.col(at)).when(F.col(at).isNotNull(), F.raise_error(late).cast(x.schema[at].dataType))).drop("_cut")
 
 
 def coverage(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.config import IntervalConfig
+from tidelog.functions import hashing, numeric
 from tidelog.operators import quantiles
 
 
@@ -25,6 +25,40 @@ def median_baselines(rows: DataFrame, target: str, key: str, fold: str = "fold")
     return x.withColumn("key_median", F.coalesce("_m", "global_median")).drop("_f2", "_k", "_m")
 
 
+def nested_selection(rows: DataFrame, target: str, key: str, given: list[str], fold: str, folds: list[int]) -> DataFrame:
+    """expert and hours of each row: for its fold, the expert that did best on the other folds, where medians were fitted
+    without the fold and without the fold of the row they answered; then the medians are fitted on all other folds.
+
+    Experts: the global median, the key's median (the global one where it is unknown), and given columns.
+    """
+    names = ["global", "by_key", *given]
+    out = None
+    for f in folds:
+        train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
+        inner = median_baselines(train, target, key, fold).withColumnsRenamed({"global_median": "global", "key_median": "by_key"})
+        errors = [F.avg(F.abs(F.col(c) - F.col(target))) for c in names]
+        best = inner.agg(numeric.argmin(errors, names).alias("expert"))
+        top = quantiles.quantiles(train, [], target, [0.5]).select(F.col("q")[0].alias("global"))
+        own = quantiles.quantiles(train, [key], target, [0.5]).select(key, F.col("q")[0].alias("_own"))
+        x = test.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(top)).join(own, key, "left").withColumn("by_key", F.coalesce("_own", "global"))
+        hours = F.coalesce(*(F.when(F.col("expert") == c, F.col(c)) for c in names))
+        x = x.withColumn("hours", hours).select(*rows.columns, "expert", "hours")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def threshold_gated(rows: DataFrame, score: str, below: str, above: str, target: str, grid: list[float], fold: str) -> DataFrame:
+    """threshold and hours: `below` up to a threshold of the score and `above` beyond it; a fold's threshold is that of the
+    grid with the least mean error on the other folds, the lowest on ties. One aggregation serves all folds and thresholds."""
+    error = lambda c: F.abs(F.col(c) - F.col(target))
+    sums = rows.groupBy(fold).agg(F.count(target).alias("n"), *(F.sum(F.when(F.col(score) <= t, error(below)).otherwise(error(above))).alias(f"_{i}") for i, t in enumerate(grid)))
+    cells = sums.select(fold, "n", F.posexplode(F.array(*(f"_{i}" for i in range(len(grid))))).alias("i", "e"))
+    every = Window.partitionBy("i")
+    rest = cells.withColumn("mae", (F.sum("e").over(every) - F.col("e")) / (F.sum("n").over(every) - F.col("n")))
+    best = rest.groupBy(fold).agg(F.min(F.struct("mae", "i")).alias("b")).select(fold, F.element_at(F.array(*map(F.lit, grid)), F.col("b.i") + 1).alias("threshold"))
+    return rows.join(best, fold).withColumn("hours", F.when(F.col(score) <= F.col("threshold"), F.col(below)).otherwise(F.col(above)))
+
+
 def nnls(gram: np.ndarray, moment: np.ndarray, rounds: int = 500) -> np.ndarray:
     """Weights of at least 0 that minimise w'Gw - 2 m'w, then made to sum to 1; by active sets on a small matrix."""
     n = len(moment)
@@ -125,36 +159,32 @@ def gate(metrics: DataFrame, tests: dict[str, Column]) -> DataFrame:
     return metrics.select(*(t.alias(name) for name, t in flags.items()), F.forall(F.array(*flags.values()), lambda t: t).alias("promoted"))
 
 
-def bootstrap(rows: DataFrame, a: str, b: str, unit: str, reps: int, seed: int) -> DataFrame:
-    """Paired differences of mean absolute errors (a - b) over resampled units: mean, low and high of 95 %.
+def bootstrap(rows: DataFrame, a: str, b: str, unit: str, reps: int, seed: int, strata: str | None = None) -> DataFrame:
+    """Paired differences of mean absolute errors (a - b) over resampled units: mean, low and high of 95 %, share_positive.
 
-    Units are summed first. Each is drawn a Poisson(1) number of times in each repetition, from a hash of (unit, rep,
-    seed): the same on every run and independent of partitions, so repetitions are one aggregation with map-side sums.
+    Units are summed first, within each of the strata if given; strata keep their shares of the rows. Each unit is drawn a
+    Poisson(1) number of times in each repetition, from the digest of unit|rep|seed: the same on every run and whatever the
+    partitions, so repetitions are one aggregation with map-side sums.
     """
-    units = rows.groupBy(unit).agg(F.sum(F.abs(F.col(a)) - F.abs(F.col(b))).alias("_d"), F.count("*").alias("_n"))
-    x = units.select(unit, "_d", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    u = (F.pmod(F.xxhash64(F.col(unit), F.col("rep"), F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    units = rows.groupBy(unit, (F.col(strata) if strata else F.lit(0)).alias("_s")).agg(F.sum(F.abs(F.col(a)) - F.abs(F.col(b))).alias("_d"), F.count("*").alias("_n"))
+    x = units.select(unit, "_s", "_d", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    # 52 bits of the digest as a number in (0, 1).
+    u = (F.conv(F.substring(hashing.digest(F.col(unit), F.col("rep"), F.lit(seed)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     cdf, p, draws = 0.0, float(np.exp(-1)), F.lit(0)
     for k in range(1, 9):
         cdf += p
         draws = draws + (u > cdf).cast("int")
         p /= k
     x = x.withColumn("_w", draws)
-    per = x.groupBy("rep").agg((F.sum(F.col("_w") * F.col("_d")) / F.sum(F.col("_w") * F.col("_n"))).alias("gain"))
+    part = x.groupBy("rep", "_s").agg((F.sum(F.col("_w") * F.col("_d")) / F.sum(F.col("_w") * F.col("_n"))).alias("_gain"), F.sum("_n").alias("_n"))
+    per = part.groupBy("rep").agg((F.sum(F.col("_gain") * F.col("_n")) / F.sum(F.when(F.col("_gain").isNotNull(), F.col("_n")))).alias("gain"))
     return per.agg(F.avg("gain").alias("mean"), F.percentile("gain", F.lit(0.025)).alias("low"), F.percentile("gain", F.lit(0.975)).alias("high"), F.avg((F.col("gain") > 0).cast("int")).alias("share_positive"))
 
 
-def exact_bootstrap(values: pd.Series, reps: int, seed: int) -> np.ndarray:
-    """Means of resamples with NumPy's own generator, for parity with other tools; values come in a fixed order."""
-    rng = np.random.default_rng(seed)
-    v = values.to_numpy(float)
-    return np.array([v[rng.integers(0, len(v), len(v))].mean() for _ in range(reps)])
-
-
-def preprocessing(numeric: list[str], categories: list[str], least: int = 2) -> list:
+def preprocessing(measures: list[str], categories: list[str]) -> list:
     """Median imputation, scaling, and one-hot categories; unseen ones get a place of their own."""
-    imputed = [f"{c}_imp" for c in numeric]
-    stages: list = [Imputer(strategy="median", inputCols=numeric, outputCols=imputed), VectorAssembler(inputCols=imputed, outputCol="_num"), StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True)]
+    imputed = [f"{c}_imp" for c in measures]
+    stages: list = [Imputer(strategy="median", inputCols=measures, outputCols=imputed), VectorAssembler(inputCols=imputed, outputCol="_num"), StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True)]
     stages += [StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep", stringOrderType="frequencyDesc") for c in categories]
     stages += [OneHotEncoder(inputCols=[f"{c}_ix" for c in categories], outputCols=[f"{c}_hot" for c in categories], handleInvalid="keep")] if categories else []
     return [*stages, VectorAssembler(inputCols=["_scaled", *(f"{c}_hot" for c in categories)], outputCol="features")]
@@ -167,22 +197,24 @@ def rare_folded(rows: DataFrame, column: str, least: int) -> DataFrame:
     return x.withColumn(column, F.when(F.col("_c").isNotNull(), F.col(column)).otherwise("OTHER")).drop("_c", "_n")
 
 
-def models(target: str, seed: int = 7) -> dict[str, object]:
-    """Regressors that the engine has an equivalent for. Not there: support vectors, extremely random trees."""
-    common = {"featuresCol": "features", "labelCol": target, "predictionCol": "prediction"}
+def models(target: str, seed: int = 7, weight: str | None = None, held: str | None = None) -> dict[str, object]:
+    """Regressors that the engine has an equivalent for, with a column of weights if given. Boosting stops early on the rows
+    that a column `held` marks, if given. Not there: support vectors, extremely random trees, the quantile loss."""
+    common = {"featuresCol": "features", "labelCol": target, "predictionCol": "prediction"} | ({"weightCol": weight} if weight else {})
+    early = {"validationIndicatorCol": held} if held else {}
     return {
         "ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0, **common),
         "huber": LinearRegression(loss="huber", regParam=0.1, **common),
         "forest": RandomForestRegressor(numTrees=20, maxDepth=6, seed=seed, **common),
-        "boosted": GBTRegressor(lossType="absolute", maxIter=10, maxDepth=4, seed=seed, **common),
+        "boosted": GBTRegressor(lossType="absolute", maxIter=10, maxDepth=4, seed=seed, **common, **early),
     }
 
 
-def out_of_fold(rows: DataFrame, model: object, numeric: list[str], categories: list[str], fold: str, folds: list[int]) -> DataFrame:
+def out_of_fold(rows: DataFrame, model: object, measures: list[str], categories: list[str], fold: str, folds: list[int]) -> DataFrame:
     """Predictions of each fold by a model fitted on the others; fits are the only loop."""
     out = None
     for f in folds:
-        fitted: PipelineModel = Pipeline(stages=[*preprocessing(numeric, categories), model]).fit(rows.where(F.col(fold) != f))
+        fitted: PipelineModel = Pipeline(stages=[*preprocessing(measures, categories), model]).fit(rows.where(F.col(fold) != f))
         part = fitted.transform(rows.where(F.col(fold) == f)).select(*rows.columns, "prediction")
         out = part if out is None else out.unionByName(part)
     return out
@@ -196,10 +228,10 @@ def soft_gate(rows: DataFrame, features: list[str], label: str, weight: str) ->
 
 def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
     """weight: rows over classes times the rows of the class, from a table of counts that is joined back."""
-    counts = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
-    whole = counts.agg(F.sum("_n").alias("_rows"), F.count("*").alias("_classes"))
-    weights = counts.crossJoin(whole).select("_label", (F.col("_rows") / (F.col("_classes") * F.col("_n"))).alias("weight"))
-    return rows.join(weights, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+    counts = rows.groupBy(F.col(label).alias("_of_class")).agg(F.count("*").alias("_in_class"))
+    whole = counts.agg(F.sum("_in_class").alias("_in_all"), F.count("*").alias("_classes"))
+    weights = counts.crossJoin(whole).select("_of_class", (F.col("_in_all") / (F.col("_classes") * F.col("_in_class"))).alias("weight"))
+    return rows.join(weights, F.col(label).eqNullSafe(F.col("_of_class"))).drop("_of_class")
 
 
 def embedded(rows: DataFrame, array: str, k: int) -> DataFrame:

@@ -98,19 +98,22 @@ def closest(left: DataFrame, names: DataFrame) -> DataFrame:
     return ranked.where((F.col("_r") == 1) & (F.col("_s") >= FUZZY_LEAST) & (F.col("_s") - F.col("_next") >= FUZZY_MARGIN)).select("terminal", F.col("_code").alias("_fuzzy"), F.col("_s").alias("_score"))
 
 
-def hierarchical_prior(rows: DataFrame, target: str, cfg: PriorConfig = PriorConfig(), fold: str = "fold") -> DataFrame:
-    """Out-of-fold priors: each row's prediction uses the targets of other folds only.
+def hierarchical_prior(rows: DataFrame, target: str, cfg: PriorConfig = PriorConfig(), fold: str = "fold", train: DataFrame | None = None) -> DataFrame:
+    """Priors: each row's prediction uses the targets of other folds only, or those of train, if that is given.
 
     From the global median down the levels, a level with enough support pulls the prediction towards its median with
     weight n / (n + alpha); predictions stay within the training quantiles. Folds are a column: the statistics of a fold
-    are those of the rows outside it, made for all folds in one plan.
+    are those of the rows outside it, made for all folds in one plan. Adds prediction, level, level_name, support, weight.
     """
-    top = quantiles.quantiles(rows, [], target, [0.5, *cfg.clip], fold).select("_f", F.col("q")[0].alias("_p"), F.slice("q", 2, 2).alias("_q"))
-    x = rows.join(F.broadcast(top), F.col(fold) == F.col("_f")).drop("_f").withColumns({"prediction": F.col("_p"), "level": F.lit(0), "level_name": F.lit("global"), "support": F.lit(0).cast("bigint"), "weight": F.lit(0.0)})
+    source, by = (rows, fold) if train is None else (train, None)
+    same = (lambda: F.col(fold) == F.col("_f")) if by else (lambda: F.lit(True))
+    top = quantiles.quantiles(source, [], target, [0.5, *cfg.clip], by).select(*(["_f"] if by else []), F.col("q")[0].alias("_p"), F.slice("q", 2, 2).alias("_q"))
+    x = rows.join(F.broadcast(top), same(), "left").drop("_f").withColumns({"prediction": F.col("_p"), "level": F.lit(0), "level_name": F.lit("global"), "support": F.lit(0).cast("bigint"), "weight": F.lit(0.0)})
     low, high = F.col("_q")[0], F.col("_q")[1]
     for depth, key in enumerate(cfg.levels, 1):
-        stats = quantiles.quantiles(rows, [key], target, [0.5], fold).select("_f", F.col(key).alias("_k"), F.col("q")[0].alias("_m"), F.col("n").alias("_n"))
-        x = x.join(stats, (F.col(fold) == F.col("_f")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+        stats = quantiles.quantiles(source, [key], target, [0.5], by)
+        stats = stats.select(*(["_f"] if by else []), F.col(key).alias("_k"), F.col("q")[0].alias("_m"), F.col("n").alias("_n"))
+        x = x.join(stats, same() & F.col(key).eqNullSafe(F.col("_k")), "left")
         ok = F.coalesce(F.col("_n") >= cfg.min_support, F.lit(False))
         w = F.col("_n") / (F.col("_n") + cfg.alpha)
         x = x.withColumns(
@@ -155,14 +158,19 @@ def physics_features(rows: DataFrame, radius_nm: float) -> DataFrame:
     return x.withColumn("eligible", physics_eligible(F.col("is_resolved"), F.col("confidence"), F.col("distance_nm"), F.col("recent_kn"), F.lit(0.0)))
 
 
-def residual_corrected(rows: DataFrame, base: str, target: str, eligible: str, key: str, alpha: float = 10.0, min_support: int = 3, fold: str = "fold") -> DataFrame:
-    """corrected: base plus the median residual of eligible rows of other folds, the key's shrunk towards the global one."""
-    # Residuals that don't count are null; every fold has its row even where it alone holds the eligible ones.
-    train = rows.withColumn("_r", F.when(F.col(eligible), F.col(target) - F.col(base)))
-    top = quantiles.quantiles(train, [], "_r", [0.5], fold).select("_f", F.col("q")[0].alias("_g"))
-    own = quantiles.quantiles(train, [key], "_r", [0.5], fold).select("_f", F.col(key).alias("_k"), F.col("q")[0].alias("_m"), F.col("n").alias("_n"))
-    x = rows.join(F.broadcast(top), F.col(fold) == F.col("_f"), "left").drop("_f")
-    x = x.join(own, (F.col(fold) == F.col("_f")) & (F.col(key) == F.col("_k")), "left")
+def residual_corrected(
+    rows: DataFrame, base: str, target: str, eligible: str, key: str, alpha: float = 10.0, min_support: int = 3, fold: str = "fold", train: DataFrame | None = None
+) -> DataFrame:
+    """corrected: base plus the median residual of eligible rows of other folds (or of train, if that is given), the key's
+    shrunk towards the global one."""
+    source, by = (rows, fold) if train is None else (train, None)
+    same = (lambda: F.col(fold) == F.col("_f")) if by else (lambda: F.lit(True))
+    # Residuals that don't count are null.
+    known = source.withColumn("_r", F.when(F.col(eligible), F.col(target) - F.col(base)))
+    mine = ["_f"] if by else []
+    top = quantiles.quantiles(known, [], "_r", [0.5], by).select(*mine, F.col("q")[0].alias("_g"))
+    own = quantiles.quantiles(known, [key], "_r", [0.5], by).select(*mine, F.col(key).alias("_k"), F.col("q")[0].alias("_m"), F.col("n").alias("_n"))
+    x = rows.join(F.broadcast(top), same(), "left").drop("_f").join(own, same() & (F.col(key) == F.col("_k")), "left")
     w = F.when(F.col("_n") >= min_support, F.col("_n") / (F.col("_n") + alpha)).otherwise(0.0)
     shift = F.coalesce(w * F.col("_m"), F.lit(0.0)) + (1 - w) * F.coalesce(F.col("_g"), F.lit(0.0))
     return x.withColumn("corrected", F.greatest(F.lit(0.0), F.col(base) + shift)).drop("_f", "_k", "_m", "_n", "_g")

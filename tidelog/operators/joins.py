@@ -113,6 +113,21 @@ def snap(points: DataFrame, nodes: DataFrame, cell_deg: float, limit_nm: float,
     return x.groupBy(key).agg(F.min(F.struct("snap_nm", "node")).alias("x")).select(key, F.col("x.node").alias("node"), F.col("x.snap_nm").alias("snap_nm"))
 
 
+def trailing_motion(points: DataFrame, owner: str, at: str, minutes: dict[str, int], radius_km: float) -> DataFrame:
+    """points (lat, lon, sog_raw) with the median speed, the way travelled and the net displacement of the minutes up to
+    each: speed_, travelled_km_ and net_km_ with each name. One sort by owner and time serves all of them."""
+    t = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(at))
+    w = Window.partitionBy(owner).orderBy("_t")
+    step = geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"), radius_km)
+    x = points.withColumn("_t", t).withColumn("_km", step)
+    for name, length in minutes.items():
+        over = w.rangeBetween(-length * 60_000_000, Window.currentRow)
+        net = geo.haversine(F.first("lat").over(over), F.first("lon").over(over), F.col("lat"), F.col("lon"), radius_km)
+        median = F.percentile("sog_raw", F.lit(0.5)).over(over)
+        x = x.withColumns({f"speed_{name}": median, f"travelled_km_{name}": F.sum("_km").over(over), f"net_km_{name}": net})
+    return x.drop("_t", "_km")
+
+
 def decision_panel(sessions: DataFrame, states: DataFrame, owner: str, key: str, start: str, end: str, minutes: int, lag_minutes: int, max_age_s: float, keep: list[str]) -> DataFrame:
     """A row for each session and wall-clock tick in [start, end): the latest state, that of lag_minutes before, age, quality."""
     ticks = sessions.withColumn("tick", F.explode(times.grid(F.col(start), F.col(end), minutes)))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidelog.config import EARTH_NM, IntervalConfig, PriorConfig
-from tidelog.functions import geo, numeric, times
-from tidelog.operators import evaluation, experts, joins, sessions
+from tidelog.config import EARTH_KM, EARTH_NM
+from tidelog.functions import geo, hashing, numeric, times
+from tidelog.operators import evaluation, experts, joins, scoring, sessions
+from tidelog.plans.experts import catalog
 from tidelog.plans.registry import query
 from tidelog.plans.scalars import _hav
 from tidelog.plans.temporal import STATES_SQL, _PAIRS, state_rows
+from tidelog.session import shared_folder
 from tidelog.sources.domain import DECISIONS_SQL, POSITIONS_SQL, decisions, positions
 from tidelog.sources.tables import table
 
@@ -120,15 +122,61 @@ def candidate_mask(spark, sf):
     return x.where(F.get_json_object("props", "$.k").cast("int").between(1, 31)).select("event_id")
 
 
+def scored_rows(spark, sf):
+    """Decisions with a destination's text resolved, the way of their owner before them, and physics: what experts read."""
+    names = table(spark, sf, "nation").select("n_name", "n_nationkey")
+    n = F.col("n_nationkey")
+    places = catalog(spark, sf).withColumns({"lat": 36.0 + F.substring("code", 3, 3).cast("int") / 10, "lon": F.lit(15.0)})
+    raw = F.when(F.col("key") % 7 == 0, F.concat(F.lit("home > "), F.col("destination"))).when(F.col("key") % 11 == 0, "FOR ORDERS").otherwise(F.col("destination"))
+    x = decisions(spark, sf).join(names, F.col("destination") == F.col("n_name")).drop("n_name").withColumn("text", raw)
+    known = experts.resolve(x, places, fuzzy=False).select("text", "canonical", F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"), F.col("confidence").alias("confidence_text"), "is_resolved")
+    x = x.join(known, "text").drop("destination", "text").withColumnRenamed("canonical", "destination").withColumn("destination_type", F.concat_ws("\u001f", "destination", "ship_type"))
+    # The log lies years after the decisions; each owner's is taken for its way before all of them.
+    points = positions(spark, sf)
+    motion = joins.trailing_motion(points, "owner", "recorded_at", {"180": 18_000, "360": 36_000}, EARTH_KM)
+    at, columns = F.struct("recorded_at", "id"), ["lat", "lon", "cog_raw", *(f"{c}_{w}" for c in ("speed", "travelled_km", "net_km") for w in (180, 360))]
+    last = motion.groupBy("owner").agg(F.max_by(F.struct(*columns), at).alias("m")).select("owner", "m.*").withColumnRenamed("cog_raw", "cog")
+    tracks = experts.trajectories(points, "owner", "recorded_at", ["lon", "lat"], 12).withColumnRenamed("points", "track")
+    x = x.join(last, "owner", "left").join(tracks, "owner", "left").withColumn("confidence", F.col("confidence_text"))
+    x = experts.physics_features(x, EARTH_NM)
+    hours = experts.physics(F.col("distance_nm"), F.col("speed_180"), F.col("speed_360"), F.coalesce("sinuosity_180", F.lit(1.0)))
+    return x.withColumn("physics_h", hours)
+
+
 @query()
 def scoring_chain(spark, sf):
-    """Prior, experts, blend, risk, interval, confidence and action for each decision."""
-    rows = decisions(spark, sf).withColumn("destination_type", F.concat_ws("\u001f", "destination", "ship_type"))
-    # Fitting, intervals and terciles all read the experts' rows again.
-    x = experts.hierarchical_prior(rows, "target_h", PriorConfig()).persist()
-    names = ["prediction", "pred_a", "pred_b", "pred_c"]
-    x = evaluation.blended(x, names, evaluation.blend_weights(x, names, "target_h", "fold"), "fold")
-    x = x.withColumns({"risk": 1 + numeric.row_spread(*map(F.col, names)), "error": F.abs(F.col("blend") - F.col("target_h"))})
-    x = evaluation.terciles(evaluation.intervals(x, "blend", "risk", "error", "fold", IntervalConfig()), "risk", "fold")
-    action = F.when(F.col("confidence") == "LOW", "DEFER").otherwise("REPORT")
-    return x.select("key", F.round("blend", 3).alias("hours"), F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), "confidence", action.alias("action"))
+    """Owners of the final part by a mixture that the other owners taught: resolver, physics, analogues, gate, risk, interval."""
+    shared_folder(spark)
+    rows = scored_rows(spark, sf).withColumns({"part": hashing.split("chain", F.col("owner")), "fold": hashing.bucket("chain-fold", F.col("owner"), 2)}).checkpoint()
+    x = scoring.mixture(rows.where("part <> 'final'").drop("part"), rows.where("part = 'final'").drop("part"), "target_h", [0, 1])
+    return x.select("key", "expert", "tier", "action", *(F.round(c, 3).alias(c) for c in ("hours", "risk_h", "low", "high", *scoring.EXPERTS)))
+
+
+_ABS = "abs(pred_a - target_h)"
+
+
+def nested_sql() -> str:
+    """For each outer fold: key medians of inner folds' rows outside both, the expert with the least error there, its refit."""
+    return f"""WITH {DECISIONS_SQL}, o AS (SELECT unnest(range(5)) AS f), tr AS (SELECT o.f, dec.* FROM o JOIN dec ON fold <> f),
+ ig AS (SELECT a.f, a.fold AS g, median(b.target_h) AS m FROM (SELECT DISTINCT f, fold FROM tr) a JOIN tr b ON b.f = a.f AND b.fold <> a.fold GROUP BY 1, 2),
+ ik AS (SELECT a.f, a.fold AS g, b.destination AS d, median(b.target_h) AS m FROM (SELECT DISTINCT f, fold FROM tr) a JOIN tr b ON b.f = a.f AND b.fold <> a.fold GROUP BY 1, 2, 3),
+ e AS (SELECT tr.f, avg(abs(ig.m - target_h)) AS e0, avg(abs(coalesce(ik.m, ig.m) - target_h)) AS e1, avg({_ABS}) AS e2, avg(abs(pred_b - target_h)) AS e3 FROM tr JOIN ig ON ig.f = tr.f AND ig.g = tr.fold LEFT JOIN ik ON ik.f = tr.f AND ik.g = tr.fold AND ik.d = destination GROUP BY 1),
+ w AS (SELECT f, CASE least(e0, e1, e2, e3) WHEN e0 THEN 'global' WHEN e1 THEN 'by_key' WHEN e2 THEN 'pred_a' ELSE 'pred_b' END AS expert FROM e), g AS (SELECT f, median(target_h) AS m FROM tr GROUP BY 1), k AS (SELECT f, destination AS d, median(target_h) AS m FROM tr GROUP BY 1, 2)
+ SELECT key, expert, round(CASE expert WHEN 'global' THEN g.m WHEN 'by_key' THEN coalesce(k.m, g.m) WHEN 'pred_a' THEN pred_a ELSE pred_b END, 5) AS hours FROM dec JOIN w ON w.f = fold JOIN g ON g.f = fold LEFT JOIN k ON k.f = fold AND k.d = destination"""
+
+
+@query(nested_sql())
+def nested_selection(spark, sf):
+    """The expert of each outer fold, chosen by answers that were fitted inside the other folds only."""
+    x = evaluation.nested_selection(decisions(spark, sf), "target_h", "destination", ["pred_a", "pred_b"], "fold", [0, 1, 2, 3, 4])
+    return x.select("key", "expert", F.round("hours", 5).alias("hours"))
+
+
+@query(f"""WITH {DECISIONS_SQL}, s AS (SELECT *, abs(pred_a - pred_b) AS gap, {_ABS} AS ea, abs(pred_b - target_h) AS eb FROM dec), t AS (SELECT unnest([0.0, 100.0, 200.0, 400.0, 800.0, 1600.0])::DOUBLE AS cut),
+ m AS (SELECT f, cut, avg(CASE WHEN gap <= cut THEN ea ELSE eb END) AS mae FROM (SELECT unnest(range(5)) AS f) JOIN s ON fold <> f, t GROUP BY 1, 2), b AS (SELECT f, min({{'mae': mae, 'cut': cut}}).cut AS cut FROM m GROUP BY 1)
+ SELECT fold, any_value(cut) AS threshold, count(*) AS n, round(avg(CASE WHEN gap <= cut THEN ea ELSE eb END), 5) AS mae FROM s JOIN b ON f = fold GROUP BY 1""")
+def threshold_gate(spark, sf):
+    """One expert up to a threshold of a score, another beyond it; the threshold is the best of a grid on the other folds."""
+    x = decisions(spark, sf).withColumn("gap", F.abs(F.col("pred_a") - F.col("pred_b")))
+    x = evaluation.threshold_gated(x, "gap", "pred_a", "pred_b", "target_h", [0.0, 100.0, 200.0, 400.0, 800.0, 1600.0], "fold")
+    return x.groupBy("fold").agg(F.first("threshold").alias("threshold"), F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("hours") - F.col("target_h"))), 5).alias("mae"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidelog.config import EARTH_KM
 from tidelog.functions import numeric
 from tidelog.operators import evaluation, external
 from tidelog.plans.registry import query
+from tidelog.plans.scalars import _hav
+from tidelog.plans.temporal import STATES_SQL, state_rows
 from tidelog.sources.domain import DECISIONS_SQL, decisions
 from tidelog.sources.tables import table
 
@@ -108,10 +113,39 @@ def slice_regression_audit(spark, sf):
     return x.groupBy("ship_type").agg(F.count("*").alias("n"), F.round(F.try_divide(a, b), 6).alias("ratio"), ((F.count("*") >= 20) & (a > 1.10 * b)).alias("regressed"))
 
 
-@query()
+_DRAW = "(CAST('0x' || substr(sha256(owner || '|' || rep || '|20260918'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+
+
+def _draws() -> str:
+    cdf, p, out = 0.0, math.exp(-1), []
+    for k in range(1, 9):
+        cdf += p
+        out.append(f"(u > {cdf!r}::DOUBLE)::INT")
+        p /= k
+    return " + ".join(out)
+
+
+def _bootstrap_sql(strata: str) -> str:
+    return f"""WITH {DECISIONS_SQL}, un AS (SELECT owner, {strata} AS s, sum(abs(pred_b - target_h) - {_A}) AS d, count(*) AS n FROM dec GROUP BY ALL), x AS (SELECT *, {_DRAW} AS u FROM un, (SELECT unnest(range(500)) AS rep)),
+ p AS (SELECT rep, s, sum(w * d) / nullif(sum(w * n), 0) AS g, sum(n) AS n FROM (SELECT *, {_draws()} AS w FROM x) GROUP BY ALL), q AS (SELECT rep, sum(g * n) / sum(n) FILTER (g IS NOT NULL) AS gain FROM p GROUP BY 1)
+ SELECT round(avg(gain), 4) AS mean, round(quantile_cont(gain, 0.025), 4) AS low, round(quantile_cont(gain, 0.975), 4) AS high, round(avg((gain > 0)::INT), 6) AS share_positive FROM q"""
+
+
+def bootstrapped(spark, sf, strata: str | None):
+    x = decisions(spark, sf).select("owner", "fold", (F.col("pred_b") - F.col("target_h")).alias("b"), (F.col("pred_a") - F.col("target_h")).alias("a"))
+    found = evaluation.bootstrap(x, "b", "a", "owner", 500, 20260918, strata)
+    return found.select(*(F.round(c, 4).alias(c) for c in ("mean", "low", "high")), F.round("share_positive", 6).alias("share_positive"))
+
+
+@query(_bootstrap_sql("0"))
 def bootstrap_ci(spark, sf):
-    x = decisions(spark, sf).select("owner", (F.col("pred_b") - F.col("target_h")).alias("b"), (F.col("pred_a") - F.col("target_h")).alias("a"))
-    return evaluation.bootstrap(x, "b", "a", "owner", 500, 20260918)
+    return bootstrapped(spark, sf, None)
+
+
+@query(_bootstrap_sql("fold"))
+def bootstrap_by_fold(spark, sf):
+    """The same with the rows of each fold resampled among themselves."""
+    return bootstrapped(spark, sf, "fold")
 
 
 @query()
@@ -150,3 +184,40 @@ def external_cohort(spark, sf):
     features = external.history(cohort, e, 48)
     labels = external.reveal(cohort, e.where("event_type = 'purchase'"))
     return features.join(labels, "sample_key").select("sample_key", "history", F.round("mean_value", 5).alias("mean_value"), F.round("label_h", 5).alias("label_h"))
+
+
+def _window_sql(name: str, minutes: int) -> str:
+    inside = f"age <= {minutes}"
+    first, last = (f"{pick}({{{{'lat': lat, 'lon': lon}}}}, epoch_us(recorded_at)) FILTER ({inside})" for pick in ("arg_min", "arg_max"))
+    return (
+        f"round(median(sog_clean) FILTER ({inside}), 5) AS speed_{name}, round(coalesce(stddev_samp(sog_clean) FILTER ({inside}), CASE WHEN count(sog_clean) FILTER ({inside}) = 1 THEN 0 END), 5) AS speed_std_{name}, "
+        f"round(avg(moving::INT) FILTER ({inside}), 5) AS moving_share_{name}, round(avg(stopped::INT) FILTER ({inside}), 5) AS stopped_share_{name}, count(*) FILTER ({inside} AND turning) AS turns_{name}, "
+        f"round(sum(coalesce(step_m, 0)) FILTER ({inside}) / 1000, 4) AS travelled_km_{name}, {first} AS first_{name}, {last} AS last_{name}, count(*) FILTER ({inside} AND id IS NOT NULL) AS n_{name}"
+    ).replace("{{", "{").replace("}}", "}")
+
+
+def _net_sql(name: str) -> str:
+    return f"CASE WHEN n_{name} >= 2 THEN round({_hav(EARTH_KM, f'first_{name}.lat', f'first_{name}.lon', f'last_{name}.lat', f'last_{name}.lon')}, 4) END AS net_km_{name}"
+
+
+_FEATURES = [f"{c}_{w}" for w in ("short", "long") for c in ("speed", "speed_std", "moving_share", "stopped_share", "turns", "travelled_km")]
+
+
+@query(
+    STATES_SQL
+    + f""", c AS (SELECT user_id AS owner, min({{'h': sha256('holdout|' || event_id), 't': ts, 'i': event_id}}) AS x FROM events WHERE event_type = 'click' AND value <= 40 AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1),
+ d AS (SELECT sha256(owner || '|' || strftime(x.t, '%Y-%m-%dT%H:%M:%S')) AS sample_key, owner, x.t AS decided_at FROM c WHERE x.t >= TIMESTAMP '2024-01-03' ORDER BY 1 LIMIT 1000),
+ j AS (SELECT sample_key, st.*, (epoch_us(decided_at) - epoch_us(recorded_at)) / 6e7 AS age FROM d LEFT JOIN st ON st.owner = d.owner AND recorded_at BETWEEN decided_at - INTERVAL 96 HOUR AND decided_at),
+ g AS (SELECT sample_key, count(DISTINCT recorded_at) AS points, round(min(age), 4) AS age_min, count(*) FILTER (gap) AS gaps, {_window_sql("short", 1440)}, {_window_sql("long", 4320)} FROM j GROUP BY 1)
+ SELECT sample_key, points, age_min, gaps, {", ".join(_FEATURES)}, {_net_sql("short")}, {_net_sql("long")}, CASE WHEN points < 3 THEN 'INSUFFICIENT_HISTORY' WHEN age_min > 30 THEN 'STALE' ELSE '' END AS reason FROM g"""
+)
+def external_features(spark, sf):
+    """A cohort without labels, and what was known of it beforehand; windows of a day and of three, as the events lie that far apart."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.col("ts").alias("at"), "event_type", "value")
+    blocked = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("owner"))
+    cohort = external.candidates(e, (F.col("event_type") == "click") & (F.col("value") <= 40), blocked, "holdout", "2024-01-03 00:00:00", 1000)
+    states = state_rows(spark, sf).withColumn("sog", F.col("sog_clean"))
+    x = external.window_features(cohort, states, 96, {"short": 1440, "long": 4320}, 3, 30.0, EARTH_KM)
+    counts = {"sample_key", "points", "gaps", "reason", "turns_short", "turns_long"}
+    digits = lambda c: 4 if c == "age_min" or "_km_" in c else 5
+    return x.drop("valid_share").select(*(F.col(c) if c in counts else F.round(c, digits(c)).alias(c) for c in x.columns if c != "valid_share"))

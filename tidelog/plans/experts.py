@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.config import EARTH_M, EARTH_NM, PriorConfig
+from tidelog.config import EARTH_KM, EARTH_M, EARTH_NM, PriorConfig
 from tidelog.functions import geo, numeric
 from tidelog.operators import experts, joins, sessions, states
 from tidelog.plans.registry import query
-from tidelog.plans.scalars import _hav
+from tidelog.plans.scalars import _bearing, _hav
 from tidelog.plans.temporal import transition_rows
 from tidelog.sources.domain import DECISIONS_SQL, POSITIONS_SQL, decisions, positions
 from tidelog.session import shared_folder
@@ -81,6 +81,27 @@ def physics_eta(spark, sf):
     return x.select("id", experts.physics_eligible(F.lit(True), F.lit(1.0), F.col("nm"), F.col("sog_raw"), F.col("before")).alias("eligible"), F.round(experts.physics(F.col("nm"), F.col("sog_raw"), F.col("before"), factor), 5).alias("hours"))
 
 
+def _trailing(minutes: int) -> str:
+    return f"(PARTITION BY owner ORDER BY epoch_us(recorded_at) RANGE BETWEEN {minutes * 60_000_000} PRECEDING AND CURRENT ROW)"
+
+
+_TURN = f"abs((({_bearing('lat', 'lon', '37.5e0', '15.1e0')} - cog_raw + 540.0) % 360.0) - 180.0)"
+
+
+@query(f"""WITH {POSITIONS_SQL}, s AS (SELECT *, {_hav(EARTH_KM, "lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")} AS km FROM pos WINDOW w AS (PARTITION BY owner ORDER BY recorded_at)),
+ f AS (SELECT id, lat, lon, cog_raw, median(sog_raw) OVER a AS s1, median(sog_raw) OVER b AS s2, sum(km) OVER a AS t1, sum(km) OVER b AS t2, first_value(lat) OVER a AS la, first_value(lon) OVER a AS lo, first_value(lat) OVER b AS lb, first_value(lon) OVER b AS lp FROM s WINDOW a AS {_trailing(18_000)}, b AS {_trailing(36_000)}),
+ g AS (SELECT *, greatest(s1, s2) AS recent, {_hav(EARTH_NM, "lat", "lon", "37.5e0", "15.1e0")} AS nm FROM f)
+ SELECT id, round(nm, 5) AS distance_nm, round({_bearing("lat", "lon", "37.5e0", "15.1e0")}, 5) AS bearing_deg, round({_TURN}, 5) AS alignment_deg, round(least(2, greatest(1, coalesce(t1 / greatest({_hav(EARTH_KM, "la", "lo", "lat", "lon")}, 1), 1))), 5) AS sinuosity_180,
+  round(least(2, greatest(1, coalesce(t2 / greatest({_hav(EARTH_KM, "lb", "lp", "lat", "lon")}, 1), 1))), 5) AS sinuosity_360, round(recent, 5) AS recent_kn, nm >= 1 AND recent >= 2 AND id % 3 <> 0 AS eligible FROM g""")
+def physics_features(spark, sf):
+    """Features of the ways of the last 300 and 600 hours, as the events are that far apart, in place of 180 and 360 minutes."""
+    x = joins.trailing_motion(positions(spark, sf), "owner", "recorded_at", {"180": 18_000, "360": 36_000}, EARTH_KM)
+    x = x.withColumns({"cog": F.col("cog_raw"), "place_lat": F.lit(37.5), "place_lon": F.lit(15.1), "is_resolved": F.col("id") % 3 != 0, "confidence": F.lit(1.0)})
+    x = experts.physics_features(x, EARTH_NM)
+    names = ["distance_nm", "bearing_deg", "alignment_deg", "sinuosity_180", "sinuosity_360", "recent_kn"]
+    return x.select("id", *(F.round(c, 5).alias(c) for c in names), "eligible")
+
+
 @query(f"""WITH {DECISIONS_SQL}, t AS (SELECT *, target_h - pred_a AS r FROM dec WHERE price > 100000), f AS (SELECT DISTINCT fold FROM dec), g AS (SELECT f.fold AS gf, median(r) AS g FROM f JOIN t ON t.fold <> f.fold GROUP BY 1), d AS (SELECT f.fold AS df, destination AS k, median(r) AS m, count(*) AS n FROM f JOIN t ON t.fold <> f.fold GROUP BY 1, 2)
  SELECT key, round(greatest(0, pred_a + coalesce(w * m, 0) + (1 - w) * coalesce(g, 0)), 5) AS corrected FROM dec LEFT JOIN g ON gf = fold LEFT JOIN d ON df = fold AND k = destination, LATERAL (SELECT CASE WHEN n >= 3 THEN n / (n + 10.0) ELSE 0 END AS w)""")
 def residual_correction(spark, sf):

@@ -220,7 +220,10 @@ def leave_out_support(spark, sf):
     return x.select("fold", "status", "own", (F.sum("own").over(Window.partitionBy("status")) - F.col("own")).alias("others"), F.round(1.0 / F.col("own"), 9).alias("weight"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT owner, n, row_number() OVER (ORDER BY n DESC, owner) AS i FROM (SELECT o_custkey AS owner, count(*) AS n FROM orders GROUP BY 1)),
+ g AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS owner, NULL::BIGINT AS n, NULL::INTEGER AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads UNION ALL
+  SELECT o.i, o.owner, o.n, k - 1, [CASE WHEN j = k THEN loads[j] + o.n ELSE loads[j] END FOR j IN range(1, 6)] FROM g JOIN o ON o.i = g.i + 1, LATERAL (SELECT list_position(loads, list_min(loads))::INTEGER AS k))
+ SELECT owner, n, fold FROM g WHERE i > 0""")
 def greedy_folds(spark, sf):
     """Owners dealt largest first to the least loaded fold; sequential by nature, over the number of rows of each owner."""
     x = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("owner")).agg(F.count("*").alias("n"))

@@ -18,6 +18,10 @@ POSITIONS = (
 )
 
 
+#: Owners whose numbers share a range when rows are numbered.
+OWNERS = 100_000
+
+
 def read(spark: SparkSession, path: str | list[str], kind: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
     """One scan over any number of files. Pickles are refused: they run code."""
     if kind not in ("parquet", "csv", "json", "orc"):
@@ -31,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def zipped_csv(spark: SparkSession, path: str, member: str) -> DataFrame:
+def zipped_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
     """Lines of one member of each zip file, as (path, line); an archive is read by one task, as its format asks."""
 
     def lines(batches):
@@ -49,6 +53,13 @@ def zipped_csv(spark: SparkSession, path: str, member: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "path string, line string")
 
 
+def zipped_csv(spark: SparkSession, path: str, member: str, schema: str) -> DataFrame:
+    """The records of one member of each zip file, typed by schema; lines equal to its header, the names in order, go."""
+    names = ",".join(T.StructType.fromDDL(schema).names)
+    lines = zipped_lines(spark, path, member).where(F.lower(F.replace("line", F.lit('"'), F.lit(""))) != names.lower())
+    return lines.where(F.trim("line") != "").select(F.from_csv("line", schema).alias("r")).select("r.*")
+
+
 def plain(name: str) -> str:
     return re.sub("[^a-z0-9]", "", name.lower())
 
@@ -79,13 +90,24 @@ def standard_static(df: DataFrame) -> DataFrame:
 
 
 def standard_positions(df: DataFrame) -> DataFrame:
-    """Position messages: typed, with an id that numbers rows in the order (owner, date, place) within each owner."""
+    """Position messages: typed, with an id that numbers all rows in the order (owner, date, place).
+
+    Rows are numbered within their owner, and owners' counts are summed in the order of owners within ranges of them, so no
+    task sorts them all.
+    """
     from pyspark.sql import Window
 
     x = resolved(df, {"owner": ["mmsi", "userid"], "date": ["timestamp", "time", "recorded_at"], "lat": ["latitude"], "lon": ["longitude", "lng"], "sog": ["speed"], "cog": ["course"]}, {"owner", "date", "lat", "lon"})
     x = x.select(F.col("owner").try_cast("bigint").alias("owner"), F.col("date").try_cast("timestamp").alias("recorded_at"), *(number(F.col(c)).alias(c) for c in ("lat", "lon", "sog", "cog")))
     x = x.where("owner is not null and recorded_at is not null")
-    return x.withColumn("id", F.row_number().over(Window.partitionBy("owner").orderBy("recorded_at", "lat", "lon", "sog", "cog")).cast("bigint"))
+    order = ["recorded_at", "lat", "lon", "sog", "cog"]
+    sizes = x.groupBy("owner").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("owner") / OWNERS))
+    blocks = sizes.groupBy("_block").agg(F.sum("_n").alias("_m"))
+    blocks = blocks.select("_block", (F.sum("_m").over(Window.orderBy("_block")) - F.col("_m")).alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_block").orderBy("owner")) - F.col("_n") + F.col("_first")
+    starts = sizes.join(blocks, "_block").select("owner", before.alias("_before"))
+    local = F.row_number().over(Window.partitionBy("owner").orderBy(*order))
+    return x.withColumn("_local", local).join(starts, "owner").withColumn("id", (F.col("_before") + F.col("_local")).cast("bigint")).drop("_local", "_before")
 
 
 def write_once(df: DataFrame, path: str, kind: str = "parquet", by: str | None = None) -> None:
