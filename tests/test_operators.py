@@ -372,3 +372,30 @@ def test_streaming_equals_batch(spark, tmp_path):
     got = {x.id: (x.motion_state, x.stopped_s) for x in streaming.run_once(streaming.motion(stream)).collect()}
     want = {x.id: (x.motion_state, x.stopped_s) for x in states.states(log).collect()}
     assert got == want
+
+
+def test_graph_search():
+    from tidelog.operators.retrieval import Graph
+
+    r = np.random.default_rng(3)
+    v = r.normal(size=(1500, 8))
+    graph = Graph(v)
+    built, hits = graph.evaluated, 0
+    for q in r.normal(size=(40, 8)):
+        want = set(np.argsort(((v - q) ** 2).sum(axis=1))[:10].tolist())
+        found = graph.search(q, 10)
+        assert found == sorted(found)
+        hits += len(want & {x for _, x in found})
+    assert hits >= 0.95 * 400 and (graph.evaluated - built) / 40 < 900
+    assert len(Graph(v[:1]).search(v[0], 5)) == 1
+
+
+def test_support_vectors_follow_a_curve(spark):
+    r = np.random.default_rng(4)
+    x = r.uniform(-2, 2, 300)
+    y = np.sin(2 * x) + np.where(r.random(300) < 0.1, 30.0, 0.0)
+    rows = spark.createDataFrame([(k, k % 3, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))] + [(300, 0, None, 1.0)], "key int, fold int, x double, y double")
+    got = {t.key: t.prediction for t in evaluation.support_vectors(rows, ["x"], "y", "fold", [0, 1, 2], cost=500.0, tube=0.01, gamma=2.0).collect()}
+    assert len(got) == 301
+    # One row in ten lies far off; the loss is that of distances, so the curve stays where most are.
+    assert np.median([abs(got[k] - np.sin(2 * a)) for k, a in enumerate(x)]) < 0.3

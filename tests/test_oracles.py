@@ -169,6 +169,20 @@ def recalled(got, duck):
     assert got.n[0] > 0 and got.recall[0] >= 0.9 and got.passed[0]
 
 
+def graphed(got, duck):
+    assert got.n[0] > 0 and got.recall[0] >= 0.9 and got.passed[0] and got.met[0] <= 1.5
+
+
+def tubes(got, duck):
+    """No small step from the answers' weights can be seen here, so: the loss beyond the tube is no more than that of means."""
+    x = of(duck, "SELECT key, fold, target_h FROM dec").set_index("key")
+    p = got.set_index("key").prediction.loc[x.index]
+    scale = x.target_h.std()
+    loss = lambda e: np.maximum(np.abs(e) / scale - 0.1, 0).mean()
+    means = x.fold.map(lambda f: x.target_h[x.fold != f].mean())
+    assert len(got) == len(x) and loss(x.target_h - p) <= 1.02 * loss(x.target_h - means)
+
+
 def importances(got, duck):
     assert len(got) and got.notna().all().all()
 
@@ -190,7 +204,7 @@ def chain(got, duck):
 #: What queries without SQL are compared with.
 CHECKS = {
     "destination_resolver_fuzzy": resolver_fuzzy, "route_analogue": analogue, "corridor_paths": corridor, "stop_clusters": clusters, "error_mixture": mixture, "nnls_blend": blend,
-    "tabular_oof": ridge, "risk_model": risks, "soft_gate": gates, "linear_embedding": components, "lsh_recall": recalled, "feature_importance": importances, "scoring_chain": chain,
+    "tabular_oof": ridge, "risk_model": risks, "soft_gate": gates, "linear_embedding": components, "lsh_recall": recalled, "feature_importance": importances, "graph_recall": graphed, "support_vectors": tubes, "scoring_chain": chain,
 }
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from bisect import insort
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -45,3 +51,104 @@ def by_routes(projected: DataFrame, key: str, k: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy("cross_km", "route")
     near = projected.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     return near.groupBy(key).agg(F.count("*").alias("routes"), F.median("remaining_km").alias("remaining_km"), F.min("cross_km").alias("cross_km"))
+
+
+class Graph:
+    """A layered graph of near neighbours: a search goes down from few far-reaching links to the many of the lowest layer,
+    always from the nearest place found so far."""
+
+    def __init__(self, vectors: np.ndarray, links: int = 16, width: int = 64, seed: int = 11):
+        self.v, self.links, self.width, self.evaluated = vectors, links, width, 0
+        levels = np.minimum(np.floor(-np.log(np.random.default_rng(seed).random(len(vectors))) / math.log(links)), 8).astype(int)
+        self.layers: list[dict[int, list[int]]] = [{} for _ in range(int(levels.max(initial=0)) + 1)]
+        self.entry, self.top = -1, -1
+        for node, level in enumerate(levels.tolist()):
+            self.insert(node, level)
+
+    def distances(self, q: np.ndarray, nodes: list[int]) -> list[float]:
+        self.evaluated += len(nodes)
+        return ((self.v[nodes] - q) ** 2).sum(axis=1).tolist()
+
+    def walk(self, q: np.ndarray, starts: list[int], layer: int, width: int) -> list[tuple[float, int]]:
+        """The nearest `width` nodes of a layer that a best-first search from some of its nodes meets, nearest first."""
+        seen, links = set(starts), self.layers[layer]
+        near = sorted(zip(self.distances(q, starts), starts, strict=True))[:width]
+        ahead = list(near)
+        heapq.heapify(ahead)
+        while ahead and (len(near) < width or ahead[0][0] <= near[-1][0]):
+            _, node = heapq.heappop(ahead)
+            new = [x for x in links[node] if x not in seen]
+            seen.update(new)
+            for found in zip(self.distances(q, new), new, strict=True) if new else ():
+                if len(near) < width or found < near[-1]:
+                    insort(near, found)
+                    del near[width:]
+                    heapq.heappush(ahead, found)
+        return near
+
+    def insert(self, node: int, level: int) -> None:
+        q, starts = self.v[node], [self.entry]
+        for layer in range(self.top, -1, -1):
+            near = self.walk(q, starts, layer, self.width if layer <= level else 1)
+            starts = [x for _, x in near]
+            if layer <= level:
+                most = self.links * (2 if layer == 0 else 1)
+                self.layers[layer][node] = starts[:most]
+                for other in starts[:most]:
+                    others = self.layers[layer][other]
+                    others.append(node)
+                    if len(others) > most:
+                        self.layers[layer][other] = [x for _, x in sorted(zip(self.distances(self.v[other], others), others, strict=True))[:most]]
+        for layer in range(self.top + 1, level + 1):
+            self.layers[layer][node] = []
+        if level > self.top:
+            self.entry, self.top = node, level
+
+    def search(self, q: np.ndarray, k: int) -> list[tuple[float, int]]:
+        starts = [self.entry]
+        for layer in range(self.top, 0, -1):
+            starts = [self.walk(q, starts, layer, 1)[0][1]]
+        return self.walk(q, starts, 0, max(k, self.width))[:k]
+
+
+def graph_neighbours(queries: DataFrame, memory: DataFrame, k: int, rows: int = 4096, links: int = 16, width: int = 64) -> DataFrame:
+    """(q_id, rank, m_owner, m_id, distance, evaluated): the k nearest owners of each query by graphs over its cohort's rows.
+
+    queries: q_id, q_owner, q_gate, q_v; memory: m_id, m_owner, m_gate, m_v. Vectors are compared at unit length, so that
+    the order is that by cosine; evaluated is how many distances a query took. Each cohort is dealt into graphs of about
+    `rows` rows, each built and searched in one task by the queries of the cohort; an owner counts once, by its nearest
+    row, and the query's own not at all. More rows make more graphs, not larger ones.
+    """
+    unit = lambda c: arrays.normalised(F.col(c)).alias("v")
+    parts = memory.groupBy(F.col("m_gate").alias("gate")).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts"))
+    dealt = memory.withColumnRenamed("m_gate", "gate").join(parts, "gate").select("gate", F.pmod(F.xxhash64("m_id"), F.col("_parts")).cast("int").alias("part"), "m_id", "m_owner", unit("m_v"))
+    asked = queries.withColumnRenamed("q_gate", "gate").join(parts, "gate").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select("gate", "part", "q_id", "q_owner", unit("q_v"))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("m_id")
+        part = left.column("part")[0].as_py() if left.num_rows else 0
+        ids, owners = right.column("m_id").to_pylist(), right.column("m_owner").to_pylist()
+        out = []
+        if ids and left.num_rows:
+            graph = Graph(np.array(right.column("v").to_pylist(), float), links, width)
+            for q_id, q_owner, q in zip(left.column("q_id").to_pylist(), left.column("q_owner").to_pylist(), left.column("v").to_pylist(), strict=True):
+                before, best, wanted = graph.evaluated, {}, 2 * k
+                while True:
+                    found = graph.search(np.array(q), wanted)
+                    for distance, node in found:
+                        if owners[node] != q_owner:
+                            best.setdefault(owners[node], (math.sqrt(max(distance, 0.0)), ids[node]))
+                    if len(best) >= k or len(found) < wanted:
+                        break
+                    wanted *= 2
+                out += [(q_id, owner, m_id, distance, graph.evaluated - before, part) for owner, (distance, m_id) in list(best.items())[:k]]
+        names = ["q_id", "m_owner", "m_id", "distance", "evaluated", "part"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32()]
+        return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names=names)
+
+    found = asked.groupBy("gate", "part").cogroup(dealt.groupBy("gate", "part")).applyInArrow(search, "q_id long, m_owner long, m_id long, distance double, evaluated long, part int")
+    spent = found.select("q_id", "evaluated", "part").distinct().groupBy("q_id").agg(F.sum("evaluated").alias("evaluated"))
+    best = found.groupBy("q_id", "m_owner").agg(F.min(F.struct("distance", "m_id")).alias("x"))
+    w = Window.partitionBy("q_id").orderBy("x.distance", "x.m_id")
+    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.join(spent, "q_id").select("q_id", "rank", "m_owner", F.col("x.m_id").alias("m_id"), F.col("x.distance").alias("distance"), "evaluated")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidelog.operators import aggregates, evaluation, experts, quantiles, retrieval
+from tidelog.functions import arrays
+from tidelog.operators import aggregates, evaluation, experts, joins, quantiles, retrieval
 from tidelog.plans import experts as routes
 from tidelog.plans.registry import ORACLES, query
 from tidelog.sources.domain import DECISIONS_SQL, decisions, positions
@@ -35,8 +37,6 @@ _BAND_SQL = ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in _BANDS
   FROM b LEFT JOIN w ON target_h >= low AND target_h < high GROUP BY 1""")
 def horizon_metrics(spark, sf):
     """Weighted metrics by horizon; bands without rows stay, with none."""
-    from pyspark.sql import Window
-
     x = decisions(spark, sf).withColumns({"w": 1.0 / F.count("*").over(Window.partitionBy("owner")), "e": F.abs(F.col("pred_a") - F.col("target_h"))})
     band = F.coalesce(*(F.when((F.col("target_h") >= a) & (F.col("target_h") < b), F.lit(n)) for n, a, b in _BANDS))
     got = x.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("w") * F.col("e")) / F.sum("w"), 5).alias("w_mae"), F.round(F.sum(F.col("w") * (F.col("e") <= 24).cast("int")) / F.sum("w"), 6).alias("w_hit"))
@@ -62,6 +62,31 @@ def config_grid(spark, sf):
     return aggregates.selected(m, ["mae", "p90", "medae"], "config")
 
 
+@query()
+def graph_recall(spark, sf):
+    """Owners found by graphs against those of the exact comparison, and what share of the rows a search met."""
+    x = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("owner"), F.col("label").alias("gate"), "embedding")
+    q = x.where("vec_id % 100 = 0").select(*(F.col(a).alias(b) for a, b in (("vec_id", "q_id"), ("owner", "q_owner"), ("gate", "q_gate"), ("embedding", "q_v"))))
+    m = x.select(*(F.col(a).alias(f"m_{b}") for a, b in (("vec_id", "id"), ("owner", "owner"), ("gate", "gate"), ("embedding", "v"))))
+    found = retrieval.graph_neighbours(q, m, 5)
+    pairs = joins.all_pairs(q, m, "m_id", [("q_gate", "m_gate")]).where("q_owner <> m_owner")
+    best = pairs.groupBy("q_id", "m_owner").agg(F.min(arrays.cosine_distance(F.col("q_v"), F.col("m_v"))).alias("d"))
+    truth = best.withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy("d", "m_owner"))).where("r <= 5")
+    hit = truth.join(found.select("q_id", "m_owner", F.lit(1).alias("hit")), ["q_id", "m_owner"], "left")
+    gates = m.groupBy(F.col("m_gate").alias("q_gate")).agg(F.count("*").alias("rows"))
+    met = found.select("q_id", "evaluated").distinct().join(q.select("q_id", "q_gate"), "q_id").join(gates, "q_gate").agg(F.avg(F.col("evaluated") / F.col("rows")).alias("met"))
+    x = hit.agg(F.count("*").alias("n"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return x.crossJoin(met).select("n", F.round("recall", 4).alias("recall"), F.round("met", 4).alias("met"), (F.col("recall") >= 0.9).alias("passed"))
+
+
+@query()
+def support_vectors(spark, sf):
+    """Out-of-fold answers of a support-vector regression with a radial kernel."""
+    x = decisions(spark, sf).select("key", "fold", "price", "balance", "pred_a", "target_h")
+    x = evaluation.support_vectors(x, ["price", "balance", "pred_a"], "target_h", "fold", [0, 1, 2, 3, 4])
+    return x.select("key", F.round("prediction", 3).alias("prediction"))
+
+
 @query()
 def feature_importance(spark, sf):
     x = decisions(spark, sf).select("price", "balance", "pred_a", "status", "target_h")
