@@ -8,20 +8,12 @@ from pyspark.sql import functions as F
 from tidelog.operators import quantiles
 
 
-def metrics(error: Column, digits: int = 6) -> list[Column]:
-    """Regression metrics of an error column: n, mae, medae, rmse, p90, p95, within_24, worst."""
-    e = F.abs(error)
-    out = {
-        "n": F.count(e),
-        "mae": F.round(F.avg(e), digits),
-        "medae": F.round(F.percentile(e, F.lit(0.5)), digits),
-        "rmse": F.round(F.sqrt(F.avg(e * e)), digits),
-        "p90": F.round(F.percentile(e, F.lit(0.9)), digits),
-        "p95": F.round(F.percentile(e, F.lit(0.95)), digits),
-        "within_24": F.round(F.avg((e <= 24).cast("double")), digits),
-        "worst": F.round(F.max(e), digits),
-    }
-    return [x.alias(name) for name, x in out.items()]
+def metric_table(rows: DataFrame, by: list[str], error: Column, digits: int = 6) -> DataFrame:
+    """Regression metrics of an error column by group: n, mae, medae, rmse, p90, p95, within_24, worst."""
+    e = F.col("_e")
+    aggs = {"n": F.count(e), "mae": F.avg(e), "rmse": F.sqrt(F.avg(e * e)), "within_24": F.avg((e <= 24).cast("double")), "worst": F.max(e)}
+    rounded = [(x if name == "n" else F.round(x, digits)).alias(name) for name, x in aggs.items()]
+    return quantiles.summary(rows.withColumn("_e", F.abs(error)), by, "_e", rounded, {"medae": 0.5, "p90": 0.9, "p95": 0.95}, digits)
 
 
 def weighted(error: Column, weight: Column, digits: int = 6) -> list[Column]:
@@ -34,16 +26,11 @@ def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, qs
     return quantiles.weighted(df, by, value, weight, qs)
 
 
-def slices(df: DataFrame, families: list[str], aggs: list[Column]) -> DataFrame:
-    """The aggregates for each value of each family, stacked as (slice_family, slice_value): one pass by GROUPING SETS."""
-    grouped = df.groupingSets([[x] for x in families], *families).agg(F.grouping_id().alias("_g"), *aggs)
-    n = len(families)
-    family = value = None
-    for i, name in enumerate(families):
-        test = F.col("_g") == (1 << n) - 1 - (1 << (n - 1 - i))
-        family = F.when(test, name) if family is None else family.when(test, name)
-        value = F.when(test, F.col(name).cast("string")) if value is None else value.when(test, F.col(name).cast("string"))
-    return grouped.withColumns({"slice_family": family, "slice_value": value}).drop("_g", *families)
+def metric_slices(rows: DataFrame, families: list[str], error: Column) -> DataFrame:
+    """The metrics for each value of each family, as (slice_family, slice_value): a row counts once in each family."""
+    of = F.explode(F.array(*(F.struct(F.lit(x).alias("slice_family"), F.col(x).cast("string").alias("slice_value")) for x in families)))
+    x = rows.select(error.alias("_error"), of.alias("_s")).select("_error", "_s.*")
+    return metric_table(x, ["slice_family", "slice_value"], F.col("_error"))
 
 
 def concentration(df: DataFrame, error: Column, ks: list[int], tie: str) -> DataFrame:
@@ -81,7 +68,7 @@ def first_per_group(df: DataFrame, by: list[str], order: list[Column]) -> DataFr
 
 def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """One row with the distinct exact quantile edges of a column."""
-    return df.agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(k / bins) for k in range(bins + 1))))).alias("edges"))
+    return quantiles.quantiles(df, [], value, [k / bins for k in range(bins + 1)]).select(F.array_distinct("q").alias("edges"))
 
 
 def quantile_bin(value: Column, edges: Column) -> Column:

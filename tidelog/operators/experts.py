@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidelog.config import CorridorConfig, PriorConfig
 from tidelog.functions import arrays, geo, numeric, text
 from tidelog.operators import joins, quantiles
+from tidelog.session import written
 
 # Words of a destination that name no place, and names that more than one place could be meant by.
 UNKNOWN_WORDS = ("", "UNKNOWN", "N A", "NA", "N/A", "NONE", "NULL", "NOT AVAILABLE")
@@ -106,6 +107,7 @@ def hierarchical_prior(rows: DataFrame, target: str, cfg: PriorConfig = PriorCon
     are those of the rows outside it, made for all folds in one plan. Adds prediction, level, level_name, support, weight.
     """
     source, by = (rows, fold) if train is None else (train, None)
+    source = written(source.select(*cfg.levels, target, *([by] if by else [])))
     same = (lambda: F.col(fold) == F.col("_f")) if by else (lambda: F.lit(True))
     top = quantiles.quantiles(source, [], target, [0.5, *cfg.clip], by).select(*(["_f"] if by else []), F.col("q")[0].alias("_p"), F.slice("q", 2, 2).alias("_q"))
     x = rows.join(F.broadcast(top), same(), "left").drop("_f").withColumns({"prediction": F.col("_p"), "level": F.lit(0), "level_name": F.lit("global"), "support": F.lit(0).cast("bigint"), "weight": F.lit(0.0)})
@@ -166,7 +168,7 @@ def residual_corrected(
     source, by = (rows, fold) if train is None else (train, None)
     same = (lambda: F.col(fold) == F.col("_f")) if by else (lambda: F.lit(True))
     # Residuals that don't count are null.
-    known = source.withColumn("_r", F.when(F.col(eligible), F.col(target) - F.col(base)))
+    known = written(source.select(key, F.when(F.col(eligible), F.col(target) - F.col(base)).alias("_r"), *([by] if by else [])))
     mine = ["_f"] if by else []
     top = quantiles.quantiles(known, [], "_r", [0.5], by).select(*mine, F.col("q")[0].alias("_g"))
     own = quantiles.quantiles(known, [key], "_r", [0.5], by).select(*mine, F.col(key).alias("_k"), F.col("q")[0].alias("_m"), F.col("n").alias("_n"))

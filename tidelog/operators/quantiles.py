@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.session import written
+
 #: Cells of a group: COARSE * COARSE at most; a group with fewer rows than SMALL is one cell.
 COARSE, SMALL, ACCURACY = 16, 512, 4096
 
@@ -21,26 +23,28 @@ def celled(rows: DataFrame, group: Column, value: str) -> DataFrame:
     """rows with a value, with _g (the group as a struct), _v and _c: cells in the order of values, equal values in one."""
     x = rows.where(F.col(value).isNotNull()).withColumns({"_g": group, "_v": F.col(value).cast("double")})
     shares = [F.lit(k / COARSE**2) for k in range(1, COARSE**2)]
-    edges = x.groupBy("_g").agg(F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*shares), F.lit(ACCURACY)).alias("_e"))
-    first = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda k: F.element_at("_e", k * COARSE))
-    edges = edges.where(F.col("_n") >= SMALL).select("_g", "_e", first.alias("_first"))
+    edges = x.groupBy("_g").agg(F.count("*").alias("_size"), F.percentile_approx("_v", F.array(*shares), F.lit(ACCURACY)).alias("_edges"))
+    first = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda k: F.element_at("_edges", k * COARSE))
+    edges = edges.where(F.col("_size") >= SMALL).select("_g", "_edges", first.alias("_coarse"))
     below = lambda e: F.size(F.filter(e, lambda y: y < F.col("_v")))
-    x = x.join(edges, "_g", "left").withColumn("_b", below(F.col("_first")))
+    x = x.join(edges, "_g", "left").withColumn("_block", below(F.col("_coarse")))
     # Edges before the block are below the value; of those after it none is, but the one that ends it.
-    fine = F.col("_b") * COARSE + below(F.slice("_e", F.col("_b") * COARSE + 1, F.lit(COARSE)))
-    return x.withColumn("_c", F.when(F.col("_e").isNull(), 0).otherwise(fine)).drop("_e", "_first", "_b")
+    fine = F.col("_block") * COARSE + below(F.slice("_edges", F.col("_block") * COARSE + 1, F.lit(COARSE)))
+    return x.withColumn("_c", F.when(F.col("_edges").isNull(), 0).otherwise(fine)).drop("_edges", "_coarse", "_block")
 
 
 def statistics(rows: DataFrame, by: list[str], value: str, places: Callable[[Column], Column], fold: str | None = None) -> DataFrame:
     """(by, n, place, value): the values at an array of places (from 1) given in terms of a group's number of rows n. With
     fold also _f: for each fold, the same of the rows of all others."""
     group = F.struct(*(F.col(c) for c in by)) if by else F.struct(F.lit(0).alias("_"))
-    x = celled(rows, group, value).select("_g", "_c", "_v", (F.col(fold) if fold else F.lit(0)).alias("_o"))
+    # A sketch, its edges and two passes over the cells read these rows: three columns, computed once.
+    narrow = written(rows.select(group.alias("_group"), F.col(value).alias("_value"), (F.col(fold) if fold else F.lit(0)).alias("_o")))
+    x = celled(narrow, F.col("_group"), "_value").select("_g", "_c", "_v", "_o")
     counts = x.groupBy("_g", "_c", "_o").agg(F.count("*").alias("_m"))
     whole = counts.groupBy("_g", "_c").agg(F.sum("_m").alias("_m"), F.map_from_entries(F.collect_list(F.struct("_o", "_m"))).alias("_own"))
     if fold:
         # Folds are few; they come to each cell as one row.
-        folds = rows.select(F.col(fold).alias("_f")).distinct().agg(F.collect_list("_f").alias("_fs"))
+        folds = narrow.select(F.col("_o").alias("_f")).distinct().agg(F.collect_list("_f").alias("_fs"))
         whole = whole.crossJoin(F.broadcast(folds)).withColumn("_f", F.explode("_fs")).withColumn("_m", F.col("_m") - F.coalesce(F.try_element_at("_own", F.col("_f")), F.lit(0)))
     else:
         whole = whole.withColumn("_f", F.lit(None).cast("int"))
@@ -72,9 +76,21 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], f
     return found.select(*keys, F.array(*map(between, shares)).alias("q"))
 
 
+def summary(rows: DataFrame, by: list[str], value: str, aggs: list[Column], shares: dict[str, float], digits: int = 6) -> DataFrame:
+    """The aggregates of each group, with the values at shares of it under their names, rounded; one row if by is empty."""
+    found = quantiles(rows, by, value, list(shares.values()))
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in by), *(F.round(F.col("q")[i], digits).alias(name) for i, name in enumerate(shares)))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    base = rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+    return base.join(found, same, "left").drop(*(f"_{c}" for c in by))
+
+
 def weighted(rows: DataFrame, by: list[str], value: str, weight: str, shares: dict[str, float]) -> DataFrame:
     """(by, shares' names): the first value at which the running weight reaches each share of the whole."""
-    x = celled(rows.where(F.col(weight) > 0), F.struct(*(F.col(c) for c in by)), value).select("_g", "_c", "_v", F.col(weight).alias("_w"))
+    narrow = written(rows.where(F.col(weight) > 0).select(F.struct(*(F.col(c) for c in by)).alias("_group"), F.col(value).alias("_value"), F.col(weight).alias("_w")))
+    x = celled(narrow, F.col("_group"), "_value").select("_g", "_c", "_v", "_w")
     one = Window.partitionBy("_g")
     cells = x.groupBy("_g", "_c").agg(F.sum("_w").alias("_w")).withColumns({"_upto": F.sum("_w").over(one.orderBy("_c")), "_total": F.sum("_w").over(one)})
     cells = cells.select("_g", "_c", (F.col("_upto") - F.col("_w")).alias("_before"), "_upto", "_total")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import times
-from tidelog.operators import aggregates, joins
+from tidelog.operators import aggregates, joins, quantiles
 from tidelog.plans.registry import query
 from tidelog.plans.scalars import _hav
 from tidelog.plans.temporal import STATES_SQL, state_rows
@@ -36,9 +36,9 @@ def group_summary(spark, sf):
 def distribution_summary(spark, sf):
     e = table(spark, sf, "events")
     qs = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    quantiles = e.agg(F.percentile("value", F.array(*map(F.lit, qs))).alias("v")).select(F.inline(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("v")))).toDF("q", "v")
+    found = quantiles.quantiles(e, [], "value", qs).select(F.inline(F.arrays_zip(F.array(*map(F.lit, qs)).alias("p"), F.col("q").alias("v")))).toDF("q", "v")
     shares = e.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("v", F.col("n") / F.sum("n").over(Window.partitionBy()))
-    return quantiles.select(F.lit("value").alias("name"), "q", F.round("v", 6).alias("v")).unionAll(shares.select("event_type", F.lit(0.0), F.round("v", 6)))
+    return found.select(F.lit("value").alias("name"), "q", F.round("v", 6).alias("v")).unionAll(shares.select("event_type", F.lit(0.0), F.round("v", 6)))
 
 
 _W = [6, 24, 72]
@@ -73,7 +73,7 @@ def trailing_windows(spark, sf):
 
 @query(f"WITH {DECISIONS_SQL} SELECT status, {_METRICS} FROM dec GROUP BY 1")
 def metric_bundle(spark, sf):
-    return decisions(spark, sf).groupBy("status").agg(*aggregates.metrics(error()))
+    return aggregates.metric_table(decisions(spark, sf), ["status"], error())
 
 
 @query(f"WITH {DECISIONS_SQL} SELECT status, round(sum(w * e) / sum(w), 6) AS w_mae, round(sqrt(sum(w * e * e) / sum(w)), 6) AS w_rmse FROM (SELECT status, {_ERR} AS e, 1.0 / count(*) OVER (PARTITION BY owner) AS w FROM dec) GROUP BY 1")
@@ -103,7 +103,7 @@ def grouped_scores(spark, sf):
 
 @query(f"""WITH {DECISIONS_SQL} SELECT CASE WHEN grouping(status) = 0 THEN 'status' WHEN grouping(ship_type) = 0 THEN 'ship_type' ELSE 'region' END AS slice_family, coalesce(status, ship_type, region::VARCHAR) AS slice_value, {_METRICS} FROM dec GROUP BY GROUPING SETS ((status), (ship_type), (region))""")
 def metric_slices(spark, sf):
-    return aggregates.slices(decisions(spark, sf), ["status", "ship_type", "region"], aggregates.metrics(error()))
+    return aggregates.metric_slices(decisions(spark, sf), ["status", "ship_type", "region"], error())
 
 
 @query(f"""WITH {DECISIONS_SQL}, e AS (SELECT {_ERR} AS e, row_number() OVER (ORDER BY {_ERR} DESC, key) AS r FROM dec) SELECT CAST(k AS INTEGER) AS k, round(sum(e) FILTER (r <= k) / sum(e), 6) AS share FROM e, (VALUES (1), (5), (20), (100)) v(k) GROUP BY 1""")
@@ -187,7 +187,7 @@ def prototype_medians(spark, sf):
   SELECT model, mae, p90 FROM m ORDER BY mae, p90, model LIMIT 1""")
 def model_selection(spark, sf):
     stacked = decisions(spark, sf).select(F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.abs(F.col(f"pred_{m}") - F.col("target_h")).alias("e")) for m in "abc"))))
-    m = stacked.groupBy("model").agg(F.round(F.avg("e"), 6).alias("mae"), F.round(F.percentile("e", F.lit(0.9)), 6).alias("p90"))
+    m = quantiles.summary(stacked, ["model"], "e", [F.round(F.avg("e"), 6).alias("mae")], {"p90": 0.9})
     return aggregates.selected(m, ["mae", "p90"], "model")
 
 

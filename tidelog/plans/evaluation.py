@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.config import EARTH_KM
 from tidelog.functions import numeric
-from tidelog.operators import evaluation, external
+from tidelog.operators import evaluation, external, quantiles
 from tidelog.plans.registry import query
 from tidelog.plans.scalars import _hav
 from tidelog.plans.temporal import STATES_SQL, state_rows
@@ -58,9 +58,9 @@ def conformal_interval(spark, sf):
 
 @query(_INTERVAL + " SELECT status, count(*) AS n, round(avg((target_h BETWEEN low AND high)::INT), 6) AS coverage, round(avg(high - low), 4) AS mean_width, round(quantile_cont(high - low, 0.9), 4) AS p90_width FROM i GROUP BY 1")
 def interval_metrics(spark, sf):
-    x = evaluation.intervals(scored(spark, sf), "pred_a", "risk", "error", "fold")
-    w = F.col("high") - F.col("low")
-    return x.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg(F.col("target_h").between(F.col("low"), F.col("high")).cast("int")), 6).alias("coverage"), F.round(F.avg(w), 4).alias("mean_width"), F.round(F.percentile(w, F.lit(0.9)), 4).alias("p90_width"))
+    x = evaluation.intervals(scored(spark, sf), "pred_a", "risk", "error", "fold").withColumn("width", F.col("high") - F.col("low"))
+    inside = F.avg(F.col("target_h").between(F.col("low"), F.col("high")).cast("int"))
+    return quantiles.summary(x, ["status"], "width", [F.count("*").alias("n"), F.round(inside, 6).alias("coverage"), F.round(F.avg("width"), 4).alias("mean_width")], {"p90_width": 0.9}, 4)
 
 
 @query(f"""WITH {DECISIONS_SQL}, s AS (SELECT *, {_A} AS error, {_RISK} AS risk FROM dec), q AS (SELECT f.fold AS qf, quantile_cont(risk, 1 / 3::DOUBLE) AS a, quantile_cont(risk, 2 / 3::DOUBLE) AS b FROM (SELECT DISTINCT fold FROM dec) f JOIN s ON s.fold <> f.fold GROUP BY 1)
@@ -79,7 +79,7 @@ def risk_coverage_curve(spark, sf):
 @query(f"""WITH {DECISIONS_SQL}, s AS (SELECT *, {_A} AS e FROM dec), q AS (SELECT quantile_cont(e, 0.95) AS edge FROM s) SELECT round(avg(e), 5) AS mae, round(avg(CASE WHEN e <= edge THEN e END), 5) AS trimmed, round(avg(least(e, edge)), 5) AS winsorised FROM s, q""")
 def trim_winsor_stress(spark, sf):
     x = scored(spark, sf)
-    edge = x.agg(F.percentile("error", F.lit(0.95)).alias("edge"))
+    edge = quantiles.quantiles(x, [], "error", [0.95]).select(F.col("q")[0].alias("edge"))
     out = evaluation.stressed(F.col("error"), F.col("edge"))
     return x.crossJoin(F.broadcast(edge)).agg(F.round(F.avg("error"), 5).alias("mae"), *(F.round(v, 5).alias(k) for k, v in out.items()))
 
@@ -102,7 +102,7 @@ def structural_counterfactual(spark, sf):
 def promotion_gate(spark, sf):
     x = decisions(spark, sf)
     ea, eb = (F.abs(F.col(p) - F.col("target_h")) for p in ("pred_a", "pred_b"))
-    m = x.agg(F.avg(ea).alias("a"), F.avg(eb).alias("b"), F.percentile(ea, F.lit(0.9)).alias("p90"), F.count("*").alias("n"))
+    m = quantiles.summary(x.withColumn("e", ea), [], "e", [F.avg(ea).alias("a"), F.avg(eb).alias("b"), F.count("*").alias("n")], {"p90": 0.9}, 12)
     return evaluation.gate(m, {"beats": F.col("a") < F.col("b"), "tail": F.col("p90") < 1e5, "enough": F.col("n") >= 20})
 
 

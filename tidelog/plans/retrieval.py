@@ -58,7 +58,7 @@ def config_grid(spark, sf):
     p = F.when(F.col("n") >= F.col("least_n"), w * F.col("m") + (1 - w) * F.col("gm")).otherwise(F.col("gm"))
     e = F.abs(F.col("target_h") - p)
     config = F.concat(F.lit("a"), F.col("alpha").cast("int").cast("string"), F.lit("_n"), F.col("least_n").cast("string"))
-    m = rows.groupBy(config.alias("config")).agg(F.round(F.avg(e), 5).alias("mae"), F.round(F.percentile(e, F.lit(0.9)), 5).alias("p90"), F.round(F.percentile(e, F.lit(0.5)), 5).alias("medae"))
+    m = quantiles.summary(rows.select(config.alias("config"), e.alias("e")), ["config"], "e", [F.round(F.avg("e"), 5).alias("mae")], {"p90": 0.9, "medae": 0.5}, 5)
     return aggregates.selected(m, ["mae", "p90", "medae"], "config")
 
 

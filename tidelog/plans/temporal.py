@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelog.config import CrossingConfig, StateConfig
-from tidelog.operators import folds, sessions, states
+from tidelog.operators import folds, quantiles, sessions, states
 from tidelog.plans.registry import query
 from tidelog.plans.scalars import _hav, CLEAN_SQL
 from tidelog.config import EARTH_KM, EARTH_M, EARTH_NM
@@ -185,7 +185,7 @@ def revision_metrics(spark, sf):
 
     w = sessions.by_owner()
     x = positions(spark, sf).select(F.abs(F.col("sog_raw") - F.lag("sog_raw").over(w)).alias("d"), times.hours_between(F.lag("recorded_at").over(w), F.col("recorded_at")).alias("h")).where("h <= 12")
-    return x.agg(F.count("d").alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.percentile("d", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("d", F.lit(0.9)), 6).alias("p90"))
+    return quantiles.summary(x, [], "d", [F.count("d").alias("n"), F.round(F.avg("d"), 6).alias("mean")], {"median": 0.5, "p90": 0.9})
 
 
 @query("""WITH o AS (SELECT o_orderkey AS key, c_mktsegment AS port, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderdate, o_orderkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM orders JOIN customer ON o_custkey = c_custkey),

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,3 +50,9 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows from the shared folder, computed once: for tables that several parts of a plan read."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
