@@ -183,6 +183,65 @@ def tubes(got, duck):
     assert len(got) == len(x) and loss(x.target_h - p) <= 1.02 * loss(x.target_h - means)
 
 
+def routed(got, duck):
+    """Crossings, medians by sector and projections by plain loops."""
+    p = duck.execute(f"WITH {POSITIONS_SQL} SELECT owner, epoch(recorded_at) AS t, lat, lon FROM pos ORDER BY owner, recorded_at, id").df()
+    r, gate = 6371.0088, (37.0, 15.0)
+
+    def far(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * r * math.asin(math.sqrt(h))
+
+    def sector(a):
+        y = math.sin(math.radians(a[1] - gate[1])) * math.cos(math.radians(a[0]))
+        x = math.cos(math.radians(gate[0])) * math.sin(math.radians(a[0])) - math.sin(math.radians(gate[0])) * math.cos(math.radians(a[0])) * math.cos(math.radians(a[1] - gate[1]))
+        b = math.degrees(math.atan2(y, x)) % 360
+        return "NNE" if b < 60 else "E" if b < 120 else "SSE" if b < 180 else "OTHER"
+
+    crossed = {}
+    for owner, g in p.groupby("owner"):
+        rows = g[["t", "lat", "lon"]].to_numpy().tolist()
+        for (t, *a), (u, *b) in zip(rows, rows[1:], strict=False):
+            da, db = far(a, gate), far(b, gate)
+            for level in (10.0, 20.0, 30.0, 40.0, 50.0):
+                if da >= level > db and 0 < u - t <= 5 * 86_400:
+                    k = (da - level) / (da - db)
+                    crossed.setdefault(owner, {})[level] = (a[0] + k * (b[0] - a[0]), a[1] + k * (b[1] - a[1]))
+    crossed = {o: x for o, x in crossed.items() if len(x) >= 2}
+    paths = {o: [x[v] for v in sorted(x, reverse=True)] + [gate] for o, x in crossed.items()}
+    families = {o: sector(x[max(x)]) for o, x in crossed.items()}
+
+    def prototype(owners):
+        points = [[crossed[o][v] for o in owners if v in crossed[o]] for v in (50.0, 40.0, 30.0, 20.0, 10.0)]
+        out = [tuple(np.median(x, axis=0)) for x in points if len(x) >= 3] + [gate]
+        return out if len(out) >= 3 else None
+
+    protos = {f: prototype([o for o in families if families[o] == f]) for f in set(families.values()) if list(families.values()).count(f) >= 5}
+    protos = {f: x for f, x in (protos | {"PORT": prototype(list(families))}).items() if x}
+    km = math.radians(1) * r
+    flat = lambda a: np.array([a[1] * km * math.cos(math.radians(gate[0])), (a[0] - gate[0]) * km])
+
+    def way(at, line):
+        xy, q = [flat(a) for a in line], flat(at)
+        length = [np.hypot(*(b - a)) for a, b in zip(xy, xy[1:], strict=False)]
+        best = min(
+            (float(np.hypot(*(q - a - t * (b - a)))), i, (1 - t) * length[i] + sum(length[i + 1 :]))
+            for i, (a, b) in enumerate(zip(xy, xy[1:], strict=False))
+            for t in [min(1.0, max(0.0, float((q - a) @ (b - a)) / length[i] ** 2 if length[i] else 0.0))]
+        )
+        return best[0], max(float(np.hypot(*(q - xy[-1]))), best[0] + best[2])
+
+    last = p.groupby("owner").last()
+    for x in got.itertuples():
+        at = (last.lat[x.key], last.lon[x.key])
+        assert x.family == sector(at) and (x.kind == "sector") == (x.family in protos)
+        cross, rest = way(at, protos[x.family if x.kind == "sector" else "PORT"])
+        assert (x.prototype_cross_km, x.prototype_km) == (pytest.approx(cross, abs=1e-3), pytest.approx(rest, abs=1e-3))
+        near = sorted((*way(at, line)[:1], o) for o, line in paths.items() if o != x.key)[:5]
+        assert list(x.knn_calls) == [o for _, o in near] and x.knn_km == pytest.approx(np.median([way(at, paths[o])[1] for _, o in near]), abs=1e-3)
+    assert len(got) == len(last)
+
+
 def importances(got, duck):
     assert len(got) and got.notna().all().all()
 
@@ -204,7 +263,7 @@ def chain(got, duck):
 #: What queries without SQL are compared with.
 CHECKS = {
     "destination_resolver_fuzzy": resolver_fuzzy, "route_analogue": analogue, "corridor_paths": corridor, "stop_clusters": clusters, "error_mixture": mixture, "nnls_blend": blend,
-    "tabular_oof": ridge, "risk_model": risks, "soft_gate": gates, "linear_embedding": components, "lsh_recall": recalled, "feature_importance": importances, "graph_recall": graphed, "support_vectors": tubes, "scoring_chain": chain,
+    "tabular_oof": ridge, "risk_model": risks, "soft_gate": gates, "linear_embedding": components, "lsh_recall": recalled, "feature_importance": importances, "graph_recall": graphed, "route_model": routed, "support_vectors": tubes, "scoring_chain": chain,
 }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.config import CorridorConfig, PriorConfig
-from tidelog.functions import arrays, geo, numeric, text
+from tidelog.functions import arrays, geo, numeric, text, times
 from tidelog.operators import joins, quantiles
 from tidelog.session import written
 
@@ -225,14 +225,14 @@ def analogues(queries: DataFrame, memory: DataFrame, gate: str, k: int, min_gate
     )
 
 
-def along_route(points: DataFrame, routes: DataFrame, key: str, lat0: float) -> DataFrame:
+def along_route(points: DataFrame, routes: DataFrame, key: str, lat0: float, km_per_degree: float = 111.32) -> DataFrame:
     """Cross-track distance and remaining way of points along polylines: key, route, cross_km, remaining_km.
 
     routes: route, seq, lat, lon in order towards the end. A local plane about lat0 serves as the map; the nearest
     segment counts, the first on ties, and the way is never shorter than the straight line.
     """
     w = Window.partitionBy("route").orderBy("seq")
-    px = lambda lat, lon: geo.local_km(F.col(lat), F.col(lon), lat0, 0.0)
+    px = lambda lat, lon: geo.local_km(F.col(lat), F.col(lon), lat0, 0.0, km_per_degree)
     r = routes.withColumns(dict(zip(("ax", "ay"), px("lat", "lon"), strict=True)))
     r = r.withColumns({"bx": F.lead("ax").over(w), "by": F.lead("ay").over(w)}).where("bx is not null")
     length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
@@ -398,6 +398,20 @@ def mixture(errors: DataFrame, key: str, value: str, k: int = 2, df: float = 3.0
     return pd.DataFrame({"component": range(k), "weight": weight, "mean": mean, "scale": scale})
 
 
+def memory_snapshots(points: DataFrame, step_hours: int, steps: int, hours: int, least_points: int, least_span_hours: float) -> DataFrame:
+    """owner, tick, n, span_h, label_h: what was seen of an owner (owner, id, recorded_at) in the hours up to each of its last
+    ticks of a wall-clock grid, with the hours from there to its last row. Ticks with too few rows or too short a span go."""
+    last = points.groupBy("owner").agg(F.max("recorded_at").alias("last_at"))
+    hour = F.date_trunc("hour", "last_at").cast("timestamp_ntz")
+    top = F.timestamp_add("HOUR", -(F.hour(hour) % step_hours), hour)
+    ticks = last.withColumn("tick", F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.timestamp_add("HOUR", -i * step_hours, top))))
+    ticks = ticks.withColumn("since", F.timestamp_add("HOUR", F.lit(-hours), F.col("tick")))
+    aggs = [F.count("id").alias("n"), times.hours_between(F.min("recorded_at"), F.max("recorded_at")).alias("span_h")]
+    x = joins.in_windows(points, ticks, "owner", "recorded_at", "since", "tick", hours, aggs, ["owner", "tick", "last_at"], closed="right")
+    x = x.where((F.col("n") >= least_points) & (F.col("span_h") >= least_span_hours))
+    return x.select("owner", "tick", "n", "span_h", times.hours_between(F.col("tick"), F.col("last_at")).alias("label_h"))
+
+
 def window_sampler(rows: DataFrame, owner: str, at: str, most: int = 8) -> DataFrame:
     """At most `most` evenly spaced rows of each owner as causal end points."""
     w = Window.partitionBy(owner)

@@ -77,18 +77,20 @@ def crossings(df: DataFrame, gate: CrossingConfig) -> DataFrame:
 
 
 def ring_crossings(df: DataFrame, lat0: float, lon0: float, levels_km: list[float], max_gap_s: float) -> DataFrame:
-    """The last inward crossing of each ring about a place, interpolated: owner, level_km, crossed_at, distance before and after."""
+    """The last inward crossing of each ring about a place, interpolated: owner, level_km, crossed_at, lat, lon, distance before
+    and after."""
     from tidelog.config import EARTH_KM
 
     w = by_owner()
     x = df.withColumn("d", geo.haversine(F.col("lat"), F.col("lon"), F.lit(lat0), F.lit(lon0), EARTH_KM))
-    x = x.withColumns({"d_next": F.lead("d").over(w), "next_at": F.lead("recorded_at").over(w)})
+    x = x.withColumns({"d_next": F.lead("d").over(w), "next_at": F.lead("recorded_at").over(w), "next_lat": F.lead("lat").over(w), "next_lon": F.lead("lon").over(w)})
     x = x.withColumn("dt_s", times.seconds_between(F.col("recorded_at"), F.col("next_at")))
     x = x.withColumn("level_km", F.explode(F.filter(F.array(*map(F.lit, levels_km)), lambda v: (F.col("d") >= v) & (F.col("d_next") < v))))
     x = x.where((F.col("dt_s") > 0) & (F.col("dt_s") <= max_gap_s))
     part = (F.col("d") - F.col("level_km")) / (F.col("d") - F.col("d_next"))
     x = x.withColumn("crossed_at", F.timestamp_add("MICROSECOND", F.floor(part * F.col("dt_s") * 1e6).cast("bigint"), F.col("recorded_at")))
-    last = F.max_by(F.struct("crossed_at", "d", "d_next", "id"), F.struct("recorded_at", "id"))
+    x = x.withColumns({c: F.col(c) + part * (F.col(f"next_{c}") - F.col(c)) for c in ("lat", "lon")})
+    last = F.max_by(F.struct("crossed_at", "lat", "lon", "d", "d_next", "id"), F.struct("recorded_at", "id"))
     return x.groupBy("owner", "level_km").agg(last.alias("x")).select("owner", "level_km", "x.*")
 
 

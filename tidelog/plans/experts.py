@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tidelog.config import EARTH_KM, EARTH_M, EARTH_NM, PriorConfig
 from tidelog.functions import geo, numeric
-from tidelog.operators import experts, joins, sessions, states
+from tidelog.operators import experts, routes, sessions, states
 from tidelog.plans.registry import query
 from tidelog.plans.scalars import _bearing, _hav
 from tidelog.plans.temporal import transition_rows
 from tidelog.sources.domain import DECISIONS_SQL, POSITIONS_SQL, decisions, positions
-from tidelog.session import shared_folder
+from tidelog.session import shared_folder, written
 from tidelog.sources.tables import table
 
 
@@ -130,8 +130,8 @@ _ROUTE_SQL = "routes(route, seq, lat, lon) AS (VALUES " + ", ".join(f"({a}::BIGI
  k AS (SELECT *, sqrt((x - ax - t * (bx - ax))**2 + (y - ay - t * (by_ - ay))**2) AS c FROM j) SELECT id, route, round(c, 5) AS cross_km, round(greatest(sqrt((x - zx)**2 + (y - zy)**2), c + (1 - t) * len + rest), 5) AS remaining_km
  FROM (SELECT *, row_number() OVER (PARTITION BY id, route ORDER BY c, seq) AS n FROM k) WHERE n = 1""")
 def polyline_projection(spark, sf):
-    routes = spark.createDataFrame(_ROUTES, "route bigint, seq int, lat double, lon double")
-    x = experts.along_route(positions(spark, sf).select("id", "lat", "lon"), routes, "id", 37.0)
+    lines = spark.createDataFrame(_ROUTES, "route bigint, seq int, lat double, lon double")
+    x = experts.along_route(positions(spark, sf).select("id", "lat", "lon"), lines, "id", 37.0)
     return x.withColumns({"cross_km": F.round("cross_km", 5), "remaining_km": F.round("remaining_km", 5)})
 
 
@@ -167,15 +167,25 @@ def window_sampler(spark, sf):
     return experts.window_sampler(x, "owner", "recorded_at").select("owner", "id")
 
 
-@query(f"""WITH {POSITIONS_SQL}, l AS (SELECT owner, max(recorded_at) AS last_at FROM pos GROUP BY 1), h AS (SELECT owner, unnest(generate_series(time_bucket(INTERVAL 24 HOUR, last_at) - INTERVAL 72 HOUR, time_bucket(INTERVAL 24 HOUR, last_at), INTERVAL 24 HOUR)) AS tick, last_at FROM l)
- SELECT h.owner, tick, count(p.id) AS n, round((epoch_us(last_at) - epoch_us(tick)) / 3.6e9, 5) AS label_h FROM h JOIN pos p ON p.owner = h.owner AND p.recorded_at > tick - INTERVAL 48 HOUR AND p.recorded_at <= tick GROUP BY h.owner, tick, last_at HAVING count(p.id) >= 2""")
+@query(f"""WITH {POSITIONS_SQL}, l AS (SELECT owner, max(recorded_at) AS last_at FROM pos GROUP BY 1), g AS (SELECT *, date_trunc('hour', last_at) - INTERVAL (hour(last_at) % 6) HOUR AS top FROM l),
+ h AS (SELECT owner, last_at, unnest(generate_series(top - INTERVAL 90 HOUR, top, INTERVAL 6 HOUR)) AS tick FROM g)
+ SELECT h.owner, tick, count(p.id) AS n, round((epoch_us(max(p.recorded_at)) - epoch_us(min(p.recorded_at))) / 3.6e9, 5) AS span_h, round((epoch_us(last_at) - epoch_us(tick)) / 3.6e9, 5) AS label_h
+ FROM h JOIN pos p ON p.owner = h.owner AND p.recorded_at > tick - INTERVAL 48 HOUR AND p.recorded_at <= tick GROUP BY h.owner, tick, last_at HAVING count(p.id) >= 3 AND epoch_us(max(p.recorded_at)) - epoch_us(min(p.recorded_at)) >= 43200e6""")
 def memory_snapshots(spark, sf):
-    p = positions(spark, sf).select("owner", "id", "recorded_at")
-    last = p.groupBy("owner").agg(F.max("recorded_at").alias("last_at"))
-    day = F.date_trunc("day", "last_at").cast("timestamp_ntz")
-    ticks = last.withColumn("tick", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.timestamp_add("DAY", -i, day)))).withColumn("since", F.timestamp_add("HOUR", F.lit(-48), F.col("tick")))
-    x = joins.in_windows(p, ticks, "owner", "recorded_at", "since", "tick", 48, [F.count("id").alias("n")], ["owner", "tick", "last_at"], closed="right").where("n >= 2")
-    return x.select("owner", "tick", "n", F.round(F.timestamp_diff("MICROSECOND", F.col("tick"), F.col("last_at")) / F.lit(3.6e9), 5).alias("label_h"))
+    x = experts.memory_snapshots(positions(spark, sf).select("owner", "id", "recorded_at"), 6, 16, 48, 3, 12.0)
+    return x.select("owner", "tick", "n", F.round("span_h", 5).alias("span_h"), F.round("label_h", 5).alias("label_h"))
+
+
+@query()
+def route_model(spark, sf):
+    """Where owners were last, by prototypes and paths that the other owners' crossings of rings make."""
+    gate, p = (37.0, 15.0), positions(spark, sf)
+    crossings = sessions.ring_crossings(p, *gate, [10.0, 20.0, 30.0, 40.0, 50.0], 5 * 86_400).withColumnRenamed("owner", "call")
+    prototypes, paths = routes.fit(written(crossings.select("call", "level_km", "lat", "lon")), gate)
+    at = F.struct("recorded_at", "id")
+    last = p.groupBy("owner").agg(F.max_by("lat", at).alias("lat"), F.max_by("lon", at).alias("lon")).select(F.col("owner").alias("key"), F.col("owner").alias("call"), "lat", "lon")
+    x = routes.predict(last, written(prototypes), written(paths), gate)
+    return x.select("key", "family", "kind", *(F.round(c, 5).alias(c) for c in ("prototype_km", "prototype_cross_km", "knn_km", "knn_cross_km")), "knn_used", "knn_calls")
 
 
 @query("""SELECT key, owner, round(hours_since_last, 5) AS hours_since_last, n_before, round(spent_before, 2) AS spent_before, part FROM (SELECT o_orderkey AS key, o_custkey AS owner, (epoch_us(o_orderdate) - epoch_us(lag(o_orderdate) OVER w)) / 3.6e9 AS hours_since_last, row_number() OVER w - 1 AS n_before,
