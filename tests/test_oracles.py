@@ -242,6 +242,14 @@ def routed(got, duck):
     assert len(got) == len(last)
 
 
+def attributed(got, duck):
+    """Attributions add up to the answer, and to nothing over all rows; a category's depends on nothing else."""
+    parts = [c for c in got.columns if c.startswith("by_")]
+    assert np.allclose(got.base + got[parts].sum(axis=1), got.prediction, atol=1e-2) and np.allclose(got[parts].mean(), 0, atol=1e-2)
+    x = of(duck, "SELECT key, status, price FROM dec").merge(got, on="key")
+    assert (x.groupby("status").by_status.nunique() == 1).all() and abs(abs(np.corrcoef(x.price, x.by_price)[0, 1]) - 1) < 1e-6
+
+
 def importances(got, duck):
     assert len(got) and got.notna().all().all()
 
@@ -263,7 +271,7 @@ def chain(got, duck):
 #: What queries without SQL are compared with.
 CHECKS = {
     "destination_resolver_fuzzy": resolver_fuzzy, "route_analogue": analogue, "corridor_paths": corridor, "stop_clusters": clusters, "error_mixture": mixture, "nnls_blend": blend,
-    "tabular_oof": ridge, "risk_model": risks, "soft_gate": gates, "linear_embedding": components, "lsh_recall": recalled, "feature_importance": importances, "graph_recall": graphed, "route_model": routed, "support_vectors": tubes, "scoring_chain": chain,
+    "tabular_oof": ridge, "risk_model": risks, "soft_gate": gates, "linear_embedding": components, "lsh_recall": recalled, "feature_importance": importances, "feature_attribution": attributed, "graph_recall": graphed, "route_model": routed, "support_vectors": tubes, "scoring_chain": chain,
 }
 
 

@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -309,6 +310,23 @@ def embedded(rows: DataFrame, array: str, k: int) -> DataFrame:
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(x).transform(x).withColumn("components", vector_to_array("_p")).drop("_v", "_p")
 
 
+def attributions(rows: DataFrame, fitted: PipelineModel, measures: list[str], categories: list[str]) -> DataFrame:
+    """rows with prediction, base and a column by_<feature>: how far each feature moves a linear model's answer from that for
+    the mean row. They add up to the prediction, and are the Shapley values where features are independent."""
+    model = fitted.stages[-1]
+    sizes = [1] * len(measures) + [len(indexed.labels) + 1 for indexed in fitted.stages if isinstance(indexed, StringIndexerModel)]
+    x = fitted.transform(rows)
+    means = x.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
+    x = x.withColumn("_f", vector_to_array("features"))
+    names, at, out = [*measures, *categories], 0, {}
+    for name, size in zip(names, sizes, strict=True):
+        terms = [(F.col("_f")[at + k] - float(means[at + k])) * float(model.coefficients[at + k]) for k in range(min(size, len(means) - at))]
+        out[f"by_{name}"] = sum(terms[1:], terms[0])
+        at += size
+    base = float(model.intercept + sum(float(c) * float(m) for c, m in zip(model.coefficients, means, strict=True)))
+    return x.withColumns(out).withColumn("base", F.lit(base)).select(*rows.columns, "prediction", "base", *out)
+
+
 def masking_stress(rows: DataFrame, fitted: PipelineModel, masks: dict[str, object], target: str) -> DataFrame:
     """(masked, mae): the error with each feature replaced by its neutral value in turn."""
     out = None

@@ -92,3 +92,13 @@ def feature_importance(spark, sf):
     x = decisions(spark, sf).select("price", "balance", "pred_a", "status", "target_h")
     fitted = Pipeline(stages=[*evaluation.preprocessing(["price", "balance", "pred_a"], ["status"]), evaluation.models("target_h")["forest"]]).fit(x)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(fitted.stages[-1].featureImportances.toArray())], "feature int, importance double")
+
+
+@query()
+def feature_attribution(spark, sf):
+    """How far each feature moves a ridge regression's answers."""
+    measures, categories = ["price", "balance", "pred_a"], ["status", "ship_type"]
+    x = decisions(spark, sf).select("key", *measures, *categories, "target_h")
+    fitted = Pipeline(stages=[*evaluation.preprocessing(measures, categories), evaluation.models("target_h")["ridge"]]).fit(x)
+    found = evaluation.attributions(x, fitted, measures, categories)
+    return found.select("key", *(F.round(c, 4).alias(c) for c in ("prediction", "base", *(f"by_{c}" for c in [*measures, *categories]))))
