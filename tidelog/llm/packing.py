@@ -8,6 +8,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,7 @@ class WordEncoder:
             self.known.clear()
         known = self.known
         words = [simpler(x).replace("\n", " ").split(" ") for x in texts]
-        if new := {x for y in words for x in y if x not in known}:
+        if new := set(chain.from_iterable(words)).difference(known):
             self.learn(new)
         return [b"".join(map(known.__getitem__, x)) for x in words]
 

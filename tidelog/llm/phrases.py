@@ -241,6 +241,8 @@ def all_candidates(docs: DataFrame, sequence: Sequence, width: int, gram: int, w
     Elements of a hot key are divided into the next narrower cells and chosen again; those of the last width, 1, are single
     windows, of which a key has as many different ones as its hash has collisions.
     """
+    if not 0 < gram <= width or widths[0] >= 1 << COUNT_BITS:
+        raise ValueError("a gram fits in a window, and a cell has fewer than 1,024 windows")
     rows = element_rows(docs, sequence, width, gram, widths[0], earlier_only)
     chosen, size = None, 0
     for finer in (*widths[1:], None):

@@ -119,10 +119,15 @@ def trie_of(path: str) -> Trie:
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Pre-tokens and unigram tokens of each whole text: doc_id, n_pretokens, n_tokens.
 
-    A pre-token is a run of characters other than the ASCII white space, led by the vocabulary's word mark. A null or
-    blank text has none of either. A null doc_id stays null, repeated rows are counted each for itself, other columns
-    are ignored. The vocabulary's file is read on every worker; nothing is shuffled.
+    A pre-token is a run of characters other than the ASCII white space, led by the vocabulary's word mark. The public
+    vocabulary has ranks but no probabilities, and none are trained here, so pieces have those of the Zipf-Mandelbrot law on
+    their ranks: counts are those of the best segmentation under that model, not those of the vocabulary's own tokenizer.
+    A pre-token of more than LONG characters has the same sums without a place in the trie.
+
+    A null or blank text has none of either. A null doc_id stays null, repeated rows are counted each for itself, an empty
+    table gives no rows, other columns are ignored. The vocabulary's file is read on every worker; nothing is shuffled.
     """
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = trie_of(vocabulary)
         for batch in small(batches):
