@@ -13,7 +13,7 @@ def metric_table(rows: DataFrame, by: list[str], error: Column, digits: int = 6)
     e = F.col("_e")
     aggs = {"n": F.count(e), "mae": F.avg(e), "rmse": F.sqrt(F.avg(e * e)), "within_24": F.avg((e <= 24).cast("double")), "worst": F.max(e)}
     rounded = [(x if name == "n" else F.round(x, digits)).alias(name) for name, x in aggs.items()]
-    return quantiles.summary(rows.withColumn("_e", F.abs(error)), by, "_e", rounded, {"medae": 0.5, "p90": 0.9, "p95": 0.95}, digits)
+    return quantiles.summary(rows.select(*by, F.abs(error).alias("_e")), by, "_e", rounded, {"medae": 0.5, "p90": 0.9, "p95": 0.95}, digits)
 
 
 def weighted(error: Column, weight: Column, digits: int = 6) -> list[Column]:

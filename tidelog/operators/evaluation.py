@@ -17,16 +17,14 @@ from pyspark.sql import types as T
 from tidelog.config import IntervalConfig
 from tidelog.functions import hashing, numeric
 from tidelog.operators import quantiles
-from tidelog.session import written
 
 
 def median_baselines(rows: DataFrame, target: str, key: str, fold: str = "fold") -> DataFrame:
     """Out-of-fold global and per-key medians with fallback: all folds in one plan."""
-    narrow = written(rows.select(key, target, fold))
-    top = quantiles.quantiles(narrow, [], target, [0.5], fold).select("_f", F.col("q")[0].alias("global_median"))
-    own = quantiles.quantiles(narrow, [key], target, [0.5], fold).select(F.col("_f").alias("_f2"), F.col(key).alias("_k"), F.col("q")[0].alias("_m"))
+    top, own = quantiles.by_levels(rows, [None, key], target, [0.5], fold)
+    top, own = top.select("_f", F.col("q")[0].alias("global_median")), own.select(F.col("_f").alias("_f2"), "_k", F.col("q")[0].alias("_m"))
     x = rows.join(F.broadcast(top), F.col(fold) == F.col("_f"), "left").drop("_f")
-    x = x.join(own, (F.col(fold) == F.col("_f2")) & (F.col(key) == F.col("_k")), "left")
+    x = x.join(own, (F.col(fold) == F.col("_f2")) & (F.col(key).cast("string") == F.col("_k")), "left")
     return x.withColumn("key_median", F.coalesce("_m", "global_median")).drop("_f2", "_k", "_m")
 
 

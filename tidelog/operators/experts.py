@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tidelog.config import CorridorConfig, PriorConfig
 from tidelog.functions import arrays, geo, numeric, text, times
 from tidelog.operators import joins, quantiles
-from tidelog.session import written
 
 # Words of a destination that name no place, and names that more than one place could be meant by.
 UNKNOWN_WORDS = ("", "UNKNOWN", "N A", "NA", "N/A", "NONE", "NULL", "NOT AVAILABLE")
@@ -107,15 +106,15 @@ def hierarchical_prior(rows: DataFrame, target: str, cfg: PriorConfig = PriorCon
     are those of the rows outside it, made for all folds in one plan. Adds prediction, level, level_name, support, weight.
     """
     source, by = (rows, fold) if train is None else (train, None)
-    source = written(source.select(*cfg.levels, target, *([by] if by else [])))
     same = (lambda: F.col(fold) == F.col("_f")) if by else (lambda: F.lit(True))
-    top = quantiles.quantiles(source, [], target, [0.5, *cfg.clip], by).select(*(["_f"] if by else []), F.col("q")[0].alias("_p"), F.slice("q", 2, 2).alias("_q"))
+    mine = ["_f"] if by else []
+    top, *levels = quantiles.by_levels(source, [None, *cfg.levels], target, [0.5, *cfg.clip], by)
+    top = top.select(*mine, F.col("q")[0].alias("_p"), F.slice("q", 2, 2).alias("_q"))
     x = rows.join(F.broadcast(top), same(), "left").drop("_f").withColumns({"prediction": F.col("_p"), "level": F.lit(0), "level_name": F.lit("global"), "support": F.lit(0).cast("bigint"), "weight": F.lit(0.0)})
     low, high = F.col("_q")[0], F.col("_q")[1]
-    for depth, key in enumerate(cfg.levels, 1):
-        stats = quantiles.quantiles(source, [key], target, [0.5], by)
-        stats = stats.select(*(["_f"] if by else []), F.col(key).alias("_k"), F.col("q")[0].alias("_m"), F.col("n").alias("_n"))
-        x = x.join(stats, same() & F.col(key).eqNullSafe(F.col("_k")), "left")
+    for depth, (key, stats) in enumerate(zip(cfg.levels, levels, strict=True), 1):
+        stats = stats.select(*mine, "_k", F.col("q")[0].alias("_m"), F.col("n").alias("_n"))
+        x = x.join(stats, same() & F.col(key).cast("string").eqNullSafe(F.col("_k")), "left")
         ok = F.coalesce(F.col("_n") >= cfg.min_support, F.lit(False))
         w = F.col("_n") / (F.col("_n") + cfg.alpha)
         x = x.withColumns(
@@ -168,11 +167,11 @@ def residual_corrected(
     source, by = (rows, fold) if train is None else (train, None)
     same = (lambda: F.col(fold) == F.col("_f")) if by else (lambda: F.lit(True))
     # Residuals that don't count are null.
-    known = written(source.select(key, F.when(F.col(eligible), F.col(target) - F.col(base)).alias("_r"), *([by] if by else [])))
+    known = source.withColumn("_r", F.when(F.col(eligible), F.col(target) - F.col(base)))
     mine = ["_f"] if by else []
-    top = quantiles.quantiles(known, [], "_r", [0.5], by).select(*mine, F.col("q")[0].alias("_g"))
-    own = quantiles.quantiles(known, [key], "_r", [0.5], by).select(*mine, F.col(key).alias("_k"), F.col("q")[0].alias("_m"), F.col("n").alias("_n"))
-    x = rows.join(F.broadcast(top), same(), "left").drop("_f").join(own, same() & (F.col(key) == F.col("_k")), "left")
+    top, own = quantiles.by_levels(known, [None, key], "_r", [0.5], by)
+    top, own = top.select(*mine, F.col("q")[0].alias("_g")), own.select(*mine, "_k", F.col("q")[0].alias("_m"), F.col("n").alias("_n"))
+    x = rows.join(F.broadcast(top), same(), "left").drop("_f").join(own, same() & (F.col(key).cast("string") == F.col("_k")), "left")
     w = F.when(F.col("_n") >= min_support, F.col("_n") / (F.col("_n") + alpha)).otherwise(0.0)
     shift = F.coalesce(w * F.col("_m"), F.lit(0.0)) + (1 - w) * F.coalesce(F.col("_g"), F.lit(0.0))
     return x.withColumn("corrected", F.greatest(F.lit(0.0), F.col(base) + shift)).drop("_f", "_k", "_m", "_n", "_g")

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from tidelog.session import written
 
 #: Cells of a group: COARSE * COARSE at most; a group with fewer rows than SMALL is one cell.
-COARSE, SMALL, ACCURACY = 16, 512, 4096
+COARSE, SMALL, ACCURACY = 16, 50_000, 4096
+#: Groups whose edges, of 2 kB each, come to the driver and go to all tasks at most.
+SENT = 2000
 
 
 def celled(rows: DataFrame, group: Column, value: str) -> DataFrame:
@@ -24,21 +26,25 @@ def celled(rows: DataFrame, group: Column, value: str) -> DataFrame:
     x = rows.where(F.col(value).isNotNull()).withColumns({"_g": group, "_v": F.col(value).cast("double")})
     shares = [F.lit(k / COARSE**2) for k in range(1, COARSE**2)]
     edges = x.groupBy("_g").agg(F.count("*").alias("_size"), F.percentile_approx("_v", F.array(*shares), F.lit(ACCURACY)).alias("_edges"))
-    first = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda k: F.element_at("_edges", k * COARSE))
-    edges = edges.where(F.col("_size") >= SMALL).select("_g", "_edges", first.alias("_coarse"))
-    below = lambda e: F.size(F.filter(e, lambda y: y < F.col("_v")))
-    x = x.join(edges, "_g", "left").withColumn("_block", below(F.col("_coarse")))
-    # Edges before the block are below the value; of those after it none is, but the one that ends it.
-    fine = F.col("_block") * COARSE + below(F.slice("_edges", F.col("_block") * COARSE + 1, F.lit(COARSE)))
-    return x.withColumn("_c", F.when(F.col("_edges").isNull(), 0).otherwise(fine)).drop("_edges", "_coarse", "_block")
-
-
-def statistics(rows: DataFrame, by: list[str], value: str, places: Callable[[Column], Column], fold: str | None = None) -> DataFrame:
+    edges = edges.where(F.col("_size") >= SMALL).select("_g", "_edges")
+    # The edges of few groups are sent to the rows; those of more are joined by a shuffle.
+    few = edges.limit(SENT + 1).collect()
+    x = x.join(F.broadcast(rows.sparkSession.createDataFrame(few, edges.schema)) if len(few) <= SENT else edges, "_g", "left")
+    below = lambda at: F.coalesce((F.get("_edges", at) < F.col("_v")).cast("int"), F.lit(0))
+    # The number of edges below the value: by blocks of edges first, then inside the block.
+    x = x.withColumn("_block", sum((below(F.lit(k * COARSE - 1)) for k in range(2, COARSE)), below(F.lit(COARSE - 1))))
+    fine = sum((below(F.col("_block") * COARSE + k) for k in range(1, COARSE)), below(F.col("_block") * COARSE))
+    return x.withColumn("_c", F.when(F.col("_edges").isNull(), 0).otherwise(F.col("_block") * COARSE + fine)).drop("_edges", "_block")
+
+
+def statistics(rows: DataFrame, by: list[str], value: str, places: Callable[[Column], Column], fold: str | None = None, once: bool = True) -> DataFrame:
     """(by, n, place, value): the values at an array of places (from 1) given in terms of a group's number of rows n. With
-    fold also _f: for each fold, the same of the rows of all others."""
+    fold also _f: for each fold, the same of the rows of all others. Rows are written out unless once is False, which is for
+    rows that come from a table anyway."""
     group = F.struct(*(F.col(c) for c in by)) if by else F.struct(F.lit(0).alias("_"))
     # A sketch, its edges and two passes over the cells read these rows: three columns, computed once.
-    narrow = written(rows.select(group.alias("_group"), F.col(value).alias("_value"), (F.col(fold) if fold else F.lit(0)).alias("_o")))
+    narrow = rows.select(group.alias("_group"), F.col(value).alias("_value"), (F.col(fold) if fold else F.lit(0)).alias("_o"))
+    narrow = written(narrow) if once else narrow
     x = celled(narrow, F.col("_group"), "_value").select("_g", "_c", "_v", "_o")
     counts = x.groupBy("_g", "_c", "_o").agg(F.count("*").alias("_m"))
     whole = counts.groupBy("_g", "_c").agg(F.sum("_m").alias("_m"), F.map_from_entries(F.collect_list(F.struct("_o", "_m"))).alias("_own"))
@@ -61,12 +67,12 @@ def statistics(rows: DataFrame, by: list[str], value: str, places: Callable[[Col
     return found.select(*(F.col("_g")[c].alias(c) for c in by), *(["_f"] if fold else []), "n", F.col("_p.place").alias("place"), F.col("_v").alias(value))
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], fold: str | None = None) -> DataFrame:
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], fold: str | None = None, once: bool = True) -> DataFrame:
     """(by, n, q): the values at shares of a group, linear between neighbours, as an array; with fold also _f, as above."""
     at = lambda n, p: (n - 1) * F.lit(float(p))
     ends = lambda n: F.array(*((f(at(n, p)) + 1).cast("bigint") for p in shares for f in (F.floor, F.ceil)))
     keys = [*by, *(["_f"] if fold else []), "n"]
-    found = statistics(rows, by, value, ends, fold).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("place", value))).alias("_at"))
+    found = statistics(rows, by, value, ends, fold, once).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("place", value))).alias("_at"))
     n = F.col("n")
 
     def between(p: float) -> Column:
@@ -76,9 +82,20 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], f
     return found.select(*keys, F.array(*map(between, shares)).alias("q"))
 
 
+def by_levels(rows: DataFrame, keys: list[str | None], value: str, shares: list[float], fold: str | None = None) -> list[DataFrame]:
+    """For each key, (_k as text, n, q) of its groups, and of all rows for None; with fold also _f. One pass serves all keys,
+    and what it finds is written out, as several joins read it."""
+    level = lambda i, key: F.struct(F.lit(i).alias("_level"), (F.col(key) if key else F.lit(None)).cast("string").alias("_k"))
+    stacked = rows.select(F.explode(F.array(*(level(i, key) for i, key in enumerate(keys)))).alias("_x"), value, *([fold] if fold else []))
+    found = written(quantiles(stacked.select("_x.*", value, *([fold] if fold else [])), ["_level", "_k"], value, shares, fold))
+    return [found.where(F.col("_level") == i).drop("_level") for i in range(len(keys))]
+
+
 def summary(rows: DataFrame, by: list[str], value: str, aggs: list[Column], shares: dict[str, float], digits: int = 6) -> DataFrame:
-    """The aggregates of each group, with the values at shares of it under their names, rounded; one row if by is empty."""
-    found = quantiles(rows, by, value, list(shares.values()))
+    """The aggregates of each group, with the values at shares of it under their names, rounded; one row if by is empty. The
+    rows are written out: give no more columns than aggs need."""
+    rows = written(rows)
+    found = quantiles(rows, by, value, list(shares.values()), once=False)
     found = found.select(*(F.col(c).alias(f"_{c}") for c in by), *(F.round(F.col("q")[i], digits).alias(name) for i, name in enumerate(shares)))
     same = F.lit(True)
     for c in by:

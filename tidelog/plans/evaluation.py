@@ -58,7 +58,7 @@ def conformal_interval(spark, sf):
 
 @query(_INTERVAL + " SELECT status, count(*) AS n, round(avg((target_h BETWEEN low AND high)::INT), 6) AS coverage, round(avg(high - low), 4) AS mean_width, round(quantile_cont(high - low, 0.9), 4) AS p90_width FROM i GROUP BY 1")
 def interval_metrics(spark, sf):
-    x = evaluation.intervals(scored(spark, sf), "pred_a", "risk", "error", "fold").withColumn("width", F.col("high") - F.col("low"))
+    x = evaluation.intervals(scored(spark, sf), "pred_a", "risk", "error", "fold").select("status", "target_h", "low", "high", (F.col("high") - F.col("low")).alias("width"))
     inside = F.avg(F.col("target_h").between(F.col("low"), F.col("high")).cast("int"))
     return quantiles.summary(x, ["status"], "width", [F.count("*").alias("n"), F.round(inside, 6).alias("coverage"), F.round(F.avg("width"), 4).alias("mean_width")], {"p90_width": 0.9}, 4)
 
@@ -102,7 +102,7 @@ def structural_counterfactual(spark, sf):
 def promotion_gate(spark, sf):
     x = decisions(spark, sf)
     ea, eb = (F.abs(F.col(p) - F.col("target_h")) for p in ("pred_a", "pred_b"))
-    m = quantiles.summary(x.withColumn("e", ea), [], "e", [F.avg(ea).alias("a"), F.avg(eb).alias("b"), F.count("*").alias("n")], {"p90": 0.9}, 12)
+    m = quantiles.summary(x.select(ea.alias("e"), eb.alias("f")), [], "e", [F.avg("e").alias("a"), F.avg("f").alias("b"), F.count("*").alias("n")], {"p90": 0.9}, 12)
     return evaluation.gate(m, {"beats": F.col("a") < F.col("b"), "tail": F.col("p90") < 1e5, "enough": F.col("n") >= 20})
 
 

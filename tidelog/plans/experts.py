@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.config import EARTH_KM, EARTH_M, EARTH_NM, PriorConfig
 from tidelog.functions import geo, numeric
-from tidelog.operators import experts, routes, sessions, states
+from tidelog.operators import experts, joins, routes, sessions, states
 from tidelog.plans.registry import query
 from tidelog.plans.scalars import _bearing, _hav
 from tidelog.plans.temporal import transition_rows
