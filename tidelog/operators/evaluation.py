@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tidelog.config import IntervalConfig
 from tidelog.functions import hashing, numeric
 from tidelog.operators import quantiles
+from tidelog.session import written
 
 
 def median_baselines(rows: DataFrame, target: str, key: str, fold: str = "fold") -> DataFrame:
@@ -35,15 +36,16 @@ def nested_selection(rows: DataFrame, target: str, key: str, given: list[str], f
     Experts: the global median, the key's median (the global one where it is unknown), and given columns.
     """
     names = ["global", "by_key", *given]
+    rows = written(rows)
     out = None
     for f in folds:
         train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
         inner = median_baselines(train, target, key, fold).withColumnsRenamed({"global_median": "global", "key_median": "by_key"})
         errors = [F.avg(F.abs(F.col(c) - F.col(target))) for c in names]
         best = inner.agg(numeric.argmin(errors, names).alias("expert"))
-        top = quantiles.quantiles(train, [], target, [0.5]).select(F.col("q")[0].alias("global"))
-        own = quantiles.quantiles(train, [key], target, [0.5]).select(key, F.col("q")[0].alias("_own"))
-        x = test.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(top)).join(own, key, "left").withColumn("by_key", F.coalesce("_own", "global"))
+        top, own = quantiles.by_levels(train, [None, key], target, [0.5])
+        top, own = top.select(F.col("q")[0].alias("global")), own.select("_k", F.col("q")[0].alias("_own"))
+        x = test.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(top)).join(own, F.col(key).cast("string") == F.col("_k"), "left").withColumn("by_key", F.coalesce("_own", "global"))
         hours = F.coalesce(*(F.when(F.col("expert") == c, F.col(c)) for c in names))
         x = x.withColumn("hours", hours).select(*rows.columns, "expert", "hours")
         out = x if out is None else out.unionByName(x)

@@ -50,8 +50,9 @@ def horizon_metrics(spark, sf):
 def config_grid(spark, sf):
     """The best of a grid of shrinkages: statistics are made once, configurations are a table."""
     x = decisions(spark, sf)
-    top = quantiles.quantiles(x, [], "target_h", [0.5], "fold").select(F.col("_f").alias("fold"), F.col("q")[0].alias("gm"))
-    own = quantiles.quantiles(x, ["destination"], "target_h", [0.5], "fold").select(F.col("_f").alias("fold"), "destination", F.col("q")[0].alias("m"), "n")
+    top, own = quantiles.by_levels(x, [None, "destination"], "target_h", [0.5], "fold")
+    top = top.select(F.col("_f").alias("fold"), F.col("q")[0].alias("gm"))
+    own = own.select(F.col("_f").alias("fold"), F.col("_k").alias("destination"), F.col("q")[0].alias("m"), "n")
     grid = spark.createDataFrame([(float(a), n) for a in (0, 10, 50) for n in (1, 100)], "alpha double, least_n int")
     rows = x.join(F.broadcast(top), "fold").join(own, ["fold", "destination"], "left").crossJoin(F.broadcast(grid))
     w = F.col("n") / (F.col("n") + F.col("alpha"))
