@@ -716,6 +716,44 @@ def test_near_duplicates(spark, monkeypatch, block, hot):
     assert minhash.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_large_keys_are_those_of_small_ones(spark, monkeypatch):
+    """Links whose documents have one band in common only, many of them in one key: a further band would lose them all."""
+    r = random.Random(23)
+    words = [f"w{k}" for k in range(5000)]
+    base = [r.choice(words) for _ in range(120)]
+    texts = []
+    for d in range(260):
+        x = list(base)
+        for at in r.sample(range(120), r.choice([2, 3, 4, 5])):
+            x[at] = r.choice(words)
+        texts.append((d + 1, " ".join(x)))
+    bands = dict(bands=4, per_band=5)
+    got = []
+    for hot, share in ((8192, 32), (1, 32), (1, 1), (40, 4)):
+        for name, value in (("HOT_QUERIES", hot), ("ORDER_SHARE", share), ("BLOCK_ROWS", 64)):
+            monkeypatch.setattr(minhash, name, value)
+        got.append(sorted((x.doc_id, x.component_id) for x in minhash.near_duplicates(frame(spark, texts), **bands).collect()))
+    assert got[1:] == got[:1] * 3
+
+
+@pytest.mark.parametrize("percent", [60, 75, 90])
+def test_prefixes_of_linked_sets_meet(spark, percent):
+    r = random.Random(percent)
+    words = [f"w{k}" for k in range(900)]
+    base = [r.choice(words) for _ in range(70)]
+    texts = [(d, " ".join([r.choice(words) if r.random() < 0.02 else w for w in base][: r.choice([70, 70, 66, 58])])) for d in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    sets = {d: set(minhash.shingles(t.encode(), minhash.WordHashes(), 5).tolist()) for d, t in texts}
+    long, short = {}, {}
+    for x in minhash.prefixes(docs, docs.select("doc_id"), 80, 5, percent).collect():
+        long.setdefault(x.doc_id, set()).add(x.shingle)
+        if x.short:
+            short.setdefault(x.doc_id, set()).add(x.shingle)
+    linked = [(a, b) for a in sets for b in sets if a != b and len(sets[a]) <= len(sets[b]) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert len(linked) > 50 and all(short[a] & long[b] for a, b in linked)
+    assert all(len(long[d]) <= len(sets[d]) - percent * len(sets[d]) // 100 + 1 for d in sets)
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(k, k + 1) for k in range(40)] + [(100 + r.randrange(30), 100 + r.randrange(30)) for _ in range(15)]

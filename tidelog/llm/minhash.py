@@ -26,8 +26,10 @@ BLOCK_ROWS, SLACK = 2048, 4.7
 SENT_IDS = 1_000_000
 #: Bits of a band's key that documents of a block carry: two of 48 keys agree in them by chance once in 40 million times.
 KEY_BITS = 2**31 - 1
-#: Documents of a key outside its largest class, beyond which the key is divided by a further band; how often at most.
-HOT_QUERIES, DIVISIONS = 8192, 3
+#: Documents of a key outside its largest class, beyond which the documents meet by the shingles that links must share.
+HOT_QUERIES = 8192
+#: One of so many documents of such keys tells which shingles are frequent; from how many on; how many are remembered.
+ORDER_SHARE, ORDER_LEAST, ORDERED = 32, 4, 1 << 18
 
 
 class WordHashes(dict):
@@ -121,6 +123,42 @@ def set_rows(docs: DataFrame, ids: DataFrame, most: int, width: int) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text")).join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, members binary")
 
 
+def prefixes(docs: DataFrame, ids: DataFrame, most: int, width: int, percent: int) -> DataFrame:
+    """(doc_id, shingle, short): of each document in ids the shingles of which any link has one in common.
+
+    Two sets with 100 * intersection >= percent * union share a shingle among the first of each, in any order that both
+    follow: so many are the first that the others are fewer than the intersection needs. short tells those that are enough
+    for the smaller set of a link, so that of two documents that share a shingle one has it short. The order is by how
+    frequent shingles are in some of the documents, rare ones first. It decides how many documents meet, never which links
+    there are.
+    """
+    some = set_rows(docs, ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SHARE)) == 0), most, width)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in column(batch, "members"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(members, np.int64))], names=["shingle"])
+
+    counted = some.mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_LEAST)
+    counted = counted.orderBy(F.desc("n"), "shingle").limit(ORDERED).toPandas().sort_values("shingle")
+    frequent, times = counted["shingle"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, members in zip(numbers(batch, "doc_id"), column(batch, "members"), strict=True):
+                found = np.frombuffer(members, np.int64)
+                n = len(found)
+                often = np.zeros(n, np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+                    often = np.where(frequent[at] == found, times[at], 0)
+                long, short = (n + (-percent * x // y) + 1 for x, y in ((n, 100), (2 * n, 100 + percent)))
+                taken = found[np.lexsort((found, often))[:long]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(taken), doc_id)), pa.array(taken), pa.array(np.arange(len(taken)) < short)], names=["doc_id", "shingle", "short"])
+
+    return set_rows(docs, ids, most, width).mapInArrow(first, "doc_id long, shingle long, short boolean")
+
+
 def confirmed(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of edges (a, b), those whose full sets meet 100 * intersection >= percent * union."""
     members = set_rows(docs, edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 2 * edges.count(), width)
@@ -158,34 +196,39 @@ def across_classes(placed: DataFrame, signed: DataFrame, docs: DataFrame, width:
     """Links (a, b) between documents of different classes that share a key; signed has doc_id, bands and marks.
 
     In each key that holds several classes, the documents outside its largest class are queries against all of the key,
-    in blocks of BLOCK_ROWS. A key with more than HOT_QUERIES of those is divided by the next bands that its documents have,
-    again and again if need be, so that blocks don't grow with its square; path is the list of bands that led to a key.
-    Within a task signatures are compared by matrix operations; a pair counts once, for the first bands that both have, and
+    in blocks of BLOCK_ROWS. Documents of keys with more than HOT_QUERIES of those meet by the shingles of which any link
+    has one in common (prefixes) instead, if they have any band in common, so that blocks seldom grow with the square of a
+    key: which pairs are confirmed doesn't depend on that, and what shares a shingle is compared whole, whatever its size.
+    path is the band of the key, or empty for a shingle.
+    Within a task signatures are compared by matrix operations; a pair counts once, for the first band that both have, and
     only if the signatures agree in as many places as SLACK deviations below the threshold.
     A first pass tells which documents have such pairs at all; their full sets then go to the same blocks, where pairs are
     confirmed, the likeliest first, until the two classes are one. So what is put out grows with the documents, not with
     their pairs.
     """
-    levels, written = [], []
+    placed, levels, written = placed.withColumn("short", F.lit(True)), [], []
     while True:
-        sizes = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
-        several = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("main")).where("classes > 1")
+        sizes = placed.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("short").alias("short"))
+        several = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("main"), F.max("short").alias("short")).where("classes > 1 and short")
         several = checkpointed(several)
         written.append(several)
         hot = several.where(F.col("total") - F.col("main.n") > HOT_QUERIES).select("key")
-        more = len(levels) < DIVISIONS and not hot.isEmpty()
+        more = not levels and not hot.isEmpty()
         calm = several.join(hot, "key", "left_anti") if more else several
         levels.append(placed.join(calm.select("key", F.col("main.label").alias("main"), F.ceil(F.col("total") / BLOCK_ROWS).cast("long").alias("parts")), "key"))
         if not more:
             break
-        wide = placed.join(hot, "key", "left_semi").join(signed.select("doc_id", "bands"), "doc_id")
-        after = F.slice("bands", F.array_position("bands", F.element_at("path", -1)).cast("int") + 1, F.size("bands"))
-        wide = wide.withColumn("band", F.explode(after))
-        placed = checkpointed(wide.select(F.xxhash64("key", "band").alias("key"), F.concat("path", F.array("band")).alias("path"), "doc_id", "n_shingles", "label"))
-        written.append(placed)
+        wide = checkpointed(placed.join(hot, "key", "left_semi").select("doc_id", "n_shingles", "label").distinct())
+        firsts = checkpointed(prefixes(docs, wide.select("doc_id").distinct(), wide.count(), width, percent))
+        # Most shingles are one document's own.
+        common = firsts.groupBy("shingle").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("short").alias("short")).where("least < most and short")
+        met = wide.join(firsts.join(common.select("shingle"), "shingle"), "doc_id")
+        placed = checkpointed(met.select(F.col("shingle").alias("key"), F.array().cast("array<int>").alias("path"), "doc_id", "n_shingles", "label", "short"))
+        dropped(firsts)
+        written += [wide, placed]
     left = functools.reduce(DataFrame.unionByName, levels).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     # Role 0: only a candidate; 1: only a query, in the blocks of others, after all candidates there; 2: both.
-    names = ["key", "block", "role", "path", "doc_id", "label", "n_shingles"]
+    names = ["key", "block", "role", "path", "doc_id", "label", "n_shingles", "short"]
     at_home = left.withColumn("block", F.col("own")).withColumn("role", F.when(F.col("label") == F.col("main"), 0).otherwise(2))
     away = left.where("label <> main and parts > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("block <> own").withColumn("role", F.lit(1))
     members = checkpointed(at_home.select(names).unionAll(away.select(names)))
@@ -249,7 +292,7 @@ def alike(batches: Iterator[pa.RecordBatch], percent: int, needed: int, more: tu
         n = batch.num_rows
         if not n:
             continue
-        x = {name: numbers(batch, name) for name in ("key", "block", "role", "doc_id", "label", "n_shingles")}
+        x = {name: numbers(batch, name) for name in ("key", "block", "role", "doc_id", "label", "n_shingles", "short")}
         x["marks"] = np.frombuffer(b"".join(column(batch, "marks")), np.uint8).reshape(n, -1)
         x["path"] = np.array(column(batch, "path") + [None], object)[:-1]
         x["bands"] = batch.column(batch.schema.get_field_index("bands")).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
@@ -277,7 +320,7 @@ def alike(batches: Iterator[pa.RecordBatch], percent: int, needed: int, more: tu
 def agreeing(path: list[int], queries: dict[str, np.ndarray], c: dict[str, np.ndarray], percent: int, needed: int) -> Iterator[tuple]:
     for at in range(0, len(queries["doc_id"]), 64):
         q = {name: x[at : at + 64] for name, x in queries.items()}
-        able = q["label"][:, None] != c["label"][None]
+        able = (q["label"][:, None] != c["label"][None]) & (q["short"][:, None] | c["short"][None]).astype(bool)
         # Of two queries that are candidates for each other, the smaller asks.
         able &= (q["doc_id"][:, None] < c["doc_id"][None]) | (c["role"][None] == 0) | (q["role"][:, None] == 1)
         able &= 100 * np.minimum(q["n_shingles"][:, None], c["n_shingles"][None]) >= percent * np.maximum(q["n_shingles"][:, None], c["n_shingles"][None])
@@ -288,10 +331,10 @@ def agreeing(path: list[int], queries: dict[str, np.ndarray], c: dict[str, np.nd
             enough = agree >= needed
             i, j, agree = i[enough], j[enough], agree[enough]
             common = q["bands"][i] == c["bands"][j]
-            # The first bands that both have must be those of the path.
-            nth, first_here = np.cumsum(common, axis=1), np.ones(len(i), bool)
-            for k, band in enumerate(path, 1):
-                first_here &= (common & (nth == k) & (q["bands"][i] == band)).any(axis=1)
+            # The first band that both have must be that of the path, if there is one.
+            first_here, nth = common.any(axis=1), np.cumsum(common, axis=1)
+            for band in path:
+                first_here &= (common & (nth == 1) & (q["bands"][i] == band)).any(axis=1)
             if first_here.any():
                 yield q, i[first_here], j[first_here], agree[first_here]
 
@@ -304,8 +347,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     are compared with the key's smallest document; where a key still holds several classes after that, its documents of
     different classes are compared with each other. So a link is lost only if no band of the two agrees: with 48 bands
     of 5, two in a million at a similarity of exactly 0.75, fewer above; the comparison of classes leaves out pairs whose
-    signatures lie SLACK deviations below the threshold, which has odds of about the same size, and where a key is divided,
-    pairs that have no second band in common: 3 in 100,000 at exactly 0.75, and only where nothing else links their classes.
+    signatures lie SLACK deviations below the threshold, which has odds of about the same size. That holds for keys of any
+    size.
 
     A text without words, or null, has an empty set and is linked with nothing. A null doc_id is linked with nothing,
     has no component_id and is kept. Rows that repeat a doc_id count as one document, linked by any set of that id. An
