@@ -399,3 +399,30 @@ def test_support_vectors_follow_a_curve(spark):
     assert len(got) == 301
     # One row in ten lies far off; the loss is that of distances, so the curve stays where most are.
     assert np.median([abs(got[k] - np.sin(2 * a)) for k, a in enumerate(x)]) < 0.3
+
+
+def shuffled_rows(spark, run):
+    """Rows that the stages of a run wrote for shuffles."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    stages = lambda: {x.stageId(): x.shuffleWriteRecords() for x in (s.apply(k) for s in [sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())] for k in range(s.size()))}
+    before = stages()
+    run()
+    return sum(n for stage, n in stages().items() if stage not in before)
+
+
+def test_snap_repeats_cells_not_points(spark):
+    r = random.Random(3)
+    rows = [(k, 37 + r.uniform(-0.5, 0.5), 15 + r.uniform(-0.5, 0.5)) for k in range(3000)] + [(3000, None, 15.0), (3001, 50.0, 15.0)]
+    cells = [(i, j) for i in range(181, 189) for j in range(72, 79) if r.random() < 0.3]
+    points = spark.createDataFrame(rows, "id int, lat double, lon double")
+    nodes = spark.createDataFrame([(f"{i}:{j}", i, j, (i + 0.5) * 0.2, (j + 0.5) * 0.2) for i, j in cells], "node string, node_i bigint, node_j bigint, node_lat double, node_lon double")
+    got = []
+    assert shuffled_rows(spark, lambda: got.extend(joins.snap(points, nodes, 0.2, 20.0, 3440.065, "id").collect())) < 12_000
+
+    def far(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 3440.065 * math.asin(math.sqrt(h))
+
+    want = {k: min((far(a, b, (i + 0.5) * 0.2, (j + 0.5) * 0.2), f"{i}:{j}") for i, j in cells) for k, a, b in rows if a}
+    want = {k: v for k, v in want.items() if v[0] <= 20}
+    assert {x.id: x.node for x in got} == {k: v[1] for k, v in want.items()} and all(abs(x.snap_nm - want[x.id][0]) < 1e-9 for x in got)

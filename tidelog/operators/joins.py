@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import geo, times
+from tidelog.session import written
+
+#: Candidates of all cells that are sent to every task at most.
+SENT_NODES = 100_000
 
 
 def asof(left: DataFrame, right: DataFrame, owner: str, at: str, right_at: str, keep: list[str], tie: str, strict: bool = False) -> DataFrame:
@@ -102,15 +106,27 @@ def gated_knn(queries: DataFrame, memory: DataFrame, gate: str, owner: str, dist
 def snap(points: DataFrame, nodes: DataFrame, cell_deg: float, limit_nm: float, radius: float, key: str) -> DataFrame:
     """The nearest node of each point within limit_nm. nodes: node, node_lat, node_lon, node_i, node_j (cell numbers).
 
-    A point meets the cells around its own that the limit can reach: an equi-join on cells, not a product.
+    Points of one cell have the same candidates: of the nodes in cells around it that the limit can reach, those that may
+    be nearest to some place in it. So only cells are repeated for the cells around them, and a point meets a few nodes.
     """
     import math
 
     reach_lat = math.ceil(limit_nm / 60 / cell_deg) + 1
-    around = lambda c: F.sequence(geo.cell(F.col(c), cell_deg) - reach_lat, geo.cell(F.col(c), cell_deg) + reach_lat)
-    x = points.withColumn("node_i", F.explode(around("lat"))).withColumn("node_j", F.explode(around("lon"))).join(nodes, ["node_i", "node_j"])
-    x = x.withColumn("snap_nm", geo.haversine(F.col("lat"), F.col("lon"), F.col("node_lat"), F.col("node_lon"), radius)).where(F.col("snap_nm") <= limit_nm)
-    return x.groupBy(key).agg(F.min(F.struct("snap_nm", "node")).alias("x")).select(key, F.col("x.node").alias("node"), F.col("x.snap_nm").alias("snap_nm"))
+    around = lambda c: F.sequence(F.col(c) - reach_lat, F.col(c) + reach_lat)
+    own = {"_i": geo.cell(F.col("lat"), cell_deg), "_j": geo.cell(F.col("lon"), cell_deg)}
+    cells = points.select(*(c.alias(name) for name, c in own.items())).distinct()
+    near = cells.withColumn("node_i", F.explode(around("_i"))).withColumn("node_j", F.explode(around("_j"))).join(nodes, ["node_i", "node_j"])
+    # No place in a cell is farther from its centre than half a diagonal at the equator.
+    half = radius * math.radians(cell_deg) / 2**0.5 * (1 + 1e-6)
+    near = near.withColumn("_d", geo.haversine(geo.centre(F.col("_i"), cell_deg), geo.centre(F.col("_j"), cell_deg), F.col("node_lat"), F.col("node_lon"), radius)).where(F.col("_d") <= limit_nm + half)
+    near = near.withColumn("_least", F.min("_d").over(Window.partitionBy("_i", "_j"))).where(F.col("_d") <= F.col("_least") + 2 * half)
+    near = written(near.groupBy("_i", "_j").agg(F.collect_list(F.struct("node", "node_lat", "node_lon")).alias("_nodes")))
+    sent = near.agg(F.sum(F.size("_nodes"))).first()[0] or 0
+    x = points.withColumns(own).join(F.broadcast(near) if sent <= SENT_NODES else near, ["_i", "_j"])
+    to = lambda n: F.struct(geo.haversine(F.col("lat"), F.col("lon"), n["node_lat"], n["node_lon"], radius).alias("snap_nm"), n["node"].alias("node"))
+    x = x.select(key, F.array_min(F.transform("_nodes", to)).alias("x")).groupBy(key).agg(F.min("x").alias("x"))
+    # The limit comes after the minimum: before it, each distance would be computed once more for it.
+    return x.where(F.col("x.snap_nm") <= limit_nm).select(key, F.col("x.node").alias("node"), F.col("x.snap_nm").alias("snap_nm"))
 
 
 def trailing_motion(points: DataFrame, owner: str, at: str, minutes: dict[str, int], radius_km: float) -> DataFrame:
