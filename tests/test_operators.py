@@ -426,3 +426,16 @@ def test_snap_repeats_cells_not_points(spark):
     want = {k: min((far(a, b, (i + 0.5) * 0.2, (j + 0.5) * 0.2), f"{i}:{j}") for i, j in cells) for k, a, b in rows if a}
     want = {k: v for k, v in want.items() if v[0] <= 20}
     assert {x.id: x.node for x in got} == {k: v[1] for k, v in want.items()} and all(abs(x.snap_nm - want[x.id][0]) < 1e-9 for x in got)
+
+
+def test_support_vectors_fit_all_folds_in_the_same_passes(spark):
+    r = np.random.default_rng(8)
+    rows = spark.createDataFrame([(k, k % 6, float(a), float(b)) for k, (a, b) in enumerate(r.normal(size=(240, 2)))] + [(240, None, 1.0, 1.0), (241, 1, 1.0, None)], "key int, fold int, x double, y double")
+    jobs = []
+    for folds in ([0], [0, 1, 2, 3, 4, 5]):
+        spark.sparkContext.setJobGroup(f"folds{len(folds)}", "")
+        got = evaluation.support_vectors(rows, ["x"], "y", "fold", folds, rounds=3).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"folds{len(folds)}")))
+        assert len(got) == (40 if len(folds) == 1 else 241)
+    assert jobs[1] <= jobs[0] + 2

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
@@ -233,7 +233,7 @@ def support_vectors(
 
     Measures and target are standardised by the training rows; missing ones count as the mean. The radial kernel is that
     of random Fourier features (none if waves is 0: a linear kernel). The loss is lowered by bounds that touch it: each round is
-    one pass over the rows, which sums the normal equations of rows outside the tube in every task, and only those sums
+    one pass over the rows for all folds, which sums the normal equations of rows outside the tube in every task, and only those sums
     come to the driver.
     """
     rng = np.random.default_rng(seed)
@@ -243,51 +243,61 @@ def support_vectors(
         z = np.cos(x @ direction + phase) * (2 / waves) ** 0.5 if waves else x
         return np.column_stack([z, np.ones(len(z))])
 
-    out = None
-    for f in folds:
-        train = rows.where((F.col(fold) != f) & F.col(target).isNotNull())
-        stats = train.agg(F.count("*").alias("n"), *(g(c).alias(f"{name}_{c}") for c in [*measures, target] for name, g in (("m", F.avg), ("s", F.stddev_pop)))).first()
-        middle = {c: stats[f"m_{c}"] or 0.0 for c in [*measures, target]}
-        spread = {c: stats[f"s_{c}"] or 1.0 for c in [*measures, target]}
-        scaled = lambda c, middle=middle, spread=spread: F.coalesce((F.col(c).cast("double") - middle[c]) / spread[c], F.lit(0.0)).alias(c)
-        known = train.select(*(scaled(c) for c in [*measures, target])).persist()
-        size = waves + 1 if waves else len(measures) + 1
-        beta, least = np.zeros(size), None
-        for _ in range(rounds):
-
-            def sums(batches, beta=beta):
-                total, moment, loss = np.zeros((size, size)), np.zeros(size), 0.0
-                for batch in batches:
-                    z, y = mapped(batch[measures].to_numpy(float)), batch[target].to_numpy(float)
-                    error = y - z @ beta
+    columns, size = [*measures, target], waves + 1 if waves else len(measures) + 1
+    # Fits of all folds go on together: a pass over the rows serves each of them.
+    known = written(rows.where(F.col(fold).isNotNull() & F.col(target).isNotNull()).select(F.col(fold).alias("_fold"), *(F.col(c).cast("double").alias(c) for c in columns)))
+    apart = lambda f, c: F.when(F.col("_fold") != f, F.col(c))
+    stats = known.agg(*(g(apart(f, c)).alias(f"{name}{k}_{c}") for k, f in enumerate(folds) for c in columns for name, g in (("m", F.avg), ("s", F.stddev_pop), ("n", F.count)))).first()
+    middle = [np.array([stats[f"m{k}_{c}"] or 0.0 for c in columns]) for k in range(len(folds))]
+    spread = [np.array([stats[f"s{k}_{c}"] or 1.0 for c in columns]) for k in range(len(folds))]
+    n = [stats[f"n{k}_{target}"] for k in range(len(folds))]
+    betas, least, going = [np.zeros(size) for _ in folds], [None] * len(folds), [k for k in range(len(folds)) if n[k]]
+    for _ in range(rounds):
+
+        def sums(batches, betas=betas, going=going):
+            total, moment, loss = ({k: np.zeros(shape) for k in going} for shape in ((size, size), size, ()))
+            for batch in batches:
+                at = batch.column(0).to_numpy(zero_copy_only=False)
+                values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]])
+                for k in going:
+                    scaled = np.nan_to_num((values[at != folds[k]] - middle[k]) / spread[k], nan=0.0, posinf=np.inf, neginf=-np.inf)
+                    z, y = mapped(scaled[:, :-1]), scaled[:, -1]
+                    error = y - z @ betas[k]
                     beyond = np.abs(error) - tube
-                    loss += float(np.maximum(beyond, 0).sum())
-                    weight = np.where(beyond > 0, 1 / np.maximum(beyond, 1e-3), 0.0)
-                    total += (z * weight[:, None]).T @ z
-                    moment += (z * weight[:, None]).T @ (y - np.sign(error) * tube)
-                yield pd.DataFrame({"i": range(size * size + size + 1), "x": [*total.ravel(), *moment, loss]})
-
-            got = np.array([r["x"] for r in known.mapInPandas(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])
-            objective = 0.5 * float(beta[:-1] @ beta[:-1]) + cost * got[-1] / stats["n"]
-            if least is not None and objective > least[0] * (1 - 1e-4):
-                break
-            least = (objective, beta)
-            share = cost / stats["n"]
+                    loss[k] += float(np.maximum(beyond, 0).sum())
+                    weighted = z * np.where(beyond > 0, 1 / np.maximum(beyond, 1e-3), 0.0)[:, None]
+                    total[k] += weighted.T @ z
+                    moment[k] += weighted.T @ (y - np.sign(error) * tube)
+            for k in going:
+                x = np.concatenate([total[k].ravel(), moment[k], loss[k][None]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x)], names=["k", "i", "x"])
+
+        found = known.mapInArrow(sums, "k int, i int, x double").groupBy("k", "i").agg(F.sum("x").alias("x")).toPandas().sort_values(["k", "i"])
+        ahead = []
+        for k, got in ((k, found.x[found.k == k].to_numpy()) for k in going):
+            beta, share = betas[k], cost / n[k]
+            objective = 0.5 * float(beta[:-1] @ beta[:-1]) + share * got[-1]
+            if least[k] is not None and objective > least[k][0] * (1 - 1e-4):
+                continue
+            least[k] = (objective, beta)
             penalty = np.eye(size)
             penalty[-1, -1] = 1e-9
-            beta = np.linalg.solve(share * got[: size * size].reshape(size, size) + penalty, share * got[size * size : -1])
-        known.unpersist()
-        best = least[1]
-
-        def answer(batches, best=best, middle=middle, spread=spread):
-            for batch in batches:
-                x = np.column_stack([((batch[c].astype(float) - middle[c]) / spread[c]).fillna(0.0) for c in measures])
-                yield batch.assign(prediction=mapped(x) @ best * spread[target] + middle[target])
-
-        test = rows.where(F.col(fold) == f)
-        part = test.mapInPandas(answer, T.StructType([*test.schema.fields, T.StructField("prediction", T.DoubleType())]))
-        out = part if out is None else out.unionByName(part)
-    return out
+            ahead.append((k, np.linalg.solve(share * got[: size * size].reshape(size, size) + penalty, share * got[size * size : -1])))
+        betas, going = [dict(ahead).get(k, beta) for k, beta in enumerate(betas)], [k for k, _ in ahead]
+        if not going:
+            break
+    best = {f: (middle[k], spread[k], least[k][1] if least[k] else betas[k]) for k, f in enumerate(folds)}
+
+    def answer(batches):
+        for batch in batches:
+            x, prediction = np.column_stack([batch[c].astype(float) for c in measures]), np.zeros(len(batch))
+            for f, (m, s, beta) in best.items():
+                here = (batch[fold] == f).to_numpy()
+                prediction[here] = mapped(np.nan_to_num((x[here] - m[:-1]) / s[:-1], nan=0.0, posinf=np.inf, neginf=-np.inf)) @ beta * s[-1] + m[-1]
+            yield batch.assign(prediction=prediction)
+
+    test = rows.where(F.col(fold).isin(list(folds)))
+    return test.mapInPandas(answer, T.StructType([*test.schema.fields, T.StructField("prediction", T.DoubleType())]))
 
 
 def soft_gate(rows: DataFrame, features: list[str], label: str, weight: str) -> DataFrame:
