@@ -439,3 +439,18 @@ def test_support_vectors_fit_all_folds_in_the_same_passes(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"folds{len(folds)}")))
         assert len(got) == (40 if len(folds) == 1 else 241)
     assert jobs[1] <= jobs[0] + 2
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.5])
+def test_nearest_routes_are_those_of_all_routes(spark, spread):
+    from pyspark.sql import Window
+
+    r = random.Random(6)
+    lines = [(c, s, 37 + (5 - s) * r.uniform(-0.1, 0.1), 15 + (5 - s) * r.uniform(-0.1, 0.1)) for c in range(60) for s in range(1, 6)]
+    lines += [(c + 100, s, lat, lon) for c, s, lat, lon in lines[:50]] + [(200, 1, 37.2, 15.0), (200, 2, 36.8, 15.0)]
+    places = [(k, k % 70, 37 + r.uniform(-spread, spread), 15 + r.uniform(-spread, spread)) for k in range(120)] + [(120, 1, 45.0, 3.0), (121, 1, 37.0, 15.0), (122, 1, None, 3.0)]
+    points, routes = spark.createDataFrame(places, "key int, call int, lat double, lon double"), spark.createDataFrame(lines, "route int, seq int, lat double, lon double")
+    every = experts.along_route(points, routes, "key", 37.0).join(points.select("key", "call"), "key").where("route <> call and cross_km is not null")
+    want = every.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("cross_km", "route"))).where("_r <= 5").select("key", "route", "cross_km", "remaining_km", "_r").collect()
+    got = experts.nearest_routes(points, routes, "key", "call", 5, 37.0).select("key", "route", "cross_km", "remaining_km", "_r").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 5 * 122

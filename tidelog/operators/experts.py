@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidelog.config import CorridorConfig, PriorConfig
 from tidelog.functions import arrays, geo, numeric, text, times
 from tidelog.operators import joins, quantiles
+from tidelog.session import written
 
 # Words of a destination that name no place, and names that more than one place could be meant by.
 UNKNOWN_WORDS = ("", "UNKNOWN", "N A", "NA", "N/A", "NONE", "NULL", "NOT AVAILABLE")
@@ -230,16 +231,24 @@ def along_route(points: DataFrame, routes: DataFrame, key: str, lat0: float, km_
     routes: route, seq, lat, lon in order towards the end. A local plane about lat0 serves as the map; the nearest
     segment counts, the first on ties, and the way is never shorter than the straight line.
     """
+    p = points.withColumns(dict(zip(("x", "y"), geo.local_km(F.col("lat"), F.col("lon"), lat0, 0.0, km_per_degree), strict=True))).select(key, "x", "y")
+    return projected(p.join(F.broadcast(segments(routes, lat0, km_per_degree))), key)
+
+
+def segments(routes: DataFrame, lat0: float, km_per_degree: float) -> DataFrame:
+    """The segments of routes on the plane: route, seq, from (ax, ay) to (bx, by), len, the way after it (rest), the route's end (zx, zy)."""
     w = Window.partitionBy("route").orderBy("seq")
-    px = lambda lat, lon: geo.local_km(F.col(lat), F.col(lon), lat0, 0.0, km_per_degree)
-    r = routes.withColumns(dict(zip(("ax", "ay"), px("lat", "lon"), strict=True)))
+    r = routes.withColumns(dict(zip(("ax", "ay"), geo.local_km(F.col("lat"), F.col("lon"), lat0, 0.0, km_per_degree), strict=True)))
     r = r.withColumns({"bx": F.lead("ax").over(w), "by": F.lead("ay").over(w)}).where("bx is not null")
     length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
     after = Window.partitionBy("route").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("route")
     r = r.withColumn("len", length).withColumns({"rest": F.coalesce(F.sum("len").over(after), F.lit(0.0)), "zx": F.max_by("bx", "seq").over(whole), "zy": F.max_by("by", "seq").over(whole)})
-    p = points.withColumns(dict(zip(("x", "y"), px("lat", "lon"), strict=True))).select(key, "x", "y")
-    j = p.join(F.broadcast(r.select("route", "seq", "ax", "ay", "bx", "by", "len", "rest", "zx", "zy")))
+    return r.select("route", "seq", "ax", "ay", "bx", "by", "len", "rest", "zx", "zy")
+
+
+def projected(j: DataFrame, key: str) -> DataFrame:
+    """key, route, cross_km, remaining_km of points (key, x, y) beside segments: the nearest segment of a route counts."""
     t = numeric.clip(F.coalesce(F.try_divide((F.col("x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("by") - F.col("ay")), F.col("len") ** 2), F.lit(0.0)), 0.0, 1.0)
     j = j.withColumn("t", t)
     cross = F.sqrt((F.col("x") - F.col("ax") - F.col("t") * (F.col("bx") - F.col("ax"))) ** 2 + (F.col("y") - F.col("ay") - F.col("t") * (F.col("by") - F.col("ay"))) ** 2)
@@ -248,6 +257,58 @@ def along_route(points: DataFrame, routes: DataFrame, key: str, lat0: float, km_
     return best.select(key, "route", F.col("b.cross_km").alias("cross_km"), F.greatest(F.col("b.straight"), F.col("b.cross_km") + F.col("b.along")).alias("remaining_km"))
 
 
+#: Cells that a segment lies in on average at most, and how much larger cells become where they show too few routes.
+COVER, WIDER = 16, 4
+
+
+def nearest_routes(points: DataFrame, routes: DataFrame, key: str, own: str, k: int, lat0: float, km_per_degree: float = 111.32) -> DataFrame:
+    """key, route, cross_km, remaining_km and _r (from 1) of the k routes but a point's own that pass nearest, ties to the
+    smaller route: the same as ranking all of along_route.
+
+    Points meet the segments in their cell of the plane and the eight around it, which hold all that passes within a cell's
+    width. Points that see fewer than k routes so near meet those of larger cells, and so on until a cell holds
+    everything. A point without a place has no nearest routes.
+    """
+    r = written(segments(routes, lat0, km_per_degree).where("len is not null"))
+    xy = dict(zip(("x", "y"), geo.local_km(F.col("lat"), F.col("lon"), lat0, 0.0, km_per_degree), strict=True))
+    left = written(points.withColumns(xy).select(key, F.col(own).alias("_own"), "x", "y").where("x is not null and y is not null"))
+    ends = lambda f, c: f(F.least(f"a{c}", f"b{c}") if f is F.min else F.greatest(f"a{c}", f"b{c}"))
+    e = r.agg(*(ends(f, c).alias(f"{name}{c}") for c in "xy" for name, f in (("low", F.min), ("high", F.max))), F.avg("len").alias("len")).first()
+    b = left.agg(*(f(c).alias(f"{name}{c}") for c in "xy" for name, f in (("low", F.min), ("high", F.max))), F.count("*").alias("n")).first()
+    out = None
+    if e["len"] is None or not b["n"]:
+        wide, size = 0.0, 1.0
+    else:
+        wide = max(max(e[f"high{c}"], b[f"high{c}"]) - min(e[f"low{c}"], b[f"low{c}"]) for c in "xy")
+        area = (e["highx"] - e["lowx"]) * (e["highy"] - e["lowy"])
+        size = max((area / (3 * b["n"])) ** 0.5, e["len"] / COVER, wide / 2**20, 1e-6)
+    while True:
+        last = size >= wide
+        at = lambda c, size=size: F.floor(c / size).cast("long")
+        # A little more than what the segment meets, so that rounding loses no cell.
+        slack = size * 1e-6
+        x0, x1 = (f(F.col("ax"), F.col("bx")) for f in (F.least, F.greatest))
+        covered = r.withColumn("_i", F.explode(F.sequence(at(x0 - slack), at(x1 + slack))))
+        t = lambda x: numeric.clip(F.coalesce(F.try_divide(x - F.col("ax"), F.col("bx") - F.col("ax")), F.lit(0.0)), 0.0, 1.0)
+        y = lambda x: F.col("ay") + t(x) * (F.col("by") - F.col("ay"))
+        upright = F.abs(F.col("bx") - F.col("ax")) <= slack
+        ys = [F.when(upright, F.col(c)).otherwise(y(x)) for c, x in (("ay", F.col("_i") * size - slack), ("by", (F.col("_i") + 1) * size + slack))]
+        covered = covered.withColumn("_j", F.explode(F.sequence(at(F.least(*ys) - slack), at(F.greatest(*ys) + slack))))
+        around = lambda c: F.explode(F.sequence(at(F.col(c)) - 1, at(F.col(c)) + 1))
+        seen = left.withColumn("_i", around("x")).withColumn("_j", around("y")).join(covered, ["_i", "_j"]).where(F.col("route") != F.col("_own"))
+        ranked = projected(seen, key).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("cross_km", "route"))).where(F.col("_r") <= k)
+        if last:
+            return ranked if out is None else out.unionByName(ranked)
+        ranked = written(ranked)
+        full = ranked.where((F.col("_r") == k) & (F.col("cross_km") <= size * (1 - 1e-5))).select(key)
+        found = ranked.join(full, key, "left_semi")
+        out = found if out is None else out.unionByName(found)
+        left = written(left.join(full, key, "left_anti"))
+        if left.isEmpty():
+            return out
+        size *= WIDER
+
+
 def shortest_paths(queries: DataFrame, edges: DataFrame, cfg: CorridorConfig = CorridorConfig()) -> DataFrame:
     """Least hours from source to target over the edges known at each query's time.
 

@@ -47,7 +47,8 @@ def predict(points: DataFrame, prototypes: DataFrame, paths: DataFrame, gate: tu
     """Remaining ways of points (key, call, lat, lon): family, kind (sector or port_fallback), prototype_km,
     prototype_cross_km, knn_km (the median of the k paths that pass nearest), knn_used, knn_cross_km, knn_calls.
 
-    The prototype is that of the point's sector, else the whole port's. A point's own call is not among its paths.
+    The prototype is that of the point's sector, else the whole port's. A point's own call is not among its paths, and a
+    point without a place has none.
     """
     x = points.withColumn("family", family(F.col("lat"), F.col("lon"), gate))
     own = prototypes.select(F.col("route").alias("family"), F.lit(True).alias("_own")).distinct()
@@ -55,8 +56,7 @@ def predict(points: DataFrame, prototypes: DataFrame, paths: DataFrame, gate: tu
     ways = lambda routes: experts.along_route(points.select("key", "lat", "lon"), routes.select("route", "seq", "lat", "lon"), "key", gate[0], KM_PER_DEGREE)
     on = ways(prototypes).select("key", F.col("route").alias("_route"), F.col("remaining_km").alias("prototype_km"), F.col("cross_km").alias("prototype_cross_km"))
     x = x.withColumn("_route", F.when(F.col("kind") == "sector", F.col("family")).otherwise(WHOLE)).join(on, ["key", "_route"], "left").drop("_route")
-    others = ways(paths).join(points.select("key", "call"), "key").where("route <> call")
-    near = others.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("cross_km", "route"))).where(F.col("_r") <= k)
+    near = experts.nearest_routes(points.select("key", "call", "lat", "lon"), paths.select("route", "seq", "lat", "lon"), "key", "call", k, gate[0], KM_PER_DEGREE)
     ranked = F.transform(F.array_sort(F.collect_list(F.struct("_r", "route"))), lambda r: r["route"])
     near = near.groupBy("key").agg(F.median("remaining_km").alias("knn_km"), F.count("*").alias("knn_used"), F.avg("cross_km").alias("knn_cross_km"), ranked.alias("knn_calls"))
     return x.join(near, "key", "left")

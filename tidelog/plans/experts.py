@@ -184,7 +184,7 @@ def route_model(spark, sf):
     prototypes, paths = routes.fit(written(crossings.select("call", "level_km", "lat", "lon")), gate)
     at = F.struct("recorded_at", "id")
     last = p.groupBy("owner").agg(F.max_by("lat", at).alias("lat"), F.max_by("lon", at).alias("lon")).select(F.col("owner").alias("key"), F.col("owner").alias("call"), "lat", "lon")
-    x = routes.predict(last, written(prototypes), written(paths), gate)
+    x = routes.predict(written(last), written(prototypes), written(paths), gate)
     return x.select("key", "family", "kind", *(F.round(c, 5).alias(c) for c in ("prototype_km", "prototype_cross_km", "knn_km", "knn_cross_km")), "knn_used", "knn_calls")
 
 
