@@ -454,3 +454,31 @@ def test_nearest_routes_are_those_of_all_routes(spark, spread):
     want = every.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("cross_km", "route"))).where("_r <= 5").select("key", "route", "cross_km", "remaining_km", "_r").collect()
     got = experts.nearest_routes(points, routes, "key", "call", 5, 37.0).select("key", "route", "cross_km", "remaining_km", "_r").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 5 * 122
+
+
+def test_recall_shuffles_no_pairs(spark, monkeypatch):
+    """Neighbours are those of plain distances, with copies and ties, and what is shuffled grows with rows, not with pairs."""
+    from tidelog.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "MEMORY_ROWS", 500)
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 60)
+    monkeypatch.setattr(retrieval, "TILE", (16, 64))
+    g = np.random.default_rng(2)
+    v = g.normal(size=(1200, 12))
+    v[100:160] = v[100]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(1200, None)], "m_id bigint, m_v array<double>")
+    asked = rows.where("m_id % 10 = 0").selectExpr("m_id as q_id", "m_v as q_v")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {i: sorted((round(float(((u[i] - u[j]) ** 2).sum()), 9), j) for j in range(1200) if j != i)[:5] for i in range(0, 1200, 10)}
+    for find in (lambda: retrieval.exact(asked, rows, 5), lambda: retrieval.approximate(asked, rows, 5, 3.0)):
+        got, near = [], {}
+        assert shuffled_rows(spark, lambda find=find, got=got: got.extend(find().collect())) < 12_000
+        for x in sorted(got, key=lambda x: (x.q_id, x.rank)):
+            near.setdefault(x.q_id, []).append(x.m_id)
+        assert all(len(x) == 5 for x in near.values())
+        hits = sum(len(set(near[i]) & {j for _, j in want[i]}) for i in want)
+        assert hits >= 0.95 * 600
+    exact = {x.q_id: [] for x in asked.collect()}
+    for x in sorted(retrieval.exact(asked, rows, 5).collect(), key=lambda x: (x.q_id, x.rank)):
+        exact[x.q_id].append(x.m_id)
+    assert {i: x for i, x in exact.items() if i < 1200} == {i: [j for _, j in x] for i, x in want.items()}
