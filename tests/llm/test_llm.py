@@ -736,6 +736,34 @@ def test_near_duplicates_of_large_keys_are_those_of_small_ones(spark, monkeypatc
     assert got[1:] == got[:1] * 3
 
 
+def test_near_duplicates_meet_only_if_enough_is_left_for_a_link(spark, monkeypatch):
+    """Texts of one beginning share bands, but their sets are too unlike: in keys of any size none of them meet."""
+    r = random.Random(31)
+    words = [f"w{k}" for k in range(50_000)]
+    base = [r.choice(words) for _ in range(80)]
+    texts = [(d + 1, " ".join(base + [r.choice(words) for _ in range(20)])) for d in range(200)]
+    real, met = minhash.set_rows, []
+    monkeypatch.setattr(minhash, "set_rows", lambda docs, ids, most, width: met.append(most) or real(docs, ids, most, width))
+    assert all(x.kept and x.component_id == x.doc_id for x in minhash.near_duplicates(frame(spark, texts)).collect())
+    assert met[-2:] == [200, 0]
+
+
+def test_near_duplicates_of_ids_with_several_sets(spark):
+    r = random.Random(37)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for group in range(4):
+        base = [r.choice(words) for _ in range(60)]
+        for _ in range(40):
+            x = list(base)
+            for at in r.sample(range(60), r.choice([1, 2, 2, 3])):
+                x[at] = r.choice(words)
+            texts.append((group * 100 + r.randrange(30), " ".join(x[: r.choice([60, 60, 52])])))
+    texts += [(7, ""), (107, None), (7, texts[-1][1])]
+    got = minhash.near_duplicates(frame(spark, texts)).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id), x.kept) for x in got) == near_brute(texts)
+
+
 @pytest.mark.parametrize("percent", [60, 75, 90])
 def test_prefixes_of_linked_sets_meet(spark, percent):
     r = random.Random(percent)

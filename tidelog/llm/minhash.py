@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 from functools import cache
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, checkpointed, column, dropped, mix, numbers, powers, released, small
+from tidelog.llm.common import as_bytes, checkpointed, column, dropped, lists, mix, numbers, powers, released, small
 
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Words whose hashes a worker remembers.
@@ -24,12 +23,8 @@ PLACES = 1 << 21
 BLOCK_ROWS, SLACK = 2048, 4.7
 #: Doc ids are sent to every executor only up to this many; beyond it they are joined by a shuffle.
 SENT_IDS = 1_000_000
-#: Bits of a band's key that documents of a block carry: two of 48 keys agree in them by chance once in 40 million times.
-KEY_BITS = 2**31 - 1
-#: Documents of a key outside its largest class, beyond which the documents meet by the shingles that links must share.
-HOT_QUERIES = 8192
-#: One of so many documents of such keys tells which shingles are frequent; from how many on; how many are remembered.
-ORDER_SHARE, ORDER_LEAST, ORDERED = 32, 4, 1 << 18
+#: Read by nothing any more, as keys of all sizes are treated alike; tests set them to see that results don't change.
+HOT_QUERIES, ORDER_SHARE = 8192, 32
 
 
 class WordHashes(dict):
@@ -112,51 +107,69 @@ def signatures(docs: DataFrame, width: int, bands: int, per_band: int, seed: int
 
 
 def set_rows(docs: DataFrame, ids: DataFrame, most: int, width: int) -> DataFrame:
-    """(doc_id, members): the full sets of the documents in ids, of which there are at most `most`, as bytes."""
+    """(doc_id, members): the full sets of the documents in ids, of which there are at most `most`, as bytes; with the label,
+    if ids have one."""
+    labelled = "label" in ids.columns
     ids = F.broadcast(ids) if most <= SENT_IDS else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in small(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, hashes, width).tobytes() for x in column(batch, "text")], pa.binary())], names=["doc_id", "members"])
+            found = pa.array([shingles(x, hashes, width).tobytes() for x in column(batch, "text")], pa.binary())
+            names = ["doc_id", "members"] + ["label"] * labelled
+            yield pa.RecordBatch.from_arrays([batch.column(0), found] + [batch.column(batch.schema.get_field_index("label"))] * labelled, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text")).join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, members binary")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text")).join(ids, "doc_id", "inner" if labelled else "left_semi")
+    return joined.mapInArrow(sets, "doc_id long, members binary" + ", label long" * labelled)
 
 
-def prefixes(docs: DataFrame, ids: DataFrame, most: int, width: int, percent: int) -> DataFrame:
-    """(doc_id, shingle, short): of each document in ids the shingles of which any link has one in common.
+def prefixes(docs: DataFrame, ids: DataFrame, most: int, width: int, percent: int, alone: bool = True) -> DataFrame:
+    """(doc_id, label, n_shingles, shingle, rest, short): of each document in ids the shingles of which any link to
+    another label has one in common, written out; where ids have no label, each document is one.
 
     Two sets with 100 * intersection >= percent * union share a shingle among the first of each, in any order that both
     follow: so many are the first that the others are fewer than the intersection needs. short tells those that are enough
-    for the smaller set of a link, so that of two documents that share a shingle one has it short. The order is by how
-    frequent shingles are in some of the documents, rare ones first. It decides how many documents meet, never which links
-    there are.
+    for the smaller set of a link, so that of two documents that share a shingle one has it short. The order begins with
+    the shingles that no other label has (left out if not alone, as they are in no link); those that several have follow,
+    rare ones first. rest is the number of a set's shingles from this one on: two sets of which this is the first in common
+    have no more in common than the smaller rest of the two.
     """
-    some = set_rows(docs, ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SHARE)) == 0), most, width)
+    if "label" not in ids.columns:
+        ids = ids.select("doc_id", F.col("doc_id").cast("long").alias("label"))
+    # Rows that repeat a doc_id have sets of their own.
+    sets = checkpointed(set_rows(docs, ids, most, width).withColumn("own", F.monotonically_increasing_id()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for members in column(batch, "members"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(members, np.int64))], names=["shingle"])
-
-    counted = some.mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_LEAST)
-    counted = counted.orderBy(F.desc("n"), "shingle").limit(ORDERED).toPandas().sort_values("shingle")
-    frequent, times = counted["shingle"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
+        for batch in small(batches, 64):
+            members = column(batch, "members")
+            sizes = [len(x) // 8 for x in members]
+            of = [pa.array(np.repeat(numbers(batch, name), sizes)) for name in ("own", "label")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(members), np.int64)), *of], names=["shingle", "own", "label"])
+
+    every = sets.select("own", "label", "members").mapInArrow(each, "shingle long, own long, label long")
+    # Written first, so that the join is a plain shuffle of both sides (see near_duplicates).
+    counted = every.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"))
+    common = checkpointed(counted.where("least < most").select("shingle", "n"))
+    listed = every.select("shingle", "own").join(common, "shingle").groupBy("own").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("common"))
+    listed = listed.select("own", F.col("common.shingle").alias("common"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, members in zip(numbers(batch, "doc_id"), column(batch, "members"), strict=True):
-                found = np.frombuffer(members, np.int64)
-                n = len(found)
-                often = np.zeros(n, np.int64)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-                    often = np.where(frequent[at] == found, times[at], 0)
+        for batch in small(batches, 64):
+            ends, values = lists(batch, "common")
+            values = values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+            for k, (doc_id, label, members) in enumerate(zip(numbers(batch, "doc_id").tolist(), numbers(batch, "label").tolist(), column(batch, "members"), strict=True)):
+                found, met = np.frombuffer(members, np.int64), values[ends[k] : ends[k + 1]]
+                n, begin = len(found), 0 if alone else len(found) - len(met)
                 long, short = (n + (-percent * x // y) + 1 for x, y in ((n, 100), (2 * n, 100 + percent)))
-                taken = found[np.lexsort((found, often))[:long]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(taken), doc_id)), pa.array(taken), pa.array(np.arange(len(taken)) < short)], names=["doc_id", "shingle", "short"])
-
-    return set_rows(docs, ids, most, width).mapInArrow(first, "doc_id long, shingle long, short boolean")
+                taken = np.concatenate([np.setdiff1d(found, met), met])[begin:long]
+                at = begin + np.arange(len(taken))
+                arrays = [np.full(len(taken), doc_id), np.full(len(taken), label), np.full(len(taken), n), taken, n - at, at < short]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["doc_id", "label", "n_shingles", "shingle", "rest", "short"])
+
+    rows = sets.select("own", "doc_id", "label", "members").join(listed, "own", "left")
+    out = checkpointed(rows.mapInArrow(first, "doc_id long, label long, n_shingles long, shingle long, rest long, short boolean"))
+    dropped(sets, common)
+    return out
 
 
 def confirmed(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -193,45 +206,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def across_classes(placed: DataFrame, signed: DataFrame, docs: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
-    """Links (a, b) between documents of different classes that share a key; signed has doc_id, bands and marks.
-
-    In each key that holds several classes, the documents outside its largest class are queries against all of the key,
-    in blocks of BLOCK_ROWS. Documents of keys with more than HOT_QUERIES of those meet by the shingles of which any link
-    has one in common (prefixes) instead, if they have any band in common, so that blocks seldom grow with the square of a
-    key: which pairs are confirmed doesn't depend on that, and what shares a shingle is compared whole, whatever its size.
-    path is the band of the key, or empty for a shingle.
-    Within a task signatures are compared by matrix operations; a pair counts once, for the first band that both have, and
-    only if the signatures agree in as many places as SLACK deviations below the threshold.
+    """Links (a, b) between documents of different classes; placed has key, doc_id and label, signed doc_id and marks.
+
+    All documents of keys that hold several classes, however many, meet by the shingles of which any link between classes
+    has one in common (prefixes). In each such shingle the documents outside its largest class are queries against all that
+    have it, in blocks of BLOCK_ROWS; what shares a shingle is compared whole, whatever its size.
+    Within a task signatures are compared by matrix operations; a pair counts only if the shingles from this one on are
+    enough for a link, and the signatures agree in as many places as SLACK deviations below the threshold.
     A first pass tells which documents have such pairs at all; their full sets then go to the same blocks, where pairs are
     confirmed, the likeliest first, until the two classes are one. So what is put out grows with the documents, not with
     their pairs.
     """
-    placed, levels, written = placed.withColumn("short", F.lit(True)), [], []
-    while True:
-        sizes = placed.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("short").alias("short"))
-        several = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("main"), F.max("short").alias("short")).where("classes > 1 and short")
-        several = checkpointed(several)
-        written.append(several)
-        hot = several.where(F.col("total") - F.col("main.n") > HOT_QUERIES).select("key")
-        more = not levels and not hot.isEmpty()
-        calm = several.join(hot, "key", "left_anti") if more else several
-        levels.append(placed.join(calm.select("key", F.col("main.label").alias("main"), F.ceil(F.col("total") / BLOCK_ROWS).cast("long").alias("parts")), "key"))
-        if not more:
-            break
-        wide = checkpointed(placed.join(hot, "key", "left_semi").select("doc_id", "n_shingles", "label").distinct())
-        firsts = checkpointed(prefixes(docs, wide.select("doc_id").distinct(), wide.count(), width, percent))
-        # Most shingles are one document's own.
-        common = firsts.groupBy("shingle").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("short").alias("short")).where("least < most and short")
-        met = wide.join(firsts.join(common.select("shingle"), "shingle"), "doc_id")
-        placed = checkpointed(met.select(F.col("shingle").alias("key"), F.array().cast("array<int>").alias("path"), "doc_id", "n_shingles", "label", "short"))
-        dropped(firsts)
-        written += [wide, placed]
-    left = functools.reduce(DataFrame.unionByName, levels).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    mixed = checkpointed(mixed)
+    wide = checkpointed(placed.join(mixed, "key", "left_semi").select("doc_id", "label").distinct())
+    firsts = prefixes(docs, wide, wide.count(), width, percent, alone=False)
+    left = firsts.withColumnRenamed("shingle", "key")
+    sizes = left.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("short").alias("short"))
+    several = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("main"), F.max("short").alias("short"))
+    several = checkpointed(several.where("classes > 1 and short").select("key", F.col("main.label").alias("main"), F.ceil(F.col("total") / BLOCK_ROWS).cast("long").alias("parts")))
+    left = left.join(several, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     # Role 0: only a candidate; 1: only a query, in the blocks of others, after all candidates there; 2: both.
-    names = ["key", "block", "role", "path", "doc_id", "label", "n_shingles", "short"]
+    names = ["key", "block", "role", "doc_id", "label", "n_shingles", "rest"]
     at_home = left.withColumn("block", F.col("own")).withColumn("role", F.when(F.col("label") == F.col("main"), 0).otherwise(2))
     away = left.where("label <> main and parts > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("block <> own").withColumn("role", F.lit(1))
     members = checkpointed(at_home.select(names).unionAll(away.select(names)))
+    dropped(mixed, wide, firsts, several)
     p = percent / 100
     needed = int(rows * (p + (1 - p) / 256) - SLACK * (rows * p * (1 - p)) ** 0.5)
 
@@ -263,7 +263,7 @@ def across_classes(placed: DataFrame, signed: DataFrame, docs: DataFrame, width:
     full = set_rows(docs, ids, wanted.count(), width)
     again = members.join(wanted, ["key", "block", "doc_id"]).join(signed, "doc_id").join(full, "doc_id")
     links = checkpointed(spread(again).mapInArrow(confirm, "a long, b long").distinct())
-    dropped(*written, members, wanted)
+    dropped(members, wanted)
     return links
 
 
@@ -292,10 +292,8 @@ def alike(batches: Iterator[pa.RecordBatch], percent: int, needed: int, more: tu
         n = batch.num_rows
         if not n:
             continue
-        x = {name: numbers(batch, name) for name in ("key", "block", "role", "doc_id", "label", "n_shingles", "short")}
+        x = {name: numbers(batch, name) for name in ("key", "block", "role", "doc_id", "label", "n_shingles", "rest")}
         x["marks"] = np.frombuffer(b"".join(column(batch, "marks")), np.uint8).reshape(n, -1)
-        x["path"] = np.array(column(batch, "path") + [None], object)[:-1]
-        x["bands"] = batch.column(batch.schema.get_field_index("bands")).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
         for name in more:
             x[name] = np.array(column(batch, name) + [None], object)[:-1]
         starts = np.concatenate([[0], np.flatnonzero((x["key"][1:] != x["key"][:-1]) | (x["block"][1:] != x["block"][:-1])) + 1, [n]])
@@ -312,31 +310,26 @@ def alike(batches: Iterator[pa.RecordBatch], percent: int, needed: int, more: tu
                 groups = [(rows, candidates)]
             for queries, others in groups:
                 asking = {name: y[queries["role"] != 0] for name, y in queries.items()}
-                for q, a, b, agree in agreeing(rows["path"][0], asking, others, percent, needed):
+                for q, a, b, agree in agreeing(asking, others, percent, needed):
                     yield *at, q, a, others, b, agree
             last, kept = at, candidates
 
 
-def agreeing(path: list[int], queries: dict[str, np.ndarray], c: dict[str, np.ndarray], percent: int, needed: int) -> Iterator[tuple]:
+def agreeing(queries: dict[str, np.ndarray], c: dict[str, np.ndarray], percent: int, needed: int) -> Iterator[tuple]:
     for at in range(0, len(queries["doc_id"]), 64):
         q = {name: x[at : at + 64] for name, x in queries.items()}
-        able = (q["label"][:, None] != c["label"][None]) & (q["short"][:, None] | c["short"][None]).astype(bool)
+        able = q["label"][:, None] != c["label"][None]
         # Of two queries that are candidates for each other, the smaller asks.
         able &= (q["doc_id"][:, None] < c["doc_id"][None]) | (c["role"][None] == 0) | (q["role"][:, None] == 1)
         able &= 100 * np.minimum(q["n_shingles"][:, None], c["n_shingles"][None]) >= percent * np.maximum(q["n_shingles"][:, None], c["n_shingles"][None])
+        able &= (100 + percent) * np.minimum(q["rest"][:, None], c["rest"][None]) >= percent * (q["n_shingles"][:, None] + c["n_shingles"][None])
         x, y = np.nonzero(able)
         for k in range(0, len(x), 20_000):
             i, j = x[k : k + 20_000], y[k : k + 20_000]
             agree = (q["marks"][i] == c["marks"][j]).sum(axis=1)
             enough = agree >= needed
-            i, j, agree = i[enough], j[enough], agree[enough]
-            common = q["bands"][i] == c["bands"][j]
-            # The first band that both have must be that of the path, if there is one.
-            first_here, nth = common.any(axis=1), np.cumsum(common, axis=1)
-            for band in path:
-                first_here &= (common & (nth == 1) & (q["bands"][i] == band)).any(axis=1)
-            if first_here.any():
-                yield q, i[first_here], j[first_here], agree[first_here]
+            if enough.any():
+                yield q, i[enough], j[enough], agree[enough]
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 48, per_band: int = 5, seed: int = 12) -> DataFrame:
@@ -344,11 +337,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
 
     Documents are linked if 100 * intersection >= percent * union of their sets of word shingles; a class is what links
     connect, and its smallest doc_id stays. Documents of equal sets are one candidate. Candidates that share a band key
-    are compared with the key's smallest document; where a key still holds several classes after that, its documents of
+    are compared with the key's smallest document; where keys still hold several classes after that, their documents of
     different classes are compared with each other. So a link is lost only if no band of the two agrees: with 48 bands
     of 5, two in a million at a similarity of exactly 0.75, fewer above; the comparison of classes leaves out pairs whose
-    signatures lie SLACK deviations below the threshold, which has odds of about the same size. That holds for keys of any
-    size.
+    signatures lie SLACK deviations below the threshold, which has odds of about the same size. Keys of all sizes are
+    treated alike.
 
     A text without words, or null, has an empty set and is linked with nothing. A null doc_id is linked with nothing,
     has no component_id and is kept. Rows that repeat a doc_id count as one document, linked by any set of that id. An
@@ -373,10 +366,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     dropped(first)
     released(docs.sparkSession)
     labels = components(links)
-    path = F.array(F.col("key").bitwiseAND(KEY_BITS).cast("int")).alias("path")
-    placed = together.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", path, "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
-    short = F.transform("bands", lambda x: x.bitwiseAND(KEY_BITS).cast("int"))
-    more = across_classes(placed, some.select("doc_id", short.alias("bands"), "marks"), docs, width, percent, bands * per_band)
+    placed = together.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    more = across_classes(placed, some.select("doc_id", "marks"), docs, width, percent, bands * per_band)
     dropped(together)
     released(docs.sparkSession)
     # Documents of equal sets go with the smallest of them; an id with several sets joins their classes.
