@@ -482,3 +482,14 @@ def test_recall_shuffles_no_pairs(spark, monkeypatch):
     for x in sorted(retrieval.exact(asked, rows, 5).collect(), key=lambda x: (x.q_id, x.rank)):
         exact[x.q_id].append(x.m_id)
     assert {i: x for i, x in exact.items() if i < 1200} == {i: [j for _, j in x] for i, x in want.items()}
+
+
+def test_nearest_routes_shuffle_no_pairs(spark):
+    """Points near the end that all routes share meet them inside tasks: k routes a point are shuffled, not all that it meets."""
+    r = random.Random(8)
+    lines = [(c, s, 37 + (4 - s) * r.uniform(-0.02, 0.02), 15 + (4 - s) * r.uniform(-0.02, 0.02)) for c in range(500) for s in range(1, 5)]
+    points = spark.createDataFrame([(k, k % 500, 37 + r.uniform(-0.02, 0.02), 15 + r.uniform(-0.02, 0.02)) for k in range(600)], "key int, call int, lat double, lon double")
+    routes = spark.createDataFrame(lines, "route int, seq int, lat double, lon double")
+    got = []
+    rows = shuffled_rows(spark, lambda: got.extend(experts.nearest_routes(points, routes, "key", "call", 5, 37.0).collect()))
+    assert len(got) == 5 * 600 and rows < 100_000

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -257,56 +262,121 @@ def projected(j: DataFrame, key: str) -> DataFrame:
     return best.select(key, "route", F.col("b.cross_km").alias("cross_km"), F.greatest(F.col("b.straight"), F.col("b.cross_km") + F.col("b.along")).alias("remaining_km"))
 
 
-#: Cells that a segment lies in on average at most, and how much larger cells become where they show too few routes.
-COVER, WIDER = 16, 4
+#: Tiles that a segment lies in on average at most, and tiles in a row at most; points and segments that one task compares.
+COVER, ACROSS, POINT_ROWS, SEGMENT_ROWS = 4, 128, 8_192, 65_536
 
 
 def nearest_routes(points: DataFrame, routes: DataFrame, key: str, own: str, k: int, lat0: float, km_per_degree: float = 111.32) -> DataFrame:
     """key, route, cross_km, remaining_km and _r (from 1) of the k routes but a point's own that pass nearest, ties to the
     smaller route: the same as ranking all of along_route.
 
-    Points meet the segments in their cell of the plane and the eight around it, which hold all that passes within a cell's
-    width. Points that see fewer than k routes so near meet those of larger cells, and so on until a cell holds
-    everything. A point without a place has no nearest routes.
+    Segments are dealt to the tiles of the plane that they meet. A point is first compared with the segments of one tile, the
+    nearest that has enough routes; then with those of all tiles that lie no farther than the k-th route found there, as no
+    other can hold a nearer one. A task puts out k routes for each point, so no pairs are shuffled; points and segments of a
+    crowded tile are dealt into blocks. A point without a place has no nearest routes.
     """
     r = written(segments(routes, lat0, km_per_degree).where("len is not null"))
     xy = dict(zip(("x", "y"), geo.local_km(F.col("lat"), F.col("lon"), lat0, 0.0, km_per_degree), strict=True))
-    left = written(points.withColumns(xy).select(key, F.col(own).alias("_own"), "x", "y").where("x is not null and y is not null"))
+    sound = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    p = written(points.withColumns(xy).select(F.col(key).alias("_key"), F.col(own).alias("_own"), "x", "y").where(sound))
     ends = lambda f, c: f(F.least(f"a{c}", f"b{c}") if f is F.min else F.greatest(f"a{c}", f"b{c}"))
     e = r.agg(*(ends(f, c).alias(f"{name}{c}") for c in "xy" for name, f in (("low", F.min), ("high", F.max))), F.avg("len").alias("len")).first()
-    b = left.agg(*(f(c).alias(f"{name}{c}") for c in "xy" for name, f in (("low", F.min), ("high", F.max))), F.count("*").alias("n")).first()
-    out = None
-    if e["len"] is None or not b["n"]:
-        wide, size = 0.0, 1.0
+    size = 1.0 if e["len"] is None else max(e["len"] / COVER, *((e[f"high{c}"] - e[f"low{c}"]) / ACROSS for c in "xy"), 1e-6)
+    at = lambda c: F.floor(c / size).cast("int")
+    # A little more than what the segment meets, so that rounding loses no tile.
+    slack = size * 1e-6
+    x0, x1 = (f(F.col("ax"), F.col("bx")) for f in (F.least, F.greatest))
+    covered = r.select("route", "seq", "ax", "ay", "bx", "by", F.explode(F.sequence(at(x0 - slack), at(x1 + slack))).alias("_i"))
+    t = lambda x: numeric.clip(F.coalesce(F.try_divide(x - F.col("ax"), F.col("bx") - F.col("ax")), F.lit(0.0)), 0.0, 1.0)
+    y = lambda x: F.col("ay") + t(x) * (F.col("by") - F.col("ay"))
+    upright = F.abs(F.col("bx") - F.col("ax")) <= slack
+    ys = [F.when(upright, F.col(c)).otherwise(y(x)) for c, x in (("ay", F.col("_i") * size - slack), ("by", (F.col("_i") + 1) * size + slack))]
+    covered = covered.withColumn("_j", F.explode(F.sequence(at(F.least(*ys) - slack), at(F.greatest(*ys) + slack))))
+    # As many rows as there are tiles, ACROSS in a row at most.
+    tiles = covered.groupBy("_i", "_j").agg(F.count("*").alias("n"), F.approx_count_distinct("route").alias("routes")).toPandas().sort_values(["_i", "_j"], ignore_index=True)
+    corners = tiles[["_i", "_j"]].to_numpy(float) * size
+    rich = np.flatnonzero(tiles["routes"].to_numpy() > k)
+    kind = {name: df.schema[c].dataType.simpleString() for name, df, c in (("key", p, "_key"), ("own", p, "_own"), ("route", r, "route"))}
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                place = np.stack([batch.column(c).to_numpy() for c in ("x", "y")], axis=1)
+                low, high = corners[None] - place[:, None], place[:, None] - corners[None] - size
+                if "_most" in batch.schema.names:
+                    most, home = batch.column("_most").to_numpy(), batch.column("_home").to_numpy(zero_copy_only=False)
+                    near = np.sqrt((np.maximum(np.maximum(low, high), 0.0) ** 2).sum(axis=2))
+                    i, j = np.nonzero(near <= (most * (1 + 1e-9) + 2 * slack)[:, None])
+                    i, j = i[j != home[i]], j[j != home[i]]
+                else:
+                    far = (np.maximum(np.abs(low), np.abs(high + 2 * size))[:, rich] ** 2).sum(axis=2)
+                    i, j = np.arange(len(place)), rich[far.argmin(axis=1)]
+                    most = np.full(len(place), np.inf)
+                columns = [batch.column(c).take(pa.array(i)) for c in ("_key", "_own", "x", "y")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(most[i]), pa.array(j, pa.int32())], names=["_key", "_own", "x", "y", "_most", "_tile"])
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        names, q = right.column("route").combine_chunks(), left.column("_own").combine_chunks()
+        if len(left) and len(right):
+            right = right.sort_by([("route", "ascending"), ("seq", "ascending")])
+            names = right.column("route").combine_chunks()
+            labels = pc.unique(names)
+            which = pc.index_in(names, value_set=labels).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+            names, mine = labels, pc.fill_null(pc.index_in(q.cast(labels.type), value_set=labels), -1).to_numpy(zero_copy_only=False)
+            ax, ay, bx, by = (right.column(c).to_numpy() for c in ("ax", "ay", "bx", "by"))
+            dx, dy = bx - ax, by - ay
+            length = np.sqrt(dx**2 + dy**2) ** 2
+            length = np.where(length > 0, length, np.inf)
+            x, y, most = (left.column(c).to_numpy() for c in ("x", "y", "_most"))
+            step = max(1, 500_000 // len(ax))
+            for a in range(0, len(x), step):
+                px, py = x[a : a + step, None] - ax, y[a : a + step, None] - ay
+                along = np.clip((px * dx + py * dy) / length, 0.0, 1.0)
+                d = np.minimum.reduceat(np.sqrt((px - along * dx) ** 2 + (py - along * dy) ** 2), starts, axis=1)
+                of = mine[a : a + step]
+                d[np.flatnonzero(of >= 0), of[of >= 0]] = np.inf
+                least = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+                i, j = np.nonzero((d <= np.minimum(least, most[a : a + step] * (1 + 1e-9))[:, None]) & np.isfinite(d))
+                order = np.lexsort((j, d[i, j], i))
+                i, j = i[order], j[order]
+                begin = np.searchsorted(i, i)
+                keep = np.arange(len(i)) - begin < k
+                found.append((i[keep] + a, j[keep], d[i[keep], j[keep]]))
+        i, j, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        of = left.take(pa.array(i))
+        return pa.table([of.column("_key"), of.column("_tile"), names.take(pa.array(j)), pa.array(d)], names=["_key", "_tile", "route", "_d"])
+
+    def compared(asked: DataFrame) -> DataFrame:
+        # Of few rows, one for each tile.
+        sizes = asked.groupBy("_tile").agg(F.count("*").alias("asked"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        of = r.sparkSession.createDataFrame(tiles.assign(_tile=np.arange(len(tiles)))[["_i", "_j", "_tile", "n"]].values.tolist(), "_i int, _j int, _tile int, n bigint")
+        blocks = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+        of = written(of.join(F.broadcast(sizes), "_tile").select("_i", "_j", "_tile", blocks("asked", POINT_ROWS).alias("_ps"), blocks("n", SEGMENT_ROWS).alias("_ss")))
+        q = asked.join(F.broadcast(of.drop("_i", "_j")), "_tile").withColumn("_p", part("_key", "_ps")).withColumn("_s", every("_ss")).drop("_ps", "_ss")
+        s = covered.join(F.broadcast(of), ["_i", "_j"]).withColumn("_s", part("route", "_ss")).withColumn("_p", every("_ps")).drop("_ps", "_ss", "_i", "_j")
+        return q.groupBy("_tile", "_p", "_s").cogroup(s.groupBy("_tile", "_p", "_s")).applyInArrow(search, f"_key {kind['key']}, _tile int, route {kind['route']}, _d double")
+
+    asked = f"_key {kind['key']}, _own {kind['own']}, x double, y double, _most double, _tile int"
+    p = p.where("_own is not null")
+    w = Window.partitionBy("_key").orderBy("_d", "route")
+    if len(rich):
+        first = compared(p.mapInArrow(met, asked))
+        first = written(first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k))
+        bound = first.groupBy("_key").agg(F.max("_tile").alias("_home"), F.when(F.count("*") == k, F.max("_d")).alias("_most"))
+        p = p.join(bound, "_key", "left")
     else:
-        wide = max(max(e[f"high{c}"], b[f"high{c}"]) - min(e[f"low{c}"], b[f"low{c}"]) for c in "xy")
-        area = (e["highx"] - e["lowx"]) * (e["highy"] - e["lowy"])
-        size = max((area / (3 * b["n"])) ** 0.5, e["len"] / COVER, wide / 2**20, 1e-6)
-    while True:
-        last = size >= wide
-        at = lambda c, size=size: F.floor(c / size).cast("long")
-        # A little more than what the segment meets, so that rounding loses no cell.
-        slack = size * 1e-6
-        x0, x1 = (f(F.col("ax"), F.col("bx")) for f in (F.least, F.greatest))
-        covered = r.withColumn("_i", F.explode(F.sequence(at(x0 - slack), at(x1 + slack))))
-        t = lambda x: numeric.clip(F.coalesce(F.try_divide(x - F.col("ax"), F.col("bx") - F.col("ax")), F.lit(0.0)), 0.0, 1.0)
-        y = lambda x: F.col("ay") + t(x) * (F.col("by") - F.col("ay"))
-        upright = F.abs(F.col("bx") - F.col("ax")) <= slack
-        ys = [F.when(upright, F.col(c)).otherwise(y(x)) for c, x in (("ay", F.col("_i") * size - slack), ("by", (F.col("_i") + 1) * size + slack))]
-        covered = covered.withColumn("_j", F.explode(F.sequence(at(F.least(*ys) - slack), at(F.greatest(*ys) + slack))))
-        around = lambda c: F.explode(F.sequence(at(F.col(c)) - 1, at(F.col(c)) + 1))
-        seen = left.withColumn("_i", around("x")).withColumn("_j", around("y")).join(covered, ["_i", "_j"]).where(F.col("route") != F.col("_own"))
-        ranked = projected(seen, key).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("cross_km", "route"))).where(F.col("_r") <= k)
-        if last:
-            return ranked if out is None else out.unionByName(ranked)
-        ranked = written(ranked)
-        full = ranked.where((F.col("_r") == k) & (F.col("cross_km") <= size * (1 - 1e-5))).select(key)
-        found = ranked.join(full, key, "left_semi")
-        out = found if out is None else out.unionByName(found)
-        left = written(left.join(full, key, "left_anti"))
-        if left.isEmpty():
-            return out
-        size *= WIDER
+        first, p = None, p.withColumns({"_home": F.lit(-1), "_most": F.lit(None).cast("double")})
+    p = p.withColumns({"_home": F.when(F.col("_most").isNotNull(), F.col("_home")).otherwise(-1), "_most": F.coalesce("_most", F.lit(float("inf")))})
+    near = compared(p.mapInArrow(met, asked))
+    near = near if first is None else near.unionByName(first.drop("_r"))
+    near = near.groupBy("_key", "route").agg(F.min("_d").alias("_d")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r", "_d")
+    ways = projected(near.join(p.select("_key", "x", "y"), "_key").join(r, "route"), "_key").withColumnRenamed("_key", key)
+    return ways.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("cross_km", "route")))
 
 
 def shortest_paths(queries: DataFrame, edges: DataFrame, cfg: CorridorConfig = CorridorConfig()) -> DataFrame:
