@@ -493,3 +493,11 @@ def test_nearest_routes_shuffle_no_pairs(spark):
     got = []
     rows = shuffled_rows(spark, lambda: got.extend(experts.nearest_routes(points, routes, "key", "call", 5, 37.0).collect()))
     assert len(got) == 5 * 600 and rows < 100_000
+
+
+def test_recall_asks_for_every_row(spark, sf):
+    from tidelog.plans import retrieval
+    from tidelog.sources.tables import table
+
+    rows = table(spark, sf, "embeddings").count()
+    assert rows > 100 and retrieval.lsh_recall(spark, sf).first().n == 10 * rows
