@@ -501,3 +501,26 @@ def test_recall_asks_for_every_row(spark, sf):
 
     rows = table(spark, sf, "embeddings").count()
     assert rows > 100 and retrieval.lsh_recall(spark, sf).first().n == 10 * rows
+
+
+def test_analogues_shuffle_no_pairs(spark, monkeypatch):
+    """Neighbours by warped distance are those of all pairs, ties to the smaller owner, and only they leave a task."""
+    from tidelog.functions import arrays
+
+    monkeypatch.setattr(experts, "QUERIES", 70, raising=False)
+    monkeypatch.setattr(experts, "MEMORIES", 90, raising=False)
+    g = np.random.default_rng(4)
+    tracks = {i: g.uniform(-0.5, 0.5, (12, 2)) + [15, 37] for i in range(400)}
+    tracks[7] = tracks[8] = tracks[9]
+    gates = {i: "few" if i in (3, 4) else None if i == 5 else "ab"[i % 2] for i in tracks}
+    rows = spark.createDataFrame([(i, gates[i], [tuple(p) for p in x.tolist()], float(i)) for i, x in tracks.items()], "m_owner bigint, m_gate string, m_points array<struct<x: double, y: double>>, m_target double")
+    asked = rows.selectExpr("m_owner as q_id", "m_owner as q_owner", "m_gate as q_gate", "m_points as q_points")
+    found, got = experts.analogues(asked, rows, "m_gate", 5), []
+    # No pair with both its tracks is handed to a function.
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    assert shuffled_rows(spark, lambda: got.extend(found.collect())) < 25_000
+    assert len(got) == 400
+    for x in got:
+        others = [j for j in tracks if j != x.q_id and (gates[x.q_id] not in ("a", "b") or gates[j] == gates[x.q_id])]
+        d = arrays.dtw_many(np.repeat(tracks[x.q_id][None], len(others), axis=0), np.stack([tracks[j] for j in others]))
+        assert x.neighbours == [j for _, j in sorted(zip(d.tolist(), others, strict=True))[:5]]

@@ -200,22 +200,53 @@ def trajectories(points: DataFrame, owner: str, at: str, xs: list[str], n: int)
         part = F.when(b["t"] > a["t"], (t - a["t"]) / (b["t"] - a["t"])).otherwise(0.0)
         return F.struct((a["x"] + part * (b["x"] - a["x"])).alias("x"), (a["y"] + part * (b["y"] - a["y"])).alias("y"))
 
-    def step(i: Column) -> Column:
-        t = F.when(i == n - 1, last).otherwise(first + (last - first) * i / (n - 1))
-        return between(F.element_at(F.filter(rows, lambda r: r["t"] <= t), -1), F.filter(rows, lambda r: r["t"] >= t)[0], t)
+    time = lambda i: F.when(i == n - 1, last).otherwise(first + (last - first) * i / (n - 1))
+    # Times, then neighbours, then places: each step's are looked for once, however often a place names them.
+    around = lambda t: F.struct(F.element_at(F.filter(rows, lambda r: r["t"] <= t), -1).alias("a"), F.filter(rows, lambda r: r["t"] >= t)[0].alias("b"), t.alias("t"))
+    steps = F.transform(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), time), around)
+    return x.select(owner, F.transform(steps, lambda s: between(s["a"], s["b"], s["t"])).alias("points"))
 
-    return x.select(owner, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), step).alias("points"))
+
+#: Queries and memories that one task compares.
+QUERIES, MEMORIES = 4_096, 8_192
 
 
 def analogues(queries: DataFrame, memory: DataFrame, gate: str, k: int, min_gate: int = 3) -> DataFrame:
     """Prediction of each query from its k nearest memories by DTW: q_id, prediction, gap, neighbours.
 
     queries: q_id, q_owner, q_gate, q_points; memory: m_owner, m_gate, m_points, m_target. Candidates are those of the
-    query's gate if there are min_gate others, else all. Weights fall exponentially with the distance over its median;
+    query's gate if there are min_gate others, else all; rows without an owner or points take no part. Weights fall exponentially with the distance over its median;
     the prediction is the weighted median, the gap how much farther the second neighbour is.
     """
-    pairs = joins.gated_pairs(queries, memory, "m_gate", "m_owner", min_gate)
-    scored = pairs.select("q_id", "m_owner", "m_target", arrays.dtw_distance(F.col("q_points"), F.col("m_points")).alias("d"))
+    flat = lambda c: F.flatten(F.transform(c, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double")))).alias(c)
+    m = memory.where("m_owner is not null and size(m_points) > 0").select("m_owner", "m_target", F.col("m_gate").alias("gate"), flat("m_points"))
+    sizes = memory.groupBy(F.col("m_gate").alias("gate")).agg(F.countDistinct("m_owner").alias("_owners"), F.count("*").alias("_rows"))
+    q = queries.where("q_owner is not null and size(q_points) > 0").select("q_id", "q_owner", F.col("q_gate").alias("gate"), flat("q_points"))
+    q = written(q.join(sizes, "gate", "left").withColumn("_gated", F.coalesce(F.col("_owners") >= min_gate + 1, F.lit(False))).drop("_owners", "_rows"))
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "q_id"), (m, "m_owner"), (m, "m_target"))}
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("m_owner", "ascending"), ("m_target", "ascending")])
+        i, j, d = arrays.dtw_nearest(left.column("q_points"), right.column("m_points"), left.column("q_owner").to_numpy(), right.column("m_owner").to_numpy(), k)
+        of = left.take(pa.array(i)), right.take(pa.array(j))
+        return pa.table([of[0].column("q_id"), of[1].column("m_owner"), of[1].column("m_target"), pa.array(d, pa.float64())], names=["q_id", "m_owner", "m_target", "d"])
+
+    def met(q: DataFrame, m: DataFrame, on: list[str]) -> DataFrame:
+        """Blocks of queries beside blocks of memories, of equal columns `on`: k rows of each are put out, no pairs."""
+        blocks = lambda most: F.ceil(F.count("*") / most).cast("int")
+        of = q.groupBy(*on).agg(blocks(QUERIES).alias("_qs")).join(m.groupBy(*on).agg(blocks(MEMORIES).alias("_ms")), on) if on else q.agg(F.greatest(F.lit(1), blocks(QUERIES)).alias("_qs")).crossJoin(m.agg(F.greatest(F.lit(1), blocks(MEMORIES)).alias("_ms")))
+        of = F.broadcast(written(of))
+        with_blocks = lambda x: x.join(of, on) if on else x.crossJoin(of)
+        asked = with_blocks(q).withColumn("_q", part("q_id", "_qs")).withColumn("_m", every("_ms")).drop("_qs", "_ms")
+        dealt = with_blocks(m).withColumn("_m", part("m_owner", "_ms")).withColumn("_q", every("_qs")).drop("_qs", "_ms")
+        return asked.groupBy(*on, "_q", "_m").cogroup(dealt.groupBy(*on, "_q", "_m")).applyInArrow(search, ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", d double")
+
+    scored = met(q.where("_gated").drop("_gated"), m, ["gate"])
+    rest = q.where("not _gated").drop("_gated", "gate")
+    if not rest.isEmpty():
+        scored = scored.unionByName(met(rest, m.drop("gate"), []))
     w = Window.partitionBy("q_id").orderBy("d", "m_owner")
     near = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     scale = F.greatest(F.percentile("d", F.lit(0.5)).over(Window.partitionBy("q_id")), F.lit(1e-9))
